@@ -80,7 +80,7 @@ def global_index(df: DataFrame, order_by: Sequence[Column], name: str = "index")
     table = F.array(*[F.lit(o).cast("long") for o in offsets])
     local = F.col("_mono").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (placed
-            .withColumn(name, F.element_at(table, part.cast("int") + 1) + local)
+            .withColumn(name, F.get(table, part.cast("int")) + local)
             .drop("_mono"))
 
 
@@ -145,7 +145,7 @@ def running_sums(table: DataFrame, value: str, sums: Sequence[str], edges: Seque
             offsets[b] = run
             run += totals[b][s] if b in totals else 0
         table_ = F.array(*[F.lit(offsets[b]) for b in buckets])
-        out = out.withColumn(f"cum_{s}", F.col(f"cum_{s}") + F.element_at(table_, F.col("_b") + 1))
+        out = out.withColumn(f"cum_{s}", F.col(f"cum_{s}") + F.get(table_, F.col("_b")))
     return out.drop("_b")
 
 

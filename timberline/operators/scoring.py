@@ -60,7 +60,7 @@ def _assign_by_level(df: DataFrame, model: TreeModel, name: str) -> DataFrame:
     child = F.coalesce(F.when(F.col("_text"), by_text).otherwise(by_number), F.col("_miss"))
     for _ in range(model.depth):
         joined = out.join(F.broadcast(nodes), F.col(name) == F.col("_nid"), "left")
-        step = F.when(F.col("_nid").isNull(), F.col(name)).otherwise(F.element_at("_kids", child + 1))
+        step = F.when(F.col("_nid").isNull(), F.col(name)).otherwise(F.get("_kids", child))
         out = joined.withColumn(name, step).select(*keep)
     return out.drop("_num", "_str")
 

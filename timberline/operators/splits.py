@@ -42,7 +42,7 @@ def _melted(data: DataFrame, features: Sequence[tuple[int, Column]], allowed: Se
     long = data.select(GROUP, CLASS, WEIGHT, F.inline(F.array(*items)))
     if allowed is not None:
         masks = F.array(*[F.array(*[F.lit(i) for i in m]) for m in allowed])
-        long = long.where(F.array_contains(F.element_at(masks, F.col(GROUP) + 1), F.col(FEATURE)))
+        long = long.where(F.array_contains(F.get(masks, F.col(GROUP)), F.col(FEATURE)))
     return long
 
 

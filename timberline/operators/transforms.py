@@ -129,7 +129,7 @@ def _label(code: Column, labels: Sequence[str] | None, count: int) -> Column:
         return code
     if len(labels) != count:
         raise ValueError(f"{count} bins need {count} labels")
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), code + 1)
+    return F.get(F.array(*[F.lit(x) for x in labels]), code)
 
 
 def equal_width_cuts(low: float, high: float, k: int) -> list[float]:
