@@ -1,8 +1,10 @@
 """Type-aware row conditions and their strict left-to-right combination.
 
-A positive operator is false on NULL; a negated operator (``!=``,
+A positive operator does not hold on NULL; a negated operator (``!=``,
 ``not_contains``, ``not_in``, ``not_between``) is the exact complement of the
-positive one, so it is true on NULL.
+positive one, so it holds on NULL. NaN counts as NULL. The Columns keep plain
+comparisons on the outside, so that Parquet filters are pushed down; a positive
+operator may therefore be NULL instead of false (see :func:`holds`).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.core import clean, field_type
+from timberline.core import FLOATING, field_type
 
 # Operator aliases.
 ALIASES = {
@@ -60,35 +62,40 @@ def _literal(dtype: T.DataType, value: Any) -> Column:
 
 
 def condition(df: DataFrame, column: str, op: str, value: Any = None) -> Column:
-    """One comparison as a boolean Column that is never NULL."""
+    """One comparison as a boolean Column for ``where``."""
     if op not in ALIASES:
         raise ValueError(f"unknown operator {op!r}")
     op = ALIASES[op]
     dtype = field_type(df, column)
-    c = clean(df, column)
+    c = F.col(f"`{column}`")
+    floating = isinstance(dtype, FLOATING)
     null_word = value is None or (isinstance(value, str) and value.lower() == "null")
     if op == "is_null" or (op == "==" and null_word):
-        return c.isNull()
+        return c.isNull() | F.isnan(c) if floating else c.isNull()
     if op == "is_not_null" or (op == "!=" and null_word):
-        return c.isNotNull()
+        return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
     if op in NEGATED:
-        return ~condition(df, column, NEGATED[op], value)
+        return c.isNull() | ~condition(df, column, NEGATED[op], value)
     if op in ("contains", "starts_with", "ends_with"):
         text = c.cast("string")
-        test = {"contains": text.rlike, "starts_with": text.startswith, "ends_with": text.endswith}[op]
-        result = test(str(value))
-    elif op == "between":
+        return {"contains": text.rlike, "starts_with": text.startswith, "ends_with": text.endswith}[op](str(value))
+    if op == "between":
         low, high = value
-        result = c.between(_literal(dtype, low), _literal(dtype, high))
-    elif op == "in":
+        return c.between(_literal(dtype, low), _literal(dtype, high))
+    if op == "in":
         items = value.split(",") if isinstance(value, str) else list(value)
         items = [v.strip() if isinstance(v, str) else v for v in items]
-        result = c.isin([_literal(dtype, v) for v in items])
-    else:
-        right = _literal(dtype, value)
-        result = {"==": c == right, ">": c > right, ">=": c >= right,
-                  "<": c < right, "<=": c <= right}[op]
-    return F.coalesce(result, F.lit(False))
+        return c.isin([_literal(dtype, v) for v in items])
+    right = _literal(dtype, value)
+    if op in (">", ">="):
+        test = c > right if op == ">" else c >= right
+        return test & ~F.isnan(c) if floating else test     # NaN sorts above every number
+    return {"==": c == right, "<": c < right, "<=": c <= right}[op]
+
+
+def holds(test: Column) -> Column:
+    """The condition as true or false, for use outside ``where``."""
+    return F.coalesce(test, F.lit(False))
 
 
 def combine(df: DataFrame, conditions: Sequence[Condition | tuple | dict],

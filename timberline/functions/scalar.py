@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.core import clean_double
-from timberline.functions.conditions import condition
+from timberline.functions.conditions import condition, holds
 
 # Formula function names and the Spark SQL that computes them.
 FORMULA_FUNCTIONS = {
@@ -75,7 +75,7 @@ def interaction(df: DataFrame, cols: Sequence[str], kind: str = "multiply") -> C
 
 def binary_flag(df: DataFrame, column: str, op: str, value=None) -> Column:
     """1 where the condition holds, else 0."""
-    return condition(df, column, op, value).cast("int")
+    return holds(condition(df, column, op, value)).cast("int")
 
 
 def math_transform(x: Column, kind: str) -> Column:

@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.core import clean, clean_double, field_type, long_stats, numeric_columns, one_row, scalar_columns
+from timberline.functions.conditions import condition
 from timberline.operators.ordering import exact_quantiles
 
 MISSING = "Missing"  # fixed value: label of the null category
 
 
 def drop_missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    keep = F.lit(True)
     for c in cols or scalar_columns(df):
-        keep = keep & clean(df, c).isNotNull()
-    return df.where(keep)
+        df = df.where(condition(df, c, "is_not_null"))
+    return df
 
 
 def _fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.core import clean, clean_double, numeric_columns, one_row
+from timberline.core import clean_double, numeric_columns, one_row
 from timberline.functions.conditions import Condition, combine
 from timberline.operators.ordering import draw, exact_quantiles, global_index
 
@@ -145,7 +145,7 @@ def remove_outliers(df: DataFrame, method: str = "iqr", threshold: float | None
 
     def keep(frame: DataFrame, part: Sequence[str]) -> DataFrame:
         for c, (low, high, closed) in outlier_bounds(frame, part, method, threshold).items():
-            x = clean(df, c)
+            x = F.col(f"`{c}`")    # NaN is above every bound
             inside = (x >= low) & (x <= high) if closed else (x > low) & (x < high)
             frame = frame.where(inside)
         return frame

@@ -354,7 +354,8 @@ class TreeModel:
                 cats = r["split_categories"] or {}
                 cats = cats.items() if isinstance(cats, dict) else cats
                 split = Split(r["split_feature"], r["split_type"], r["split_op"] or "<=", r["split_value"],
-                              tuple(r["split_thresholds"] or ()), tuple(sorted(cats)), r["missing_child"])
+                              tuple(r["split_thresholds"] or ()), tuple(sorted((c, i) for c, i in cats)),
+                              r["missing_child"])
             counts = dict(r["class_counts"])
             nodes[r["node_id"]] = Node(r["node_id"], r["parent_id"], r["child_index"], r["depth"],
                                        tuple(float(counts.get(c, 0.0)) for c in classes), split)

@@ -13,7 +13,7 @@ def session(cpus: str | None = None, partitions: int | None = None) -> SparkSess
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("timberline")
              .config("spark.sql.shuffle.partitions", n).config("spark.sql.adaptive.enabled", "true")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.sql.maxMetadataStringLength", "2000").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
