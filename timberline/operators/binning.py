@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.core import clean_double, local_table, one_row
+from timberline.core import clean_double, local_table, one_row, spread
 from timberline.functions.impurity import impurity_of
-from timberline.operators.ordering import bucket_of, draw, exact_quantiles, poisson_one
+from timberline.operators.ordering import bucket_of, exact_quantiles, with_replicates
 
 MAX_CLASSES = 1000
 
@@ -356,15 +356,6 @@ def optimal_bins(df: DataFrame, col: str, target: str, max_bins: int = 10, min_n
                    ("edges", pa.list_(pa.float64()))]))
 
 
-def replicate_weights(key: Sequence[str], n: int, seed: int = 42) -> list[Column]:
-    """Poisson(1) bootstrap weights of n replicates; one md5 serves four of them."""
-    out = []
-    for r in range(n):
-        part = F.substring(draw(key, seed, r // 4), (r % 4) * 8 + 1, 8)
-        out.append(poisson_one(F.conv(part, 16, 10).cast("double") / F.lit(2.0 ** 32)).cast("long"))
-    return out
-
-
 def bin_stability(df: DataFrame, key: Sequence[str], col: str, edges: Sequence[float], target: str,
                   n_boot: int = 100, seed: int = 42, criterion: str = "gini") -> DataFrame:
     """Spread of split quality over bootstrap replicates.
@@ -373,10 +364,10 @@ def bin_stability(df: DataFrame, key: Sequence[str], col: str, edges: Sequence[f
     copied nor resampled.
     """
     y = F.col(f"`{target}`")
-    weights = replicate_weights(key, n_boot, seed)
-    rows = (df.where(y.isNotNull())
-            .groupBy(bin_index(clean_double(df, col), edges).alias("b"), y.cast("string").alias("y"))
-            .agg(*[F.sum(w).alias(f"w{r}") for r, w in enumerate(weights)]).collect())
+    binned = spread(df.where(y.isNotNull()).select(
+        *key, bin_index(clean_double(df, col), edges).alias("_b"), y.cast("string").alias("_y")))
+    rows = (with_replicates(binned, key, n_boot, seed).groupBy(F.col("_b").alias("b"), F.col("_y").alias("y"))
+            .agg(*[F.sum(f"w{r}").alias(f"w{r}") for r in range(n_boot)]).collect())
     classes = tuple(sorted({r["y"] for r in rows}))
     ratios, decreases = [], []
     for r in range(n_boot):
@@ -386,11 +377,11 @@ def bin_stability(df: DataFrame, key: Sequence[str], col: str, edges: Sequence[f
                               lines[None], lines[-1]), criterion)
         ratios.append(q["gain_ratio"])
         decreases.append(q["impurity_decrease"])
-    spread = statistics.pstdev(ratios)
-    row = {"mean_gain_ratio": statistics.fmean(ratios), "gain_ratio_std": spread,
+    ratio_std = statistics.pstdev(ratios)
+    row = {"mean_gain_ratio": statistics.fmean(ratios), "gain_ratio_std": ratio_std,
            "mean_impurity_decrease": statistics.fmean(decreases),
            "impurity_decrease_std": statistics.pstdev(decreases),
-           "stability_score": 1.0 / (1.0 + spread) if statistics.fmean(ratios) > 0 else 0.0}
+           "stability_score": 1.0 / (1.0 + ratio_std) if statistics.fmean(ratios) > 0 else 0.0}
     return local_table(df.sparkSession, [row], pa.schema([(k, pa.float64()) for k in row]))
 
 

@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.core import clean_double, local_table, one_row, spread
-from timberline.operators.binning import replicate_weights
 from timberline.operators.grow import TreeParams, feature_kinds, grow, prepare
-from timberline.operators.ordering import draw, global_index, running_sums, small, value_edges
+from timberline.operators.ordering import draw, global_index, running_sums, small, value_edges, with_replicates
 from timberline.operators.splits import CLASS, WEIGHT
 from timberline.plans.tree import TreeModel
 
@@ -324,12 +323,11 @@ def cross_validation_summary(folds: DataFrame) -> DataFrame:
 def model_stability(scored: DataFrame, key: Sequence[str], n: int = 100, seed: int = 42, y: str = "y",
                     prediction: str = "prediction") -> DataFrame:
     """Bootstrap accuracy: rows are scored once, replicates are weighted sums in one pass."""
-    rows = spread(scored.where(F.col(f"`{y}`").isNotNull()))
-    right = (_text(y) == _text(prediction)).cast("long")
-    sums = {}
-    for r, w in enumerate(replicate_weights(key, n, seed)):
-        sums[f"n{r}"], sums[f"c{r}"] = F.sum(w), F.sum(w * right)
-    s = one_row(rows, sums)
+    rows = spread(scored.where(F.col(f"`{y}`").isNotNull()).select(
+        *key, (_text(y) == _text(prediction)).cast("long").alias("_ok")))
+    weighted = with_replicates(rows, key, n, seed)
+    s = one_row(weighted, {k: v for r in range(n) for k, v in (
+        (f"n{r}", F.sum(f"w{r}")), (f"c{r}", F.sum(F.col(f"w{r}") * F.col("_ok"))))})
     acc = [s[f"c{r}"] / s[f"n{r}"] for r in range(n) if s[f"n{r}"]]
     mean = statistics.fmean(acc) if acc else 0.0
     std = statistics.pstdev(acc) if acc else 0.0

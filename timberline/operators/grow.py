@@ -45,7 +45,7 @@ class TreeParams:
     max_classes: int = 100
     max_categories: int = 10_000
     feature_batch: int = 16
-    bucket_values: int = 100_000        # distinct values one window group may hold
+    bucket_values: int = 50_000         # distinct values one window group may hold
 
     @property
     def depth_limit(self) -> int:

@@ -13,6 +13,7 @@ from timberline.core import BROADCAST_ROWS, clean_double, frozen
 # Distinct values one aggregation buffer or one window group may hold.
 GROUP_VALUES = 1_000_000
 MAX_BUCKETS = 4096
+CASE_EDGES = 64
 
 ROW_BITS = 33  # width of the row part of monotonically_increasing_id
 
@@ -21,8 +22,19 @@ def bucket_of(x: Column, edges: Sequence[float], right: bool = True) -> Column:
     """Index of the interval of ``x`` between sorted ``edges`` (NULL stays NULL).
 
     ``right=True``: intervals ``(e[i-1], e[i]]``; otherwise ``[e[i-1], e[i])``.
-    A balanced CASE, so a row is compared about log2(len(edges)) times.
+    A row is compared about log2(len(edges)) times: by a balanced CASE for few
+    edges, by halving steps over an array constant for many.
     """
+    if len(edges) > CASE_EDGES:
+        table = F.array(*[F.lit(float(e)) for e in edges])
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))])
+
+        def step(at: Column, jump: Column) -> Column:
+            edge = F.get(table, at + jump - 1)     # NULL past the end: no jump
+            return F.when(x > edge if right else x >= edge, at + jump).otherwise(at)
+
+        return F.when(x.isNotNull(), F.aggregate(steps, F.lit(0), step))
+
     def node(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
@@ -45,14 +57,36 @@ def uniform(keys: Sequence[str | Column], *salts: object) -> Column:
     return F.conv(F.substring(draw(keys, *salts), 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
 
 
-def poisson_one(u: Column) -> Column:
-    """Bootstrap multiplicity: Poisson(1) by inversion of a uniform number."""
-    edges, p, total = [], math.exp(-1.0), 0.0
-    for k in range(12):
-        total += p
-        edges.append(round(total, 12))
-        p /= k + 1
-    return bucket_of(u, edges, right=False)
+# Poisson(1) distribution function at 0…11.
+POISSON_ONE = tuple(math.exp(-1.0) * sum(1.0 / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def poisson_one(hex8: Column) -> Column:
+    """Bootstrap multiplicity by inversion: Poisson(1) from 8 hex digits of a draw.
+
+    The digits are compared as text with the scaled distribution function,
+    which orders them like the numbers they write.
+    """
+    cuts = [f"{min(math.ceil(c * 2 ** 32), 2 ** 32 - 1):08x}" for c in POISSON_ONE]
+
+    def node(lo: int, hi: int) -> Column:
+        # small counts are by far the most likely, so they are tested first
+        return F.lit(lo) if lo == hi else F.when(hex8 < cuts[lo], lo).otherwise(node(lo + 1, hi))
+
+    return node(0, len(cuts)).cast("long")
+
+
+def with_replicates(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
+    """Adds bootstrap weights ``w0…``; one md5 serves four replicates.
+
+    Draws, digits and weights are separate projections, so that each is
+    computed once per row however often it is used.
+    """
+    groups = range(-(-n // 4))
+    drawn = df.withColumns({f"_d{g}": draw(keys, seed, g) for g in groups})
+    parts = drawn.withColumns({f"_h{r}": F.substring(f"_d{r // 4}", (r % 4) * 8 + 1, 8) for r in range(n)})
+    weighted = parts.withColumns({f"w{r}": poisson_one(F.col(f"_h{r}")) for r in range(n)})
+    return weighted.drop(*[f"_d{g}" for g in groups], *[f"_h{r}" for r in range(n)])
 
 
 def global_index(df: DataFrame, order_by: Sequence[Column], name: str = "index") -> DataFrame:
@@ -149,38 +183,105 @@ def running_sums(table: DataFrame, value: str, sums: Sequence[str], edges: Seque
     return out.drop("_b")
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]],
+def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], accuracy: int = 10_000,
                     group_values: int = GROUP_VALUES) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, ``{column: [q…]}`` on the driver.
 
-    Columns with few distinct values use the built-in ``percentile``. For the
-    others its buffer would grow with the data, so the wanted ranks are first
-    located in counted buckets and then read from those buckets only.
+    Two passes over all columns together. The first brackets every wanted rank
+    between two sketched quantiles. The second counts the rows of the gaps and,
+    value by value, of the narrow bands in between, where the exact values are
+    then read off. A column whose ranks miss the bands, or whose bands hold too
+    many values for one window group, goes through a full value count instead.
     """
     if not wanted:
         return {}
     cols = list(wanted)
-    sizes = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.approx_count_distinct(clean_double(df, c)).alias(f"d{i}"),
+    slack = 2.0 / accuracy
+    brackets = {c: sorted({max(0.0, p - slack) for p in wanted[c]} | {min(1.0, p + slack) for p in wanted[c]}) for c in cols}
+    first = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.percentile_approx(clean_double(df, c), brackets[c], accuracy).alias(f"q{i}"),
         F.count(clean_double(df, c)).alias(f"n{i}"))]).first()
     out: dict[str, list[float | None]] = {}
-    few = [c for i, c in enumerate(cols) if sizes[f"d{i}"] * 1.1 <= group_values]
-    if few:
-        row = df.agg(*[
-            F.percentile(clean_double(df, c), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(f"q{i}")
-            for i, c in enumerate(few)]).first()
-        for i, c in enumerate(few):
-            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(wanted[c])
+    bands: dict[int, list[tuple[float, float]]] = {}
     for i, c in enumerate(cols):
-        if c not in few:
-            out[c] = _ranked_values(df, c, wanted[c], sizes[f"n{i}"], sizes[f"d{i}"], group_values)
+        if not first[f"n{i}"]:
+            out[c] = [None] * len(wanted[c])
+            continue
+        at = dict(zip(brackets[c], first[f"q{i}"]))
+        spans: list[tuple[float, float]] = []
+        for p in sorted(wanted[c]):
+            lo, hi = at[max(0.0, p - slack)], at[min(1.0, p + slack)]
+            if spans and lo <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
+            else:
+                spans.append((lo, hi))
+        bands[i] = spans
+    if not bands:
+        return out
+
+    def slot(x: Column, spans: list[tuple[float, float]]) -> Column:
+        """Odd numbers inside a band, even numbers in the gaps."""
+        expr = None
+        for j, (lo, hi) in enumerate(spans):
+            expr = F.when(x < lo, 2 * j) if expr is None else expr.when(x < lo, 2 * j)
+            expr = expr.when(x <= hi, 2 * j + 1)
+        return expr.otherwise(2 * len(spans))
+
+    cells = [F.struct(F.lit(i).alias("f"), slot(clean_double(df, cols[i]), spans).alias("s"),
+                      clean_double(df, cols[i]).alias("v")) for i, spans in bands.items()]
+    counted = (df.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+               .select("f", "s", F.when(F.col("s") % 2 == 1, F.col("v")).alias("v"))
+               .groupBy("f", "s", "v").agg(F.count(F.lit(1)).alias("n")).persist())
+    sizes = counted.groupBy("f", "s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).collect()
+    need, start = [], {}
+    for i in bands:
+        c, n, run = cols[i], first[f"n{i}"], 0
+        slots = sorted((r["s"], r["n"], r["values"]) for r in sizes if r["f"] == i)
+        ranks = {r for p in wanted[c] for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+        fine = True
+        for s, size, values in slots:
+            inside = [r for r in ranks if run <= r < run + size]
+            fine = fine and not (inside and (s % 2 == 0 or values > group_values))
+            start[(i, s)] = run
+            run += size
+        if fine:
+            need += [(i, s, r) for r in ranks for s, size, _ in slots if start[(i, s)] <= r < start[(i, s)] + size]
+        else:
+            out[c] = _ranked_values(df, c, wanted[c], n, group_values)
+    found: dict[tuple[int, int], float] = {}
+    if need:
+        inside = Window.partitionBy("f", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        pairs = sorted({(i, s) for i, s, _ in need})
+        key = F.struct("f", "s")
+        offset = F.create_map(*[x for i, s in pairs for x in (F.struct(F.lit(i).alias("f"), F.lit(s).alias("s")),
+                                                              F.lit(start[(i, s)]).cast("long"))])
+        ranks = F.create_map(*[x for i, s in pairs for x in (
+            F.struct(F.lit(i).alias("f"), F.lit(s).alias("s")),
+            F.array(*[F.lit(r).cast("long") for a, b, r in need if (a, b) == (i, s)]))])
+        placed = (counted.where(F.col("s") % 2 == 1).withColumn("hi", F.sum("n").over(inside) + offset[key])
+                  .where(F.exists(ranks[key], lambda r: (r < F.col("hi")) & (r >= F.col("hi") - F.col("n")))))
+        for r in placed.collect():
+            for i, s, rank in need:
+                if (i, s) == (r["f"], r["s"]) and r["hi"] - r["n"] <= rank < r["hi"]:
+                    found[(i, rank)] = r["v"]
+    counted.unpersist()
+    for i in bands:
+        c, n = cols[i], first[f"n{i}"]
+        if c in out:
+            continue
+        result = []
+        for p in wanted[c]:
+            pos = p * (n - 1)
+            lo, hi = found[(i, math.floor(pos))], found[(i, math.ceil(pos))]
+            result.append(lo + (hi - lo) * (pos - math.floor(pos)))
+        out[c] = result
     return out
 
 
-def _ranked_values(df: DataFrame, col: str, probs: Sequence[float], n: int, distinct: int,
-                   group_values: int) -> list[float | None]:
+def _ranked_values(df: DataFrame, col: str, probs: Sequence[float], n: int, group_values: int) -> list[float | None]:
+    """Quantiles from the full value counts, windowed inside value buckets."""
     counts = value_counts(df, col).where("value IS NOT NULL").persist()
-    edges = value_edges(counts, "value", distinct, group_values)
+    edges = value_edges(counts, "value", counts.count(), group_values)
     ranks = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
     bucketed = counts.withColumn("_b", bucket_of(F.col("value"), edges))
     totals = {r["_b"]: r["t"] for r in bucketed.groupBy("_b").agg(F.sum("n").alias("t")).collect()}

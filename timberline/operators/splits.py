@@ -46,10 +46,6 @@ def _melted(data: DataFrame, features: Sequence[tuple[int, Column]], allowed: Se
     return long
 
 
-def _sums(names: Sequence[str], over) -> list[Column]:
-    return [F.sum(n).over(over) for n in names]
-
-
 def numeric_candidates(data: DataFrame, features: Sequence[tuple[int, Column]], k: int, totals: DataFrame,
                        criterion: str, min_leaf: float, edges: Edges | None = None, grid: Edges | None = None,
                        allowed: Sequence[Sequence[int]] | None = None, nulls: bool = True) -> DataFrame:
@@ -68,38 +64,48 @@ def numeric_candidates(data: DataFrame, features: Sequence[tuple[int, Column]],
         return bucket_of(c, grid[i]).cast("double") if i in grid else c
 
     prepared = [(i, value(i, c)) for i, c in features]
-    bucketed = any(i in edges for i, _ in features)
-    if bucketed:
+    zero = F.lit(0)
+    if any(i in edges for i, _ in features):
         def bucket(i: int, c: Column) -> Column:
             # NULL has a bucket of its own before all values
             return F.coalesce(bucket_of(c, edges[i]) if i in edges else F.when(c.isNotNull(), 0), F.lit(-1))
 
-        hist = (_melted(data, prepared, allowed, bucket)
-                .groupBy(GROUP, FEATURE, "b", "v").agg(*class_sums(k)))
-    else:
-        hist = _melted(data, prepared, allowed).groupBy(GROUP, FEATURE, "v").agg(*class_sums(k))
-
-    keys = [GROUP, FEATURE, "b"] if bucketed else [GROUP, FEATURE]
-    ordered = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first())
-    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    scanned = hist.select(
-        *keys, "v", F.lead("v").over(ordered).alias("next"),
-        *[F.sum(c).over(running).alias(f"p{i}") for i, c in enumerate(counts)],
-        *[(F.sum(F.when(F.col("v").isNull(), F.col(c)).otherwise(0)).over(running)
-           if nulls else F.lit(0)).alias(f"m{i}") for i, c in enumerate(counts)])
-    if bucketed:
-        by_bucket = hist.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts], F.min("v").alias("first"))
+        long = _melted(data, prepared, allowed, bucket)
+        keys = [GROUP, FEATURE, "b"]
+        hist = long.groupBy(*keys, "v").agg(*class_sums(k)).select(
+            *keys, F.lit(1).alias("o"), "v", *counts, *[zero.alias(f"m{i}") for i in range(k)])
+        # one row per bucket: what lies before it, and the first value after it
         across = Window.partitionBy(GROUP, FEATURE).orderBy("b")
         before = across.rowsBetween(Window.unboundedPreceding, -1)
-        offsets = by_bucket.select(
+        bounds = long.groupBy(*keys).agg(*class_sums(k), F.min("v").alias("first")).select(
             *keys, F.lead("first").over(across).alias("after"),
-            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o{i}") for i, c in enumerate(counts)],
-            *[F.coalesce(F.sum(F.when(F.col("b") == -1, F.col(c))).over(before), F.lit(0)).alias(f"om{i}")
+            *[F.coalesce(F.sum(c).over(before), zero).alias(f"o{i}") for i, c in enumerate(counts)],
+            *[(F.coalesce(F.sum(F.when(F.col("b") == -1, F.col(c))).over(before), zero) if nulls else zero).alias(f"n{i}")
               for i, c in enumerate(counts)])
-        scanned = scanned.join(offsets, keys).select(
-            GROUP, FEATURE, "v", F.coalesce("next", "after").alias("next"),
-            *[(F.col(f"p{i}") + F.col(f"o{i}")).alias(f"p{i}") for i in range(k)],
-            *[(F.col(f"m{i}") + F.col(f"om{i}")).alias(f"m{i}") for i in range(k)])
+        ends = bounds.select(*keys, F.inline(F.array(
+            F.struct(F.lit(0).alias("o"), F.lit(None).cast("double").alias("v"),
+                     *[F.col(f"o{i}").alias(c) for i, c in enumerate(counts)],
+                     *[F.col(f"n{i}").alias(f"m{i}") for i in range(k)]),
+            F.struct(F.lit(2).alias("o"), F.col("after").alias("v"),
+                     *[zero.cast(data.schema[WEIGHT].dataType).alias(c) for c in counts],
+                     *[zero.alias(f"m{i}") for i in range(k)]))))
+        # the end rows bracket the values of a bucket, so one window inside the
+        # bucket yields sums over the whole feature
+        ordered = Window.partitionBy(*keys).orderBy("o", "v")
+        running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        scanned = hist.unionByName(ends).select(
+            GROUP, FEATURE, "o", "v", F.lead("v").over(ordered).alias("next"),
+            *[F.sum(c).over(running).alias(f"p{i}") for i, c in enumerate(counts)],
+            *[(F.sum(f"m{i}").over(running) if nulls else zero).alias(f"m{i}") for i in range(k)]).where("o = 1")
+    else:
+        hist = _melted(data, prepared, allowed).groupBy(GROUP, FEATURE, "v").agg(*class_sums(k))
+        ordered = Window.partitionBy(GROUP, FEATURE).orderBy(F.col("v").asc_nulls_first())
+        running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        scanned = hist.select(
+            GROUP, FEATURE, "v", F.lead("v").over(ordered).alias("next"),
+            *[F.sum(c).over(running).alias(f"p{i}") for i, c in enumerate(counts)],
+            *[(F.sum(F.when(F.col("v").isNull(), F.col(c)).otherwise(zero)).over(running)
+               if nulls else zero).alias(f"m{i}") for i, c in enumerate(counts)])
 
     placed = scanned.where("v IS NOT NULL AND next IS NOT NULL").join(F.broadcast(totals), GROUP)
     threshold = (F.col("v") + F.col("next")) / 2.0
@@ -119,10 +125,12 @@ def numeric_candidates(data: DataFrame, features: Sequence[tuple[int, Column]],
 
 def best_numeric(candidates: DataFrame, k: int, by: Sequence[str] = (GROUP,)) -> DataFrame:
     """Best threshold per group: gain, then feature order, then smallest threshold."""
-    key = F.struct(F.round("gain", GAIN_DIGITS), -F.col(FEATURE), -F.col("threshold"))
-    row = F.struct(FEATURE, "threshold", "gain", *[f"{s}{i}" for s in "lrm" for i in range(k)])
-    return candidates.groupBy(*by).agg(F.max_by(row, key).alias("_best")).select(
-        *[c for c in by if c != FEATURE], "_best.*")
+    rest = ["gain", *[f"{s}{i}" for s in "lrm" for i in range(k)]]
+    best = F.max(F.struct(F.round("gain", GAIN_DIGITS).alias("_r"), (-F.col(FEATURE)).alias("_nf"),
+                          (-F.col("threshold")).alias("_nt"), *rest))
+    return candidates.groupBy(*by).agg(best.alias("_b")).select(
+        *[c for c in by if c != FEATURE], (-F.col("_b._nf")).alias(FEATURE), (-F.col("_b._nt")).alias("threshold"),
+        *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
 def category_histogram(data: DataFrame, features: Sequence[tuple[int, Column]], k: int,
