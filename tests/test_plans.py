@@ -43,26 +43,46 @@ def test_reports_count_before_joining(spark, sf):
     assert "partial_count(1)" in p and "Python" not in p
 
 
-def _candidates(spark, sf, edges):
+def _searched(spark, sf, buckets):
     df = credit(spark, sf)
-    p = G.TreeParams()
+    p = G.TreeParams(bucket_values=20 if buckets else 10 ** 9, buckets=buckets or 1)
     kinds = G.feature_kinds(df, ["l_quantity", "l_extendedprice"])
     data, classes, _, counts = G.prepare(df, kinds, "y", p)
+    data, layout = G.lay_out(data, kinds, p)
     data = data.withColumn(SP.GROUP, F.lit(0)).persist()
-    return SP.numeric_candidates(data, [(0, F.col("l_quantity")), (1, F.col("l_extendedprice"))], 2,
-                                 G.group_totals(data, [counts], True), "gini", 1, edges)
+    features = [(0, F.col("l_quantity")), (1, F.col("l_extendedprice"))]
+    totals = G.group_totals(data, [counts], True)
+    if buckets:
+        return data, features, totals
+    return SP.best_numeric(SP.numeric_candidates(data, features, 2, totals, "gini", 1, nulls=False), 2)
 
 
 def test_split_search_combines_before_the_shuffle(spark, sf):
-    p = plan(_candidates(spark, sf, None))
+    p = plan(_searched(spark, sf, None))
     assert "partial_sum" in p and "Python" not in p and "CartesianProduct" not in p and "BroadcastNestedLoop" not in p
     assert "RowFrame, unboundedpreceding" in p and "RangeFrame" not in p
 
 
 def test_bucketed_search_windows_inside_buckets(spark, sf):
-    p = plan(_candidates(spark, sf, {1: [10000.0, 50000.0]}))
+    data, features, totals = _searched(spark, sf, 200)
+    p = plan(SP.best_numeric_bucketed(data, features, 2, totals, "gini", 1)[0])
     line = p.split("Window [lead(v")[1].split("\n")[0]
     assert "windowspecdefinition(_g" in line and ", b#" in line
+    assert "LeftSemi" in p and "CartesianProduct" not in p and "Python" not in p
+
+
+def test_bounds_close_most_buckets_and_hold(spark, sf):
+    """No gain inside a bucket exceeds its bound, and few buckets stay open."""
+    data, features, totals = _searched(spark, sf, 200)
+    long = SP._melted(data, features, None, bucketed=True)
+    table = SP.bucket_table(long, 2, totals, "gini", 1, [SP.GROUP]).persist()
+    wide = table.where("bound IS NOT NULL").count()
+    still = table.where("bound >= best").count()
+    assert 0 < still < wide / 3
+    every = SP.numeric_candidates(data, features, 2, totals, "gini", 1, nulls=False)
+    inside = every.join(table.select(SP.GROUP, SP.FEATURE, "lo", "hi", "bound"), [SP.GROUP, SP.FEATURE]).where(
+        "threshold > lo AND threshold < hi")
+    assert inside.where("gain > bound + 1e-12").count() == 0 and inside.count() > 1000
 
 
 def test_top_categories_are_limited_before_the_shuffle(spark, sf):

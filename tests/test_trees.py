@@ -80,8 +80,9 @@ def random_200(spark, random_rows):
 @pytest.mark.parametrize("criterion", ["gini", "entropy", "misclassification"])
 def test_numeric_search_equals_brute_force(random_200, random_rows, target, pos, criterion):
     classes = sorted({str(r[pos]) for r in random_rows})
-    for bucket_values in (10 ** 6, 7):
-        _, found = G.best_splits(random_200, ["a", "b"], target, criterion=criterion, min_samples_leaf=5, bucket_values=bucket_values)
+    for bucket_values, buckets in ((10 ** 6, 1), (7, 4), (7, 100)):
+        _, found = G.best_splits(random_200, ["a", "b"], target, criterion=criterion, min_samples_leaf=5,
+                                 bucket_values=bucket_values, buckets=buckets)
         for f in found:
             i = {"a": 1, "b": 2}[f.split.feature]
             g, t = brute_numeric([(r[i], str(r[pos]), 1) for r in random_rows], classes, criterion, 5)
@@ -143,7 +144,7 @@ def leaf_counts(model: TreeModel):
 
 @pytest.mark.parametrize("bucket_values", [10 ** 6, 9])
 def test_grown_tree_equals_brute_force(random_200, random_rows, bucket_values):
-    m = G.fit(random_200, ["a", "b"], "y3", criterion="gini", max_depth=4, min_samples_leaf=3, bucket_values=bucket_values)
+    m = G.fit(random_200, ["a", "b"], "y3", criterion="gini", max_depth=4, min_samples_leaf=3, bucket_values=bucket_values, buckets=8)
     want = brute_tree([((r[1], r[2]), r[5]) for r in random_rows], 4, 2, ["hi", "lo", "mid"], "gini", 3)
     assert leaf_counts(m) == [tuple(map(float, c)) for c in want]
 

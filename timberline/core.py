@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 # which keeps generated code under the JVM method limits.
 AGG_WIDTH = 300
 
+# From this many aggregates on, a small table is spread over all cores first.
+HEAVY_AGG = 24
+SPREAD_BYTES = 1 << 30
+
 # Lookup tables up to this many rows may be broadcast; the count is always
 # taken before the hint is given.
 BROADCAST_ROWS = 500_000
@@ -68,6 +72,8 @@ def one_row(df: DataFrame, exprs: dict[str, Column]) -> dict[str, object]:
     """Evaluate many aggregates in as few passes as the width limit allows."""
     out: dict[str, object] = {}
     items = list(exprs.items())
+    if len(items) >= HEAVY_AGG:
+        df = spread(df)
     for i in range(0, len(items), AGG_WIDTH):
         part = items[i:i + AGG_WIDTH]
         row = df.agg(*[e.alias(f"a{j}") for j, (_, e) in enumerate(part)]).first()
@@ -105,17 +111,18 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPREAD_BYTES = 1 << 30
+def is_small(df: DataFrame, limit: int = SPREAD_BYTES) -> bool:
+    """The planner's size estimate of a table is at most ``limit`` bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
 
 
 def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
-    """Give a small table one partition per core before many passes over it.
+    """Give a small table one partition per core before heavy work on it.
 
     A small file is often a single row group and would keep one core busy. The
     planner's size estimate is checked first; larger tables stay as they are.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df, limit) else df
 
 
 def melt(df: DataFrame, values: dict[str, Column], keep: Sequence[str | Column] = (),
@@ -136,6 +143,8 @@ def long_stats(df: DataFrame, per_column: dict[str, dict[str, Column]], name: st
     cols = list(per_column)
     stats = list(next(iter(per_column.values())))
     frames = []
+    if len(cols) * len(stats) >= HEAVY_AGG:
+        df = spread(df)
     width = max(1, AGG_WIDTH // max(1, len(stats)))
     for i in range(0, len(cols), width):
         part = cols[i:i + width]

@@ -1 +1 @@
-"""Column builders; nothing in here starts a Spark job."""
+"""Column builders."""

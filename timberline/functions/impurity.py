@@ -49,13 +49,29 @@ def impurity(counts: Sequence[Column], criterion: str = "gini") -> Column:
     return F.when(n > 0, value).otherwise(F.lit(0.0))
 
 
-def gain(left: Sequence[Column], right: Sequence[Column], criterion: str = "gini") -> Column:
-    """Parent impurity minus the weighted impurity of two children."""
-    nl, nr = total(left).cast("double"), total(right).cast("double")
-    both = [a + b for a, b in zip(left, right)]
-    return (impurity(both, criterion)
-            - (nl / (nl + nr)) * impurity(left, criterion)
-            - (nr / (nl + nr)) * impurity(right, criterion))
+def mass_sql(counts: Sequence[str], criterion: str = "gini") -> str:
+    """Group size times impurity as Spark SQL over double counts (NULL for an empty group in gini).
+
+    Split search evaluates this for every candidate, so the expression is kept
+    short; as text it reaches the JVM in one call.
+    """
+    kind = measure(criterion)
+    n = "(" + " + ".join(counts) + ")"
+    if kind == "gini":
+        return f"({n} - try_divide({' + '.join(f'{c} * {c}' for c in counts)}, {n}))"
+    if kind == "misclassification":
+        return f"({n} - greatest({', '.join([*counts, '0D'])}))"
+    log = "log2" if kind == "entropy" else "ln"
+    # log(0) is NULL and stands for 0 log 0 = 0
+    parts = " - ".join(f"coalesce({c} * {log}({c}), 0D)" for c in counts)
+    return f"(coalesce({n} * {log}({n}), 0D) - {parts})"
+
+
+def gain_sql(left: Sequence[str], right: Sequence[str], criterion: str = "gini") -> str:
+    """Parent impurity minus the weighted impurity of two children, as Spark SQL over doubles."""
+    both = [f"({a} + {b})" for a, b in zip(left, right)]
+    return (f"try_divide({mass_sql(both, criterion)} - {mass_sql(left, criterion)} - {mass_sql(right, criterion)}, "
+            f"{' + '.join(both)})")
 
 
 def impurity_of(counts: Sequence[float], criterion: str = "gini") -> float:

@@ -1,4 +1,7 @@
-"""Row-local derived columns: formulas, arithmetic, text and dates."""
+"""Row-local derived columns: formulas, arithmetic, text and dates.
+
+Only a formula with whole-column statistics reads data, once, for its constants.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.core import clean_double
+from timberline.core import clean_double, one_row
 from timberline.functions.conditions import condition, holds
 
 # Formula function names and the Spark SQL that computes them.
@@ -32,8 +35,23 @@ def formula(sql: str, result: str = "float") -> Column:
     return F.expr(sql).try_cast(RESULT_TYPES[result])
 
 
-def formula_column(df: DataFrame, sql: str, name: str, result: str = "float") -> DataFrame:
-    return df.withColumn(name, formula(sql, result))
+# Whole-column statistics a formula may use.
+COLUMN_STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def formula_column(df: DataFrame, sql: str, name: str, result: str = "float",
+                   stats: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Add a formula column.
+
+    ``stats`` binds names in the formula to whole-column statistics, for
+    example ``{"m": ("mean", "price")}``; they are read in one aggregation and
+    enter the plan as constants.
+    """
+    if not stats:
+        return df.withColumn(name, formula(sql, result))
+    values = one_row(df, {k: COLUMN_STATISTICS[kind](clean_double(df, c)) for k, (kind, c) in stats.items()})
+    bound = df.withColumns({k: F.lit(v).cast("double") for k, v in values.items()})
+    return bound.withColumn(name, formula(sql, result)).drop(*values)
 
 
 def row_mean(*cols: Column) -> Column:

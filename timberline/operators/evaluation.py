@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.core import clean_double, local_table, one_row, spread
-from timberline.operators.grow import TreeParams, feature_kinds, grow, prepare
+from timberline.operators.grow import TreeParams, feature_kinds, grow, laid_out
 from timberline.operators.ordering import draw, global_index, running_sums, small, value_edges, with_replicates
 from timberline.operators.splits import CLASS, WEIGHT
 from timberline.plans.tree import TreeModel
@@ -289,9 +289,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, key: Seq
     p = TreeParams(**params)
     kinds = feature_kinds(df, features, categorical)
     folds = assign_folds(df, target, key, k, seed)
-    data, classes, pos, _ = prepare(folds, kinds, target, p, keep=["fold"])
-    data = data.persist()
-    try:
+    with laid_out(folds, kinds, target, p, keep=["fold"]) as (data, layout, classes, pos, _):
         train = data.withColumn("_rep", F.explode(F.array_except(
             F.array(*[F.lit(i) for i in range(k)]), F.array("fold"))))
         at_root = {r: [0.0] * len(classes) for r in range(k)}
@@ -299,7 +297,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, key: Seq
             for r in range(k):
                 if r != row["fold"]:
                     at_root[r][row[CLASS]] += float(row["w"])
-        models = grow(train, kinds, classes, pos, target, p, at_root, rep_col="_rep")
+        models = grow(train, kinds, classes, pos, target, p, layout, at_root, rep_col="_rep")
         right = None
         for r, model in models.items():
             guess = model.route(model.inputs(data), lambda n, m=model: F.lit(classes.index(m.prediction(n.node_id))))
@@ -307,8 +305,6 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, key: Seq
             right = F.when(hit, guess) if right is None else right.when(hit, guess)
         rows = data.groupBy("fold").agg(F.count(F.lit(1)).alias("n"),
                                         F.count_if(right == F.col(CLASS)).alias("correct")).collect()
-    finally:
-        data.unpersist()
     out = [{"fold": r["fold"], "n": r["n"], "correct": r["correct"], "accuracy": r["correct"] / r["n"]}
            for r in sorted(rows, key=lambda r: r["fold"])]
     return local_table(df.sparkSession, out, pa.schema(

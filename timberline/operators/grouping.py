@@ -29,7 +29,7 @@ def group_categories(df: DataFrame, col: str, target: str | None = None, method:
         cats = df.where(c.isNotNull()).groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("n"))
         cats = cats.withColumn("score", F.col("n").cast("double")).persist()
         if method == "simple":
-            return _equal_groups(cats, [F.col("category")], max_groups or 5)
+            return _equal_groups(cats, [F.col("category")], min(max_groups or 5, max(1, cats.count())))
         if method == "frequency":
             return _chunks(cats, [F.desc("n"), F.asc("category")], max_groups or 5)
         low, high = exact_quantiles(cats, {"n": (0.25, 0.75)})["n"]
@@ -97,10 +97,8 @@ def _chi_square(per_class: DataFrame) -> DataFrame:
 
 
 def _equal_groups(cats: DataFrame, order: Sequence[Column], groups: int) -> DataFrame:
-    """Groups of size count // groups; the last one takes the remainder."""
-    total = cats.count()
-    groups = groups if total >= groups else (groups if groups == 3 else max(1, total))
-    size = total // groups
+    """Groups of size count // groups; the last one takes the remainder (or everything)."""
+    size = cats.count() // groups
     at = ranked(cats, order, "_i")
     grp = F.least(F.floor(F.col("_i") / F.lit(size)), F.lit(groups - 1)) if size else F.lit(groups - 1)
     return at.select("category", "n", "score", (grp + 1).cast("string").alias("grp"))

@@ -6,8 +6,8 @@ together. The driver sees one row per open node and nothing else.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.core import clean_double, field_type, local_table, long_stats, one_row, spread
-from timberline.functions.impurity import gain, impurity_of, measure, total
+from timberline.core import clean_double, field_type, is_small, local_table, long_stats, one_row, spread
+from timberline.functions.impurity import gain_sql, impurity_of, measure
 from timberline.operators.missing import MISSING, impute, modes
-from timberline.operators.ordering import exact_quantiles, running_sums, value_edges
+from timberline.operators.ordering import bucket_of, draw_text, exact_quantiles, running_sums, value_edges
 from timberline.operators.scoring import CASE_LEAVES, assign_leaf
-from timberline.operators.splits import CLASS, FEATURE, GROUP, WEIGHT, best_categorical, best_numeric, numeric_candidates
+from timberline.operators.splits import (
+    CLASS, FEATURE, GROUP, WEIGHT, best_categorical, best_numeric, best_numeric_bucketed, bucket_column,
+    numeric_candidates)
 from timberline.operators.transforms import levels
 from timberline.plans.tree import ROOT, Node, Split, TreeModel, positive_class
 
@@ -45,7 +47,9 @@ class TreeParams:
     max_classes: int = 100
     max_categories: int = 10_000
     feature_batch: int = 16
-    bucket_values: int = 50_000         # distinct values one window group may hold
+    bucket_values: int = 10_000         # features with more distinct values are searched by buckets
+    buckets: int = 1024                 # value buckets of such a feature, more for very large tables
+    bucket_rows: int = 50_000_000       # rows a bucket may hold before more buckets are made
 
     @property
     def depth_limit(self) -> int:
@@ -100,25 +104,30 @@ def prepare(df: DataFrame, features: Sequence[tuple[str, str]], target: str, p:
                for f, kind in features]
     data = rows.select(*keep, *columns, index[y.cast("string")].alias(CLASS), weight.alias(WEIGHT))
     at_root = [totals[c] * factor.get(c, 1.0) for c in classes]
-    return spread(data), classes, positive_class(classes, positive), at_root
+    return data, classes, positive_class(classes, positive), at_root
+
+
+MAX_SEARCH_BUCKETS = 16_384
 
 
 @dataclass(frozen=True)
 class Layout:
     """Facts about the features that shape the search, taken once per fit."""
-    edges: dict[int, list[float]]           # value buckets of features with many values
     grid: dict[int, list[float]]            # fixed thresholds, when asked for
     with_nulls: frozenset[int]
+    bucketed: frozenset[int]                # features with a prepared bucket column
+    most_buckets: int = 1                   # buckets of a feature, the one of NULL included
 
 
-def survey_features(data: DataFrame, features: Sequence[tuple[str, str]], p: TreeParams) -> Layout:
-    """Nulls, distinct values (estimated) and categories (exact) of all features in one pass.
+def lay_out(data: DataFrame, features: Sequence[tuple[str, str]], p: TreeParams) -> tuple[DataFrame, Layout]:
+    """Nulls, distinct values (estimated) and categories of all features in one pass.
 
     Category lists become part of the model, so more than ``max_categories``
-    raises. A numeric feature with more values than one window group may hold
-    gets value buckets.
+    raises (after an exact count). Numeric features with many values get a
+    bucket column between sketched quantiles; it is computed once here and not
+    again at every level.
     """
-    stats = {}
+    stats = {"rows": F.count(F.lit(1))}
     for i, (f, kind) in enumerate(features):
         c = F.col(f"`{f}`")
         stats[f"n{i}"] = F.count_if(c.isNull())
@@ -131,11 +140,18 @@ def survey_features(data: DataFrame, features: Sequence[tuple[str, str]], p: Tre
             if n > p.max_categories:
                 raise ValueError(f"{f!r} has {n} categories, over max_categories={p.max_categories}")
     numeric = [(i, f) for i, (f, kind) in enumerate(features) if kind == "numeric"]
-    grid = approx_grid(data, numeric) if p.candidates == "approx" else {}
-    edges = {} if grid else {
-        i: value_edges(data.where(F.col(f"`{f}`").isNotNull()), f, s[f"d{i}"], p.bucket_values)
-        for i, f in numeric if s[f"d{i}"] > p.bucket_values}
-    return Layout(edges, grid, frozenset(i for i in range(len(features)) if s[f"n{i}"]))
+    with_nulls = frozenset(i for i in range(len(features)) if s[f"n{i}"])
+    if p.candidates == "approx":
+        return data, Layout(approx_grid(data, numeric), with_nulls, frozenset())
+    many = [(i, f) for i, f in numeric if s[f"d{i}"] > p.bucket_values]
+    if many:
+        k = min(MAX_SEARCH_BUCKETS, max(p.buckets, s["rows"] // p.bucket_rows))
+        probs = [j / k for j in range(1, k)]
+        # the cuts only steer the search, its result is exact for any cuts: a sample will do
+        part = data.sample(fraction=min(1.0, 200.0 * k / s["rows"]), seed=p.seed)
+        cuts = one_row(part, {f: F.percentile_approx(F.col(f"`{f}`"), probs, max(10_000, 10 * k)) for _, f in many})
+        data = data.withColumns({bucket_column(i): bucket_of(F.col(f"`{f}`"), sorted(set(cuts[f] or []))) for i, f in many})
+    return data, Layout({}, with_nulls, frozenset(i for i, _ in many), k + 1 if many else 1)
 
 
 def approx_grid(data: DataFrame, numeric: Sequence[tuple[int, str]]) -> dict[int, list[float]]:
@@ -208,7 +224,7 @@ class Found:
 
 
 def search(data: DataFrame, features: Sequence[tuple[str, str]], k: int, positive: int, totals: DataFrame,
-           p: TreeParams, layout: Layout, allowed: Sequence[Sequence[int]] | None = None, per_feature: bool = False) -> dict[int, list[Found]]:
+           p: TreeParams, layout: Layout, groups: int, allowed: Sequence[Sequence[int]] | None = None, per_feature: bool = False) -> dict[int, list[Found]]:
     """Best splits per group; with ``per_feature`` one for every feature."""
     by = [GROUP, FEATURE] if per_feature else [GROUP]
     used = None if allowed is None else {i for m in allowed for i in m}
@@ -232,9 +248,14 @@ def search(data: DataFrame, features: Sequence[tuple[str, str]], k: int, positiv
                 float(r["gain"]), r[FEATURE], split, left, right, tuple(float(r[f"m{i}"]) for i in range(k))))
 
     for start in range(0, len(numeric), p.feature_batch):
-        part = numeric[start:start + p.feature_batch]
-        cand = numeric_candidates(data, [(i, F.col(f"`{f}`")) for i, f in part], k, totals, p.criterion,
-                                  p.min_samples_leaf, layout.edges,
+        part = [(i, F.col(f"`{f}`")) for i, f in numeric[start:start + p.feature_batch]]
+        if any(i in layout.bucketed for i, _ in part):
+            best, table = best_numeric_bucketed(data, part, k, totals, p.criterion, p.min_samples_leaf, allowed, by,
+                                                groups * len(part) * layout.most_buckets)
+            collect(best, True)
+            table.unpersist()
+            continue
+        cand = numeric_candidates(data, part, k, totals, p.criterion, p.min_samples_leaf,
                                   {i: layout.grid[i] for i, _ in part if i in layout.grid}, allowed,
                                   any(i in layout.with_nulls for i, _ in part))
         collect(best_numeric(cand, k, by), True)
@@ -247,7 +268,7 @@ def search(data: DataFrame, features: Sequence[tuple[str, str]], k: int, positiv
 
 def _feature_sample(p: TreeParams, count: int, rep: int, node_id: int,
                     importance: dict[int, float] | None) -> list[int]:
-    """Features one node may use: all, or a seeded draw (half by importance once known)."""
+    """Features one node may use: all, or the smallest draws (half by importance once known)."""
     if p.max_features is None:
         return list(range(count))
     m = int(p.max_features * count) if isinstance(p.max_features, float) else p.max_features
@@ -255,8 +276,7 @@ def _feature_sample(p: TreeParams, count: int, rep: int, node_id: int,
     first = []
     if importance:
         first = sorted(importance, key=lambda i: (-importance[i], i))[:m // 2]
-    rest = [i for i in range(count) if i not in first]
-    random.Random(f"{p.seed}|{rep}|{node_id}").shuffle(rest)
+    rest = sorted((i for i in range(count) if i not in first), key=lambda i: draw_text(p.seed, rep, node_id, i))
     return sorted(first + rest[:m - len(first)])
 
 
@@ -296,7 +316,7 @@ def _grouped(data: DataFrame, models: dict[int, TreeModel], open_nodes: list[tup
 
 
 def grow(data: DataFrame, features: Sequence[tuple[str, str]], classes: Sequence[str], positive: str, target: str,
-         p: TreeParams, at_root: dict[int, Sequence[float]], rep_col: str | None = None,
+         p: TreeParams, layout: Layout | None, at_root: dict[int, Sequence[float]], rep_col: str | None = None,
          importance: dict[str, float] | None = None) -> dict[int, TreeModel]:
     """Grow one tree per replicate; all replicates share the job of a level."""
     k = len(classes)
@@ -305,7 +325,6 @@ def grow(data: DataFrame, features: Sequence[tuple[str, str]], classes: Sequence
                            tuple(features), p.criterion, {"params": p}) for r in at_root}
     if p.depth_limit <= 0:
         return models
-    layout = survey_features(data, features, p)
     by_index = {i: importance.get(f, 0.0) for i, (f, _) in enumerate(features)} if importance else None
 
     def is_open(model: TreeModel, node: Node) -> bool:
@@ -320,7 +339,7 @@ def grow(data: DataFrame, features: Sequence[tuple[str, str]], classes: Sequence
         routed = _grouped(data, models, open_nodes, rep_col)
         totals = group_totals(data, [models[r].nodes[n].counts for r, n in open_nodes], exact)
         found = search(routed, features, k, list(classes).index(positive), totals, p, layout,
-                       allowed)
+                       len(open_nodes), allowed)
         fresh = []
         for g, (r, n) in enumerate(open_nodes):
             if p.max_leaf_nodes is not None and len(models[r].leaves()) >= p.max_leaf_nodes:
@@ -334,18 +353,36 @@ def grow(data: DataFrame, features: Sequence[tuple[str, str]], classes: Sequence
     return models
 
 
+@contextmanager
+def laid_out(df: DataFrame, features: Sequence[tuple[str, str]], target: str, p: TreeParams,
+             weight_col: str | None = None, positive: object = None, keep: Sequence[str] = ()):
+    """Prepared, bucketed and persisted rows with all that a search needs; released at the end.
+
+    A small table is spread over the cores and kept while its layout is found.
+    """
+    data, classes, pos, at_root = prepare(df, features, target, p, weight_col, positive, keep)
+    first = spread(data).persist() if is_small(data) else data
+    kept = first
+    try:
+        ready, layout = lay_out(first, features, p)
+        kept = ready.persist()
+        yield kept, layout, classes, pos, at_root
+    finally:
+        kept.unpersist()
+        first.unpersist()
+
+
 def fit(df: DataFrame, features: Sequence[str], target: str, categorical: Sequence[str] = (),
         weight_col: str | None = None, positive: object = None, importance: dict[str, float] | None = None,
         **params) -> TreeModel:
     """Grow a tree on ``df``; see :class:`TreeParams` for the parameters."""
     p = TreeParams(**params)
     kinds = feature_kinds(df, features, categorical)
-    data, classes, pos, at_root = prepare(df, kinds, target, p, weight_col, positive)
-    data = data.persist()
-    try:
-        return grow(data, kinds, classes, pos, target, p, {0: at_root}, importance=importance)[0]
-    finally:
-        data.unpersist()
+    if p.depth_limit <= 0:
+        data, classes, pos, at_root = prepare(df, kinds, target, p, weight_col, positive)
+        return grow(data, kinds, classes, pos, target, p, None, {0: at_root})[0]
+    with laid_out(df, kinds, target, p, weight_col, positive) as (data, layout, classes, pos, at_root):
+        return grow(data, kinds, classes, pos, target, p, layout, {0: at_root}, importance=importance)[0]
 
 
 # --- one node ------------------------------------------------------------
@@ -374,15 +411,11 @@ def best_splits(df: DataFrame, features: Sequence[str], target: str, categorical
     """The classes and the best split of every feature over the rows given, best first."""
     p = TreeParams(**params)
     kinds = feature_kinds(df, features, categorical)
-    data, classes, pos, counts = prepare(df, kinds, target, p, weight_col, positive)
-    data = data.withColumn(GROUP, F.lit(0)).persist()
-    try:
+    with laid_out(df, kinds, target, p, weight_col, positive) as (data, layout, classes, pos, counts):
         exact = not isinstance(data.schema[WEIGHT].dataType, T.DoubleType)
-        found = search(data, kinds, len(classes), classes.index(pos), group_totals(data, [counts], exact), p,
-                       survey_features(data, kinds, p), per_feature=True)
+        found = search(data.withColumn(GROUP, F.lit(0)), kinds, len(classes), classes.index(pos),
+                       group_totals(data, [counts], exact), p, layout, 1, per_feature=True)
         return classes, found.get(0, [])
-    finally:
-        data.unpersist()
 
 
 def split_table(df: DataFrame, features: Sequence[str], target: str, top: int = 50, **kw) -> DataFrame:
@@ -457,10 +490,12 @@ def quick_screen(df: DataFrame, features: Sequence[str], target: str, categorica
                  **{f"r{i}": F.sum(F.when(~left & known & (F.col(CLASS) == i), 1).otherwise(0))
                     for i in range(len(classes))}} for f, (left, known) in sides.items()}
     t = long_stats(data, stats)
-    left = [F.col(f"l{i}") for i in range(len(classes))]
-    right = [F.col(f"r{i}") for i in range(len(classes))]
+    left = [f"CAST(l{i} AS DOUBLE)" for i in range(len(classes))]
+    right = [f"CAST(r{i} AS DOUBLE)" for i in range(len(classes))]
+    n_left = F.expr(" + ".join(f"l{i}" for i in range(len(classes))))
+    n_right = F.expr(" + ".join(f"r{i}" for i in range(len(classes))))
     cuts = F.create_map(*[F.lit(v) for f in sides for v in (f, medians.get(f))]) if sides else F.lit(None)
-    return (t.where((total(left) > 0) & (total(right) > 0))
+    return (t.where((n_left > 0) & (n_right > 0))
             .select("feature", cuts[F.col("feature")].cast("double").alias("threshold"),
-                    total(left).alias("n_left"), total(right).alias("n_right"), gain(left, right, "gini").alias("gain"))
+                    n_left.alias("n_left"), n_right.alias("n_right"), F.expr(gain_sql(left, right, "gini")).alias("gain"))
             .where("gain > 0").orderBy(F.desc(F.round("gain", 12)), "feature").limit(top))

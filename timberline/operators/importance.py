@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from timberline.core import local_table, one_row
 from timberline.functions.impurity import impurity
 from timberline.operators.nodecounts import class_columns, node_class_counts, pivoted
-from timberline.operators.ordering import draw, global_index
+from timberline.operators.ordering import draw, draw_text, global_index
 from timberline.plans.tree import TreeModel
 
 
@@ -74,7 +73,7 @@ def shift_of(feature: str, rep: int, seed: int, n: int) -> int:
     """Shift in 1…n-1 from the md5 of feature, repeat and seed."""
     if n < 2:
         return 0
-    return int(hashlib.md5(f"{feature}|{rep}|{seed}".encode()).hexdigest()[:8], 16) % (n - 1) + 1
+    return int(draw_text(feature, rep, seed)[:8], 16) % (n - 1) + 1
 
 
 def _indexed(df: DataFrame, model: TreeModel, key: Sequence[str], seed: int) -> DataFrame:

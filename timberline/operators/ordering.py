@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -52,6 +53,11 @@ def draw(keys: Sequence[str | Column], *salts: object) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
 
 
+def draw_text(*parts: object) -> str:
+    """The same draw for values held by the driver."""
+    return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+
 def uniform(keys: Sequence[str | Column], *salts: object) -> Column:
     """Deterministic uniform number in [0, 1) from the first 32 bits of the draw."""
     return F.conv(F.substring(draw(keys, *salts), 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)

@@ -1,10 +1,14 @@
 """Split search: class histograms, prefix sums, gains.
 
 All open nodes of a level are searched together. The table is reshaped to
-``(group, feature, value)``, counted per class (combined map-side), and the
-histogram is prefix-summed in value order. Features with many distinct values
-are cut into value buckets so that no window group grows with the data; bucket
-offsets come from a bucket-total table.
+``(group, feature, value)`` and counted per class, combined map-side.
+
+Features with few values are prefix-summed in value order directly. Features
+with many values were cut into buckets once per fit, and are searched in two
+steps: class counts per bucket give the exact gain at every bucket border and
+an upper bound of the gain inside every bucket; only buckets whose bound
+reaches the best border are then counted value by value. The result is exact,
+and neither a shuffle nor a window group grows with the number of values.
 """
 
 from __future__ import annotations
@@ -15,29 +19,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.functions.impurity import GAIN_DIGITS, gain, total
-from timberline.operators.ordering import bucket_of
+from timberline.core import BROADCAST_ROWS
+from timberline.functions.impurity import GAIN_DIGITS, gain_sql
+from timberline.operators.ordering import bucket_of, small
 
 GROUP, FEATURE = "_g", "_f"
 CLASS, WEIGHT = "_c", "_w"
 EXHAUSTIVE_CATEGORIES = 10
 
-# edges and grids are keyed by the feature's position in the feature list
-Edges = dict[int, list[float]]
+MAX_BOUND_CLASSES = 6   # the bound tries every subset of the classes
+SLACK = 1e-11           # gains closer than this are ties and must stay in
+
+# grids are keyed by the feature's position in the feature list
+Grid = dict[int, list[float]]
 
 
 def class_sums(k: int) -> list[Column]:
-    return [F.sum(F.when(F.col(CLASS) == i, F.col(WEIGHT)).otherwise(0)).alias(f"c{i}") for i in range(k)]
+    return [F.expr(f"sum(CASE WHEN {CLASS} = {i} THEN {WEIGHT} ELSE 0 END) AS c{i}") for i in range(k)]
+
+
+def names(prefix: str, k: int) -> list[str]:
+    return [f"{prefix}{i}" for i in range(k)]
+
+
+def bucket_column(i: int) -> str:
+    """Name of the prepared column with the value bucket of feature ``i``."""
+    return f"_b{i}"
 
 
 def _melted(data: DataFrame, features: Sequence[tuple[int, Column]], allowed: Sequence[Sequence[int]] | None,
-            extra=None) -> DataFrame:
-    """Rows to ``(group, class, weight, feature position, value…)``."""
+            bucketed: bool = False) -> DataFrame:
+    """Rows to ``(group, class, weight, feature position, value[, bucket])``."""
     items = []
     for i, c in features:
         parts = [F.lit(i).alias(FEATURE), c.alias("v")]
-        if extra is not None:
-            parts.append(extra(i, c).alias("b"))
+        if bucketed:
+            # NULL has a bucket of its own before all values
+            own = F.col(bucket_column(i)) if bucket_column(i) in data.columns else F.when(c.isNotNull(), 0)
+            parts.append(F.coalesce(own, F.lit(-1)).alias("b"))
         items.append(F.struct(*parts))
     long = data.select(GROUP, CLASS, WEIGHT, F.inline(F.array(*items)))
     if allowed is not None:
@@ -46,8 +65,18 @@ def _melted(data: DataFrame, features: Sequence[tuple[int, Column]], allowed: Se
     return long
 
 
+def _valid(k: int, min_leaf: float) -> str:
+    left, right = " + ".join(names("l", k)), " + ".join(names("r", k))
+    return f"({left} >= {min_leaf} AND {right} >= {min_leaf} AND {left} > 0 AND {right} > 0)"
+
+
+def _with_gain(split: DataFrame, k: int, criterion: str, min_leaf: float) -> DataFrame:
+    return (split.where(_valid(k, min_leaf))
+            .selectExpr("*", f"{gain_sql(names('l', k), names('r', k), criterion)} AS gain"))
+
+
 def numeric_candidates(data: DataFrame, features: Sequence[tuple[int, Column]], k: int, totals: DataFrame,
-                       criterion: str, min_leaf: float, edges: Edges | None = None, grid: Edges | None = None,
+                       criterion: str, min_leaf: float, grid: Grid | None = None,
                        allowed: Sequence[Sequence[int]] | None = None, nulls: bool = True) -> DataFrame:
     """Every threshold with its gain and the class counts left, right and missing.
 
@@ -56,81 +85,104 @@ def numeric_candidates(data: DataFrame, features: Sequence[tuple[int, Column]],
     midpoint of two neighbouring values, or a point of ``grid`` when given.
     ``nulls=False`` states that no feature has NULLs, which saves their sums.
     """
-    edges = {i: e for i, e in (edges or {}).items() if e}
     grid = grid or {}
-    counts = [f"c{i}" for i in range(k)]
-
-    def value(i: int, c: Column) -> Column:
-        return bucket_of(c, grid[i]).cast("double") if i in grid else c
-
-    prepared = [(i, value(i, c)) for i, c in features]
-    zero = F.lit(0)
-    if any(i in edges for i, _ in features):
-        def bucket(i: int, c: Column) -> Column:
-            # NULL has a bucket of its own before all values
-            return F.coalesce(bucket_of(c, edges[i]) if i in edges else F.when(c.isNotNull(), 0), F.lit(-1))
-
-        long = _melted(data, prepared, allowed, bucket)
-        keys = [GROUP, FEATURE, "b"]
-        hist = long.groupBy(*keys, "v").agg(*class_sums(k)).select(
-            *keys, F.lit(1).alias("o"), "v", *counts, *[zero.alias(f"m{i}") for i in range(k)])
-        # one row per bucket: what lies before it, and the first value after it
-        across = Window.partitionBy(GROUP, FEATURE).orderBy("b")
-        before = across.rowsBetween(Window.unboundedPreceding, -1)
-        bounds = long.groupBy(*keys).agg(*class_sums(k), F.min("v").alias("first")).select(
-            *keys, F.lead("first").over(across).alias("after"),
-            *[F.coalesce(F.sum(c).over(before), zero).alias(f"o{i}") for i, c in enumerate(counts)],
-            *[(F.coalesce(F.sum(F.when(F.col("b") == -1, F.col(c))).over(before), zero) if nulls else zero).alias(f"n{i}")
-              for i, c in enumerate(counts)])
-        ends = bounds.select(*keys, F.inline(F.array(
-            F.struct(F.lit(0).alias("o"), F.lit(None).cast("double").alias("v"),
-                     *[F.col(f"o{i}").alias(c) for i, c in enumerate(counts)],
-                     *[F.col(f"n{i}").alias(f"m{i}") for i in range(k)]),
-            F.struct(F.lit(2).alias("o"), F.col("after").alias("v"),
-                     *[zero.cast(data.schema[WEIGHT].dataType).alias(c) for c in counts],
-                     *[zero.alias(f"m{i}") for i in range(k)]))))
-        # the end rows bracket the values of a bucket, so one window inside the
-        # bucket yields sums over the whole feature
-        ordered = Window.partitionBy(*keys).orderBy("o", "v")
-        running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-        scanned = hist.unionByName(ends).select(
-            GROUP, FEATURE, "o", "v", F.lead("v").over(ordered).alias("next"),
-            *[F.sum(c).over(running).alias(f"p{i}") for i, c in enumerate(counts)],
-            *[(F.sum(f"m{i}").over(running) if nulls else zero).alias(f"m{i}") for i in range(k)]).where("o = 1")
-    else:
-        hist = _melted(data, prepared, allowed).groupBy(GROUP, FEATURE, "v").agg(*class_sums(k))
-        ordered = Window.partitionBy(GROUP, FEATURE).orderBy(F.col("v").asc_nulls_first())
-        running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-        scanned = hist.select(
-            GROUP, FEATURE, "v", F.lead("v").over(ordered).alias("next"),
-            *[F.sum(c).over(running).alias(f"p{i}") for i, c in enumerate(counts)],
-            *[(F.sum(F.when(F.col("v").isNull(), F.col(c)).otherwise(zero)).over(running)
-               if nulls else zero).alias(f"m{i}") for i, c in enumerate(counts)])
-
-    placed = scanned.where("v IS NOT NULL AND next IS NOT NULL").join(F.broadcast(totals), GROUP)
-    threshold = (F.col("v") + F.col("next")) / 2.0
+    prepared = [(i, bucket_of(c, grid[i]).cast("double") if i in grid else c) for i, c in features]
+    hist = _melted(data, prepared, allowed).groupBy(GROUP, FEATURE, "v").agg(*class_sums(k))
+    over = f"OVER (PARTITION BY {GROUP}, {FEATURE} ORDER BY v ASC NULLS FIRST"
+    rows = f"{over} ROWS UNBOUNDED PRECEDING)"
+    missing = "sum(CASE WHEN v IS NULL THEN c{i} ELSE 0 END) " + rows if nulls else "0"
+    scanned = hist.selectExpr(
+        GROUP, FEATURE, "v", f"lead(v) {over}) AS next", *[f"sum(c{i}) {rows} AS p{i}" for i in range(k)],
+        *[f"{missing.format(i=i)} AS m{i}" for i in range(k)]).where("v IS NOT NULL AND next IS NOT NULL")
+    threshold = F.expr("(v + next) / 2D")
     for i, points in grid.items():
         table = F.array(*[F.lit(float(p)) for p in points])
         threshold = F.when(F.col(FEATURE) == i, F.get(table, F.col("v").cast("int"))).otherwise(threshold)
-    split = placed.select(
-        GROUP, FEATURE, threshold.alias("threshold"),
-        *[(F.col(f"p{i}") - F.col(f"m{i}")).alias(f"l{i}") for i in range(k)],
-        *[(F.col(f"t{i}") - F.col(f"p{i}")).alias(f"r{i}") for i in range(k)],
-        *[F.col(f"m{i}") for i in range(k)])
-    left, right = [F.col(f"l{i}") for i in range(k)], [F.col(f"r{i}") for i in range(k)]
-    return (split.where(F.col("threshold").isNotNull() & (total(left) >= min_leaf) & (total(right) >= min_leaf)
-                        & (total(left) > 0) & (total(right) > 0))
-            .withColumn("gain", gain(left, right, criterion)))
+    split = scanned.withColumn("threshold", threshold).where("threshold IS NOT NULL").join(
+        F.broadcast(totals), GROUP).selectExpr(
+        GROUP, FEATURE, "threshold", *[f"CAST(p{i} - m{i} AS DOUBLE) AS l{i}" for i in range(k)],
+        *[f"CAST(t{i} - p{i} AS DOUBLE) AS r{i}" for i in range(k)],
+        *[f"CAST(m{i} AS DOUBLE) AS m{i}" for i in range(k)])
+    return _with_gain(split, k, criterion, min_leaf)
+
+
+def bucket_table(long: DataFrame, k: int, totals: DataFrame, criterion: str, min_leaf: float,
+                 by: Sequence[str]) -> DataFrame:
+    """One row per group, feature and value bucket, with what decides about it.
+
+    ``l…, r…, m…``: class counts left of the bucket, from it on, and missing;
+    ``gain`` of splitting at its left border; ``bound``, which no split inside
+    can exceed; ``best``, the best border gain of the ``by`` group.
+
+    The gain is convex in the left class counts, so inside a bucket it is
+    largest when some classes lie completely left and the others right.
+    """
+    over = f"OVER (PARTITION BY {GROUP}, {FEATURE} ORDER BY b"
+    before = f"{over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    sums = long.groupBy(GROUP, FEATURE, "b").agg(*class_sums(k), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    placed = sums.selectExpr(
+        GROUP, FEATURE, "b", "lo", "hi", f"lag(hi) {over}) AS prev", *names("c", k),
+        *[f"coalesce(sum(c{i}) {before}, 0) AS o{i}" for i in range(k)],
+        *[f"coalesce(sum(CASE WHEN b = -1 THEN c{i} END) {before}, 0) AS m{i}" for i in range(k)]
+    ).where("b >= 0").join(F.broadcast(totals), GROUP)
+    sides = placed.selectExpr(
+        GROUP, FEATURE, "b", "lo", "hi", "prev", *[f"CAST(c{i} AS DOUBLE) AS c{i}" for i in range(k)],
+        *[f"CAST(o{i} - m{i} AS DOUBLE) AS l{i}" for i in range(k)],
+        *[f"CAST(t{i} - o{i} AS DOUBLE) AS r{i}" for i in range(k)],
+        *[f"CAST(m{i} AS DOUBLE) AS m{i}" for i in range(k)])
+    bound = "1e9D"
+    if k <= MAX_BOUND_CLASSES:
+        corners = [gain_sql([f"(l{i} + c{i})" if mask >> i & 1 else f"l{i}" for i in range(k)],
+                            [f"(r{i} - c{i})" if mask >> i & 1 else f"r{i}" for i in range(k)], criterion)
+                   for mask in range(1 << k)]
+        bound = f"greatest(0D, {', '.join(corners)})"     # greatest skips the NULL of an empty side
+    border = gain_sql(names("l", k), names("r", k), criterion)
+    return sides.selectExpr(
+        GROUP, FEATURE, "b", "lo", "prev", *names("l", k), *names("r", k), *names("m", k),
+        f"CASE WHEN prev IS NOT NULL AND {_valid(k, min_leaf)} THEN {border} END AS gain",
+        f"CASE WHEN lo < hi THEN {bound} END AS bound", "hi").selectExpr(
+        "*", f"max(gain) OVER (PARTITION BY {', '.join(by)}) AS best")
+
+
+def best_numeric_bucketed(data: DataFrame, features: Sequence[tuple[int, Column]], k: int, totals: DataFrame,
+                          criterion: str, min_leaf: float, allowed: Sequence[Sequence[int]] | None = None,
+                          by: Sequence[str] = (GROUP,), most_buckets: int = BROADCAST_ROWS + 1
+                          ) -> tuple[DataFrame, DataFrame]:
+    """Best threshold per group when features carry value buckets (``bucket_column``).
+
+    ``most_buckets`` is the caller's bound on groups x features x buckets; open
+    buckets are broadcast when it, or else their count, is small. Returned with
+    the persisted bucket table, which the caller releases.
+    """
+    long = _melted(data, features, allowed, bucketed=True)
+    table = bucket_table(long, k, totals, criterion, min_leaf, by).persist()
+    keys = [GROUP, FEATURE, "b"]
+    counts = [*names("l", k), *names("r", k), *names("m", k)]
+    open_buckets = table.where(f"bound >= coalesce(best, 0D) - {SLACK}D").select(*keys, *counts)
+    few = most_buckets <= BROADCAST_ROWS or small(open_buckets)
+    inside = long.where("b >= 0")
+    if few:
+        inside = inside.join(F.broadcast(open_buckets.select(*keys)), keys, "left_semi")
+    hist = inside.groupBy(*keys, "v").agg(*class_sums(k))
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY v"
+    scanned = hist.selectExpr(
+        *keys, "v", f"lead(v) {over}) AS next",
+        *[f"sum(c{i}) {over} ROWS UNBOUNDED PRECEDING) AS p{i}" for i in range(k)]).where("next IS NOT NULL")
+    split = scanned.join(F.broadcast(open_buckets) if few else open_buckets, keys).selectExpr(
+        GROUP, FEATURE, "(v + next) / 2D AS threshold", *[f"l{i} + p{i} AS l{i}" for i in range(k)],
+        *[f"r{i} - p{i} AS r{i}" for i in range(k)], *names("m", k))
+    borders = table.where("gain IS NOT NULL").selectExpr(
+        GROUP, FEATURE, "(prev + lo) / 2D AS threshold", *counts, "gain")
+    return best_numeric(_with_gain(split, k, criterion, min_leaf).unionByName(borders), k, by), table
 
 
 def best_numeric(candidates: DataFrame, k: int, by: Sequence[str] = (GROUP,)) -> DataFrame:
     """Best threshold per group: gain, then feature order, then smallest threshold."""
-    rest = ["gain", *[f"{s}{i}" for s in "lrm" for i in range(k)]]
-    best = F.max(F.struct(F.round("gain", GAIN_DIGITS).alias("_r"), (-F.col(FEATURE)).alias("_nf"),
-                          (-F.col("threshold")).alias("_nt"), *rest))
-    return candidates.groupBy(*by).agg(best.alias("_b")).select(
-        *[c for c in by if c != FEATURE], (-F.col("_b._nf")).alias(FEATURE), (-F.col("_b._nt")).alias("threshold"),
-        *[F.col(f"_b.{c}").alias(c) for c in rest])
+    rest = ["gain", *names("l", k), *names("r", k), *names("m", k)]
+    best = f"max(struct(round(gain, {GAIN_DIGITS}) AS _r, -{FEATURE} AS _nf, -threshold AS _nt, {', '.join(rest)})) AS _best"
+    return candidates.groupBy(*by).agg(F.expr(best)).selectExpr(
+        *[c for c in by if c != FEATURE], f"-_best._nf AS {FEATURE}", "-_best._nt AS threshold",
+        *[f"_best.{c} AS {c}" for c in rest])
 
 
 def category_histogram(data: DataFrame, features: Sequence[tuple[int, Column]], k: int,
@@ -152,7 +204,7 @@ def best_categorical(data: DataFrame, features: Sequence[tuple[int, Column]], k:
     hist = category_histogram(data, features, k, allowed)
     nulls = hist.where("v IS NULL").select(GROUP, FEATURE, *[F.col(c).alias(f"m{i}") for i, c in enumerate(counts)])
     known = hist.where("v IS NOT NULL")
-    rate = F.col(f"c{positive}") / total([F.col(c) for c in counts])
+    rate = F.expr(f"c{positive} / ({' + '.join(counts)})")
     packed = (known.withColumn("rate", rate).groupBy(GROUP, FEATURE)
               .agg(F.array_sort(F.collect_list(F.struct(
                   "rate", "v", F.array(*[F.col(c).cast("double") for c in counts]).alias("n")))).alias("cats")))
@@ -181,16 +233,13 @@ def best_categorical(data: DataFrame, features: Sequence[tuple[int, Column]], k:
                              lambda a, x: F.zip_with(a, x["n"], lambda p, q: p + q))
         tried = tried.unionByName(few.select(GROUP, FEATURE, subset.alias("_l"), "pick", F.lit(2).alias("how")))
     wide = tried.join(nulls, [GROUP, FEATURE], "left").join(F.broadcast(totals), GROUP)
-    split = wide.select(
-        GROUP, FEATURE, "pick", "how",
-        *[F.col("_l")[i].alias(f"l{i}") for i in range(k)],
-        *[(F.col(f"t{i}") - F.coalesce(f"m{i}", F.lit(0)) - F.col("_l")[i]).alias(f"r{i}") for i in range(k)],
-        *[F.coalesce(f"m{i}", F.lit(0)).alias(f"m{i}") for i in range(k)])
-    left, right = [F.col(f"l{i}") for i in range(k)], [F.col(f"r{i}") for i in range(k)]
-    valid = split.where((total(left) >= min_leaf) & (total(right) >= min_leaf)
-                        & (total(left) > 0) & (total(right) > 0)).withColumn("gain", gain(left, right, criterion))
+    split = wide.selectExpr(
+        GROUP, FEATURE, "pick", "how", *[f"_l[{i}] AS l{i}" for i in range(k)],
+        *[f"CAST(t{i} - coalesce(m{i}, 0) AS DOUBLE) - _l[{i}] AS r{i}" for i in range(k)],
+        *[f"CAST(coalesce(m{i}, 0) AS DOUBLE) AS m{i}" for i in range(k)])
+    valid = _with_gain(split, k, criterion, min_leaf)
     key = F.struct(F.round("gain", GAIN_DIGITS), -F.col(FEATURE), -F.col("how"), -F.col("pick"))
-    row = F.struct(FEATURE, "pick", "how", "gain", *[f"{s}{i}" for s in "lrm" for i in range(k)])
+    row = F.struct(FEATURE, "pick", "how", "gain", *names("l", k), *names("r", k), *names("m", k))
     best = valid.groupBy(*by).agg(F.max_by(row, key).alias("_best")).select(
         *[c for c in by if c != FEATURE], "_best.*")
     chosen = members(lambda x, i: F.when(F.col("how") == 0, i < F.col("pick"))

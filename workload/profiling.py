@@ -87,7 +87,7 @@ def dataset_summary(spark, sf):
 @query("describe_numeric", union([
     f"""SELECT '{c}' AS feature, COUNT({c}) AS n, AVG({c}) AS mean, stddev_samp({c}) AS std, MIN({c})::DOUBLE AS min,
         quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, MAX({c})::DOUBLE AS max FROM {CREDIT_NULL}"""
-    for c in (*NUM, "l_linenumber")]), "mean std min q25 q50 q75 max")
+    for c in (*NUM, "l_linenumber")]), "mean std min q25 q50 q75 max", digits=7)
 def describe_numeric(spark, sf):
     return P.describe_numeric(credit_null(spark, sf), [*NUM, "l_linenumber"])
 
@@ -115,7 +115,7 @@ def _profile(c: str, t: str) -> str:
           FROM {t}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr FROM {t}))"""
 
 
-@query("feature_profile", union([_profile(c, "lineitem") for c in (*NUM, "l_linenumber")]), "missing_pct min max mean std skew", digits=9)
+@query("feature_profile", union([_profile(c, "lineitem") for c in (*NUM, "l_linenumber")]), "missing_pct min max mean std skew", digits=7)
 def feature_profile(spark, sf):
     return P.feature_profile(table(spark, sf, "lineitem"), [*NUM, "l_linenumber"])
 

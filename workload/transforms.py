@@ -37,6 +37,14 @@ def formula_functions(spark, sf):
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "a", "b", "c", "m", "f")
 
 
+@query("formula_column_statistics", """
+    SELECT o_orderkey, (o_totalprice - m) / s + o_totalprice / t AS v
+    FROM orders, (SELECT AVG(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, SUM(o_totalprice) AS t FROM orders)""", "v")
+def formula_column_statistics(spark, sf):
+    return S.formula_column(table(spark, sf, "orders"), "(o_totalprice - m) / s + o_totalprice / t", "v", stats={
+        "m": ("mean", "o_totalprice"), "s": ("std", "o_totalprice"), "t": ("sum", "o_totalprice")}).select("o_orderkey", "v")
+
+
 @query("formula_result_types", "SELECT p_partkey, p_size * 3 AS i, CAST(p_partkey AS VARCHAR) AS s FROM part")
 def formula_result_types(spark, sf):
     df = S.formula_column(table(spark, sf, "part"), "p_size * 3", "i", "int")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.core import local_table
+from timberline.core import checkpoint_dir, local_table
 from timberline.operators import edit as E
 from timberline.operators import grow as G
 from timberline.operators import pruning as P
 from timberline.operators import scoring as S
 from timberline.plans.tree import Split, TreeModel
+from timberline.sources import writers
 from workload.base import CREDIT, CREDIT_NULL, DOCS, PARTS, credit, credit_null, docs, parts, query, table
 
 FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -100,8 +102,8 @@ def best_numeric_split_weighted(spark, sf):
 
 @query("best_numeric_split_bucketed", numeric_union(FEATURES, CREDIT), "threshold gain", digits=10)
 def best_numeric_split_bucketed(spark, sf):
-    """The same search with value buckets of about 2,000 values (the path for large tables)."""
-    return splits_of(credit(spark, sf), FEATURES, "y", criterion="gini", bucket_values=2000)
+    """The same search by value buckets with gain bounds (the path for features with many values)."""
+    return splits_of(credit(spark, sf), FEATURES, "y", criterion="gini", bucket_values=20, buckets=300)
 
 
 @query("best_numeric_split_embeddings", numeric_union(("d0", "d1"), "(SELECT label, embedding[1]::DOUBLE AS d0, embedding[2]::DOUBLE AS d1 FROM embeddings)",
@@ -214,8 +216,12 @@ def quick_screen(spark, sf):
 
 # --- growing -------------------------------------------------------------
 
-def grow_sql(base: str, features, depth: int, imp=gini, min_leaf: int = 1) -> str:
-    """Level by level in SQL: histogram, prefix sums, best split, next assignment."""
+def grow_sql(base: str, features, depth: int, imp=gini, min_leaf: int = 1, drawn: str | None = None) -> str:
+    """Level by level in SQL: histogram, prefix sums, best split, next assignment.
+
+    ``drawn`` lists the features (by position) each of the nodes 0, 1, 2 may use.
+    """
+    only = f" AND (CASE path WHEN 'x' THEN 0 WHEN 'x/1' THEN 1 ELSE 2 END, f) IN {drawn}" if drawn else ""
     unpivot = " UNION ALL ".join(f"SELECT rid, {i} AS f, {f}::DOUBLE AS v FROM base" for i, f in enumerate(features))
     ctes = [f"base AS (SELECT row_number() OVER () AS rid, * FROM {base})", f"long AS ({unpivot})",
             "n0 AS (SELECT rid, y, 'x' AS path FROM base)"]
@@ -226,7 +232,7 @@ def grow_sql(base: str, features, depth: int, imp=gini, min_leaf: int = 1) -> st
                 SUM(c0) OVER (PARTITION BY path, f) AS t0, SUM(c1) OVER (PARTITION BY path, f) AS t1 FROM h{d}
                 WINDOW w AS (PARTITION BY path, f ORDER BY v ROWS UNBOUNDED PRECEDING))""",
             f"""g{d} AS (SELECT *, {gain_sql(2, imp)} AS gain FROM (SELECT *, t0 - l0 AS r0, t1 - l1 AS r1 FROM p{d})
-                WHERE thr IS NOT NULL AND l0 + l1 >= {min_leaf} AND r0 + r1 >= {min_leaf})""",
+                WHERE thr IS NOT NULL AND l0 + l1 >= {min_leaf} AND r0 + r1 >= {min_leaf}{only})""",
             f"""b{d} AS (SELECT path, f, thr, t0 + t1 AS n FROM g{d} WHERE gain > 0
                 QUALIFY row_number() OVER (PARTITION BY path ORDER BY ROUND(gain, 12) DESC, f, thr) = 1)""",
             f"""n{d + 1} AS (SELECT a.rid, a.y, a.path || CASE WHEN l.v <= b.thr THEN '/1' ELSE '/2' END AS path
@@ -270,7 +276,10 @@ def grow_mixed_features(spark, sf):
         F.sum("n").alias("n"), F.sum(F.element_at("class_counts", F.lit("1"))).alias("positives"))
 
 
-@query("grow_max_features")
+DRAWN = "(SELECT nid, f FROM (SELECT nid, f, row_number() OVER (PARTITION BY nid ORDER BY md5(concat_ws('|', 42, 0, nid, f))) AS i FROM (SELECT unnest(range(3)) AS nid), (SELECT unnest(range(4)) AS f)) WHERE i <= 2)"
+
+
+@query("grow_max_features", grow_sql(CREDIT, FEATURES, 2, min_leaf=200, drawn=DRAWN), "split_value", digits=9)
 def grow_max_features(spark, sf):
     """Two features drawn per node (seeded, so the tree is reproducible)."""
     return internal(G.fit(credit(spark, sf), FEATURES, "y", criterion="gini", max_depth=2, max_features=2, min_samples_leaf=200), spark)
@@ -305,6 +314,15 @@ def apply_split_tree(spark, sf):
     return fixed_tree(spark, sf).to_df(spark).select("node_id", "n", "p_positive", "impurity")
 
 
+@query("save_and_load_model", f"SELECT {LEAF} AS leaf_id, COUNT(*) AS n, SUM(y)::BIGINT AS positives FROM {CREDIT} GROUP BY 1")
+def save_and_load_model(spark, sf):
+    """The tree written as JSON, read back and used to route every row."""
+    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    writers.save_model(fixed_tree(spark, sf), spark, path)
+    routed = S.assign_leaf(credit(spark, sf), writers.load_model(spark, path))
+    return routed.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
+
+
 @query("apply_split_operators", """
     SELECT op, SUM(CASE WHEN hit THEN 1 ELSE 0 END)::DOUBLE AS n_left, SUM(CASE WHEN hit THEN 0 ELSE 1 END)::DOUBLE AS n_right FROM (
       SELECT '<=' AS op, l_quantity <= 10 AS hit FROM lineitem UNION ALL SELECT '<', l_quantity < 10 FROM lineitem
