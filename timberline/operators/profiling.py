@@ -7,6 +7,7 @@ output row per column. Distinct counts are exact unless ``exact=False``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.core import (
-    clean, clean_double, field_type, is_numeric, local_table, long_stats, melt, numeric_columns,
-    one_row, scalar_columns, string_columns)
+    FLOATING, clean, clean_double, field_type, is_numeric, local_table, long_stats, melt, numeric_columns,
+    one_row, scalar_columns, spread, string_columns)
 from timberline.operators.ordering import exact_quantiles
 
 # Words that make a two-valued string column boolean.
@@ -26,8 +27,28 @@ BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no", "y", "n")
 INT_WIDTHS = (("tinyint", 2 ** 7), ("smallint", 2 ** 15), ("int", 2 ** 31), ("bigint", 2 ** 63))
 
 
-def distinct_count(c: Column, exact: bool = True) -> Column:
-    return F.count_distinct(c) if exact else F.approx_count_distinct(c)
+def with_distinct(stats: DataFrame, df: DataFrame, cols: Sequence[str], exact: bool = True,
+                  name: str = "distinct_values") -> DataFrame:
+    """Add the number of distinct values to a per-column table.
+
+    Exact counts group ``(column, value)`` pairs, combined map-side, one pass
+    per kind of type; wide multi-distinct aggregates would copy every row once
+    per column. ``exact=False`` uses sketches.
+    """
+    if not exact:
+        counts = long_stats(df, {c: {name: F.approx_count_distinct(clean(df, c))} for c in cols})
+    else:
+        kinds: dict[str, dict[str, Column]] = {}
+        for c in cols:
+            t = field_type(df, c)
+            kind = "bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, FLOATING) else "string"
+            kinds.setdefault(kind, {})[c] = clean(df, c).cast(kind)
+        parts = []
+        for values in kinds.values():
+            pairs = melt(spread(df), values).where("value IS NOT NULL").groupBy("feature", "value").agg(rows().alias("_k"))
+            parts.append(pairs.groupBy("feature").agg(rows().alias(name)))
+        counts = reduce(DataFrame.unionByName, parts)
+    return stats.join(F.broadcast(counts), "feature", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -52,16 +73,15 @@ def suggest_schema(df: DataFrame, exact: bool = True) -> DataFrame:
     for c in cols:
         numeric = is_numeric(df, c)
         x = clean_double(df, c) if numeric else F.lit(None).cast("double")
-        text = isinstance(field_type(df, c), T.StringType)
         stats[c] = {
             "current": F.first(F.lit(field_type(df, c).simpleString())),
             "nulls": F.count_if(clean(df, c).isNull()),
             "low": F.min(x), "high": F.max(x),
             "fractions": F.count_if(x != F.floor(x)),
-            "levels": distinct_count(F.col(f"`{c}`"), exact) if text else F.lit(None).cast("long"),
             "n": rows(),
         }
-    table = long_stats(df, stats)
+    table = with_distinct(long_stats(df, stats), df, string_columns(df), exact, "levels") if string_columns(df) \
+        else long_stats(df, stats).withColumn("levels", F.lit(0))
     width = F.lit("decimal(20,0)")
     for name, size in reversed(INT_WIDTHS):
         width = F.when((F.col("low") >= -float(size)) & (F.col("high") <= float(size - 1)), name).otherwise(width)
@@ -83,13 +103,13 @@ def infer_string_types(df: DataFrame, cols: Sequence[str] | None = None, exact:
             "n": rows(), "filled": F.count(s),
             "not_numeric": F.count_if(s.isNotNull() & s.try_cast("double").isNull()),
             "not_boolean": F.count_if(~F.lower(s).isin(*BOOLEAN_WORDS)),
-            "levels": distinct_count(s, exact),
         }
     kind = (F.when((F.col("filled") > 0) & (F.col("not_numeric") == 0), "numeric")
             .when((F.col("filled") > 0) & (F.col("levels") <= 2) & (F.col("not_boolean") == 0), "boolean")
             .when((F.col("levels") < 50) | (F.col("levels") < F.col("n") * 0.05), "category")
             .otherwise("text"))
-    return long_stats(df, stats).select("feature", "levels", kind.alias("inferred"))
+    return with_distinct(long_stats(df, stats), df, cols, exact, "levels").select(
+        "feature", "levels", kind.alias("inferred"))
 
 
 def suggest_roles(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -110,34 +130,38 @@ def suggest_roles(df: DataFrame, exact: bool = True) -> DataFrame:
             "fixed": F.first(F.lit(fixed).cast("string")), "filled": F.count(s),
             "unparsed": F.count_if(s.isNotNull() & F.try_to_timestamp(s).isNull()) if text
             else F.lit(0).cast("long"),
-            "levels": distinct_count(s, exact) if text else F.lit(0).cast("long"),
         }
+    text_cols = string_columns(df)
+    facts = long_stats(df, stats)
+    facts = with_distinct(facts, df, text_cols, exact, "levels") if text_cols else facts.withColumn("levels", F.lit(0))
     role = F.coalesce(F.col("fixed"), F.when((F.col("filled") > 0) & (F.col("unparsed") == 0), "date")
                       .when(F.col("levels") < F.col("filled") * 0.5, "category").otherwise("text"))
-    return long_stats(df, stats).select("feature", role.alias("role"))
+    return facts.select("feature", role.alias("role"))
 
 
 # --- columns and table ---------------------------------------------------
 
 def variable_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """Type, missing count and percent, distinct values and an example (the smallest)."""
-    return long_stats(df, {c: {
+    cols = scalar_columns(df)
+    facts = long_stats(df, {c: {
         "type": F.first(F.lit(field_type(df, c).simpleString())),
         "missing": F.count_if(clean(df, c).isNull()),
         "missing_pct": percent(F.count_if(clean(df, c).isNull()), rows()),
-        "distinct_values": distinct_count(clean(df, c), exact),
         "example": F.min(clean(df, c)).cast("string"),
-    } for c in scalar_columns(df)})
+    } for c in cols})
+    return with_distinct(facts, df, cols, exact)
 
 
 def analyze_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Distinct values, nulls, smallest and largest value."""
-    return long_stats(df, {c: {
-        "distinct_values": distinct_count(clean(df, c), exact),
+    cols = list(cols or scalar_columns(df))
+    facts = long_stats(df, {c: {
         "nulls": F.count_if(clean(df, c).isNull()),
         "min_value": F.min(clean(df, c)).cast("string"),
         "max_value": F.max(clean(df, c)).cast("string"),
-    } for c in (cols or scalar_columns(df))})
+    } for c in cols})
+    return with_distinct(facts, df, cols, exact)
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -183,10 +207,10 @@ def quality_scores(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
             in_range = F.lit(1.0) - F.try_divide(far, F.count(x)) if q3 > q1 else F.max(F.lit(1.0))
         stats[c] = {
             "completeness": F.try_divide(F.count(clean(df, c)), rows()),
-            "uniqueness": F.try_divide(distinct_count(clean(df, c), exact), rows()),
-            "in_range": in_range,
+            "in_range": in_range, "_n": rows(),
         }
-    return long_stats(df, stats)
+    return with_distinct(long_stats(df, stats), df, cols, exact, "_d").select(
+        "feature", "completeness", F.try_divide("_d", "_n").alias("uniqueness"), "in_range")
 
 
 # --- distributions -------------------------------------------------------
@@ -240,18 +264,18 @@ def feature_profile(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
         iqr = q3 - q1
         stats[c] = {
             "n": F.count(x), "missing_pct": percent(F.count_if(x.isNull()), rows()),
-            "distinct_values": distinct_count(x, exact), "min": F.min(x), "max": F.max(x), "mean": F.avg(x),
+            "min": F.min(x), "max": F.max(x), "mean": F.avg(x),
             "std": F.stddev_samp(x), "skew": F.skewness(x), "has_decimals": F.count_if(x != F.floor(x)) > 0,
             "iqr": F.max(F.lit(iqr)),
             "outliers": F.count_if((x < q1 - 1.5 * iqr) | (x > q3 + 1.5 * iqr)),
         }
-    t = long_stats(df, stats)
-    spread = F.col("max") - F.col("min")
+    t = with_distinct(long_stats(df, stats), df, cols, exact)
+    width = F.col("max") - F.col("min")
     return t.select(
         "feature", "n", "missing_pct", "distinct_values", "min", "max", "mean", "std", "has_decimals",
         (F.col("distinct_values") == 2).alias("is_binary"), "skew",
         skew_class(F.col("skew")).alias("skew_class"), (F.col("outliers") > 0).alias("has_outliers"),
-        suggested_bins(F.col("n"), F.col("distinct_values"), F.col("iqr"), spread, F.col("std"),
+        suggested_bins(F.col("n"), F.col("distinct_values"), F.col("iqr"), width, F.col("std"),
                        F.col("skew")).alias("suggested_bins"))
 
 
@@ -273,11 +297,12 @@ def suggest_bin_count(df: DataFrame, cols: Sequence[str] | None = None, variant:
     cols = numeric_columns(df, cols)
     q = exact_quantiles(df, {c: (0.25, 0.75) for c in cols})
     t = long_stats(df, {c: {
-        "n": F.count(clean_double(df, c)), "d": distinct_count(clean_double(df, c), exact),
+        "n": F.count(clean_double(df, c)),
         "iqr": F.max(F.lit((q[c][1] - q[c][0]) if q[c][0] is not None else 0.0)),
         "spread": F.max(clean_double(df, c)) - F.min(clean_double(df, c)),
         "std": F.stddev_samp(clean_double(df, c)), "skew": F.skewness(clean_double(df, c)),
     } for c in cols})
+    t = with_distinct(t, df, cols, exact, "d")
     return t.select("feature", suggested_bins(*[F.col(k) for k in ("n", "d", "iqr", "spread", "std", "skew")],
                                               variant=variant).alias("suggested_bins"))
 
@@ -376,7 +401,9 @@ def _varying(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of every pair of numeric columns (constant columns left out)."""
-    cols = _varying(df, numeric_columns(df, cols))
+    cols = numeric_columns(df, cols)
+    df = spread(df.select(*cols))
+    cols = _varying(df, cols)
     pairs = list(combinations(cols, 2))
     stats = {f"{i}": {"a": F.first(F.lit(a)), "b": F.first(F.lit(b)),
                       "r": F.corr(clean_double(df, a), clean_double(df, b))} for i, (a, b) in enumerate(pairs)}

@@ -239,7 +239,7 @@ def target_correlations(spark, sf):
 @query("variance_relevance", f"""
     SELECT feature, variance, explained, (variance / MAX(variance) OVER () + explained) / 2 AS relevance FROM ({union([
     f"SELECT '{c}' AS feature, (SELECT var_samp({c}) FROM lineitem) AS variance, ROUND(1 - AVG(v) / (SELECT var_samp({c}) FROM lineitem), 4) + 0.0::DOUBLE AS explained "
-    f"FROM (SELECT var_samp({c}) AS v FROM lineitem GROUP BY l_returnflag)" for c in NUM])})""", "variance explained relevance")
+    f"FROM (SELECT var_samp({c}) AS v FROM lineitem GROUP BY l_returnflag)" for c in NUM])})""", "variance explained relevance", digits=4)
 def variance_relevance(spark, sf):
     return P.variance_relevance(table(spark, sf, "lineitem"), "l_returnflag", NUM)
 
@@ -294,7 +294,7 @@ def select_features_cumulative(spark, sf):
     FROM ({union([f"SELECT '{c}' AS feature, 'numeric' AS kind, ABS(corr({c}, y)) AS abs_r, var_samp({c}) AS variance, 1 - COUNT({c})::DOUBLE / COUNT(*) AS missing_share FROM {CREDIT_NULL}"
                   for c in (*NUM, 'l_linenumber')]
                  + [f"SELECT '{c}', '{k}', NULL, NULL, 0.0 FROM (SELECT 1)" for c, k in (('l_linestatus', 'categorical'), ('l_shipdate', 'datetime'))])})""",
-       "abs_r variance missing_share")
+       "abs_r variance missing_share", digits=4)
 def exclude_features(spark, sf):
     df = credit_null(spark, sf).select(*NUM, "l_linenumber", "l_linestatus", "l_shipdate", "y")
     return P.exclude_features(df, "y", ("numeric", "datetime"), min_variance=1.0, max_missing=0.12)
