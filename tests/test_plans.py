@@ -71,6 +71,20 @@ def test_bucketed_search_windows_inside_buckets(spark, sf):
     assert "LeftSemi" in p and "CartesianProduct" not in p and "Python" not in p
 
 
+def test_level_search_has_no_nested_loop_join(spark, sf):
+    df = credit(spark, sf)
+    kinds = G.feature_kinds(df, ["l_quantity", "l_extendedprice"])
+    p = G.TreeParams(bucket_values=20, buckets=100)
+    with G.laid_out(df, kinds, "y", p) as (data, layout, classes, pos, counts):
+        root = G.fit(df, ["l_quantity", "l_extendedprice"], "y", growth="manual")
+        rows = G._grouped(data, {0: root}, [(0, 0)], None)
+        totals = G.group_totals(data, [counts], True)
+        features = [(0, F.col("l_quantity")), (1, F.col("l_extendedprice"))]
+        plans = [plan(SP.best_numeric_bucketed(rows, features, 2, totals, "gini", 1)[0]),
+                 plan(SP.numeric_candidates(rows, features, 2, totals, "gini", 1))]
+    assert all("NestedLoop" not in p and "Cartesian" not in p for p in plans)
+
+
 def test_bounds_close_most_buckets_and_hold(spark, sf):
     """No gain inside a bucket exceeds its bound, and few buckets stay open."""
     data, features, totals = _searched(spark, sf, 200)

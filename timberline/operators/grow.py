@@ -26,6 +26,8 @@ from timberline.operators.splits import (
 from timberline.operators.transforms import levels
 from timberline.plans.tree import ROOT, Node, Split, TreeModel, positive_class
 
+ROOT_GROUP = "_root"
+
 PURE = 1e-4  # fixed value: impurity at or below which a node is not split
 
 
@@ -296,7 +298,8 @@ def _grouped(data: DataFrame, models: dict[int, TreeModel], open_nodes: list[tup
     parts = []
     if out:
         if rep_col is None:
-            parts.append(data.withColumn(GROUP, out[0][1]))
+            only_root = not models[out[0][0]].internal()
+            parts.append(data.withColumn(GROUP, F.col(ROOT_GROUP) if only_root else out[0][1]))
         else:
             expr = None
             for rep, route in out:
@@ -365,7 +368,9 @@ def laid_out(df: DataFrame, features: Sequence[tuple[str, str]], target: str, p:
     kept = first
     try:
         ready, layout = lay_out(first, features, p)
-        kept = ready.persist()
+        # the group of the root is a stored column: as a constant it would turn
+        # the equi-joins of the search into nested loops
+        kept = ready.withColumn(ROOT_GROUP, F.lit(0)).persist()
         yield kept, layout, classes, pos, at_root
     finally:
         kept.unpersist()
@@ -413,7 +418,7 @@ def best_splits(df: DataFrame, features: Sequence[str], target: str, categorical
     kinds = feature_kinds(df, features, categorical)
     with laid_out(df, kinds, target, p, weight_col, positive) as (data, layout, classes, pos, counts):
         exact = not isinstance(data.schema[WEIGHT].dataType, T.DoubleType)
-        found = search(data.withColumn(GROUP, F.lit(0)), kinds, len(classes), classes.index(pos),
+        found = search(data.withColumn(GROUP, F.col(ROOT_GROUP)), kinds, len(classes), classes.index(pos),
                        group_totals(data, [counts], exact), p, layout, 1, per_feature=True)
         return classes, found.get(0, [])
 

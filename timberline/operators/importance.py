@@ -56,6 +56,9 @@ def features_for_share(table: DataFrame, share: float = 0.9) -> DataFrame:
 
 # --- permutation ---------------------------------------------------------
 
+TRIAL_BATCH = 32  # trials evaluated by one job, which reads the rows once per trial
+
+
 def used_features(model: TreeModel) -> list[str]:
     """Features of the splits in node order — the order of the ``x0…`` columns."""
     return list(dict.fromkeys(n.split.feature for n in model.internal()))
@@ -85,12 +88,17 @@ def _indexed(df: DataFrame, model: TreeModel, key: Sequence[str], seed: int) ->
 
 
 def shuffled_accuracy(indexed: DataFrame, model: TreeModel, trials: Sequence[Shuffle], n: int) -> dict[tuple[str, int], float]:
-    """Accuracy of every trial in one job.
+    """Accuracy of every trial, many trials to a job.
 
     Rows stand in drawn order, so giving row i the value of row i + shift
     (modulo n) permutes a feature at random. Each trial reads its donor rows
     through a join on the row position, a key without repeats.
     """
+    if len(trials) > TRIAL_BATCH:
+        out = {}
+        for i in range(0, len(trials), TRIAL_BATCH):
+            out |= shuffled_accuracy(indexed, model, trials[i:i + TRIAL_BATCH], n)
+        return out
     features = used_features(model)
     place = {f: i for i, f in enumerate(features)}
     width = max(len(t.shifts) for t in trials)

@@ -15,6 +15,7 @@ from timberline.core import BROADCAST_ROWS, clean_double, frozen
 GROUP_VALUES = 1_000_000
 MAX_BUCKETS = 4096
 CASE_EDGES = 64
+COLUMN_BATCH = 64  # columns reshaped to long form together
 
 ROW_BITS = 33  # width of the row part of monotonically_increasing_id
 
@@ -199,9 +200,14 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], accuracy:
     then read off. A column whose ranks miss the bands, or whose bands hold too
     many values for one window group, goes through a full value count instead.
     """
-    if not wanted:
-        return {}
     cols = list(wanted)
+    if len(cols) > COLUMN_BATCH:
+        out = {}
+        for i in range(0, len(cols), COLUMN_BATCH):
+            out |= exact_quantiles(df, {c: wanted[c] for c in cols[i:i + COLUMN_BATCH]}, accuracy, group_values)
+        return out
+    if not cols:
+        return {}
     slack = 2.0 / accuracy
     brackets = {c: sorted({max(0.0, p - slack) for p in wanted[c]} | {min(1.0, p + slack) for p in wanted[c]}) for c in cols}
     first = df.agg(*[e for i, c in enumerate(cols) for e in (
