@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.core import clean_double
@@ -169,16 +169,18 @@ def important_nodes(df: DataFrame, model: TreeModel, decrease: float = 0.1, size
 
 def compare_nodes(df: DataFrame, model: TreeModel, a: int, b: int) -> DataFrame:
     """Differences of two nodes: depth, rows, impurity, rate, accuracy."""
-    t = node_table(df, model).select("node_id", "parent_id", "depth", "n", "impurity", "prediction",
-                                     F.try_divide("positives", "n").alias("rate"), F.try_divide("hits", "n").alias("accuracy"))
-    left = t.where(F.col("node_id") == a).alias("l")
-    right = t.where(F.col("node_id") == b).alias("r")
-    # one row on either side, paired on a constant
-    pair = left.withColumn("_k", F.lit(1)).join(F.broadcast(right.withColumn("_k", F.lit(1))), "_k")
-    diff = [(F.col(f"l.{c}") - F.col(f"r.{c}")).alias(f"{c}_difference") for c in ("depth", "n", "impurity", "rate", "accuracy")]
-    sibling = F.coalesce(F.col("l.parent_id") == F.col("r.parent_id"), F.lit(False))
-    return pair.select(F.col("l.node_id").alias("a"), F.col("r.node_id").alias("b"), sibling.alias("is_sibling"), *diff,
-                       (F.col("l.prediction") == F.col("r.prediction")).alias("same_prediction"))
+    facts = ("depth", "n", "impurity", "rate", "accuracy")
+    t = node_table(df, model).where(F.col("node_id").isin(a, b)).withColumns({
+        "rate": F.try_divide("positives", "n"), "accuracy": F.try_divide("hits", "n")})
+
+    def of(node: int, column: str) -> Column:
+        return F.max(F.when(F.col("node_id") == node, F.col(column)))
+
+    return t.agg(
+        F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"),
+        F.coalesce(of(a, "parent_id") == of(b, "parent_id"), F.lit(False)).alias("is_sibling"),
+        *[(of(a, c) - of(b, c)).alias(f"{c}_difference") for c in facts],
+        (of(a, "prediction") == of(b, "prediction")).alias("same_prediction"))
 
 
 def relatives(df: DataFrame, model: TreeModel) -> DataFrame:

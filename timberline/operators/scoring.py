@@ -16,7 +16,7 @@ CASE_LEAVES = 256
 
 def assign_leaf(df: DataFrame, model: TreeModel, name: str = "leaf_id", case_leaves: int = CASE_LEAVES) -> DataFrame:
     """Add the id of the leaf each row falls into."""
-    if len(model.leaves()) <= case_leaves:
+    if len(model.leaves()) <= max(case_leaves, 1):
         return df.withColumn(name, model.route(model.inputs(df)))
     return _assign_by_level(df, model, name)
 
@@ -50,7 +50,9 @@ def _assign_by_level(df: DataFrame, model: TreeModel, name: str) -> DataFrame:
     out = df.withColumns({
         "_num": F.array(*[inputs[f] for f in numeric]) if numeric else F.array(F.lit(None).cast("double")),
         "_str": F.array(*[inputs[f] for f in text]) if text else F.array(F.lit(None).cast("string")),
-        name: F.lit(ROOT).cast("long")})
+        # the root's split is applied directly; joins start at its children
+        name: model.nodes[ROOT].split.branch(inputs[model.nodes[ROOT].split.feature], [
+            F.lit(c.node_id).cast("long") for c in kids[ROOT]])})
     keep = out.columns
     x, s = F.get("_num", F.col("_fi") - 1), F.get("_str", F.col("_fi") - 1)
     below = F.size(F.filter("_t", lambda t: F.when(F.col("_closed"), t < x).otherwise(t <= x)))
@@ -58,7 +60,7 @@ def _assign_by_level(df: DataFrame, model: TreeModel, name: str) -> DataFrame:
     word = F.when(F.col("_null"), F.coalesce(s, F.lit(MISSING))).otherwise(s)
     by_text = F.when(word.isNotNull(), F.try_element_at("_cats", F.coalesce(word, F.lit(""))))
     child = F.coalesce(F.when(F.col("_text"), by_text).otherwise(by_number), F.col("_miss"))
-    for _ in range(model.depth):
+    for _ in range(model.depth - 1):
         joined = out.join(F.broadcast(nodes), F.col(name) == F.col("_nid"), "left")
         step = F.when(F.col("_nid").isNull(), F.col(name)).otherwise(F.get("_kids", child))
         out = joined.withColumn(name, step).select(*keep)
