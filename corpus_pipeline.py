@@ -1,4 +1,8 @@
-"""The training text pipeline: stages over ``documents``, each written and read again."""
+"""The training text pipeline: stages over ``documents``, each written and read again.
+
+Quality rules, near copies, secrets, source mix, packing. Every stage but the
+last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +10,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm.common import saved, table
+from timberline.llm.common import folder, saved, table
+from timberline.llm.jaccard import one_of_each
 from timberline.llm.mixing import mixed_documents
 from timberline.llm.packing import packed
+from timberline.llm.quality import kept_documents
+from timberline.llm.secrets import Ledger, redacted
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the model trained on the labelled ones."""
+    return kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return one_of_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with found secrets masked."""
+    return redacted(docs, Ledger(spark, folder(spark, "secret-ledger")))
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a repeated copy is a row of its own."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of the mix placed in a sequence."""
+    """Every piece of the mix with its place in a sequence."""
     return packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("mixing", mixing), ("packing", packing)]
+    ("quality rules", quality_rules), ("n-gram Jaccard join", near_copies), ("secret scans", secret_scan),
+    ("mixing sources to target weights", source_mix), ("best-fit packing", packing)]
 
 # The quality model and the tokenizer have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -32,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages from ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = saved(stage(spark, docs, sf_dir), name.split()[0])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,6 +30,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def boxed(df: DataFrame, *more: Column) -> DataFrame:
+    """The columns of ``df`` in one struct ``row``, so that helper columns cannot clash with them; then ``more``."""
+    return df.select(F.struct(*columns(df)).alias("row"), *more)
+
+
+def unboxed(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The boxed columns ``names`` and the columns ``more``, which replace boxed ones of their name."""
+    taken = {m.lower() for m in more}
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c.lower() not in taken], *more)
+
+
 def empty_if_null(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

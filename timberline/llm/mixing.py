@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.core import local_table
-from timberline.llm.common import WORD, empty_if_null, saved, word_count
+from timberline.llm.common import WORD, boxed, columns, empty_if_null, saved, unboxed, unused, word_count
 
 # Rows of a shard: small sources get shards of 64 rows up to 256 shards, large
 # ones shards of 65,536 rows. Both only set how far the work spreads.
@@ -93,13 +93,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, blo
     Sources in code point order, NULL last, weigh ``weights``, repeating. A row's size is its number of words (or
     column ``size``; NULL counts as 0); ``mix_taken`` is how many words of it the mix takes, repeats counted, and
     ``mix_spans`` lists the copies as word ranges ``(from, to)``. Repeated rows are rows of their own; a row of size 0
-    gets no copies; an empty table gives an empty result. Only one row per source reaches the driver.
+    gets no copies; an empty table gives an empty result. Input columns named like a result column are replaced. Only one row per source reaches the driver.
     """
     spark, names = docs.sparkSession, docs.columns
     measured = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else word_count(text)
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.simpleString() in ("bigint", "int", "string")]
-    sized = docs.withColumns({"mix_size": measured, "_key": F.xxhash64(F.lit(seed), *hashed)})
-    per = sized.groupBy(F.col(source).alias("_s")).agg(F.count("*").alias("n"), F.sum("mix_size").alias("w")).collect()
+    sized = boxed(docs, measured.alias("mix_size"), F.xxhash64(F.lit(seed), *hashed).alias("_key"), F.col(f"`{source}`").cast("string").alias("_source"))
+    per = sized.groupBy(F.col("_source").alias("_s")).agg(F.count("*").alias("n"), F.sum("mix_size").alias("w")).collect()
     per = sorted(per, key=lambda r: (r["_s"] is None, (r["_s"] or "").encode("utf-32-be")))
     goal = targets([r["w"] for r in per], [weights[i % len(weights)] for i in range(len(per))], cap)
     schema = pa.schema([("_s", pa.string()), ("sid", pa.int64()), ("shards", pa.int64()),
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, blo
     rows = [{"_s": r["_s"], "sid": i, "mix_source_size": r["w"], "mix_target": goal[i],
              "shards": max(min(SHARDS, -(-r["n"] // SMALL_SHARD)), -(-r["n"] // LARGE_SHARD))} for i, r in enumerate(per)]
     sources = local_table(spark, rows, schema)
-    dealt = (sized.join(sources, F.col(f"`{source}`").eqNullSafe(F.col("_s"))).drop("_s")
+    dealt = (sized.join(sources, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
              .withColumn("shard", F.pmod("_key", "shards")))
     # words and blocks of each shard
     shard = saved(dealt.groupBy("sid", "shard").agg(F.sum("mix_size").alias("words"))
@@ -141,8 +141,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, blo
         F.array_repeat(span(zero, F.col("mix_size")), F.col("_full").cast("int")),
         F.filter(F.array(span(F.col("_from1"), F.col("_to1")), span(F.col("_from2"), F.col("_to2"))), lambda s: s["to"] > s["from"]))
     taken = F.col("_full") * F.col("mix_size") + over(1) + over(2)
-    return placed.select(*[F.col(f"`{c}`") for c in names], "mix_size", "mix_source_size", "mix_target",
-                         taken.alias("mix_taken"), F.when(F.col("mix_size") > 0, spans).otherwise(F.slice(spans, 1, 0)).alias("mix_spans"))
+    placed = placed.withColumns({"mix_taken": taken, "mix_spans": F.when(F.col("mix_size") > 0, spans).otherwise(F.slice(spans, 1, 0))})
+    return unboxed(placed, names, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_spans")
 
 
 def excerpt(text: Column, start: Column, stop: Column, size: Column) -> Column:
@@ -157,12 +157,14 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
 
     The length column ``n_chars``, when there is one, follows the cut text.
     """
-    out = mix(docs, text=text, **options).withColumn("_span", F.explode("mix_spans"))
-    body = excerpt(empty_if_null(text), F.col("_span.from"), F.col("_span.to"), F.col("mix_size"))
-    out = out.withColumn(text, body)
+    row = unused(docs, "row")
+    whole = docs.select(F.struct(*columns(docs)).alias(row), *[F.col(f"`{c}`") for c in (text, options.get("source", "source"))])
+    out = mix(whole, text=text, **options).withColumn("span", F.explode("mix_spans"))
+    out = out.withColumn("body", excerpt(empty_if_null(text), F.col("span.from"), F.col("span.to"), F.col("mix_size")))
+    new = {text: F.col("body")}
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[n_chars] = F.length("body").cast(docs.schema[n_chars].dataType)
+    return out.select(*[new.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_mix_sources(spark, sf: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.core import local_table
-from timberline.llm.common import saved, table
+from timberline.llm.common import boxed, saved, table, unboxed
 from timberline.llm.tokens import encoder
 
 TEXTS_AT_ONCE = 256
@@ -203,7 +203,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
     Only the number of pieces per length (at most ``capacity`` numbers) reaches the driver. Ranks within a length
     come from salted parts of it, so a frequent length is spread over many tasks. Equal rows share nothing but
-    their length; an empty table gives an empty result. ``pieces`` is read twice: give a written table.
+    their length; an empty table gives an empty result. Input columns named like a result column are replaced. ``pieces`` is read twice: give a written table.
     """
     spark = pieces.sparkSession
     names = pieces.columns
@@ -214,12 +214,12 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     places = Places.of(plan(counts), capacity)
     salts = local_table(spark, [{"length": r["length"], "salts": max(256, r["count"] // 65_536)} for r in hist],
                         pa.schema([("length", pa.int64()), ("salts", pa.int64())]))
-    keys = [c for c in names if c != "ids"]
-    dealt = pieces.join(F.broadcast(salts), "length").withColumn(  # at most ``capacity`` rows
-        "_salt", F.pmod(F.xxhash64(*keys), "salts"))
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in names if c != "ids"])
+    dealt = boxed(pieces, F.col("length"), key.alias("_key")).join(F.broadcast(salts), "length").withColumn(  # at most ``capacity`` rows
+        "_salt", F.pmod("_key", "salts"))
     per = dealt.groupBy("length", "_salt").count()
     base = per.select("length", "_salt", (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[c for c in keys if c != "length"]))
+    nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_key"))
     ranked = dealt.withColumn("_nth", nth).join(base, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_nth") - 1)
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -227,7 +227,8 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
         sequence, offset = places.find(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    return ranked.withColumn("_p", found("length", "_rank")).select(*names, "_p.sequence_id", "_p.offset")
+    placed = ranked.withColumn("_p", found("length", "_rank")).select("row", "_p.sequence_id", "_p.offset")
+    return unboxed(placed, names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:

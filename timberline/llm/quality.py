@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import textmodel
-from timberline.llm.common import table
+from timberline.llm.common import columns, table, unused
 
 PER_CLASS = 1000
 MAX_TRAIN_CHARS = 50_000
@@ -115,7 +115,8 @@ def measure(text: str, model: QualityModel, threshold: float) -> tuple:
 def with_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text", name: str = "quality_rules") -> DataFrame:
     """Every row with a struct of counts, ``base_failed``, ``p_quality`` and ``kept``.
 
-    NULL text counts as empty: no words, base rule failed. Repeated rows get equal results.
+    NULL text counts as empty: no words, base rule failed. Repeated rows get equal results. An input column of the
+    struct's name is replaced.
     """
     fields = [f.split()[0] for f in RESULT.split(", ")]
 
@@ -128,8 +129,8 @@ def with_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESH
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass base rules and model, with their columns."""
-    out = with_quality(docs, train(docs, labels))
-    return out.where("quality_rules.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused(docs, "quality_rules")
+    return with_quality(docs, train(docs, labels), name=name).where(F.col(f"{name}.kept")).select(*columns(docs))
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import saved, table
+from timberline.llm.common import columns, saved, table, unused
 
 MIN_WORDS = 50
 
@@ -62,10 +62,12 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated units cut out of ``text`` (with their line break) and ``removed``, their original spans.
 
     Spans of a document are gathered by its id; documents without repeats keep their text as it is.
+    An input column ``removed`` is replaced.
     """
-    cut = repeated_units(docs, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cut"))
+    cuts, key = unused(docs, "_cut"), unused(docs, "_id")
+    cut = repeated_units(docs, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cuts))
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
-    joined = docs.join(cut.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col(key)), "left")
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -79,8 +81,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             return "".join(out) + t[at:]
         return pd.Series([one(t, c) for t, c in zip(text, cuts)], dtype=object)
 
-    return joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(rest("text", "_cut"))).withColumn(
-        "removed", F.coalesce("_cut", none)).drop("_cut")
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(rest("text", cuts))
+    kept = [text.alias("text") if c == "text" else col for c, col in zip(docs.columns, columns(docs)) if c != "removed"]
+    return joined.select(*kept, F.coalesce(cuts, none).alias("removed"))
 
 
 def op6_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.llm.common import empty_if_null, folder, saved, table
+from timberline.llm.common import columns, empty_if_null, folder, saved, table, unused
 
 
 def _any_case(word: str) -> str:
@@ -143,8 +143,9 @@ def redacted(docs: DataFrame, ledger: Ledger, version: str = VERSION, mask: str
     """
     ledger.scan(docs, version)
     by_blob = spans_by_blob(ledger.findings().where(F.col("version") == version))
-    blob = F.sha2(empty_if_null("text"), 256)
-    out = docs.withColumn("_blob", blob).join(by_blob.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
+    blob, spans = unused(docs, "_blob"), unused(docs, "_spans")
+    found = by_blob.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    out = docs.withColumn(blob, F.sha2(empty_if_null("text"), 256)).join(found, blob, "left")
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -152,13 +153,13 @@ def redacted(docs: DataFrame, ledger: Ledger, version: str = VERSION, mask: str
         piece = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mask))).otherwise(F.lit(""))
         return F.struct(F.concat(acc["text"], piece).alias("text"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.aggregate("_spans", start, cut)
+    done = F.aggregate(spans, start, cut)
     whole = F.concat(done["text"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))
-    out = out.withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*columns(docs))
 
 
 def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
