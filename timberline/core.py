@@ -63,7 +63,9 @@ def clean_double(df: DataFrame, name: str) -> Column:
     t = field_type(df, name)
     if isinstance(t, T.BooleanType):
         return F.col(f"`{name}`").cast("int").cast("double")
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if isinstance(t, T.DateType):
+        return F.unix_date(F.col(f"`{name}`")).cast("double") * 86_400.0
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(f"`{name}`").cast("timestamp")).cast("double") / 1e6
     return clean(df, name).cast("double")
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.core import clean_double, local_table, one_row, spread
@@ -24,11 +24,17 @@ MAX_CLASSES = 1000
 
 # --- edges ---------------------------------------------------------------
 
+def _filled(col: str, values: Sequence[float | None]) -> list[float]:
+    if any(v is None for v in values):
+        raise ValueError(f"column {col!r} has no values")
+    return list(values)
+
+
 def edges_equal_width(df: DataFrame, col: str, k: int) -> list[float]:
     """k + 1 equally spaced edges; a constant column is widened a little."""
     x = clean_double(df, col)
     s = one_row(df, {"lo": F.min(x), "hi": F.max(x)})
-    low, high = s["lo"], s["hi"]
+    low, high = _filled(col, [s["lo"], s["hi"]])
     if low == high:
         pad = max(0.001, abs(low) * 0.001)
         low, high = low - pad, high + pad
@@ -36,7 +42,7 @@ def edges_equal_width(df: DataFrame, col: str, k: int) -> list[float]:
 
 
 def edges_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
-    return sorted(set(exact_quantiles(df, {col: list(probs)})[col]))
+    return sorted(set(_filled(col, exact_quantiles(df, {col: list(probs)})[col])))
 
 
 def edges_equal_freq(df: DataFrame, col: str, k: int) -> list[float]:
@@ -59,17 +65,11 @@ def edges_quantile(df: DataFrame, col: str, k: int) -> list[float]:
 
 def edges_outlier(df: DataFrame, col: str) -> list[float]:
     """Low outliers, normal range, high outliers; empty outer bins are left out."""
-    low, q1, q3, high = exact_quantiles(df, {col: (0.0, 0.25, 0.75, 1.0)})[col]
+    low, q1, q3, high = _filled(col, exact_quantiles(df, {col: (0.0, 0.25, 0.75, 1.0)})[col])
     lower, upper = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     return sorted({low, high, *[e for e in (lower, upper) if low < e < high]})
 
 
-def edge_table(spark, edges: Sequence[float]) -> DataFrame:
-    return local_table(
-        spark, [{"bin": i, "lower": lo, "upper": hi} for i, (lo, hi) in enumerate(zip(edges, edges[1:]))],
-        pa.schema([("bin", pa.int32()), ("lower", pa.float64()), ("upper", pa.float64())]))
-
-
 def validate_bins(df: DataFrame, col: str, bins: Sequence[tuple[float, float]]) -> DataFrame:
     """One row: are the (low, high) bins ordered, gapless, not overlapping, covering?"""
     x = clean_double(df, col)
@@ -218,10 +218,14 @@ def merge_small_bins(df: DataFrame, col: str, edges: Sequence[float], target: st
 # --- split quality -------------------------------------------------------
 
 def quality(t: BinCounts, criterion: str = "gini") -> dict:
-    """Impurity before and after, decrease, relative decrease and per-bin facts."""
+    """Impurity before and after, decrease, relative decrease and per-bin facts.
+
+    NULL rows and rows outside the edges are two more groups of the division, so a feature gains nothing by having
+    NULLs; they are no bins and do not count as small, empty or largest.
+    """
     before = impurity_of(t.all_classes, criterion)
     n = t.total
-    after = sum(sum(c) / n * impurity_of(c, criterion) for c in t.counts) if n else 0.0
+    after = sum(sum(c) / n * impurity_of(c, criterion) for c in (*t.counts, t.nulls, t.outside)) if n else 0.0
     small_limit = max(1, int(n) // 20)
     bins = []
     for i, c in enumerate(t.counts):
@@ -229,66 +233,93 @@ def quality(t: BinCounts, criterion: str = "gini") -> dict:
         imp = impurity_of(c, criterion)
         bins.append({"bin": i, "lower": t.edges[i], "upper": t.edges[i + 1], "n": int(size),
                      "pct": 100.0 * size / n if n else 0.0, "impurity": imp,
-                     "purity": 1.0 - imp if size else 0.0,
-                     "is_empty": size == 0, "is_small": size < small_limit,
+                     "purity": 1.0 - imp if size else 0.0, "is_small": size < small_limit,
                      "top_class": max(zip(c, t.classes), key=lambda p: (p[0], [-ord(ch) for ch in p[1]]))[1]
                      if size else None})
     decrease = before - after
+    filled = [b for b in bins if b["n"]]
     return {"impurity_before": before, "impurity_after": after, "impurity_decrease": decrease,
-            "gain_ratio": decrease / before if before > 0 else 0.0, "bins": bins, "n": n}
-
-
-def rating(q: dict) -> dict:
-    """Score 0–100 with label, issues and strengths of a binning."""
-    issues, strengths = [], []
-    sizes = [b["n"] for b in q["bins"] if b["n"]]
-    if any(b["is_empty"] for b in q["bins"]):
-        issues.append("empty_bins")
-    if any(b["is_small"] and not b["is_empty"] for b in q["bins"]):
-        issues.append("small_bins")
-    if q["impurity_decrease"] <= 0:
-        issues.append("no_improvement")
-    elif q["impurity_decrease"] < 0.01:
-        issues.append("tiny_improvement")
-    else:
-        strengths.append("good_decrease")
-    if q["gain_ratio"] < 0.1:
-        issues.append("low_gain_ratio")
-    elif q["gain_ratio"] > 0.3:
-        strengths.append("high_gain_ratio")
-    if sizes:
-        spread = max(sizes) / min(sizes)
-        if spread > 10:
-            issues.append("imbalanced_bins")
-        elif spread < 3:
-            strengths.append("balanced_bins")
-    score = max(0.0, min(q["gain_ratio"] * 100.0, 50.0) - 10.0 * len(issues) + 5.0 * len(strengths))
-    # Lower score bound of each label.
-    bounds = [(70, "excellent"), (50, "good"), (30, "fair"), (10, "poor"), (0, "very_poor")]
-    return {"score": score, "label": next(label for low, label in bounds if score >= low),
-            "issues": issues, "strengths": strengths}
+            "gain_ratio": decrease / before if before > 0 else 0.0, "bins": bins, "n": int(n),
+            "n_bins": len(bins), "empty_bins": len(bins) - len(filled), "small_bins": sum(b["is_small"] for b in filled),
+            "binned": sum(b["n"] for b in bins), "largest": max((b["n"] for b in filled), default=0),
+            "smallest": min((b["n"] for b in filled), default=0),
+            "mean_purity": statistics.fmean(b["purity"] for b in filled) if filled else 0.0,
+            "least_purity": min((b["purity"] for b in filled), default=0.0)}
+
+
+# When a binning has an issue, a strength, a warning, and what is advised; conditions on its quality.
+ISSUES = {
+    "empty_bins": "empty_bins > 0",
+    "small_bins": "small_bins > 0",
+    "no_improvement": "impurity_decrease <= 0",
+    "tiny_improvement": "impurity_decrease > 0 AND impurity_decrease < 0.01",
+    "low_gain_ratio": "gain_ratio < 0.1",
+    "imbalanced_bins": "largest > 10 * smallest",
+}
+STRENGTHS = {
+    "good_decrease": "impurity_decrease >= 0.01",
+    "high_gain_ratio": "gain_ratio > 0.3",
+    "balanced_bins": "smallest > 0 AND largest < 3 * smallest",
+}
+WARNINGS = {
+    "empty_bins": "empty_bins > 0",
+    "no_improvement": "impurity_decrease <= 0",
+    "bins_under_3_rows": "smallest BETWEEN 1 AND 2",
+    "very_low_gain": "gain_ratio < 0.05",
+    "one_bin_over_80_pct": "largest > 0.8 * binned",
+    "all_bins_pure": "empty_bins = 0 AND least_purity > 0.95",
+}
+ADVICE = {
+    "remove_empty_bins": "empty_bins > 0",
+    "merge_small_bins": "small_bins > 0",
+    "try_other_feature": "gain_ratio < 0.1",
+    "use_equal_frequency": "largest > 10 * smallest",
+    "ready_to_apply": "label IN ('good', 'excellent')",
+    "acceptable": "label = 'fair'",
+    "fewer_bins": "n_bins > binned div 10",
+    "strong_binary_split": "n_bins = 2 AND gain_ratio > 0.3 AND n_bins <= binned div 10",
+}
+LABELS = "CASE WHEN score >= 70 THEN 'excellent' WHEN score >= 50 THEN 'good' WHEN score >= 30 THEN 'fair' WHEN score >= 10 THEN 'poor' ELSE 'very_poor' END"
+
+_DOUBLES = ("impurity_before", "impurity_after", "impurity_decrease", "gain_ratio", "mean_purity", "least_purity")
+_LONGS = ("n", "n_bins", "empty_bins", "small_bins", "binned", "largest", "smallest")
+
+
+def quality_table(spark, named: dict[str, dict]) -> DataFrame:
+    """One row per binning: ``place``, ``name`` and its quality."""
+    return local_table(spark, [{"place": i, "name": name, **q} for i, (name, q) in enumerate(named.items())], pa.schema(
+        [("place", pa.int32()), ("name", pa.string()), *[(c, pa.float64()) for c in _DOUBLES], *[(c, pa.int64()) for c in _LONGS]]))
+
+
+def _holding(rules: dict[str, str]) -> Column:
+    """The names of the rules that hold."""
+    return F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]))
+
+
+def rated(table: DataFrame) -> DataFrame:
+    """``issues``, ``strengths``, ``score`` (0 to 100) and ``label`` beside the quality."""
+    found = table.withColumns({"issues": _holding(ISSUES), "strengths": _holding(STRENGTHS)})
+    points = F.least(F.col("gain_ratio") * 100, F.lit(50.0)) - 10 * F.size("issues") + 5 * F.size("strengths")
+    return found.withColumn("score", F.greatest(points, F.lit(0.0))).withColumn("label", F.expr(LABELS))
+
+
+def _quality_of(df: DataFrame, col: str, edges: Sequence[float], target: str, criterion: str) -> DataFrame:
+    return quality_table(df.sparkSession, {col: quality(bin_counts(df, col, edges, target), criterion)})
 
 
 def bin_split_quality(df: DataFrame, col: str, edges: Sequence[float], target: str,
                       criterion: str = "gini") -> DataFrame:
     """One row with impurity before/after, decrease, gain ratio, small and empty bins."""
-    q = quality(bin_counts(df, col, edges, target), criterion)
-    row = {k: q[k] for k in ("impurity_before", "impurity_after", "impurity_decrease", "gain_ratio")}
-    row |= {"n_bins": len(q["bins"]), "empty_bins": sum(b["is_empty"] for b in q["bins"]),
-            "small_bins": sum(b["is_small"] and not b["is_empty"] for b in q["bins"])}
-    return local_table(df.sparkSession, [row], pa.schema(
-        [(k, pa.float64()) for k in ("impurity_before", "impurity_after", "impurity_decrease", "gain_ratio")]
-        + [(k, pa.int64()) for k in ("n_bins", "empty_bins", "small_bins")]))
+    return _quality_of(df, col, edges, target, criterion).select(
+        "impurity_before", "impurity_after", "impurity_decrease", "gain_ratio", "n_bins", "empty_bins", "small_bins")
 
 
 def rate_split(df: DataFrame, col: str, edges: Sequence[float], target: str, criterion: str = "gini") -> DataFrame:
-    r = rating(quality(bin_counts(df, col, edges, target), criterion))
-    return local_table(
-        df.sparkSession,
-        [{"score": r["score"], "label": r["label"], "issues": len(r["issues"]), "strengths": len(r["strengths"]),
-          "issue_list": ",".join(r["issues"]), "strength_list": ",".join(r["strengths"])}],
-        pa.schema([("score", pa.float64()), ("label", pa.string()), ("issues", pa.int64()),
-                   ("strengths", pa.int64()), ("issue_list", pa.string()), ("strength_list", pa.string())]))
+    """Score and label of a binning with its issues and strengths."""
+    counted = lambda c: F.size(c).cast("long").alias(c)
+    return rated(_quality_of(df, col, edges, target, criterion)).select(
+        "score", "label", counted("issues"), counted("strengths"),
+        F.array_join("issues", ",").alias("issue_list"), F.array_join("strengths", ",").alias("strength_list"))
 
 
 def bin_importance(df: DataFrame, col: str, edges: Sequence[float], target: str, total_rows: int | None = None,
@@ -304,7 +335,7 @@ def deviance_reduction(df: DataFrame, col: str, edges: Sequence[float], target:
     """-2 n (p ln p + (1-p) ln(1-p)) of the whole minus that of the bins, and its share."""
     t = bin_counts(df, col, edges, target)
     before = 2.0 * t.total * impurity_of(t.all_classes, "deviance")
-    after = sum(2.0 * sum(c) * impurity_of(c, "deviance") for c in t.counts)
+    after = sum(2.0 * sum(c) * impurity_of(c, "deviance") for c in (*t.counts, t.nulls, t.outside))
     return local_table(
         df.sparkSession, [{"deviance_before": before, "deviance_after": after, "reduction": before - after,
                            "reduction_ratio": (before - after) / before if before else 0.0}],
@@ -332,28 +363,23 @@ def optimal_bins(df: DataFrame, col: str, target: str, max_bins: int = 10, min_n
     one counted pass over the union of their edges.
     """
     probs = sorted({i / k for k in range(2, max_bins + 1) for i in range(k + 1)})
-    value = dict(zip(probs, exact_quantiles(df, {col: probs})[col]))
+    value = dict(zip(probs, _filled(col, exact_quantiles(df, {col: probs})[col])))
     options = {k: sorted({value[i / k] for i in range(k + 1)}) for k in range(2, max_bins + 1)}
     options = {k: e for k, e in options.items() if len(e) > 1}
-    best = None
+    fitting = {}
     if options:
         fine = bin_counts(df, col, sorted({e for edges in options.values() for e in edges}), target)
-        limit = fine.total // min_n
         for k, edges in options.items():
             t = coarsen(fine, edges)
-            if k > limit or any(0 < s < min_n for s in t.sizes):
-                continue
-            score = rating(quality(t, criterion))["score"]
-            if best is None or score > best[0]:
-                best = (score, k, edges)
-    if best is None:
-        mid = exact_quantiles(df, {col: (0.0, 0.5, 1.0)})[col]
-        best = (0.0, 2, mid)
-    score, k, edges = best
-    return local_table(
-        df.sparkSession, [{"requested_bins": k, "n_bins": len(edges) - 1, "score": score, "edges": edges}],
-        pa.schema([("requested_bins", pa.int64()), ("n_bins", pa.int64()), ("score", pa.float64()),
-                   ("edges", pa.list_(pa.float64()))]))
+            if k <= fine.total // min_n and not any(0 < n < min_n for n in t.sizes):
+                fitting[k] = quality(t, criterion)
+    spark = df.sparkSession
+    chosen = local_table(spark, [{"requested_bins": k, "edges": options[k]} for k in fitting] or [{"requested_bins": 2, "edges": edges_quantiles(df, col, (0.0, 0.5, 1.0))}],
+                         pa.schema([("requested_bins", pa.int64()), ("edges", pa.list_(pa.float64()))]))
+    scores = rated(quality_table(spark, {str(k): q for k, q in fitting.items()})).select(F.col("name").cast("long").alias("requested_bins"), "score")
+    return (chosen.join(F.broadcast(scores), "requested_bins", "left")  # one row per number of bins
+            .select("requested_bins", (F.size("edges") - 1).cast("long").alias("n_bins"), F.coalesce("score", F.lit(0.0)).alias("score"), "edges")
+            .orderBy(F.desc("score"), "requested_bins").limit(1))
 
 
 def bin_stability(df: DataFrame, key: Sequence[str], col: str, edges: Sequence[float], target: str,
@@ -367,8 +393,10 @@ def bin_stability(df: DataFrame, key: Sequence[str], col: str, edges: Sequence[f
     binned = spread(df.where(y.isNotNull()).select(
         *key, bin_index(clean_double(df, col), edges).alias("_b"), y.cast("string").alias("_y")))
     rows = (with_replicates(binned, key, n_boot, seed).groupBy(F.col("_b").alias("b"), F.col("_y").alias("y"))
-            .agg(*[F.sum(f"w{r}").alias(f"w{r}") for r in range(n_boot)]).collect())
+            .agg(*[F.sum(f"w{r}").alias(f"w{r}") for r in range(n_boot)]).limit(MAX_CLASSES * (len(edges) + 1) + 1).collect())
     classes = tuple(sorted({r["y"] for r in rows}))
+    if len(classes) > MAX_CLASSES or len(rows) > MAX_CLASSES * (len(edges) + 1):
+        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes")
     ratios, decreases = [], []
     for r in range(n_boot):
         at = {(x["b"], x["y"]): float(x[f"w{r}"]) for x in rows}
@@ -387,101 +415,42 @@ def bin_stability(df: DataFrame, key: Sequence[str], col: str, edges: Sequence[f
 
 # --- previews ------------------------------------------------------------
 
-def bin_score(b: dict) -> float:
-    """Quality 0–100 of one bin from its size and purity."""
-    if b["is_empty"]:
-        return 0.0
-    score = 50.0 - (20.0 if b["is_small"] else 0.0)
-    score += 20.0 if b["purity"] > 0.7 else 10.0 if b["purity"] > 0.5 else -15.0 if b["purity"] < 0.1 else 0.0
-    score += 10.0 if b["n"] >= 10 else 5.0 if b["n"] >= 5 else 0.0
-    return max(0.0, min(100.0, score))
-
-
-def _warnings(q: dict) -> list[str]:
-    filled = [b for b in q["bins"] if b["n"]]
-    n = sum(b["n"] for b in q["bins"])
-    tests = [
-        ("empty_bins", len(filled) < len(q["bins"])),
-        ("no_improvement", q["impurity_decrease"] <= 0),
-        ("bins_under_3_rows", any(b["n"] < 3 for b in filled)),
-        ("very_low_gain", q["gain_ratio"] < 0.05),
-        ("one_bin_over_80_pct", max((b["n"] for b in q["bins"]), default=0) > 0.8 * n),
-        ("all_bins_pure", len(filled) == len(q["bins"]) and all(b["purity"] > 0.95 for b in filled)),
-    ]
-    return [name for name, hit in tests if hit]
-
-
-def _advice(q: dict, r: dict) -> list[str]:
-    sizes = [b["n"] for b in q["bins"] if b["n"]]
-    k = len(q["bins"])
-    too_many = k > sum(sizes) // 10
-    tests = [
-        ("remove_empty_bins", len(sizes) < k),
-        ("merge_small_bins", "small_bins" in r["issues"]),
-        ("try_other_feature", q["gain_ratio"] < 0.1),
-        ("use_equal_frequency", bool(sizes) and max(sizes) / min(sizes) > 10),
-        ("ready_to_apply", r["label"] in ("good", "excellent")),
-        ("acceptable", r["label"] == "fair"),
-        ("fewer_bins", too_many),
-        ("strong_binary_split", not too_many and k == 2 and q["gain_ratio"] > 0.3),
-    ]
-    return [name for name, hit in tests if hit]
+# Status of a bin, and its score from size and purity.
+STATUS = "CASE WHEN n = 0 THEN 'empty' WHEN is_small THEN 'small' WHEN purity > 0.9 THEN 'pure' ELSE 'normal' END"
+BY_SIZE = "CASE WHEN n >= 10 THEN 10 WHEN n >= 5 THEN 5 ELSE 0 END - IF(is_small, 20, 0)"
+BY_PURITY = "CASE WHEN purity > 0.7 THEN 20 WHEN purity > 0.5 THEN 10 WHEN purity < 0.1 THEN -15 ELSE 0 END"
 
 
 def preview_split(df: DataFrame, col: str, edges: Sequence[float], target: str,
                   criterion: str = "gini") -> dict[str, DataFrame]:
     """``{"summary": one row, "bins": one row per bin}`` for a proposed binning."""
     q = quality(bin_counts(df, col, edges, target), criterion)
-    r = rating(q)
-    filled = [b for b in q["bins"] if b["n"]]
-    summary = {
-        "feature": col, "n_bins": len(q["bins"]), "n_filled": len(filled), "n": sum(b["n"] for b in q["bins"]),
-        "impurity_before": q["impurity_before"], "impurity_after": q["impurity_after"],
-        "impurity_decrease": q["impurity_decrease"], "gain_ratio": q["gain_ratio"],
-        "score": r["score"], "label": r["label"], "beneficial": q["impurity_decrease"] > 0,
-        "mean_purity": statistics.fmean(b["purity"] for b in filled) if filled else 0.0,
-        "min_bin": min((b["n"] for b in filled), default=0), "max_bin": max((b["n"] for b in q["bins"]), default=0),
-        "warnings": ",".join(_warnings(q)), "recommendations": ",".join(_advice(q, r))}
-    bins = []
-    for b in q["bins"]:
-        status = ("empty" if b["is_empty"] else "small" if b["is_small"]
-                  else "pure" if b["purity"] > 0.9 else "normal")
-        bins.append({**{k: b[k] for k in ("bin", "lower", "upper", "n", "pct", "impurity", "purity", "top_class")},
-                     "status": status, "bin_score": bin_score(b)})
-    spark = df.sparkSession
-    f, i, s = pa.float64(), pa.int64(), pa.string()
-    return {
-        "summary": local_table(spark, [summary], pa.schema([
-            ("feature", s), ("n_bins", i), ("n_filled", i), ("n", i), ("impurity_before", f),
-            ("impurity_after", f), ("impurity_decrease", f), ("gain_ratio", f), ("score", f), ("label", s),
-            ("beneficial", pa.bool_()), ("mean_purity", f), ("min_bin", i), ("max_bin", i),
-            ("warnings", s), ("recommendations", s)])),
-        "bins": local_table(spark, bins, pa.schema([
-            ("bin", pa.int32()), ("lower", f), ("upper", f), ("n", i), ("pct", f), ("impurity", f),
-            ("purity", f), ("top_class", s), ("status", s), ("bin_score", f)]))}
+    summary = rated(quality_table(df.sparkSession, {col: q})).select(
+        F.col("name").alias("feature"), "n_bins", (F.col("n_bins") - F.col("empty_bins")).alias("n_filled"), F.col("binned").alias("n"),
+        "impurity_before", "impurity_after", "impurity_decrease", "gain_ratio", "score", "label",
+        (F.col("impurity_decrease") > 0).alias("beneficial"), "mean_purity", F.col("smallest").alias("min_bin"), F.col("largest").alias("max_bin"),
+        F.array_join(_holding(WARNINGS), ",").alias("warnings"), F.array_join(_holding(ADVICE), ",").alias("recommendations"))
+    f = pa.float64()
+    bins = local_table(df.sparkSession, q["bins"], pa.schema([
+        ("bin", pa.int32()), ("lower", f), ("upper", f), ("n", pa.int64()), ("pct", f), ("impurity", f), ("purity", f),
+        ("is_small", pa.bool_()), ("top_class", pa.string())]))
+    points = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + F.expr(BY_SIZE) + F.expr(BY_PURITY)))
+    bins = bins.withColumns({"status": F.expr(STATUS), "bin_score": F.when(F.col("n") == 0, 0.0).otherwise(points)}).drop("is_small")
+    return {"summary": summary, "bins": bins}
 
 
 def compare_splits(df: DataFrame, col: str, configs: dict[str, Sequence[float]], target: str,
                    criterion: str = "gini") -> DataFrame:
-    """One row per named binning with flags for best score, gain ratio and balance.
+    """One row per named binning with flags for best score, gain ratio and balance (the first on ties).
 
     All binnings are merged from one pass over the union of their edges.
     """
     fine = bin_counts(df, col, sorted({float(e) for edges in configs.values() for e in edges}), target)
-    rows = []
-    for name, edges in configs.items():
-        t = coarsen(fine, [float(e) for e in edges])
-        q = quality(t, criterion)
-        r = rating(q)
-        rows.append({"name": name, "score": r["score"], "gain_ratio": q["gain_ratio"],
-                     "impurity_decrease": q["impurity_decrease"], "n_bins": len(q["bins"]),
-                     "empty_bins": sum(b["is_empty"] for b in q["bins"]), "label": r["label"],
-                     "balance": r["score"] - 5.0 * (len(q["bins"]) - 2)})
-    for flag, by in (("best_score", "score"), ("best_gain", "gain_ratio"), ("best_balance", "balance")):
-        top = max(range(len(rows)), key=lambda j: (rows[j][by], -j))
-        for j, row in enumerate(rows):
-            row[flag] = j == top
-    f, i, s, b = pa.float64(), pa.int64(), pa.string(), pa.bool_()
-    return local_table(df.sparkSession, rows, pa.schema([
-        ("name", s), ("score", f), ("gain_ratio", f), ("impurity_decrease", f), ("n_bins", i),
-        ("empty_bins", i), ("label", s), ("balance", f), ("best_score", b), ("best_gain", b), ("best_balance", b)]))
+    named = {name: quality(coarsen(fine, [float(e) for e in edges]), criterion) for name, edges in configs.items()}
+    out = rated(quality_table(df.sparkSession, named)).withColumn("balance", F.col("score") - 5.0 * (F.col("n_bins") - 2))
+
+    def first_by(c: str) -> Column:  # one row per binning given
+        return F.row_number().over(Window.orderBy(F.desc(c), "place")) == 1
+
+    return out.select("name", "score", "gain_ratio", "impurity_decrease", "n_bins", "empty_bins", "label", "balance",
+                      first_by("score").alias("best_score"), first_by("gain_ratio").alias("best_gain"), first_by("balance").alias("best_balance"))

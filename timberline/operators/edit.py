@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import replace
 
 import pyarrow as pa
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 from timberline.core import clean_double, is_numeric, local_table, one_row
 from timberline.functions.impurity import impurity_of
 from timberline.operators.nodecounts import counts_by_node
-from timberline.operators.scoring import assign_leaf
 from timberline.plans.tree import Split, TreeModel
 
 
@@ -34,12 +32,14 @@ def apply_split(model: TreeModel, df: DataFrame, node_id: int, split: Split,
     rows = node_rows(df, model, node_id).where(y.isNotNull())
     child = split.child(model.input(df, split), unknown=-1)
     n = F.count(F.lit(1)) if weight_col is None else F.sum(clean_double(df, weight_col))
-    counts = rows.groupBy(child.alias("child"), y.cast("string").alias("y")).agg(n.alias("n")).collect()
+    # rows of classes the model does not know count for the sizes, the model keeps its own classes
+    known = F.when(y.cast("string").isin(list(model.classes)), y.cast("string"))
+    counts = rows.groupBy(child.alias("child"), known.alias("y")).agg(n.alias("n")).collect()
+    k = len(model.classes)
     index = {c: i for i, c in enumerate(model.classes)}
-    table = {i: [0.0] * len(index) for i in range(-1, split.width)}
+    table = {i: [0.0] * (k + 1) for i in range(-1, split.width)}
     for r in counts:
-        if r["y"] in index:
-            table[r["child"]][index[r["y"]]] += float(r["n"])
+        table[r["child"]][index.get(r["y"], k)] += float(r["n"])
     if split.kind in ("numeric", "categorical"):
         missing = 1
     else:
@@ -49,7 +49,7 @@ def apply_split(model: TreeModel, df: DataFrame, node_id: int, split: Split,
     empty = [i for i, c in enumerate(children) if sum(c) < max(min_samples_leaf, 1e-12)]
     if empty:
         raise ValueError(f"split leaves children {empty} with fewer than {min_samples_leaf} rows")
-    return model.with_split(node_id, replace(split, missing_child=missing), children)
+    return model.with_split(node_id, replace(split, missing_child=missing), [c[:k] for c in children])
 
 
 def validate_split(df: DataFrame, split: Split) -> DataFrame:
@@ -92,7 +92,7 @@ def validate_tree(model: TreeModel, df: DataFrame) -> DataFrame:
         below = [c.node_id for c in kids.get(i, [])]
         parent = model.nodes.get(node.parent_id) if node.parent_id is not None else None
         rows.append({
-            "node_id": i, "stored_n": node.n, "counted_n": n, "counts_match": tuple(counted[i]) == tuple(node.counts),
+            "node_id": i, "stored_n": node.n, "counted_n": n, "counts_match": tuple(counted[i]) == (*node.counts, 0.0),
             "children_add_up": not below or sum(sum(counted[c]) for c in below) == n,
             "depth_ok": node.depth == (parent.depth + 1 if parent else 0),
             "children_ok": len(below) == (node.split.width if node.split else 0), "is_empty": n == 0})
@@ -115,10 +115,12 @@ def split_analysis(df: DataFrame, model: TreeModel, node_id: int, value: str | N
     per_child = rows.groupBy(node.split.child(model.input(rows, node.split)).alias("child")).agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(y == c).alias(f"c{i}") for i, c in enumerate(model.classes)],
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.var_samp(x).alias("var"), F.count(x).alias("k"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")).collect()
+        F.var_samp(x).alias("var"), F.count(x).alias("k")).collect()
     total = sum(r["n"] for r in per_child)
-    k, s, ss = (sum(r[c] or 0 for r in per_child) for c in ("k", "s", "ss"))
-    variance = (ss - s * s / k) / (k - 1) if k > 1 else None
+    k = sum(r["k"] for r in per_child)
+    centre = sum(r["mean"] * r["k"] for r in per_child if r["k"]) / k if k else 0.0
+    spread = sum((r["var"] or 0.0) * (r["k"] - 1) + r["k"] * (r["mean"] - centre) ** 2 for r in per_child if r["k"])
+    variance = spread / (k - 1) if k > 1 else None
     within = sum((r["var"] or 0.0) * r["n"] for r in per_child) / total if total else None
     largest = max((r["n"] for r in per_child), default=0)
     out = [{"child": r["child"], "n": r["n"], "pct": 100.0 * r["n"] / total,
@@ -134,7 +136,3 @@ def split_analysis(df: DataFrame, model: TreeModel, node_id: int, value: str | N
         ("class_counts", pa.map_(pa.string(), pa.int64())), ("impurity", f), ("mean", f), ("std", f), ("min", f),
         ("max", f), ("variance_reduction", f)]))
 
-
-def leaf_sizes(df: DataFrame, model: TreeModel, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows per leaf, optionally per further columns."""
-    return assign_leaf(df, model).groupBy("leaf_id", *keep).agg(F.count(F.lit(1)).alias("n"))

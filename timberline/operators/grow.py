@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +24,7 @@ from timberline.operators.splits import (
     CLASS, FEATURE, GROUP, WEIGHT, best_categorical, best_numeric, best_numeric_bucketed, bucket_column,
     numeric_candidates)
 from timberline.operators.transforms import levels
-from timberline.plans.tree import ROOT, Node, Split, TreeModel, positive_class
+from timberline.plans.tree import ROOT, TYPED, Node, Split, TreeModel, positive_class
 
 ROOT_GROUP = "_root"
 
@@ -383,11 +383,16 @@ def fit(df: DataFrame, features: Sequence[str], target: str, categorical: Sequen
     """Grow a tree on ``df``; see :class:`TreeParams` for the parameters."""
     p = TreeParams(**params)
     kinds = feature_kinds(df, features, categorical)
+    types = {f: t for f, kind in kinds if kind == "numeric" and (t := field_type(df, f).simpleString()) in TYPED}
+
+    def typed(model: TreeModel) -> TreeModel:
+        return replace(model, params={**model.params, "types": types}) if types else model
+
     if p.depth_limit <= 0:
         data, classes, pos, at_root = prepare(df, kinds, target, p, weight_col, positive)
-        return grow(data, kinds, classes, pos, target, p, None, {0: at_root})[0]
+        return typed(grow(data, kinds, classes, pos, target, p, None, {0: at_root})[0])
     with laid_out(df, kinds, target, p, weight_col, positive) as (data, layout, classes, pos, at_root):
-        return grow(data, kinds, classes, pos, target, p, layout, {0: at_root}, importance=importance)[0]
+        return typed(grow(data, kinds, classes, pos, target, p, layout, {0: at_root}, importance=importance)[0])
 
 
 # --- one node ------------------------------------------------------------
@@ -423,8 +428,8 @@ def best_splits(df: DataFrame, features: Sequence[str], target: str, categorical
         return classes, found.get(0, [])
 
 
-def split_table(df: DataFrame, features: Sequence[str], target: str, top: int = 50, **kw) -> DataFrame:
-    """Best split per feature as a table, ranked by gain, with class counts and coverage."""
+def split_table(df: DataFrame, features: Sequence[str], target: str, top: int | None = None, **kw) -> DataFrame:
+    """Best split of each feature (of the ``top`` best ones) as a table, ranked by gain, with class counts and coverage."""
     classes, found = best_splits(df, features, target, **kw)
     return local_table(df.sparkSession, [_split_row(f, classes) for f in found[:top]], SPLIT_SCHEMA)
 
@@ -439,8 +444,8 @@ def best_categorical_split(df: DataFrame, features: Sequence[str], target: str,
     return split_table(df, features, target, categorical=features, **kw)
 
 
-def split_candidates(df: DataFrame, model: TreeModel, node_id: int, top: int = 50, **params) -> DataFrame:
-    """Splits available at a node of a model, ranked by gain."""
+def split_candidates(df: DataFrame, model: TreeModel, node_id: int, top: int | None = 50, **params) -> DataFrame:
+    """The ``top`` best splits available at a node of a model, ranked by gain; ``top=None`` gives all."""
     rows = df.where(model.where(df, node_id))
     return split_table(rows, [f for f, _ in model.features], model.target, top,
                        categorical=[f for f, kind in model.features if kind == "categorical"],
@@ -471,8 +476,8 @@ def suggest_splits(df: DataFrame, features: Sequence[str], target: str, categori
 
 
 def quick_screen(df: DataFrame, features: Sequence[str], target: str, categorical: Sequence[str] = (),
-                 top: int = 10, max_classes: int = 100) -> DataFrame:
-    """Gini gain of the median split, or of the first half of the sorted categories.
+                 top: int | None = None, max_classes: int = 100) -> DataFrame:
+    """Gini gain of the median split, or of the first half of the sorted categories (the ``top`` best features).
 
     All features share two aggregations: one for the medians, one for the
     class counts of every side.
@@ -500,7 +505,8 @@ def quick_screen(df: DataFrame, features: Sequence[str], target: str, categorica
     n_left = F.expr(" + ".join(f"l{i}" for i in range(len(classes))))
     n_right = F.expr(" + ".join(f"r{i}" for i in range(len(classes))))
     cuts = F.create_map(*[F.lit(v) for f in sides for v in (f, medians.get(f))]) if sides else F.lit(None)
-    return (t.where((n_left > 0) & (n_right > 0))
+    ranked = (t.where((n_left > 0) & (n_right > 0))
             .select("feature", cuts[F.col("feature")].cast("double").alias("threshold"),
                     n_left.alias("n_left"), n_right.alias("n_right"), F.expr(gain_sql(left, right, "gini")).alias("gain"))
-            .where("gain > 0").orderBy(F.desc(F.round("gain", 12)), "feature").limit(top))
+            .where("gain > 0").orderBy(F.desc(F.round("gain", 12)), "feature"))
+    return ranked if top is None else ranked.limit(top)

@@ -154,14 +154,17 @@ def permutation_importance(df: DataFrame, model: TreeModel, key: Sequence[str],
 
 
 def interactions(df: DataFrame, model: TreeModel, key: Sequence[str], features: Sequence[str] | None = None,
-                 repeats: int = 5, seed: int = 42, top: int = 10, floor: float = 0.001) -> DataFrame:
-    """drop(both) - drop(a) - drop(b) for pairs of features that each matter."""
+                 repeats: int = 5, seed: int = 42, top: int | None = 10, floor: float = 0.001) -> DataFrame:
+    """drop(both) - drop(a) - drop(b) for pairs of features that each matter.
+
+    Without a list of features the ``top`` most important ones are taken (``None``: all that the tree uses).
+    """
     spark = df.sparkSession
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("interaction", pa.float64())])
     used = used_features(model)
     if features is None:
-        features = [r["feature"] for r in feature_importance(df, model).orderBy("place").limit(top).collect()]
-    features = [f for f in features if f in used][:top]
+        features = [r["feature"] for r in feature_importance(df, model).orderBy("place").collect()][:top]
+    features = [f for f in features if f in used]
     if len(features) < 2:
         return local_table(spark, [], schema)
     indexed = _indexed(df, model, key, seed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,30 +34,55 @@ def node_class_counts(df: DataFrame, model: TreeModel, target: str | None = None
 
 
 def counts_by_node(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> dict[int, tuple[float, ...]]:
-    """Class counts of every node on the driver (leaves x classes numbers)."""
-    leaf: dict[int, list[float]] = {}
+    """Class counts of every node on the driver, and last the rows of all classes the model does not know.
+
+    Unknown classes are one group before the collect: at most leaves x (classes + 1) numbers.
+    """
+    k = len(model.classes)
     index = {c: i for i, c in enumerate(model.classes)}
-    for r in leaf_class_counts(df, model, weight_col=weight_col).collect():
-        if r["y"] in index:
-            leaf.setdefault(r["leaf_id"], [0.0] * len(index))[index[r["y"]]] += float(r["n"])
-    out: dict[int, list[float]] = {i: [0.0] * len(index) for i in model.nodes}
+    counts = leaf_class_counts(df, model, weight_col=weight_col)
+    known = F.when(F.col("y").isin(list(model.classes)), F.col("y"))
+    leaf: dict[int, list[float]] = {}
+    for r in counts.groupBy("leaf_id", known.alias("y")).agg(F.sum("n").alias("n")).collect():
+        leaf.setdefault(r["leaf_id"], [0.0] * (k + 1))[index.get(r["y"], k)] += float(r["n"])
+    out: dict[int, list[float]] = {i: [0.0] * (k + 1) for i in model.nodes}
     for leaf_id, counts in leaf.items():
         for a in model.ancestors(leaf_id):
             out[a] = [x + y for x, y in zip(out[a], counts)]
     return {i: tuple(c) for i, c in out.items()}
 
 
+UNSEEN = "(unseen)"
+
+
+def recounted(model: TreeModel, counts: dict[int, tuple[float, ...]]) -> TreeModel:
+    """The model with the counts of ``counts_by_node``; rows of unknown classes become one more class."""
+    if any(c[-1] for c in counts.values()):
+        model = replace(model, classes=(*model.classes, UNSEEN))
+    return model.with_counts({i: c[:len(model.classes)] for i, c in counts.items()})
+
+
+def without_unseen(model: TreeModel) -> TreeModel:
+    """The model with its own classes again."""
+    if model.classes[-1] != UNSEEN:
+        return model
+    return replace(model, classes=model.classes[:-1]).with_counts({i: n.counts[:-1] for i, n in model.nodes.items()})
+
+
 def pivoted(counts: DataFrame, model: TreeModel) -> DataFrame:
-    """One row per node: ``c0…`` per class and ``n``, with the nodes that got no rows."""
+    """One row per node: ``c0…`` per class, ``cu`` for all classes the model does not know, and ``n`` of all rows;
+    with the nodes that got no rows."""
     k = len(model.classes)
     wide = counts.groupBy("node_id").agg(*[
-        F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(model.classes)])
+        F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(model.classes)],
+        F.sum(F.when(F.col("y").isin(list(model.classes)), 0).otherwise(F.col("n"))).alias("cu"))
     nodes = model.to_df(counts.sparkSession).select(
         "node_id", "parent_id", "child_index", "depth", "is_terminal", "prediction", "path", "rule", "split_feature")
     joined = nodes.join(wide, "node_id", "left")
-    filled = joined.withColumns({f"c{i}": F.coalesce(f"c{i}", F.lit(0)) for i in range(k)})
-    return filled.withColumn("n", sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0")))
+    filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in (*[f"c{i}" for i in range(k)], "cu")})
+    return filled.withColumn("n", sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0")) + F.col("cu"))
 
 
 def class_columns(model: TreeModel) -> list[Column]:
-    return [F.col(f"c{i}") for i in range(len(model.classes))]
+    """Counts of the model's classes, then of all others."""
+    return [*[F.col(f"c{i}") for i in range(len(model.classes))], F.col("cu")]

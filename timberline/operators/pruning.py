@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from timberline.core import local_table
-from timberline.operators.nodecounts import counts_by_node
+from timberline.operators.nodecounts import counts_by_node, recounted, without_unseen
 from timberline.plans.tree import ROOT, TreeModel
 
 # Confidence level and normal quantile used for it and above.
@@ -47,9 +47,10 @@ def _cut(model: TreeModel, alpha: float) -> TreeModel:
 def prune_cc(model: TreeModel, df: DataFrame | None = None, alpha: float = 0.01) -> TreeModel:
     """Collapse nodes whose link strength is below alpha, deepest first, never the root.
 
-    With ``df`` the counts of the model are taken anew from that data first.
+    With ``df`` the counts of the model are taken anew from that data first; rows of classes the model does not know
+    count as one class of their own.
     """
-    return _cut(model.with_counts(counts_by_node(df, model)) if df is not None else model, alpha)
+    return without_unseen(_cut(recounted(model, counts_by_node(df, model)) if df is not None else model, alpha))
 
 
 def _correct(model: TreeModel, counted: dict[int, tuple[float, ...]], node_ids) -> float:
@@ -77,13 +78,13 @@ def prune_cc_search(model: TreeModel, df: DataFrame) -> tuple[TreeModel, DataFra
 
 def prune_path(model: TreeModel, df: DataFrame | None = None) -> list[tuple[float, TreeModel]]:
     """Weakest-link path: ``(alpha, tree)`` from the full tree to the root's children."""
-    tree = model.with_counts(counts_by_node(df, model)) if df is not None else model
-    path = [(0.0, tree)]
+    tree = recounted(model, counts_by_node(df, model)) if df is not None else model
+    path = [(0.0, without_unseen(tree))]
     while prunable(tree):
         strength = {i: link_strength(tree, i) for i in prunable(tree)}
         alpha = min(strength.values())
         tree = tree.collapsed(i for i, s in strength.items() if s == alpha)
-        path.append((alpha, tree))
+        path.append((alpha, without_unseen(tree)))
     return path
 
 

@@ -77,7 +77,7 @@ def evaluate_nodes(df: DataFrame, model: TreeModel) -> DataFrame:
 def leaf_performance(df: DataFrame, model: TreeModel) -> DataFrame:
     """Per leaf: purity, accuracy of the stored prediction, share of the rows."""
     leaves = node_table(df, model).where("is_terminal AND n > 0")
-    top = F.greatest(*class_columns(model)) if len(model.classes) > 1 else F.col("c0")
+    top = F.greatest(*class_columns(model))
     return leaves.select("node_id", "path", "n", "prediction", (top / F.col("n")).alias("purity"),
                          (F.col("hits") / F.col("n")).alias("accuracy"),
                          (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("row_share"))
@@ -198,7 +198,7 @@ def relatives(df: DataFrame, model: TreeModel) -> DataFrame:
 def purity(df: DataFrame, model: TreeModel) -> DataFrame:
     """Gini, entropy and dominant share of every node."""
     counts = class_columns(model)
-    top = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    top = F.greatest(*counts)
     return node_table(df, model).select("node_id", "n", impurity(counts, "gini").alias("gini"),
                                         impurity(counts, "entropy").alias("entropy"),
                                         (F.try_divide(top, F.col("n")) * 100.0).alias("dominant_pct"))

@@ -96,7 +96,7 @@ def limit_rows(df: DataFrame, order_by: Sequence[str | Column], skip: int = 0, s
     return indexed.where((F.col("_i") >= skip) & (F.col("_i") < last)).drop("_i")
 
 
-def top_rows(df: DataFrame, col: str, ascending: bool = False, n: int = 10_000,
+def top_rows(df: DataFrame, col: str, n: int, ascending: bool = False,
              then: Sequence[str] = ()) -> DataFrame:
     """The first n rows by a column (planned as a distributed top-k)."""
     c = F.col(col)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,28 @@ ROOT = 0
 POSITIVE_LABELS = ("1", "true", "yes", "y", "positive")
 
 NUMERIC_OPS = ("<=", "<", ">", ">=")
+
+# Features of these types are split by number (0 and 1, seconds since 1970) and written in their own type.
+TYPED = ("boolean", "date", "timestamp", "timestamp_ntz")
+
+
+def comparison_sql(f: str, op: str, value: float, kind: str = "") -> str:
+    """``f op value`` as SQL, with the literal in the type of the column."""
+    if kind == "boolean":
+        holds = {"<=": lambda x: x <= value, "<": lambda x: x < value, ">": lambda x: x > value, ">=": lambda x: x >= value}[op]
+        hit = [name for name, x in (("FALSE", 0.0), ("TRUE", 1.0)) if holds(x)]
+        return f"{f} IN ({', '.join(hit)})" if hit else "FALSE"
+    if kind not in TYPED:
+        return f"{f} {op} {value!r}"
+    # the nearest day or microsecond on the side that keeps the comparison
+    per_second = 1 / 86_400 if kind == "date" else 1_000_000
+    n = (math.floor if op in ("<=", ">") else math.ceil)(round(value * per_second, 6))
+    start = datetime(1970, 1, 1, tzinfo=UTC)
+    if kind == "date":
+        return f"{f} {op} DATE '{(start + timedelta(days=n)).date()}'"
+    literal = f"TIMESTAMP '{(start + timedelta(microseconds=n)).strftime('%Y-%m-%d %H:%M:%S.%f')}Z'"
+    return f"{f} {op} {literal if kind == 'timestamp' else f'CAST({literal} AS TIMESTAMP_NTZ)'}"
+
 SPLIT_KINDS = ("numeric", "numeric_multi_bin", "categorical", "categorical_multi_bin")
 
 
@@ -130,18 +154,18 @@ class Split:
             out = out.when(x < F.lit(float(t)), r)
         return out.otherwise(results[-1])
 
-    def sql(self, child: int) -> str:
-        """The rows of one child as a Spark SQL predicate."""
+    def sql(self, child: int, kind: str = "") -> str:
+        """The rows of one child as a Spark SQL predicate; ``kind`` is the feature's type if it is one of ``TYPED``."""
         f = name_sql(self.feature)
         if self.kind == "numeric":
             flip = {"<=": ">", "<": ">=", ">": "<=", ">=": "<"}
-            text = f"{f} {self.op if child == 0 else flip[self.op]} {self.value!r}"
+            text = comparison_sql(f, self.op if child == 0 else flip[self.op], self.value, kind)
         elif self.kind == "numeric_multi_bin":
             parts = []
             if child > 0:
-                parts.append(f"{f} >= {self.thresholds[child - 1]!r}")
+                parts.append(comparison_sql(f, ">=", self.thresholds[child - 1], kind))
             if child < len(self.thresholds):
-                parts.append(f"{f} < {self.thresholds[child]!r}")
+                parts.append(comparison_sql(f, "<", self.thresholds[child], kind))
             text = " AND ".join(parts)
         else:
             if child == self.missing_child:
@@ -243,7 +267,8 @@ class TreeModel:
         return "/".join(["x", *[str(i + 1) for _, i in steps]]) if steps else "x0"
 
     def rule(self, node_id: int) -> str:
-        return " AND ".join(p.split.sql(i) for p, i in self.steps(node_id)) or "TRUE"
+        types = self.params.get("types", {})
+        return " AND ".join(p.split.sql(i, types.get(p.split.feature, "")) for p, i in self.steps(node_id)) or "TRUE"
 
     # --- node values ---
     def impurity(self, node_id: int) -> float:
@@ -309,7 +334,7 @@ class TreeModel:
         out = F.lit(True)
         for parent, i in self.steps(node_id):
             s = parent.split
-            hit = F.expr(s.sql(i))
+            hit = F.expr(s.sql(i, "" if s.is_categorical else field_type(df, s.feature).simpleString()))
             if not s.is_categorical and isinstance(field_type(df, s.feature), FLOATING):
                 nan = F.isnan(F.col(f"`{s.feature}`"))
                 hit = (hit | nan) if i == s.missing_child else (hit & ~nan)

@@ -66,11 +66,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The most frequent candidate in the first 10,000 characters; tab when none occurs."""
-    text, lines = "", spark.read.text(path).limit(1000).collect()
-    for r in lines:
-        text += r["value"] + "\n"
-        if len(text) >= SNIFF_CHARS:
+    lines = spark.read.text(path).select(F.substring("value", 1, SNIFF_CHARS).alias("value"))
+    text, n = "", 100
+    while True:  # short lines: look at more of them
+        got = lines.limit(n).collect()
+        text = "".join(r["value"] + "\n" for r in got)
+        if len(text) >= SNIFF_CHARS or len(got) < n:
             break
+        n = min(10 * n, SNIFF_CHARS)
     text = text[:SNIFF_CHARS]
     counts = {d: text.count(d) for d in DELIMITERS}
     best = max(DELIMITERS, key=lambda d: counts[d])
@@ -108,8 +111,8 @@ def read_any(spark: SparkSession, path: str, **opts) -> DataFrame:
     return readers[ending](spark, path, **opts)
 
 
-def list_files(spark: SparkSession, prefix: str, pattern: str | None = None, n: int | None = 1000) -> DataFrame:
-    """Files under a prefix by path: name, size, modification time (contents are not read)."""
+def list_files(spark: SparkSession, prefix: str, pattern: str | None = None, n: int | None = None) -> DataFrame:
+    """Files (the first ``n``, if given) under a prefix by path: name, size, modification time (contents are not read)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -30,7 +30,8 @@ def save_model(model: TreeModel, spark: SparkSession, path: str, mode: str = "ov
     document = {
         "classes": list(model.classes), "positive": model.positive, "target": model.target,
         "features": [list(f) for f in model.features], "criterion": model.criterion,
-        "params": asdict(params) if params is not None else None, "nodes": model.rows()}
+        "params": asdict(params) if params is not None else None, "types": model.params.get("types", {}),
+        "nodes": model.rows()}
     table = local_table(spark, [{"value": json.dumps(document)}], pa.schema([("value", pa.string())]))
     table.coalesce(1).write.mode(mode).text(path)
 
@@ -38,6 +39,8 @@ def save_model(model: TreeModel, spark: SparkSession, path: str, mode: str = "ov
 def load_model(spark: SparkSession, path: str) -> TreeModel:
     document = json.loads(spark.read.text(path, wholetext=True).first()["value"])
     params = {"params": TreeParams(**document["params"])} if document["params"] else {}
+    if document.get("types"):
+        params["types"] = document["types"]
     return TreeModel.from_rows(document["nodes"], document["classes"], document["positive"], document["target"],
                                document["features"], document["criterion"], params)
 

@@ -93,21 +93,22 @@ def merge_small_bins(spark, sf):
     return edges_frame(spark, B.merge_small_bins(credit(spark, sf), "l_quantity", edges, "y", min_share=0.12))
 
 
-def quality_sql(edges=EDGES, crit="gini") -> str:
+def quality_sql(edges=EDGES, crit="gini", source=CREDIT, col="l_quantity") -> str:
+    """Every value of ``b`` is a group: the bins, -1 outside the edges, NULL."""
     g = {"gini": "1 - (power(p / n, 2) + power(1 - p / n, 2))",
          "entropy": "-(CASE WHEN p > 0 THEN p / n * log2(p / n) ELSE 0 END + CASE WHEN p < n THEN (1 - p / n) * log2(1 - p / n) ELSE 0 END)",
          "log_loss": "-(CASE WHEN p > 0 THEN p / n * ln(p / n) ELSE 0 END + CASE WHEN p < n THEN (1 - p / n) * ln(1 - p / n) ELSE 0 END)"}[crit]
     k = len(edges) - 1
     return f"""(
-    WITH r AS (SELECT {bin_case('l_quantity', edges)} AS b, y FROM {CREDIT}),
-    a AS (SELECT COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS p FROM r), w AS (SELECT n AS total, {g} AS before FROM a),
-    f AS (SELECT b, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS p FROM r WHERE b >= 0 GROUP BY 1),
+    WITH r AS (SELECT {bin_case(col, edges)} AS b, y FROM {source}),
+    f AS (SELECT b, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS p FROM r GROUP BY 1),
+    a AS (SELECT SUM(n) AS n, SUM(p) AS p FROM f), w AS (SELECT n AS total, {g} AS before, (SELECT SUM(n * ({g})) FROM f) / n AS after FROM a),
     e AS (SELECT unnest(range({k})) AS bin),
-    i AS (SELECT bin, COALESCE(n, 0) AS n, COALESCE({g}, 0) AS imp, p FROM e LEFT JOIN f ON e.bin = f.b)
-    SELECT before AS impurity_before, SUM(n * imp) / total AS impurity_after, before - SUM(n * imp) / total AS impurity_decrease,
-           (before - SUM(n * imp) / total) / before AS gain_ratio, COUNT(*) AS n_bins, COUNT(*) FILTER (n = 0) AS empty_bins,
+    i AS (SELECT bin, COALESCE(n, 0) AS n, CASE WHEN n > 0 THEN 1 - ({g}) ELSE 0 END AS purity FROM e LEFT JOIN f ON e.bin = f.b)
+    SELECT before AS impurity_before, after AS impurity_after, before - after AS impurity_decrease,
+           (before - after) / before AS gain_ratio, COUNT(*) AS n_bins, SUM(n) AS binned, AVG(purity) FILTER (n > 0) AS mean_purity, MIN(purity) FILTER (n > 0) AS least_purity, COUNT(*) FILTER (n = 0) AS empty_bins,
            COUNT(*) FILTER (n > 0 AND n < floor(total / 20)) AS small_bins, MAX(n) AS hi, MIN(n) FILTER (n > 0) AS lo, total
-    FROM i, w GROUP BY before, total)"""
+    FROM i, w GROUP BY before, after, total)"""
 
 
 QCOLS = "impurity_before, impurity_after, impurity_decrease, gain_ratio, n_bins, empty_bins, small_bins"
@@ -119,15 +120,50 @@ for _crit in ("gini", "entropy", "log_loss"):
         return B.bin_split_quality(credit(spark, sf), "l_quantity", EDGES, "y", crit)
 
 
+@query("bin_split_quality_nulls", f"SELECT {QCOLS} FROM {quality_sql(source=CREDIT_NULL)}", QFLOATS, digits=9)
+def bin_split_quality_nulls(spark, sf):
+    """A quarter of the rows without a value: they are a group of their own, not a pure one."""
+    return B.bin_split_quality(credit_null(spark, sf), "l_quantity", EDGES, "y")
+
+
+NULL_RATIO = f"SELECT ABS(gain_ratio) < 0.02 AS no_gain FROM {quality_sql(source=CREDIT_NULL, col='l_linenumber', edges=[1.0, 2.0, 5.0, 7.0])}"
+
+
+@query("bin_split_quality_unrelated_nulls", NULL_RATIO)
+def bin_split_quality_unrelated_nulls(spark, sf):
+    """The line number has nothing to do with the target; its NULLs must not change that."""
+    q = B.bin_split_quality(credit_null(spark, sf), "l_linenumber", [1.0, 2.0, 5.0, 7.0], "y")
+    return q.select((F.abs("gain_ratio") < 0.02).alias("no_gain"))
+
+
 RATING = """(SELECT *, (empty_bins > 0)::INT + (small_bins > 0)::INT + (impurity_decrease < 0.01)::INT + (gain_ratio < 0.1)::INT + (hi / lo > 10)::INT AS issues,
    (impurity_decrease >= 0.01)::INT + (gain_ratio > 0.3)::INT + (hi / lo < 3)::INT AS strengths FROM {q})"""
 SCORED = """(SELECT *, GREATEST(0, LEAST(gain_ratio * 100, 50) - 10 * issues + 5 * strengths)::DOUBLE AS score FROM """ + RATING + ")"
 LABEL = "CASE WHEN score >= 70 THEN 'excellent' WHEN score >= 50 THEN 'good' WHEN score >= 30 THEN 'fair' WHEN score >= 10 THEN 'poor' ELSE 'very_poor' END"
 
 
-@query("rate_split", f"SELECT score, {LABEL} AS label, issues::BIGINT AS issues, strengths::BIGINT AS strengths FROM {SCORED.format(q=quality_sql())}", "score")
+def named_sql(rules: dict[str, str]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules.items()) + ")"
+
+
+ISSUE_LIST = named_sql({"empty_bins": "empty_bins > 0", "small_bins": "small_bins > 0", "no_improvement": "impurity_decrease <= 0",
+                        "tiny_improvement": "impurity_decrease > 0 AND impurity_decrease < 0.01", "low_gain_ratio": "gain_ratio < 0.1", "imbalanced_bins": "hi / lo > 10"})
+STRENGTH_LIST = named_sql({"good_decrease": "impurity_decrease >= 0.01", "high_gain_ratio": "gain_ratio > 0.3", "balanced_bins": "hi / lo < 3"})
+
+
+def rate_sql(source: str) -> str:
+    return (f"SELECT score, {LABEL} AS label, issues::BIGINT AS issues, strengths::BIGINT AS strengths, {ISSUE_LIST} AS issue_list, {STRENGTH_LIST} AS strength_list "
+            f"FROM {SCORED.format(q=quality_sql(source=source))}")
+
+
+@query("rate_split", rate_sql(CREDIT), "score")
 def rate_split(spark, sf):
-    return B.rate_split(credit(spark, sf), "l_quantity", EDGES, "y").select("score", "label", "issues", "strengths")
+    return B.rate_split(credit(spark, sf), "l_quantity", EDGES, "y")
+
+
+@query("rate_split_nulls", rate_sql(CREDIT_NULL), "score")
+def rate_split_nulls(spark, sf):
+    return B.rate_split(credit_null(spark, sf), "l_quantity", EDGES, "y")
 
 
 # a target that follows the price, so that ratings are not all poor
@@ -171,16 +207,16 @@ def optimal_sql() -> str:
     t AS (SELECT COUNT(*)::DOUBLE AS n, SUM((l_linestatus = 'O')::INT)::DOUBLE AS p FROM lineitem),
     q AS (SELECT k, any_value(e) AS e, COUNT(*) AS n_bins, (SELECT 2 * p / n * (1 - p / n) FROM t) AS before,
                  SUM(c.n * 2 * c.p / c.n * (1 - c.p / c.n)) / SUM(c.n) AS after, MAX(n) / MIN(n) AS spread FROM c GROUP BY k),
-    s AS (SELECT k, n_bins, GREATEST(0, LEAST((before - after) / before * 100, 50)
+    s AS (SELECT k, e, n_bins, GREATEST(0, LEAST((before - after) / before * 100, 50)
             - 10 * ((before - after < 0.01)::INT + ((before - after) / before < 0.1)::INT + (spread > 10)::INT)
             + 5 * ((before - after >= 0.01)::INT + ((before - after) / before > 0.3)::INT + (spread < 3)::INT))::DOUBLE AS score FROM q)
-    SELECT k::BIGINT AS requested_bins, n_bins, score FROM s ORDER BY score DESC, k LIMIT 1"""
+    SELECT k::BIGINT AS requested_bins, n_bins, score, unnest(e) AS edge FROM (SELECT * FROM s ORDER BY score DESC, k LIMIT 1)"""
 
 
-@query("optimal_bins", optimal_sql(), "score")
+@query("optimal_bins", optimal_sql(), "score edge")
 def optimal_bins(spark, sf):
     return B.optimal_bins(table(spark, sf, "lineitem"), "l_extendedprice", "l_linestatus", max_bins=6).select(
-        "requested_bins", "n_bins", "score")
+        "requested_bins", "n_bins", "score", F.explode("edges").alias("edge"))
 
 
 def poisson_sql(u: str) -> str:
@@ -228,12 +264,28 @@ def preview_split_bins(spark, sf):
     return B.preview_split(credit(spark, sf), "l_quantity", EDGES, "y")["bins"].drop("lower", "upper", "top_class")
 
 
-@query("preview_split_summary", f"""
-    SELECT 'l_quantity' AS feature, n_bins, n_bins - empty_bins AS n_filled, total::BIGINT AS n, impurity_before, impurity_after, impurity_decrease, gain_ratio,
-           score, {LABEL} AS label, impurity_decrease > 0 AS beneficial, lo::BIGINT AS min_bin, hi::BIGINT AS max_bin
-    FROM {SCORED.format(q=quality_sql())}""", QFLOATS + " score")
+WARNING_LIST = named_sql({"empty_bins": "empty_bins > 0", "no_improvement": "impurity_decrease <= 0", "bins_under_3_rows": "lo < 3", "very_low_gain": "gain_ratio < 0.05",
+                          "one_bin_over_80_pct": "hi > 0.8 * binned", "all_bins_pure": "empty_bins = 0 AND least_purity > 0.95"})
+ADVICE_LIST = named_sql({"remove_empty_bins": "empty_bins > 0", "merge_small_bins": "small_bins > 0", "try_other_feature": "gain_ratio < 0.1", "use_equal_frequency": "hi / lo > 10",
+                         "ready_to_apply": "label IN ('good', 'excellent')", "acceptable": "label = 'fair'", "fewer_bins": "n_bins > floor(binned / 10)",
+                         "strong_binary_split": "n_bins = 2 AND gain_ratio > 0.3 AND n_bins <= floor(binned / 10)"})
+
+
+def summary_sql(source: str) -> str:
+    return f"""
+    SELECT 'l_quantity' AS feature, n_bins, n_bins - empty_bins AS n_filled, binned::BIGINT AS n, impurity_before, impurity_after, impurity_decrease, gain_ratio,
+           score, label, impurity_decrease > 0 AS beneficial, mean_purity, lo::BIGINT AS min_bin, hi::BIGINT AS max_bin, {WARNING_LIST} AS warnings, {ADVICE_LIST} AS recommendations
+    FROM (SELECT *, {LABEL} AS label FROM {SCORED.format(q=quality_sql(source=source))})"""
+
+
+@query("preview_split_summary", summary_sql(CREDIT), QFLOATS + " score mean_purity")
 def preview_split_summary(spark, sf):
-    return B.preview_split(credit(spark, sf), "l_quantity", EDGES, "y")["summary"].drop("mean_purity", "warnings", "recommendations")
+    return B.preview_split(credit(spark, sf), "l_quantity", EDGES, "y")["summary"]
+
+
+@query("preview_split_nulls", summary_sql(CREDIT_NULL), QFLOATS + " score mean_purity")
+def preview_split_nulls(spark, sf):
+    return B.preview_split(credit_null(spark, sf), "l_quantity", EDGES, "y")["summary"]
 
 
 CONFIGS = {"two": [1.0, 25.0, 60.0], "three": [1.0, 15.0, 35.0, 60.0], "uneven": [1.0, 2.0, 60.0]}

@@ -13,6 +13,7 @@ from timberline.core import checkpoint_dir, local_table
 from timberline.operators import edit as E
 from timberline.operators import grow as G
 from timberline.operators import pruning as P
+from timberline.operators import reports as N
 from timberline.operators import scoring as S
 from timberline.plans.tree import Split, TreeModel
 from timberline.sources import writers
@@ -514,3 +515,95 @@ def predict_proba(spark, sf):
     FROM r JOIN m USING (leaf_id) JOIN t USING (leaf_id), big""", "p")
 def score(spark, sf):
     return S.score(credit(spark, sf), fixed_tree(spark, sf)).select(*KEY, "leaf_id", "path", "p", "prediction", "rule")
+
+
+# --- typed features, many features, unseen classes -----------------------
+
+def dated(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem with a date, a timestamp and a boolean feature; the target follows them."""
+    return table(spark, sf, "lineitem").select(
+        *KEY, F.col("l_shipdate").cast("date").alias("day"), F.col("l_shipdate").alias("moment"), (F.col("l_quantity") > 25).alias("big"),
+        (F.col("l_shipdate") > F.lit("1997-03-01").cast("timestamp")).cast("int").alias("y"))
+
+
+DATED = """(SELECT l_shipdate::DATE AS day, l_shipdate AS moment, l_quantity > 25 AS big, (l_shipdate > TIMESTAMP '1997-03-01')::INT AS y FROM lineitem)"""
+
+
+def dated_tree(spark: SparkSession, sf: str) -> TreeModel:
+    df = dated(spark, sf)
+    m = G.fit(df, ["day", "moment", "big"], "y", criterion="gini", growth="manual")
+    m = E.apply_split(m, df, 0, Split("day", "numeric", "<=", 852_076_800.0 + 43_200.0))  # noon of 1997-01-01
+    m = E.apply_split(m, df, 1, Split("big", "numeric", "<=", 0.5))
+    return E.apply_split(m, df, 2, Split("moment", "numeric_multi_bin", thresholds=(867_715_200.0, 883_612_800.0)))
+
+
+DATED_LEAF = """CAST(CASE WHEN day <= DATE '1997-01-01' THEN CASE WHEN NOT big THEN 3 ELSE 4 END
+  WHEN moment < TIMESTAMP '1997-07-01' THEN 5 WHEN moment < TIMESTAMP '1998-01-01' THEN 6 ELSE 7 END AS BIGINT)"""
+
+
+@query("node_rows_date", f"SELECT leaf AS node_id, COUNT(*) AS n, SUM(y)::BIGINT AS positives FROM (SELECT {DATED_LEAF} AS leaf, y FROM {DATED}) GROUP BY 1")
+def node_rows_date(spark, sf):
+    """Rows of every leaf below date, boolean and timestamp splits, by predicate."""
+    df, m = dated(spark, sf), dated_tree(spark, sf)
+    return reduce(DataFrame.unionByName, [E.node_rows(df, m, n.node_id).groupBy(F.lit(n.node_id).cast("long").alias("node_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives")) for n in m.leaves()])
+
+
+@query("score_date_rule", f"SELECT {DATED_LEAF} AS leaf_id, {DATED_LEAF} AS by_rule, COUNT(*) AS n FROM {DATED} GROUP BY ALL")
+def score_date_rule(spark, sf):
+    """The written rules, run as SQL, lead to the leaf that the row is routed to."""
+    df, m = dated(spark, sf), dated_tree(spark, sf)
+    by_rule = F.coalesce(*[F.when(F.expr(m.rule(n.node_id)), F.lit(n.node_id)) for n in m.leaves()]).cast("long")
+    return S.assign_leaf(df, m).groupBy("leaf_id", by_rule.alias("by_rule")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("split_candidates_date", f"""
+    WITH g AS (SELECT big, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS p FROM {DATED} WHERE moment >= TIMESTAMP '1997-01-02' AND moment < TIMESTAMP '1997-07-01' GROUP BY big),
+    t AS (SELECT SUM(n) AS tn, SUM(p) AS tp FROM g)
+    SELECT 'big' AS feature, MAX(n) FILTER (NOT big) AS n_left, MAX(n) FILTER (big) AS n_right,
+      MAX(2 * tp / tn * (1 - tp / tn)) - SUM(n / tn * 2 * p / n * (1 - p / n)) AS gain FROM g, t""", "gain", digits=9)
+def split_candidates_date(spark, sf):
+    """Candidates below a date and a timestamp split."""
+    t = G.split_candidates(dated(spark, sf), dated_tree(spark, sf), 5)
+    return t.where("feature = 'big'").select("feature", "n_left", "n_right", "gain")
+
+
+WIDE = 60
+
+
+@query("best_numeric_split_wide", "SELECT 'f' || i AS feature, 0.5::DOUBLE AS threshold, COUNT(*) FILTER ((l_orderkey + i) % (i + 2) = 0)::DOUBLE AS n_left, "
+       f"COUNT(*) FILTER ((l_orderkey + i) % (i + 2) <> 0)::DOUBLE AS n_right FROM {CREDIT}, (SELECT unnest(range({WIDE})) AS i) GROUP BY i")
+def best_numeric_split_wide(spark, sf):
+    """More than fifty features: each has its row."""
+    df = credit(spark, sf).select("y", *[((F.col("l_orderkey") + i) % (i + 2) != 0).cast("int").alias(f"f{i}") for i in range(WIDE)])
+    t = G.best_numeric_split(df, [f"f{i}" for i in range(WIDE)], "y", criterion="gini")
+    return t.select("feature", "threshold", "n_left", "n_right")
+
+
+def unseen(spark: SparkSession, sf: str) -> DataFrame:
+    """credit with rows of a class that the tree was not fitted on."""
+    return credit(spark, sf).withColumn("y", F.when(F.col("l_tax") > 0.06, 2).otherwise(F.col("y")))
+
+
+UNSEEN = "(SELECT * REPLACE (CASE WHEN l_tax > 0.06 THEN 2 ELSE y END AS y) FROM " + CREDIT + ")"
+UNSEEN_NODES = f"""r AS (SELECT {LEAF} AS leaf, y FROM {UNSEEN}), o AS (SELECT {LEAF} AS leaf, y FROM {CREDIT}),
+    e(leaf, node_id) AS (SELECT unnest([3, 4, 5, 6, 7]), unnest([3, 4, 5, 6, 7]) UNION ALL SELECT unnest([3, 4, 5, 6, 7]), unnest([1, 1, 2, 2, 2]) UNION ALL SELECT unnest([3, 4, 5, 6, 7]), 0),
+    g AS (SELECT node_id::BIGINT AS node_id, AVG(y) > 0.5 AS yes, COUNT(*) AS stored FROM o JOIN e USING (leaf) GROUP BY 1),
+    k AS (SELECT node_id::BIGINT AS node_id, COUNT(*) AS n, COUNT(*) FILTER (y = 0) AS c0, COUNT(*) FILTER (y = 1) AS c1 FROM r JOIN e USING (leaf) GROUP BY 1)"""
+
+
+@query("evaluate_nodes_unseen_class", f"WITH {UNSEEN_NODES} SELECT node_id, n, CASE WHEN yes THEN c1 ELSE c0 END / n::DOUBLE AS accuracy FROM k JOIN g USING (node_id)", "accuracy")
+def evaluate_nodes_unseen_class(spark, sf):
+    """Rows of an unseen class are wrong predictions, not missing rows."""
+    return N.evaluate_nodes(unseen(spark, sf), fixed_tree(spark, sf)).select("node_id", "n", "accuracy")
+
+
+@query("node_report_unseen_class", f"WITH {UNSEEN_NODES} SELECT node_id, n AS node_size, c1 AS target_count, c1 * 100.0::DOUBLE / n AS target_rate FROM k WHERE node_id >= 3", "target_rate")
+def node_report_unseen_class(spark, sf):
+    return N.node_report(unseen(spark, sf), fixed_tree(spark, sf)).select("node_id", "node_size", "target_count", "target_rate")
+
+
+@query("validate_tree_unseen_class", f"""WITH {UNSEEN_NODES} SELECT node_id, stored::DOUBLE AS stored_n, n::DOUBLE AS counted_n, c0 + c1 = n AS counts_match, TRUE AS children_add_up
+    FROM k JOIN g USING (node_id)""")
+def validate_tree_unseen_class(spark, sf):
+    return E.validate_tree(fixed_tree(spark, sf), unseen(spark, sf)).select("node_id", "stored_n", "counted_n", "counts_match", "children_add_up")
