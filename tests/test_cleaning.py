@@ -151,3 +151,42 @@ def test_duplicates_and_empty_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (2, None)], "x int, s string")
     assert R.drop_duplicates(df).count() == 3
     assert R.drop_empty_rows(df).count() == 3
+
+
+def test_columns_without_values(spark):
+    """Named results instead of crashes."""
+    from timberline.operators import binning, profiling, transforms
+    df = spark.createDataFrame([(None, 1), (None, 0)], "x double, y int")
+    for edges in (lambda: binning.edges_equal_width(df, "x", 3), lambda: binning.edges_equal_freq(df, "x", 3),
+                  lambda: binning.edges_outlier(df, "x"), lambda: binning.optimal_bins(df, "x", "y")):
+        with pytest.raises(ValueError, match="no values"):
+            edges()
+    assert [r["b"] for r in transforms.bin_custom(df, "x", [], "b").collect()] == [None, None]
+    assert profiling.suggest_target_thresholds(df, "x").count() == 0
+    assert profiling.correlations(df).count() == 0 and profiling.target_correlations(df, "y").count() == 0
+
+
+def test_modes_of_many_types_in_two_jobs(spark):
+    import datetime
+    from timberline.operators.missing import modes
+    day = datetime.date(2020, 2, 29)
+    df = spark.createDataFrame([(10, "b", True, day, 1.5), (9, "a", True, day, 1.5), (9, "b", False, None, float("nan")), (10, "a", None, None, None)],
+                               "i int, s string, b boolean, d date, x double")
+    assert modes(df, df.columns) == {"i": 9, "s": "a", "b": True, "d": day, "x": 1.5}
+
+
+def test_caches_are_released(spark):
+    from timberline.operators import evaluation
+    scored = spark.createDataFrame([(0.2, 0), (0.7, 1), (0.7, 0)], "p double, y int")
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    for _ in range(3):
+        evaluation.roc_auc(scored).collect()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+
+
+def test_rules_in_the_column_type():
+    from timberline.plans.tree import comparison_sql
+    assert comparison_sql("d", "<=", 1_586_520_000.0, "date") == "d <= DATE '2020-04-10'"
+    assert comparison_sql("d", "<", 1_586_520_000.0, "date") == "d < DATE '2020-04-11'"
+    assert comparison_sql("t", ">", 1_586_520_000.5, "timestamp") == "t > TIMESTAMP '2020-04-10 12:00:00.500000Z'"
+    assert comparison_sql("b", "<=", 0.5, "boolean") == "b IN (FALSE)" and comparison_sql("x", "<=", 0.5) == "x <= 0.5"

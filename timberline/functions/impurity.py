@@ -87,18 +87,3 @@ def impurity_of(counts: Sequence[float], criterion: str = "gini") -> float:
         return 1.0 - max(shares)
     log = math.log2 if kind == "entropy" else math.log
     return -sum(p * log(p) for p in shares)
-
-
-def impurity_of_list(items: Column, criterion: str = "gini") -> Column:
-    """Impurity of an ``array<double>`` of counts (for any number of classes)."""
-    kind = measure(criterion)
-    n = F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
-    if kind == "gini":
-        value = F.lit(1.0) - F.aggregate(items, F.lit(0.0), lambda a, x: a + (x / n) * (x / n))
-    elif kind == "misclassification":
-        value = F.lit(1.0) - F.array_max(items) / n
-    else:
-        log = F.log2 if kind == "entropy" else F.ln
-        value = F.aggregate(items, F.lit(0.0),
-                            lambda a, x: a - F.when(x > 0, (x / n) * log(x / n)).otherwise(F.lit(0.0)))
-    return F.when(n > 0, value).otherwise(F.lit(0.0))

@@ -14,16 +14,6 @@ from pyspark.sql import functions as F
 from timberline.core import clean_double, one_row
 from timberline.functions.conditions import condition, holds
 
-# Formula function names and the Spark SQL that computes them.
-FORMULA_FUNCTIONS = {
-    "LOG": "log10(x)", "LN": "ln(x)", "EXP": "exp(x)", "SQRT": "sqrt(x)", "ABS": "abs(x)",
-    "ROUND": "bround(x, d)", "FLOOR": "floor(x)", "CEIL": "ceil(x)",
-    "SIN": "sin(x)", "COS": "cos(x)", "TAN": "tan(x)",
-    "MIN": "least(a, b, …)", "MAX": "greatest(a, b, …)",
-    "MEAN": "(a + b + …) / k", "SUM": "a + b + …",
-    "IF": "if(condition, a, b)", "POWER": "power(x, y)", "MOD": "mod(x, y)",
-}
-
 # Result types a formula column may be cast to.
 RESULT_TYPES = {"float": "double", "int": "bigint", "str": "string", "category": "string"}
 

@@ -15,31 +15,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.core import clean_double, local_table, one_row, spread
-from timberline.operators.grow import TreeParams, feature_kinds, grow, laid_out
+from timberline.core import clean_double, frozen, local_table, one_row, spread
+from timberline.operators.grow import TreeParams, feature_kinds, fit, grow, laid_out
+from timberline.operators.missing import LEARNED, fill_values, fill_with
 from timberline.operators.ordering import draw, global_index, running_sums, small, value_edges, with_replicates
 from timberline.operators.splits import CLASS, WEIGHT
 from timberline.plans.tree import TreeModel
 
 METRICS = pa.schema([("metric", pa.string()), ("value", pa.float64())])
+FOLDS = pa.schema([("fold", pa.int32()), ("n", pa.int64()), ("correct", pa.int64()), ("accuracy", pa.float64())])
+
+MAX_PAIRS = 1_000_000  # pairs of class and prediction that the driver takes
 
 
 def _text(c: str) -> Column:
     return F.col(f"`{c}`").cast("string")
 
 
-def confusion_matrix(scored: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
+def _mass(scored: DataFrame, weight_col: str | None, condition: Column | None = None) -> Column:
+    """Number of rows, or their weight, where a condition holds."""
+    if weight_col is None:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    w = clean_double(scored, weight_col)
+    return F.sum(w if condition is None else F.when(condition, w).otherwise(0.0))
+
+
+def confusion_matrix(scored: DataFrame, y: str = "y", prediction: str = "prediction", weight_col: str | None = None) -> DataFrame:
     """``(actual, predicted, n, row_share)`` for every pair that occurs."""
     pairs = (scored.where(F.col(f"`{y}`").isNotNull())
              .groupBy(_text(y).alias("actual"), _text(prediction).alias("predicted"))
-             .agg(F.count(F.lit(1)).alias("n")))
+             .agg(_mass(scored, weight_col).alias("n")))
     return pairs.withColumn("row_share", F.col("n") / F.sum("n").over(Window.partitionBy("actual")))
 
 
 def _pairs(scored: DataFrame, y: str, prediction: str, weight_col: str | None = None) -> dict[tuple[str, str], float]:
-    n = F.count(F.lit(1)) if weight_col is None else F.sum(clean_double(scored, weight_col))
+    n = _mass(scored, weight_col)
     rows = (scored.where(F.col(f"`{y}`").isNotNull())
-            .groupBy(_text(y).alias("a"), _text(prediction).alias("p")).agg(n.alias("n")).collect())
+            .groupBy(_text(y).alias("a"), _text(prediction).alias("p")).agg(n.alias("n")).limit(MAX_PAIRS + 1).collect())
+    if len(rows) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of class and prediction")
     return {(r["a"], r["p"]): float(r["n"]) for r in rows}
 
 
@@ -47,15 +61,19 @@ def _div(a: float, b: float) -> float:
     return a / b if b else 0.0
 
 
-def class_metrics(scored: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
-    """Precision, recall, F1, support and predicted count per class, plus macro and weighted rows."""
-    pairs = _pairs(scored, y, prediction)
-    return local_table(scored.sparkSession, _class_rows(pairs), pa.schema([
+def class_metrics(scored: DataFrame, y: str = "y", prediction: str = "prediction", weight_col: str | None = None) -> DataFrame:
+    """Precision, recall, F1, support and predicted count per class, plus macro and weighted rows.
+
+    With weights, support and predicted count are sums of weights.
+    """
+    pairs = _pairs(scored, y, prediction, weight_col)
+    size = pa.int64() if weight_col is None else pa.float64()
+    return local_table(scored.sparkSession, _class_rows(pairs, int if weight_col is None else float), pa.schema([
         ("class", pa.string()), ("precision", pa.float64()), ("recall", pa.float64()), ("f1", pa.float64()),
-        ("support", pa.int64()), ("predicted", pa.int64())]))
+        ("support", size), ("predicted", size)]))
 
 
-def _class_rows(pairs: dict[tuple[str, str], float]) -> list[dict]:
+def _class_rows(pairs: dict[tuple[str, str], float], size=int) -> list[dict]:
     classes = sorted({c for pair in pairs for c in pair if c is not None})
     rows = []
     for c in classes:
@@ -65,7 +83,7 @@ def _class_rows(pairs: dict[tuple[str, str], float]) -> list[dict]:
         precision, recall = _div(tp, predicted), _div(tp, support)
         rows.append({"class": c, "precision": precision, "recall": recall,
                      "f1": _div(2 * precision * recall, precision + recall),
-                     "support": int(support), "predicted": int(predicted)})
+                     "support": size(support), "predicted": size(predicted)})
     total = sum(r["support"] for r in rows)
     for name, weight in (("macro", lambda r: 1 / len(rows)), ("weighted", lambda r: _div(r["support"], total))):
         rows.append({"class": f"{name} avg", **{m: sum(r[m] * weight(r) for r in rows[:len(classes)])
@@ -76,20 +94,22 @@ def _class_rows(pairs: dict[tuple[str, str], float]) -> list[dict]:
 
 def classification_metrics(scored: DataFrame, y: str = "y", prediction: str = "prediction",
                            positive: str | None = None, weight_col: str | None = None) -> DataFrame:
-    """Accuracy family, binary rates and MCC as ``(metric, value)``."""
+    """Accuracy family, binary rates and MCC as ``(metric, value)``.
+
+    With weights, ``weighted_`` metrics of the same names follow, from sums of weights.
+    """
     pairs = _pairs(scored, y, prediction)
     rows = [{"metric": k, "value": v} for k, v in _metric_values(pairs, positive).items()]
     if weight_col is not None:
-        weighted = _pairs(scored, y, prediction, weight_col)
-        rows.append({"metric": "weighted_accuracy",
-                     "value": _div(sum(n for (a, p), n in weighted.items() if a == p), sum(weighted.values()))})
+        weighted = _metric_values(_pairs(scored, y, prediction, weight_col), positive)
+        rows += [{"metric": f"weighted_{k}", "value": v} for k, v in weighted.items()]
     return local_table(scored.sparkSession, rows, METRICS)
 
 
 def _metric_values(pairs: dict[tuple[str, str], float], positive: str | None) -> dict[str, float]:
     total = sum(pairs.values())
     right = sum(n for (a, p), n in pairs.items() if a == p)
-    per_class = _class_rows(pairs)[:-2]
+    per_class = _class_rows(pairs, float)[:-2]
     seen = [r for r in per_class if r["support"]]
     out = {"accuracy": _div(right, total), "error_rate": 1.0 - _div(right, total),
            # every class weighted by 1 / its count
@@ -117,71 +137,76 @@ def class_distribution(scored: DataFrame, y: str = "y", prediction: str = "predi
                                      F.sum(F.when(F.col("is_actual") == 0, F.col("n")).otherwise(0)).alias("predicted"))
 
 
-def log_loss(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1") -> DataFrame:
-    """Mean of -ln(probability of the true class), clipped at 1e-15."""
+def log_loss(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1", weight_col: str | None = None) -> DataFrame:
+    """(Weighted) mean of -ln(probability of the true class), clipped at 1e-15."""
     clipped = F.greatest(F.lit(1e-15), F.least(F.lit(1.0 - 1e-15), F.col(p)))
     loss = F.when(_text(y) == positive, -F.ln(clipped)).otherwise(-F.ln(F.lit(1.0) - clipped))
-    return scored.where(F.col(f"`{y}`").isNotNull()).agg(F.avg(loss).alias("log_loss"))
+    rows = scored.where(F.col(f"`{y}`").isNotNull())
+    if weight_col is None:
+        return rows.agg(F.avg(loss).alias("log_loss"))
+    w = clean_double(scored, weight_col)
+    return rows.agg(F.try_divide(F.sum(w * loss), F.sum(F.when(loss.isNotNull(), w))).alias("log_loss"))
 
 
 # --- rank metrics --------------------------------------------------------
 
-def score_table(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1") -> tuple[DataFrame, float, float]:
+def score_table(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1", weight_col: str | None = None) -> tuple[DataFrame, float, float]:
     """``(p, pos, neg, cum_pos, cum_neg)`` by falling score, with the class totals.
 
     One row per distinct score: leaves for a tree. With very many distinct
-    scores the running sums are bucketed.
+    scores the running sums are bucketed. With weights the counts are sums of weights.
     """
     rows = scored.where(F.col(f"`{y}`").isNotNull() & F.col(p).isNotNull())
-    table = rows.groupBy(F.col(p).cast("double").alias("p")).agg(
-        F.count_if(_text(y) == positive).alias("pos"), F.count_if(_text(y) != positive).alias("neg")).persist()
+    table = frozen(rows.groupBy(F.col(p).cast("double").alias("p")).agg(
+        _mass(scored, weight_col, _text(y) == positive).alias("pos"), _mass(scored, weight_col, _text(y) != positive).alias("neg")))
     t = table.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("d")).first()
     edges = value_edges(table, "p", t["d"])
     return (running_sums(table, "p", ["pos", "neg"], edges, descending=True),
             float(t["pos"] or 0), float(t["neg"] or 0))
 
 
-def roc_auc(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1") -> DataFrame:
+def roc_auc(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1", weight_col: str | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half."""
-    t, pos, neg = score_table(scored, y, p, positive)
+    t, pos, neg = score_table(scored, y, p, positive, weight_col)
     above = F.col("cum_pos") - F.col("pos") / 2.0
     return t.agg(F.try_divide(F.sum(F.col("neg") * above), F.lit(pos * neg)).alias("auc"))
 
 
-def average_precision(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1") -> DataFrame:
+def average_precision(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1", weight_col: str | None = None) -> DataFrame:
     """Sum of recall steps times precision."""
-    t, pos, _ = score_table(scored, y, p, positive)
+    t, pos, _ = score_table(scored, y, p, positive, weight_col)
     step = F.try_divide(F.col("pos").cast("double"), F.lit(pos)) * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     return t.agg(F.sum(step).alias("average_precision"))
 
 
-def ks_curve(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1") -> DataFrame:
-    t, pos, neg = score_table(scored, y, p, positive)
+def ks_curve(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1", weight_col: str | None = None) -> DataFrame:
+    t, pos, neg = score_table(scored, y, p, positive, weight_col)
     cdf_pos, cdf_neg = F.try_divide("cum_pos", F.lit(pos)), F.try_divide("cum_neg", F.lit(neg))
     return t.select(F.col("p").alias("threshold"), cdf_pos.alias("cdf_pos"), cdf_neg.alias("cdf_neg"),
                     F.abs(cdf_pos - cdf_neg).alias("ks"))
 
 
-def ks_statistic(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1") -> DataFrame:
+def ks_statistic(scored: DataFrame, y: str = "y", p: str = "p", positive: str = "1", weight_col: str | None = None) -> DataFrame:
     """Largest distance of the cumulative class shares and the highest score reaching it."""
-    return ks_curve(scored, y, p, positive).agg(
+    return ks_curve(scored, y, p, positive, weight_col).agg(
         F.max("ks").alias("ks"), F.max_by("threshold", F.struct(F.round("ks", 12), "threshold")).alias("threshold"))
 
 
 def threshold_counts(scored: DataFrame, thresholds: Sequence[float] | None = None, y: str = "y", p: str = "p",
-                     positive: str = "1") -> DataFrame:
+                     positive: str = "1", weight_col: str | None = None) -> DataFrame:
     """``(threshold, tp, fp, pos, neg)``: rows scoring at or above each threshold.
 
     Without thresholds the distinct scores are used, with 0 and 1 added.
     """
-    t, pos, neg = score_table(scored, y, p, positive)
-    totals = [F.lit(int(pos)).alias("pos"), F.lit(int(neg)).alias("neg")]
+    t, pos, neg = score_table(scored, y, p, positive, weight_col)
+    kind = "long" if weight_col is None else "double"
+    totals = [F.lit(pos).cast(kind).alias("pos"), F.lit(neg).cast(kind).alias("neg")]
+    none = F.lit(0).cast(kind)
     if thresholds is None:
         own = t.select(F.col("p").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
         ends = t.agg(F.max("cum_pos").alias("a"), F.max("cum_neg").alias("b"), F.max("p").alias("hi"), F.min("p").alias("lo"))
         ends = ends.select(F.inline(F.array(
-            F.when(F.col("hi") < 1.0, F.struct(F.lit(1.0).alias("threshold"), F.lit(0).cast("long").alias("tp"),
-                                               F.lit(0).cast("long").alias("fp"))),
+            F.when(F.col("hi") < 1.0, F.struct(F.lit(1.0).alias("threshold"), none.alias("tp"), none.alias("fp"))),
             F.when(F.col("lo") > 0.0, F.struct(F.lit(0.0).alias("threshold"), F.col("a").alias("tp"),
                                                F.col("b").alias("fp")))))).where("threshold IS NOT NULL")
         return own.unionByName(ends).select("*", *totals)
@@ -285,10 +310,23 @@ def assign_folds(df: DataFrame, target: str, key: Sequence[str], k: int = 5, see
 
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], k: int = 5, seed: int = 42,
                    categorical: Sequence[str] = (), **params) -> DataFrame:
-    """Accuracy per fold. The k trees grow together: one job per level for all folds."""
+    """Accuracy per fold. The k trees grow together: one job per level for all folds.
+
+    When ``missing`` learns fill values from the rows, each fold is filled with values of its training rows only, and
+    its tree grows by itself.
+    """
     p = TreeParams(**params)
     kinds = feature_kinds(df, features, categorical)
     folds = assign_folds(df, target, key, k, seed)
+    if p.missing in LEARNED:
+        out = []
+        for r in range(k):
+            filled = fill_with(folds, fill_values(folds.where(F.col("fold") != r), features, p.missing))
+            model = fit(filled.where(F.col("fold") != r), features, target, categorical, **{**params, "missing": "ignore"})
+            guess = model.route(model.inputs(filled), lambda n, m=model: F.lit(m.prediction(n.node_id)))
+            n, right = filled.where(F.col("fold") == r).agg(F.count(F.lit(1)), F.count_if(guess == _text(target))).first()
+            out += [{"fold": r, "n": n, "correct": right, "accuracy": right / n}] if n else []
+        return local_table(df.sparkSession, out, FOLDS)
     with laid_out(folds, kinds, target, p, keep=["fold"]) as (data, layout, classes, pos, _):
         train = data.withColumn("_rep", F.explode(F.array_except(
             F.array(*[F.lit(i) for i in range(k)]), F.array("fold"))))
@@ -307,8 +345,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, key: Seq
                                         F.count_if(right == F.col(CLASS)).alias("correct")).collect()
     out = [{"fold": r["fold"], "n": r["n"], "correct": r["correct"], "accuracy": r["correct"] / r["n"]}
            for r in sorted(rows, key=lambda r: r["fold"])]
-    return local_table(df.sparkSession, out, pa.schema(
-        [("fold", pa.int32()), ("n", pa.int64()), ("correct", pa.int64()), ("accuracy", pa.float64())]))
+    return local_table(df.sparkSession, out, FOLDS)
 
 
 def cross_validation_summary(folds: DataFrame) -> DataFrame:
@@ -333,15 +370,21 @@ def model_stability(scored: DataFrame, key: Sequence[str], n: int = 100, seed: i
 
 
 def compare_models(scored: dict[str, DataFrame], y: str = "y", prediction: str = "prediction", p: str = "p",
-                   positive: str = "1") -> DataFrame:
-    """``(model, metric, value)``: class and rank metrics of several scored tables."""
+                   positive: str = "1", weight_col: str | None = None) -> DataFrame:
+    """``(model, metric, value)``: class and rank metrics of several scored tables.
+
+    Each table is read once, for the rows (or weights) per class, prediction and score; all metrics follow from these.
+    """
     rows = []
     for name, table in scored.items():
-        values = _metric_values(_pairs(table, y, prediction), positive)
-        values["auc"] = roc_auc(table, y, p, positive).first()[0]
-        values["average_precision"] = average_precision(table, y, p, positive).first()[0]
-        values["ks"] = ks_statistic(table, y, p, positive).first()["ks"]
-        values["log_loss"] = log_loss(table, y, p, positive).first()[0]
+        cells = frozen(table.where(F.col(f"`{y}`").isNotNull()).groupBy(
+            _text(y).alias("y"), _text(prediction).alias("prediction"), F.col(p).cast("double").alias("p")).agg(
+            _mass(table, weight_col).cast("double").alias("n")))
+        values = _metric_values(_pairs(cells, "y", "prediction", "n"), positive)
+        values["auc"] = roc_auc(cells, positive=positive, weight_col="n").first()[0]
+        values["average_precision"] = average_precision(cells, positive=positive, weight_col="n").first()[0]
+        values["ks"] = ks_statistic(cells, positive=positive, weight_col="n").first()["ks"]
+        values["log_loss"] = log_loss(cells, positive=positive, weight_col="n").first()[0]
         rows += [{"model": name, "metric": m, "value": v} for m, v in values.items()]
     spark = next(iter(scored.values())).sparkSession
     return local_table(spark, rows, pa.schema([("model", pa.string()), ("metric", pa.string()), ("value", pa.float64())]))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.core import is_numeric
+from timberline.core import frozen, is_numeric
 from timberline.operators.binning import MAX_CLASSES
 from timberline.operators.ordering import exact_quantiles
 from timberline.operators.transforms import ranked
@@ -27,7 +27,7 @@ def group_categories(df: DataFrame, col: str, target: str | None = None, method:
     c = F.col(f"`{col}`")
     if method in ("simple", "frequency", "frequency_quartile"):
         cats = df.where(c.isNotNull()).groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("n"))
-        cats = cats.withColumn("score", F.col("n").cast("double")).persist()
+        cats = frozen(cats.withColumn("score", F.col("n").cast("double")))
         if method == "simple":
             return _equal_groups(cats, [F.col("category")], min(max_groups or 5, max(1, cats.count())))
         if method == "frequency":
@@ -41,15 +41,15 @@ def group_categories(df: DataFrame, col: str, target: str | None = None, method:
     y = F.col(f"`{target}`")
     rows = df.where(c.isNotNull() & y.isNotNull())
     if method == "target_rate" or (method == "target_mean" and is_numeric(df, target)):
-        cats = rows.groupBy(c.alias("category")).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(y.cast("double")).alias("score")).persist()
+        cats = frozen(rows.groupBy(c.alias("category")).agg(
+            F.count(F.lit(1)).alias("n"), F.avg(y.cast("double")).alias("score")))
         order = [F.col("score"), F.col("category")]
         if method == "target_rate":
             return _chunks(cats, order, max_groups or 5)
         return _equal_groups(cats, order, max_groups or 3)
 
-    per_class = rows.groupBy(c.alias("category"), y.cast("string").alias("y")).agg(
-        F.count(F.lit(1)).alias("k")).persist()
+    per_class = frozen(rows.groupBy(c.alias("category"), y.cast("string").alias("y")).agg(
+        F.count(F.lit(1)).alias("k")))
     if method == "target_mean":
         top = per_class.groupBy("category").agg(
             F.sum("k").alias("n"),
@@ -65,7 +65,7 @@ def group_categories(df: DataFrame, col: str, target: str | None = None, method:
         cats = cats.withColumn("score", F.abs(F.round("score", 12)))
     else:
         cats = _chi_square(per_class)
-    return _equal_groups(cats.persist(), [F.col("score"), F.col("category")], max_groups or 3)
+    return _equal_groups(frozen(cats), [F.col("score"), F.col("category")], max_groups or 3)
 
 
 def _chi_square(per_class: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ from timberline.operators.ordering import draw, draw_text, global_index
 from timberline.plans.tree import TreeModel
 
 
-def split_gains(df: DataFrame, model: TreeModel) -> DataFrame:
+def split_gains(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """``(node_id, split_feature, n, gain)`` of every split, counted on ``df``."""
-    nodes = pivoted(node_class_counts(df, model), model)
+    nodes = pivoted(node_class_counts(df, model, weight_col=weight_col), model)
     valued = nodes.withColumn("imp", impurity(class_columns(model), model.criterion))
     kids = valued.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(
         F.try_divide(F.sum(F.col("n") * F.col("imp")), F.sum("n")).alias("below"))
@@ -36,16 +36,16 @@ def _normalised(table: DataFrame) -> DataFrame:
                     F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"))
 
 
-def feature_importance(df: DataFrame, model: TreeModel) -> DataFrame:
+def feature_importance(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Impurity importance: share of rows times impurity decrease, summed and normalised."""
-    gains = split_gains(df, model)
+    gains = split_gains(df, model, weight_col)
     return _normalised(gains.groupBy(F.col("split_feature").alias("feature")).agg(
         F.greatest(F.sum(F.col("n") * F.col("gain")), F.lit(0.0)).alias("raw")))
 
 
-def gain_importance(df: DataFrame, model: TreeModel) -> DataFrame:
+def gain_importance(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Sum of the gains of a feature's splits, not weighted by rows, normalised."""
-    return _normalised(split_gains(df, model).groupBy(F.col("split_feature").alias("feature")).agg(
+    return _normalised(split_gains(df, model, weight_col).groupBy(F.col("split_feature").alias("feature")).agg(
         F.greatest(F.sum("gain"), F.lit(0.0)).alias("raw")))
 
 

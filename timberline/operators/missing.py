@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.core import clean, clean_double, field_type, long_stats, numeric_columns, one_row, scalar_columns
+from timberline.core import clean, clean_double, field_type, is_numeric, long_stats, numeric_columns, one_row, scalar_columns
 from timberline.functions.conditions import condition
 from timberline.operators.ordering import exact_quantiles
 
@@ -47,21 +47,52 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     """Most frequent non-null value per column, the smallest on ties.
 
-    One aggregation per column by value (combined map-side), then a two-column
-    top-1; no buffer of distinct values is built.
+    All columns share one aggregation by value (combined map-side) and one top-1 per column; a second, one-row job
+    gives the values their types back.
     """
-    out: dict[str, object] = {}
-    for c in cols:
-        top = (df.select(clean(df, c).alias("v")).where("v IS NOT NULL")
-               .groupBy("v").count().orderBy(F.desc("count"), F.asc("v")).limit(1).first())
-        out[c] = top["v"] if top else None
-    return out
+    cols = list(cols)
+    if not cols:
+        return {}
+    numbers = {c: clean_double(df, c) if is_numeric(df, c) else F.lit(None).cast("double") for c in cols}
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), clean(df, c).cast("string").alias("text"), x.alias("number"))
+                      for c, x in numbers.items()])
+    counts = df.select(F.inline(pairs)).where("text IS NOT NULL").groupBy("feature", "text", "number").count()
+    top = counts.groupBy("feature").agg(F.min_by("text", F.struct(-F.col("count"), "number", "text")).alias("text"))
+    texts = {r["feature"]: r["text"] for r in top.collect()}
+    typed = [F.lit(texts.get(c)).cast(df.schema[c].dataType).alias(f"m{i}") for i, c in enumerate(cols)]
+    row = df.sparkSession.range(1).select(*typed).first()
+    return {c: row[i] for i, c in enumerate(cols)}
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _fill(df, modes(df, cols))
 
 
+LEARNED = ("mean", "median", "zero", "mode")  # policies whose fill values come from the rows
+
+
+def fill_values(df: DataFrame, cols: Sequence[str], policy: str) -> dict[str, object]:
+    """The value each column is filled with under a policy of ``LEARNED``; numeric columns but for ``mode`` as doubles."""
+    if policy not in LEARNED:
+        raise ValueError(f"unknown missing policy {policy!r}")
+    numeric = [] if policy == "mode" else numeric_columns(df, cols)
+    out: dict[str, object] = {}
+    if policy == "mean" and numeric:
+        out = one_row(df, {c: F.avg(clean_double(df, c)) for c in numeric})
+    elif policy == "median" and numeric:
+        out = {c: q[0] for c, q in exact_quantiles(df, {c: (0.5,) for c in numeric}).items()}
+    elif policy == "zero":
+        out = dict.fromkeys(numeric, 0)
+    return {**out, **modes(df, [c for c in cols if c not in numeric])}
+
+
+def fill_with(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
+    """Fill columns with ``fill_values`` of these or of other rows."""
+    doubles = {c: v for c, v in values.items() if isinstance(v, float) and is_numeric(df, c)}
+    df = df.withColumns({c: F.coalesce(clean_double(df, c), F.lit(v)) for c, v in doubles.items()})
+    return _fill(df, {c: v for c, v in values.items() if c not in doubles})
+
+
 def impute(df: DataFrame, cols: Sequence[str], policy: str = "ignore") -> DataFrame:
     """Policy for model features: ignore, drop, mean, median, zero or mode.
 
@@ -71,19 +102,7 @@ def impute(df: DataFrame, cols: Sequence[str], policy: str = "ignore") -> DataFr
         return df
     if policy == "drop":
         return drop_missing(df, cols)
-    numeric = numeric_columns(df, cols)
-    other = [c for c in cols if c not in numeric]
-    if policy == "mode":
-        return fill_mode(df, list(cols))
-    if policy == "mean":
-        df = fill_mean(df, numeric) if numeric else df
-    elif policy == "median":
-        df = fill_median(df, numeric) if numeric else df
-    elif policy == "zero":
-        df = fill_constant(df, {c: 0 for c in numeric})
-    else:
-        raise ValueError(f"unknown missing policy {policy!r}")
-    return fill_mode(df, other) if other else df
+    return fill_with(df, fill_values(df, cols, policy))
 
 
 def missing_as_category(df: DataFrame, cols: Sequence[str]) -> DataFrame:

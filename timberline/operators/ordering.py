@@ -325,7 +325,7 @@ def _ranked_values(df: DataFrame, col: str, probs: Sequence[float], n: int, grou
 
 def average_rank(df: DataFrame, col: str, name: str, group_values: int = GROUP_VALUES) -> DataFrame:
     """Rank with ties averaged: counted per value, prefix-summed, joined back."""
-    counts = value_counts(df, col).persist()
+    counts = frozen(value_counts(df, col))
     info = counts.agg(F.count("value").alias("d"), F.sum("n").alias("n")).first()
     edges = value_edges(counts.where("value IS NOT NULL"), "value", info["d"] or 0, group_values)
     ranks = running_sums(counts, "value", ["n"], edges).select(

@@ -400,11 +400,13 @@ def _varying(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Pearson r of every pair of numeric columns (constant columns left out)."""
+    """Pearson r of every pair of numeric columns (constant columns left out; below two columns an empty table)."""
     cols = numeric_columns(df, cols)
     df = spread(df.select(*cols))
     cols = _varying(df, cols)
     pairs = list(combinations(cols, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double, is_high boolean")
     stats = {f"{i}": {"a": F.first(F.lit(a)), "b": F.first(F.lit(b)),
                       "r": F.corr(clean_double(df, a), clean_double(df, b))} for i, (a, b) in enumerate(pairs)}
     return long_stats(df, stats, name="_pair").select("a", "b", "r", (F.abs("r") > 0.7).alias("is_high"))
@@ -419,6 +421,8 @@ def correlation_summary(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
 def target_correlations(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     """|r| of every numeric column with the target, ranked."""
     cols = _varying(df, [c for c in numeric_columns(df, cols) if c != target])
+    if not cols:
+        return df.sparkSession.createDataFrame([], "feature string, abs_r double, place int")
     t = long_stats(df, {c: {"abs_r": F.abs(F.corr(clean_double(df, c), clean_double(df, target)))} for c in cols})
     return t.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("abs_r"), "feature")))
 
@@ -576,10 +580,12 @@ ROUND_THRESHOLDS = (10.0, 50.0, 100.0, 500.0, 1000.0)
 
 
 def suggest_target_thresholds(df: DataFrame, col: str) -> DataFrame:
-    """Median, mean, third quartile and up to three round numbers, with the balance of each cut."""
+    """Median, mean, third quartile and up to three round numbers, with the balance of each cut; empty without values."""
     x = clean_double(df, col)
     median, q3 = exact_quantiles(df, {col: (0.5, 0.75)})[col]
     s = one_row(df, {"mean": F.avg(x), "lo": F.min(x), "hi": F.max(x)})
+    if s["hi"] is None:
+        return df.sparkSession.createDataFrame([], "kind string, threshold double, below bigint, above bigint, balance double")
     cuts = [("median", median), ("mean", s["mean"]), ("q3", q3)]
     if s["hi"] - s["lo"] > 10:
         cuts += [("round", t) for t in ROUND_THRESHOLDS if s["lo"] < t < s["hi"]]

@@ -1,4 +1,4 @@
-"""Pruning: one counted pass over the data, then a fold over the node table."""
+"""Pruning: one counted (or weighed) pass over the data, then a fold over the node table."""
 
 from __future__ import annotations
 
@@ -44,25 +44,25 @@ def _cut(model: TreeModel, alpha: float) -> TreeModel:
     return model
 
 
-def prune_cc(model: TreeModel, df: DataFrame | None = None, alpha: float = 0.01) -> TreeModel:
+def prune_cc(model: TreeModel, df: DataFrame | None = None, alpha: float = 0.01, weight_col: str | None = None) -> TreeModel:
     """Collapse nodes whose link strength is below alpha, deepest first, never the root.
 
     With ``df`` the counts of the model are taken anew from that data first; rows of classes the model does not know
     count as one class of their own.
     """
-    return without_unseen(_cut(recounted(model, counts_by_node(df, model)) if df is not None else model, alpha))
+    return without_unseen(_cut(recounted(model, counts_by_node(df, model, weight_col)) if df is not None else model, alpha))
 
 
 def _correct(model: TreeModel, counted: dict[int, tuple[float, ...]], node_ids) -> float:
     return sum(counted[i][model.classes.index(model.prediction(i))] for i in node_ids)
 
 
-def prune_cc_search(model: TreeModel, df: DataFrame) -> tuple[TreeModel, DataFrame]:
+def prune_cc_search(model: TreeModel, df: DataFrame, weight_col: str | None = None) -> tuple[TreeModel, DataFrame]:
     """Best of 20 alphas by accuracy on ``df`` (the smallest on ties), with the table of trials.
 
     The data are counted once; every trial re-adds the counts of its leaves.
     """
-    counted = counts_by_node(df, model)
+    counted = counts_by_node(df, model, weight_col)
     total = sum(counted[ROOT])
     best, trials = None, []
     for alpha in ALPHAS:
@@ -76,9 +76,9 @@ def prune_cc_search(model: TreeModel, df: DataFrame) -> tuple[TreeModel, DataFra
         [("alpha", pa.float64()), ("leaves", pa.int64()), ("accuracy", pa.float64())]))
 
 
-def prune_path(model: TreeModel, df: DataFrame | None = None) -> list[tuple[float, TreeModel]]:
+def prune_path(model: TreeModel, df: DataFrame | None = None, weight_col: str | None = None) -> list[tuple[float, TreeModel]]:
     """Weakest-link path: ``(alpha, tree)`` from the full tree to the root's children."""
-    tree = recounted(model, counts_by_node(df, model)) if df is not None else model
+    tree = recounted(model, counts_by_node(df, model, weight_col)) if df is not None else model
     path = [(0.0, without_unseen(tree))]
     while prunable(tree):
         strength = {i: link_strength(tree, i) for i in prunable(tree)}
@@ -94,9 +94,9 @@ def path_table(spark, path: list[tuple[float, TreeModel]]) -> DataFrame:
         [("step", pa.int32()), ("alpha", pa.float64()), ("leaves", pa.int64()), ("nodes", pa.int64())]))
 
 
-def prune_reduced_error(model: TreeModel, valid: DataFrame) -> TreeModel:
+def prune_reduced_error(model: TreeModel, valid: DataFrame, weight_col: str | None = None) -> TreeModel:
     """Collapse a node when that does not lower accuracy on held-out rows."""
-    counted = counts_by_node(valid, model)
+    counted = counts_by_node(valid, model, weight_col)
     for i in prunable(model):
         if _correct(model, counted, [i]) >= _correct(model, counted, leaves_under(model, i)):
             model = model.collapsed([i])
@@ -108,9 +108,9 @@ def _margin(n: float, confidence: float) -> float:
     return z * math.sqrt(0.25 / n) if n > 0 else 1.0
 
 
-def prune_error_based(model: TreeModel, df: DataFrame, confidence: float = 0.25) -> TreeModel:
+def prune_error_based(model: TreeModel, df: DataFrame, confidence: float = 0.25, weight_col: str | None = None) -> TreeModel:
     """Collapse a node when its error estimate is not above that of its leaves on ``df``."""
-    counted = counts_by_node(df, model)
+    counted = counts_by_node(df, model, weight_col)
     for i in prunable(model):
         node = model.nodes[i]
         own = 1.0 - max(node.counts) / node.n + _margin(node.n, confidence) if node.n else 1.0

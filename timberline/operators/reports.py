@@ -1,7 +1,7 @@
 """Reports on a tree, always computed from the rows given.
 
 Rows are routed and counted once per leaf and class; everything else is SQL
-over that small table.
+over that small table. With ``weight_col`` all sizes are sums of weights.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from timberline.operators.scoring import assign_leaf
 from timberline.plans.tree import ROOT, TreeModel
 
 
-def node_table(df: DataFrame, model: TreeModel) -> DataFrame:
+def node_table(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """One row per node with counts, impurity, positives and hits of its prediction on ``df``."""
-    nodes = pivoted(node_class_counts(df, model), model)
+    nodes = pivoted(node_class_counts(df, model, weight_col=weight_col), model)
     positive = F.col(f"c{model.classes.index(model.positive)}")
     hits = reduce(lambda a, b: a + b, [F.when(F.col("prediction") == c, F.col(f"c{i}")).otherwise(0)
                                        for i, c in enumerate(model.classes)])
@@ -28,9 +28,9 @@ def node_table(df: DataFrame, model: TreeModel) -> DataFrame:
                               "positives": positive, "hits": hits})
 
 
-def node_report(df: DataFrame, model: TreeModel) -> DataFrame:
+def node_report(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Per leaf by falling size: rule, path, size, targets, rate, lift x 100 and running totals."""
-    leaves = node_table(df, model).where("is_terminal AND n > 0")
+    leaves = node_table(df, model, weight_col).where("is_terminal AND n > 0")
     whole = Window.partitionBy()
     order = Window.orderBy(F.desc("n"), "node_id")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -45,9 +45,9 @@ def node_report(df: DataFrame, model: TreeModel) -> DataFrame:
         (F.try_divide(rate, base) * F.lit(100.0)).alias("lift"))
 
 
-def node_rates(df: DataFrame, model: TreeModel) -> DataFrame:
+def node_rates(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Target and other rate of every node, with lift x 100 (NULL without a base rate)."""
-    nodes = node_table(df, model)
+    nodes = node_table(df, model, weight_col)
     base = F.max(F.when(F.col("node_id") == ROOT, F.try_divide("positives", "n"))).over(Window.partitionBy())
     rate = F.try_divide("positives", "n")
     return nodes.select("node_id", "path", "is_terminal", "n", "positives", (F.col("n") - F.col("positives")).alias("others"),
@@ -55,15 +55,15 @@ def node_rates(df: DataFrame, model: TreeModel) -> DataFrame:
                         (F.try_divide(rate, base) * 100.0).alias("lift"))
 
 
-def class_shares(df: DataFrame, model: TreeModel) -> DataFrame:
+def class_shares(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """``(node_id, y, n, share)``: class distribution of every node."""
-    counts = node_class_counts(df, model)
+    counts = node_class_counts(df, model, weight_col=weight_col)
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("node_id")))
 
 
-def evaluate_nodes(df: DataFrame, model: TreeModel) -> DataFrame:
+def evaluate_nodes(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Accuracy of each node's own prediction on its rows; precision, recall, F1 of the positive class."""
-    nodes = node_table(df, model).where("n > 0")
+    nodes = node_table(df, model, weight_col).where("n > 0")
     says_yes = F.col("prediction") == model.positive
     tp = F.when(says_yes, F.col("positives")).otherwise(0)
     precision = F.when(says_yes, F.col("positives") / F.col("n")).otherwise(0.0)
@@ -74,17 +74,17 @@ def evaluate_nodes(df: DataFrame, model: TreeModel) -> DataFrame:
                         recall.alias("recall"), f1.alias("f1"))
 
 
-def leaf_performance(df: DataFrame, model: TreeModel) -> DataFrame:
+def leaf_performance(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Per leaf: purity, accuracy of the stored prediction, share of the rows."""
-    leaves = node_table(df, model).where("is_terminal AND n > 0")
+    leaves = node_table(df, model, weight_col).where("is_terminal AND n > 0")
     top = F.greatest(*class_columns(model))
     return leaves.select("node_id", "path", "n", "prediction", (top / F.col("n")).alias("purity"),
                          (F.col("hits") / F.col("n")).alias("accuracy"),
                          (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("row_share"))
 
 
-def leaf_performance_summary(df: DataFrame, model: TreeModel) -> DataFrame:
-    t = leaf_performance(df, model)
+def leaf_performance_summary(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
+    t = leaf_performance(df, model, weight_col)
     return t.agg(F.count(F.lit(1)).alias("leaves"), F.min("purity").alias("min_purity"), F.max("purity").alias("max_purity"),
                  F.avg("purity").alias("mean_purity"), F.stddev_pop("purity").alias("std_purity"),
                  F.min("accuracy").alias("min_accuracy"), F.max("accuracy").alias("max_accuracy"),
@@ -106,9 +106,9 @@ def leaf_errors(df: DataFrame, model: TreeModel, value: str) -> DataFrame:
                  F.avg(F.abs(away)).alias("mae")).withColumn("rmse", F.sqrt("mse")))
 
 
-def tree_summary(df: DataFrame, model: TreeModel) -> DataFrame:
+def tree_summary(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """One row: nodes, leaves, depth, leaf size and impurity statistics on ``df``."""
-    t = node_table(df, model)
+    t = node_table(df, model, weight_col)
     leaf = F.col("is_terminal")
     return t.agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if(leaf).alias("leaves"), F.max("depth").alias("depth"),
@@ -119,23 +119,23 @@ def tree_summary(df: DataFrame, model: TreeModel) -> DataFrame:
         F.sum(F.when(leaf, F.col("n"))).alias("rows"))
 
 
-def feature_usage(df: DataFrame, model: TreeModel) -> DataFrame:
+def feature_usage(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Splits per feature and the rows that pass them."""
-    return node_table(df, model).where("NOT is_terminal").groupBy(F.col("split_feature").alias("feature")).agg(
+    return node_table(df, model, weight_col).where("NOT is_terminal").groupBy(F.col("split_feature").alias("feature")).agg(
         F.count(F.lit(1)).alias("splits"), F.min("depth").alias("first_depth"), F.sum("n").alias("rows_split"))
 
 
-def level_summary(df: DataFrame, model: TreeModel) -> DataFrame:
+def level_summary(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Per depth: nodes, leaves, rows, mean and weighted impurity."""
-    return node_table(df, model).groupBy("depth").agg(
+    return node_table(df, model, weight_col).groupBy("depth").agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if("is_terminal").alias("leaves"), F.sum("n").alias("rows"),
         F.avg("impurity").alias("mean_impurity"),
         F.try_divide(F.sum(F.col("impurity") * F.col("n")), F.sum("n")).alias("weighted_impurity"))
 
 
-def split_quality(df: DataFrame, model: TreeModel) -> DataFrame:
+def split_quality(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Per split node: impurity reduction (absolute, relative), balance, child impurity statistics."""
-    t = node_table(df, model)
+    t = node_table(df, model, weight_col)
     kids = t.where("parent_id IS NOT NULL AND n > 0").select(
         F.col("parent_id").alias("node_id"), F.col("n").alias("k"), F.col("impurity").alias("ki"))
     whole = F.sum("k").over(Window.partitionBy("node_id"))
@@ -155,10 +155,10 @@ def split_quality(df: DataFrame, model: TreeModel) -> DataFrame:
 
 
 def important_nodes(df: DataFrame, model: TreeModel, decrease: float = 0.1, size_factor: float = 2.0,
-                    accuracy: float = 0.9) -> DataFrame:
+                    accuracy: float = 0.9, weight_col: str | None = None) -> DataFrame:
     """Splits with a large decrease, leaves far above mean size, leaves above the accuracy."""
-    t = node_table(df, model)
-    splits = split_quality(df, model).where(F.col("reduction") > decrease).select(
+    t = node_table(df, model, weight_col)
+    splits = split_quality(df, model, weight_col).where(F.col("reduction") > decrease).select(
         "node_id", F.lit("large_decrease").alias("reason"))
     leaves = t.where("is_terminal").withColumn("_mean", F.avg("n").over(Window.partitionBy()))
     large = leaves.where(F.col("n") > F.col("_mean") * size_factor).select("node_id", F.lit("large_leaf").alias("reason"))
@@ -167,10 +167,10 @@ def important_nodes(df: DataFrame, model: TreeModel, decrease: float = 0.1, size
     return splits.unionByName(large).unionByName(exact)
 
 
-def compare_nodes(df: DataFrame, model: TreeModel, a: int, b: int) -> DataFrame:
+def compare_nodes(df: DataFrame, model: TreeModel, a: int, b: int, weight_col: str | None = None) -> DataFrame:
     """Differences of two nodes: depth, rows, impurity, rate, accuracy."""
     facts = ("depth", "n", "impurity", "rate", "accuracy")
-    t = node_table(df, model).where(F.col("node_id").isin(a, b)).withColumns({
+    t = node_table(df, model, weight_col).where(F.col("node_id").isin(a, b)).withColumns({
         "rate": F.try_divide("positives", "n"), "accuracy": F.try_divide("hits", "n")})
 
     def of(node: int, column: str) -> Column:
@@ -183,9 +183,9 @@ def compare_nodes(df: DataFrame, model: TreeModel, a: int, b: int) -> DataFrame:
         (of(a, "prediction") == of(b, "prediction")).alias("same_prediction"))
 
 
-def relatives(df: DataFrame, model: TreeModel) -> DataFrame:
+def relatives(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Each node against its parent (size ratio, impurity reduction) and siblings (ranks)."""
-    t = node_table(df, model)
+    t = node_table(df, model, weight_col)
     up = t.select(F.col("node_id").alias("parent_id"), F.col("n").alias("pn"), F.col("impurity").alias("pi"))
     by_size = Window.partitionBy("parent_id").orderBy(F.desc("n"), "node_id")
     by_purity = Window.partitionBy("parent_id").orderBy("impurity", "node_id")
@@ -195,10 +195,10 @@ def relatives(df: DataFrame, model: TreeModel) -> DataFrame:
         F.row_number().over(by_size).alias("size_rank"), F.row_number().over(by_purity).alias("purity_rank"))
 
 
-def purity(df: DataFrame, model: TreeModel) -> DataFrame:
+def purity(df: DataFrame, model: TreeModel, weight_col: str | None = None) -> DataFrame:
     """Gini, entropy and dominant share of every node."""
     counts = class_columns(model)
     top = F.greatest(*counts)
-    return node_table(df, model).select("node_id", "n", impurity(counts, "gini").alias("gini"),
+    return node_table(df, model, weight_col).select("node_id", "n", impurity(counts, "gini").alias("gini"),
                                         impurity(counts, "entropy").alias("entropy"),
                                         (F.try_divide(top, F.col("n")) * 100.0).alias("dominant_pct"))

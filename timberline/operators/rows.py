@@ -78,10 +78,6 @@ def sample_rows(df: DataFrame, key: Sequence[str], n: int | None = None, pct: fl
     return whole.unionByName(part).drop("_draw")
 
 
-def sample_approx(df: DataFrame, pct: float, seed: int = 42) -> DataFrame:
-    return df.sample(fraction=pct / 100.0, seed=seed)
-
-
 def limit_rows(df: DataFrame, order_by: Sequence[str | Column], skip: int = 0, skip_tail: int = 0,
                n: int | None = None) -> DataFrame:
     """Drop the first ``skip`` and last ``skip_tail`` rows of an order, keep ``n``."""

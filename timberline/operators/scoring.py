@@ -78,9 +78,8 @@ def predict(df: DataFrame, model: TreeModel, threshold: float | None = None, nam
             keep_leaf: bool = True) -> DataFrame:
     """Leaf majority, or positive where the leaf's positive share reaches ``threshold``.
 
-    Adds the leaf id, the positive probability ``p`` and the prediction. The
-    values are attached with the leaf as CASE constants for small trees and by
-    a broadcast of the node table otherwise.
+    Adds the leaf id, the positive probability ``p`` and the prediction, which
+    come from a broadcast of the node table (one row per node of the model).
     """
     routed = assign_leaf(df, model)
     if threshold is None:

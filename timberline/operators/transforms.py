@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.core import clean, clean_double, one_row
+from timberline.core import clean, clean_double, frozen, one_row
 from timberline.functions.scalar import math_transform
 from timberline.operators.ordering import (
     average_rank, bucket_of, exact_quantiles, global_index, lookup, small)
@@ -91,8 +91,8 @@ def label_encode(df: DataFrame, col: str, name: str, literal_cap: int = 1000) ->
     Few categories become one CASE-free map literal; otherwise the sorted
     category table is indexed in a distributed way and joined back.
     """
-    counts = df.select(clean(df, col).alias("_v")).where("_v IS NOT NULL").groupBy("_v").agg(
-        F.count(F.lit(1)).alias("_n")).persist()
+    counts = frozen(df.select(clean(df, col).alias("_v")).where("_v IS NOT NULL").groupBy("_v").agg(
+        F.count(F.lit(1)).alias("_n")))
     if small(counts, literal_cap):
         values = sorted(r["_v"] for r in counts.collect())
         if not values:
@@ -166,6 +166,8 @@ def bin_custom(df: DataFrame, col: str, edges: Sequence[float], name: str,
     if len(edges) < 2:
         qs = exact_quantiles(df, {col: (0.0, 0.25, 0.5, 0.75, 1.0)})[col]
         edges = sorted({q for q in qs if q is not None})
+    if not edges:  # no values at all
+        return df.withColumn(name, F.lit(None).cast("string" if labels else "int"))
     x = clean_double(df, col)
     code = F.when((x >= edges[0]) & (x <= edges[-1]), bucket_of(x, edges[1:-1]))
     return df.withColumn(name, _label(code, labels, len(edges) - 1))

@@ -10,6 +10,7 @@ from timberline.core import checkpoint_dir
 from timberline.operators import evaluation as V
 from timberline.operators import grow as G
 from timberline.operators import importance as I
+from timberline.operators import pruning as P
 from timberline.operators import reports as N
 from timberline.operators import scoring as S
 from timberline.plans import recipe as K
@@ -62,8 +63,12 @@ BINARY = {
     "sensitivity": "tp / (tp + fn)", "specificity": "tn / (tn + fp)"}
 
 
+WEIGHTED = """SELECT SUM(l_quantity * y * yh)::DOUBLE AS tp, SUM(l_quantity * (1 - y) * yh)::DOUBLE AS fp, SUM(l_quantity * (1 - y) * (1 - yh))::DOUBLE AS tn,
+    SUM(l_quantity * y * (1 - yh))::DOUBLE AS fn, SUM(l_quantity)::DOUBLE AS n FROM s"""
+
+
 @query("classification_metrics", f"""
-    WITH {SCORED} {metric_rows(BINARY)} UNION ALL SELECT 'weighted_accuracy', SUM(l_quantity * (y = yh)::INT) / SUM(l_quantity) FROM s""", "value")
+    WITH {SCORED} {metric_rows(BINARY)} UNION ALL SELECT 'weighted_' || metric, value FROM (WITH c AS ({WEIGHTED}) {metric_rows(BINARY)})""", "value")
 def classification_metrics(spark, sf):
     return V.classification_metrics(scored(spark, sf), positive="1", weight_col="l_quantity")
 
@@ -99,6 +104,18 @@ def roc_auc(spark, sf):
     return V.roc_auc(scored(spark, sf))
 
 
+@query("roc_auc_weighted", f"""
+    WITH {SCORED}, k AS (SELECT p, SUM(l_quantity * y)::DOUBLE AS a, SUM(l_quantity * (1 - y))::DOUBLE AS b FROM s GROUP BY p)
+    SELECT SUM(x.a * y.b * CASE WHEN x.p > y.p THEN 1 WHEN x.p = y.p THEN 0.5 ELSE 0 END) / (SUM(x.a * y.b)) AS auc FROM k x, k y""", "auc")
+def roc_auc_weighted(spark, sf):
+    return V.roc_auc(scored(spark, sf), weight_col="l_quantity")
+
+
+@query("log_loss_weighted", f"WITH {SCORED} SELECT SUM(l_quantity * CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END) / SUM(l_quantity) AS log_loss FROM s", "log_loss")
+def log_loss_weighted(spark, sf):
+    return V.log_loss(scored(spark, sf), weight_col="l_quantity")
+
+
 # a score with very many distinct values: the price itself
 @query("roc_auc_continuous", f"""
     SELECT (SUM(CASE WHEN y = 1 THEN rk END) - MAX(np) * (MAX(np) + 1) / 2) / (MAX(np) * (COUNT(*) - MAX(np))) AS auc FROM
@@ -161,6 +178,14 @@ def pr_curve(spark, sf):
     return V.pr_curve(scored(spark, sf))
 
 
+@query("pr_area", f"""
+    WITH {CURVE}, u AS (SELECT COALESCE(tp / NULLIF(tp + fp, 0), 0) AS precision, tp / pos AS recall FROM q, w),
+    a AS (SELECT (recall - lag(recall) OVER o) * (precision + lag(precision) OVER o) / 2 AS a FROM u WINDOW o AS (ORDER BY recall, precision))
+    SELECT SUM(a) AS area FROM a""", "area")
+def pr_area(spark, sf):
+    return V.pr_area(scored(spark, sf))
+
+
 @query("lift_curve", f"""
     WITH {CURVE} SELECT threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) / (pos / (pos + neg)) ELSE 0 END AS lift, (tp + fp) * 100 / (pos + neg) AS population_pct FROM q, w""",
        "threshold lift population_pct")
@@ -219,13 +244,19 @@ def model_stability(spark, sf):
     return V.model_stability(scored(spark, sf), KEY, n=12)
 
 
-@query("compare_models", f"""
-    WITH {SCORED} SELECT 'cut' AS model, * FROM ({metric_rows(BINARY)}) WHERE metric IN ('accuracy', 'tpr', 'fpr', 'f1')
-    UNION ALL SELECT 'all', 'accuracy', AVG(y) FROM s UNION ALL SELECT 'all', 'tpr', 1 UNION ALL SELECT 'all', 'fpr', 1
-    UNION ALL SELECT 'all', 'f1', 2 * SUM(y)::DOUBLE / (SUM(y) + COUNT(*)) FROM s""", "value")
+def model_sql(name: str, cut: float) -> str:
+    return f"""SELECT '{name}' AS model, metric, value FROM (
+    WITH {SCORED.replace(f"p >= {CUT}", f"p >= {cut}")}, k AS (SELECT p, SUM(y)::DOUBLE AS a, SUM(1 - y)::DOUBLE AS b FROM s GROUP BY p),
+    q AS (SELECT p, a, SUM(a) OVER o AS ca, SUM(b) OVER o AS cb, SUM(a) OVER () AS pa, SUM(b) OVER () AS pb FROM k WINDOW o AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
+    {metric_rows(BINARY)}
+    UNION ALL SELECT 'auc', SUM(x.a * y.b * CASE WHEN x.p > y.p THEN 1 WHEN x.p = y.p THEN 0.5 ELSE 0 END) / SUM(x.a * y.b) FROM k x, k y
+    UNION ALL SELECT 'average_precision', SUM(a / pa * ca / (ca + cb)) FROM q UNION ALL SELECT 'ks', MAX(ABS(ca / pa - cb / pb)) FROM q
+    UNION ALL SELECT 'log_loss', AVG(CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END) FROM s)"""
+
+
+@query("compare_models", f"{model_sql('cut', CUT)} UNION ALL {model_sql('all', 0.0)}", "value")
 def compare_models(spark, sf):
-    t = V.compare_models({"cut": scored(spark, sf), "all": scored(spark, sf, 0.0)})
-    return t.where(F.col("metric").isin("accuracy", "tpr", "fpr", "f1"))
+    return V.compare_models({"cut": scored(spark, sf), "all": scored(spark, sf, 0.0)})
 
 
 # --- reports -------------------------------------------------------------
@@ -253,6 +284,31 @@ def node_report(spark, sf):
     return N.node_report(*report_args(spark, sf)).drop("rule")
 
 
+@query("node_report_weighted", f"""
+    WITH r AS (SELECT {LEAF} AS node_id, l_quantity AS w, y FROM {CREDIT})
+    SELECT node_id, SUM(w) AS node_size, SUM(w * y) AS target_count, SUM(w * y) * 100 / SUM(w) AS target_rate FROM r GROUP BY 1""", "node_size target_count target_rate")
+def node_report_weighted(spark, sf):
+    return N.node_report(*report_args(spark, sf), weight_col="l_quantity").select("node_id", "node_size", "target_count", "target_rate")
+
+
+@query("prune_cc_search_weighted", f"""
+    WITH r AS (SELECT {LEAF} AS leaf, l_quantity AS w, y FROM {CREDIT}), g AS (SELECT leaf, AVG(y) > 0.5 AS yes FROM r GROUP BY 1)
+    SELECT SUM(w * (y = yes::INT)::INT) / SUM(w) AS accuracy FROM r JOIN g USING (leaf)""", "accuracy")
+def prune_cc_search_weighted(spark, sf):
+    """Accuracy of the unpruned tree (the smallest alpha), by weight."""
+    _, trials = P.prune_cc_search(fixed_tree(spark, sf), credit(spark, sf), "l_quantity")
+    return trials.orderBy("alpha").limit(1).select("accuracy")
+
+
+@query("feature_importance_weighted", f"""
+    WITH r AS (SELECT {LEAF} AS leaf, l_quantity AS w, y FROM {CREDIT}), a AS (SELECT leaf AS node, w, y FROM r UNION ALL SELECT CASE WHEN leaf IN (3, 4) THEN 1 ELSE 2 END, w, y FROM r UNION ALL SELECT 0, w, y FROM r),
+    k AS (SELECT node, SUM(w) AS n, SUM(w * y) AS p FROM a GROUP BY 1), i AS (SELECT node, n, 1 - power(p / n, 2) - power(1 - p / n, 2) AS imp, CASE WHEN node IN (1, 2) THEN 0 WHEN node IN (3, 4) THEN 1 WHEN node >= 5 THEN 2 END AS up FROM k),
+    g AS (SELECT up.node, (up.imp - SUM(c.n * c.imp) / SUM(c.n)) * up.n AS raw FROM i c JOIN i up ON c.up = up.node GROUP BY up.node, up.imp, up.n)
+    SELECT ['l_quantity', 'l_linestatus', 'l_extendedprice'][node + 1] AS feature, raw / SUM(raw) OVER () AS importance FROM g""", "importance")
+def feature_importance_weighted(spark, sf):
+    return I.feature_importance(*report_args(spark, sf), weight_col="l_quantity").select("feature", "importance")
+
+
 @query("node_rates", f"""
     WITH {ALL} SELECT node_id, path, is_leaf AS is_terminal, n, p AS positives, n - p AS others, p * 100.0::DOUBLE / n AS target_rate, (n - p) * 100.0::DOUBLE / n AS other_rate,
       p::DOUBLE / n / (SELECT p::DOUBLE / n FROM k WHERE node_id = 0) * 100 AS lift FROM k""", "target_rate other_rate lift")
