@@ -201,9 +201,8 @@ def copies(seed, n=160):
     return [(i, " ".join(w)) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize("seed,width,percent,per_member", [(1, 3, 90, 8), (2, 5, 80, 8), (3, 5, 80, 0)])
-def test_similar_documents(spark, monkeypatch, seed, width, percent, per_member):
-    monkeypatch.setattr(jaccard, "PAIRS_PER_MEMBER", per_member)  # 0: other leaders first, then the rest
+@pytest.mark.parametrize("seed,width,percent", [(1, 3, 90), (2, 5, 80), (3, 2, 70)])
+def test_similar_documents(spark, seed, width, percent):
     data = copies(seed) + [(900, None), (901, ""), (902, " \n"), (903, "A b"), (904, "a  B\n")]
     frame = spark.createDataFrame(data, "doc_id long, text string")
     assert rows(jaccard.similar_documents(frame, width, percent)) == brute_jaccard(data, width, percent)

@@ -1,19 +1,23 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set is its distinct word shingles. Sets with Jaccard similarity of
-9/10 or more differ in at most a ninth of the smaller one's size, so the sizes
-are cut into bands and each band has a bound D on the symmetric difference. The
-shingles of a document are dealt by hash to D + 1 segments; a segment keeps 64
-parity bits, the XOR of one bit per shingle. The Hamming distance of two
-sketches is at most the symmetric difference, so two linked documents agree in
-at least one whole segment: that is the join key. Candidates are verified on
-the sets themselves.
+A document's set is its distinct word shingles. Two sets with Jaccard similarity
+of p percent or more differ in at most (100 - p) / p of the smaller one's size,
+so the sizes are cut into bands and each band has a bound D on the symmetric
+difference. The shingles of a document are dealt by hash to D + 1 segments; a
+segment keeps 64 parity bits, the XOR of its shingles' hash bits. A shingle
+changes bits of one segment only, so the number of segments in which two
+sketches differ is at most the symmetric difference, and two linked documents
+agree in at least one whole segment: that is the join key. A second, smaller
+sketch turns one parity bit per shingle and has a few times as many bits as the
+set has shingles; its Hamming distance is at most the symmetric difference, too,
+and close to it, which drops most candidates. The rest is verified on the sets of the texts.
 
 Equal sets are one class from the start. In a bucket (documents with one key)
 all members are first compared with one leader. That settles the bucket unless
-a comparison fails; the members of such buckets are then compared across the
-components found so far. No link between components is missed, and a bucket of
-near copies costs as many comparisons as it has members.
+a comparison fails. The members of such buckets are then compared across the
+components found so far, on their bit sketches inside the task; only pairs that
+pass are written. No link between components is missed, and a bucket of near
+copies costs as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import saved, table
+from timberline.llm.common import columns, saved, table
 from timberline.llm.components import components
 
 GROWTH = 1.5
-PERCENT = 90  # the bounds below follow from 9/10
-ROUNDS = 4  # leader rounds before a bucket's cross pairs are listed
-PAIRS_PER_MEMBER = 8  # cross pairs that may be listed at once, per member
+LEAST_PERCENT = 67  # a linked smaller set is in the same band or the next lower one
+BITS_PER_SHINGLE = 4
+KEPT_SETS = 64
+TOLD_PAIRS = 500_000
+WORDS_AT_ONCE = 1 << 21  # sketch words compared at once in a bucket
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S = [np.uint64(x) for x in (29, 32, 33)]
@@ -54,15 +60,14 @@ def band_of(size: int) -> int:
     return bisect.bisect_right(EDGES, size) - 1
 
 
-def segments_of(band: int) -> int:
+def segments_of(band: int, percent: int) -> int:
     """D + 1 for pairs whose smaller set is in the band."""
-    return (EDGES[band + 1] - 1) // 9 + 1
+    return (EDGES[band + 1] - 1) * (100 - percent) // percent + 1
 
 
-def bands_of(size: int) -> list[int]:
-    """Bands under which a set is sketched: its own, and the one below when a linked smaller set may be there."""
-    own = band_of(size)
-    return [own, own - 1] if own and -(-9 * size // 10) < EDGES[own] else [own]
+def bands_of(size: int, percent: int) -> list[int]:
+    """Bands under which a set is sketched: its own, and lower ones that may hold a linked smaller set."""
+    return list(range(band_of(-(-percent * size // 100)), band_of(size) + 1))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -85,17 +90,34 @@ def shingles(text: str | None, width: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(hashes: np.ndarray, band: int) -> np.ndarray:
+def sketch(hashes: np.ndarray, band: int, percent: int) -> np.ndarray:
     """Parity words of the band's segments."""
-    g = np.uint64(segments_of(band))
+    g = np.uint64(segments_of(band, percent))
     words = np.zeros(int(g), np.uint64)
-    np.bitwise_xor.at(words, ((hashes >> _S[1]) * g >> _S[1]).astype(np.int64), np.uint64(1) << (hashes & np.uint64(63)))
+    np.bitwise_xor.at(words, ((hashes >> _S[1]) * g >> _S[1]).astype(np.int64), _mixed(hashes))
     return words
 
 
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c", pa.int64()), ("alt", pa.int64()), ("band", pa.int32()),
-                      ("own", pa.list_(pa.int64())), ("below", pa.list_(pa.int64()))])
-SKETCHES_DDL = "doc_id long, n_shingles long, c long, alt long, band int, own array<long>, below array<long>"
+def parity_bits(hashes: np.ndarray, band: int) -> np.ndarray:
+    """``BITS_PER_SHINGLE`` parity bits per shingle of the band's largest sets."""
+    n = np.uint64((BITS_PER_SHINGLE * EDGES[band + 1] + 62) // 64 * 64)
+    at = ((_mixed(hashes) >> _S[1]) * n >> _S[1]).astype(np.int64)
+    odd = np.bincount(at, minlength=int(n)).astype(np.uint8) & 1
+    return np.packbits(odd)
+
+
+def keys_of(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """One key per band and segment: a hash of the parity word and its place."""
+    out = []
+    for band in bands_of(len(hashes), percent):
+        words = sketch(hashes, band, percent)
+        out.append(_mixed(words * _M1 + np.uint64(band << 40) + np.arange(len(words), dtype=np.uint64)))
+    return np.concatenate(out).view(np.int64)
+
+
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c", pa.int64()), ("alt", pa.int64()), ("keys", pa.list_(pa.int64())),
+                      ("band", pa.int32()), ("own", pa.binary()), ("below", pa.binary())])
+SKETCHES_DDL = "doc_id long, n_shingles long, c long, alt long, keys array<long>, band int, own binary, below binary"
 
 
 def set_digest(h: np.ndarray) -> tuple[int, int]:
@@ -103,30 +125,26 @@ def set_digest(h: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, seed=len(h)) - (1 << 63)
 
 
-def _sketcher(width: int):
+def _sketcher(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # classes that this task has sketched already
         for batch in batches:
-            ids = batch.column(0)
-            n, c, alt, band, own, below = [], [], [], [], [], []
+            n, c, alt, keys, band, own, below = [], [], [], [], [], [], []
             for text in batch.column(1):
                 h = shingles(text.as_py(), width)
+                digest = set_digest(h) if len(h) else (None, None)
                 n.append(len(h))
-                key = set_digest(h) if len(h) else (None, None)
-                c.append(key[0])
-                alt.append(key[1])
-                if not len(h) or key in seen:
-                    band.append(None)
-                    own.append(None)
-                    below.append(None)
-                    continue
-                seen.add(key)
-                bands = bands_of(len(h))
-                band.append(bands[0])
-                own.append(sketch(h, bands[0]).view(np.int64))
-                below.append(sketch(h, bands[1]).view(np.int64) if len(bands) > 1 else None)
-            cols = [ids.cast(pa.int64()), n, c, alt, band, own, below]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(cols, SKETCHES)], schema=SKETCHES)
+                c.append(digest[0])
+                alt.append(digest[1])
+                new = len(h) and digest not in seen
+                keys.append(keys_of(h, percent) if new else None)
+                bands = bands_of(len(h), percent) if new else []
+                band.append(bands[-1] if new else None)
+                own.append(parity_bits(h, bands[-1]).tobytes() if new else None)
+                below.append(parity_bits(h, bands[0]).tobytes() if len(bands) > 1 else None)
+                seen.add(digest)
+            cols = [batch.column(0).cast(pa.int64()), *(pa.array(x, f.type) for x, f in zip((n, c, alt, keys, band, own, below), list(SKETCHES)[1:]))]
+            yield pa.RecordBatch.from_arrays(cols, schema=SKETCHES)
     return run
 
 
@@ -151,94 +169,137 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_c, lead = key[-1], c[-1], leads[-1]
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``x, y, linked`` for every pair of representatives, from the sets of their texts."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+def _near(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose Hamming distance does not exceed the symmetric difference that a link allows."""
+    side = lambda n: bits.select(*[F.col(c).alias(f"{n}_{c}" if c != "rep" else n) for c in bits.columns])
+
+    @F.pandas_udf("boolean")
+    def close(xn: pd.Series, xb: pd.Series, xo: pd.Series, xl: pd.Series, yn: pd.Series, yb: pd.Series, yo: pd.Series, yl: pd.Series) -> pd.Series:
+        out = []
+        for n, b, own, low, m, c, other, lower in zip(xn, xb, xo, xl, yn, yb, yo, yl):
+            p, q = (own, other) if b == c else (own, lower) if b == c - 1 else (low, other) if c == b - 1 else (None, None)
+            if p is None or q is None:  # no band in common: the sizes are too far apart
+                out.append(False)
+                continue
+            apart = int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(q, np.uint64)).sum())
+            out.append((100 + percent) * apart <= (100 - percent) * (n + m))
+        return pd.Series(out, dtype=bool)
+
+    both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
+    args = [f"{n}_{c}" for n in "xy" for c in ("n_shingles", "band", "own", "below")]
+    return both.where(close(*args)).select("x", "y").distinct()
+
+
+def _across(percent: int):
+    """Rows of buckets in order -> near pairs of members that are in different components."""
+    def pairs(g: list[dict]) -> Iterator[tuple[int, int]]:
+        low = min(r["band"] for r in g)
+        words = [r["own"] if r["band"] == low else r["below"] for r in g]
+        if any(w is None for w in words):  # a chance meeting of two bands
+            g = [r for r, w in zip(g, words) if w is not None]
+            words = [w for w in words if w is not None]
+        x = np.stack([np.frombuffer(w, np.uint64) for w in words])
+        n, comp = np.array([r["n_shingles"] for r in g]), np.array([r["component"] for r in g])
+        name = np.array([r["m"] for r in g])
+        # the members of the largest component need not be compared with each other
+        values, count = np.unique(comp, return_counts=True)
+        rest = np.flatnonzero(comp != values[count.argmax()])
+        step = max(1, WORDS_AT_ONCE // x.size)
+        for at in range(0, len(rest), step):
+            i = rest[at:at + step]
+            apart = np.bitwise_count(x[i][:, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.int64)
+            near = ((100 + percent) * apart <= (100 - percent) * (n[i][:, None] + n[None, :])) & (comp[i][:, None] != comp[None, :])
+            for a, b in zip(*np.nonzero(near)):
+                yield tuple(sorted((int(name[i[a]]), int(name[b]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        told: set[tuple[int, int]] = set()  # pairs meet in many buckets; a task writes each once while there is room
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
-            digest = [set_digest(h) if len(h) else (None, None) for h in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([d[1] for d in digest], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())],
-                ["doc_id", "alt", "hashes"])
+            found: set[tuple[int, int]] = set()
+            for r in batch.to_pylist():
+                if held and held[0]["key"] != r["key"]:
+                    found.update(pairs(held))
+                    held = []
+                held.append(r)
+            yield _pair_batch(found - told)
+            if len(told) < TOLD_PAIRS:
+                told |= found
+        if held:
+            yield _pair_batch(set(pairs(held)) - told)
+    return run
 
-    sets = saved(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, alt long, hashes binary"), "jaccard-sets")
-    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("alt").alias(f"{n}_alt"), F.col("hashes").alias(f"{n}_set"))
 
+def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    x, y = zip(*sorted(found)) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``x, y, linked`` for every pair of representatives, from the sets of their texts.
+
+    Texts, not sets, are shuffled: they are shorter once compressed.
+    """
     @F.pandas_udf("boolean")
-    def enough(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(p: bytes, q: bytes) -> bool:
-            s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    def enough(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        sets, out = {}, []
+        for name, p, q in zip(x, a, b):
+            if name not in sets:  # leaders come again and again
+                if len(sets) >= KEPT_SETS:
+                    sets.clear()
+                sets[name] = (p, shingles(p, width))
+            s = sets[name][1] if sets[name][0] == p else shingles(p, width)
+            t = shingles(q, width)
             both = len(np.intersect1d(s, t, assume_unique=True))
-            return 100 * both >= PERCENT * (len(s) + len(t) - both)
-        return pd.Series([one(p, q) for p, q in zip(a, b)], dtype=bool)
+            out.append(len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+        return pd.Series(out, dtype=bool)
 
-    both = pairs.join(side("x"), ["x", "x_alt"]).join(side("y"), ["y", "y_alt"])
-    return both.select("x", "y", enough("x_set", "y_set").alias("linked"))
+    side = lambda n: docs.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"))
+    both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
+    return both.select("x", "y", enough("x", "x_text", "y_text").alias("linked"))
 
 
-def similar_documents(docs: DataFrame, width: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``doc_id, text``.
 
-    Documents are linked when the Jaccard similarity of their shingle sets is at least 9/10; the component is the
-    smallest id reachable by links. NULL or wordless texts have no shingles and link with nothing. Ids name
-    documents: rows with one id are one node. Rows with a NULL id get their size and no component.
+    Documents are linked when the Jaccard similarity of their shingle sets is at least ``percent`` / 100; the
+    component is the smallest id reachable by links. NULL or wordless texts have no shingles and link with nothing.
+    Ids name documents: rows with one id are one node. Rows with a NULL id get their size and no component.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = saved(docs.mapInArrow(_sketcher(width), SKETCHES_DDL), "sketches")
+    base = saved(docs.mapInArrow(_sketcher(width, percent), SKETCHES_DDL), "sketches")
     classes = saved(base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "c", "alt").agg(
         F.min("doc_id").alias("rep")), "jaccard-classes")
-    hashed = lambda words, band: F.transform(F.coalesce(words, F.array().cast("array<long>")), lambda w, i: F.xxhash64(band, i, w))
-    keys = base.where("band IS NOT NULL AND doc_id IS NOT NULL").select(
-        F.explode(F.concat(hashed("own", F.col("band")), hashed("below", F.col("band") - 1))).alias("key"), "c")
+    keys = base.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "c")
     stars = saved(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_leaders, "key long, lead long, c long"), "jaccard-stars")
-
-    node = classes.select("c", "rep", "alt")
-    name = lambda n: node.select(F.col("c").alias(f"{n}_c"), F.col("rep").alias(n), F.col("alt").alias(f"{n}_alt"))
-
-    def named(pairs: DataFrame) -> DataFrame:
-        """Class pairs ``x_c, y_c`` as pairs of representatives."""
-        return pairs.join(name("x"), "x_c").join(name("y"), "y_c").where("x <> y")
-
-    asked = saved(named(stars.select(F.col("lead").alias("x_c"), F.col("c").alias("y_c")).distinct()), "jaccard-pairs")
-    told = saved(_linked(docs, asked, width), "jaccard-links")
-    links, found = told.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), components(
-        told.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-
-    failed = asked.join(told.where("NOT linked").select("x", "y").distinct(), ["x", "y"], "left_semi").select("x_c", "y_c").distinct()
-    open_ = stars.join(failed, (stars["lead"] == failed["x_c"]) & (stars["c"] == failed["y_c"]), "left_semi").select("key").distinct()
-    rows = stars.join(open_, "key", "left_semi")
-    members = saved(rows.select("key", F.col("c").alias("m_c")).unionByName(rows.select("key", F.col("lead").alias("m_c"))).distinct()
-                    .join(node.select(F.col("c").alias("m_c"), F.col("rep").alias("m"), F.col("alt").alias("m_alt")), "m_c"), "jaccard-members")
-    done = asked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    for turn in range(ROUNDS + 1):
-        placed = members.join(found.withColumnRenamed("node", "m"), "m", "left").withColumn("component", F.coalesce("component", "m"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b AND n > 2")
-        placed = saved(placed.join(mixed.select("key"), "key", "left_semi"), "jaccard-open")
-        own = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
-        size = own.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        total = size.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross")).first()
-        if not total["n"]:
-            break
-        as_x = placed.select("key", F.col("m").alias("x"), F.col("m_alt").alias("x_alt"), F.col("component").alias("x_in"))
-        as_y = placed.select("key", F.col("m").alias("y"), F.col("m_alt").alias("y_alt"), F.col("component").alias("y_in"))
-        last = turn == ROUNDS or total["cross"] <= PAIRS_PER_MEMBER * total["n"]
-        if not last:  # another leader for each bucket
-            draw = F.xxhash64(F.lit(turn), F.col("x"), F.col("key"))
-            as_x = as_x.groupBy("key").agg(F.min(F.struct(draw.alias("d"), "x", "x_alt", "x_in")).alias("s")).select("key", "s.x", "s.x_alt", "s.x_in")
-        cross = as_x.join(as_y, "key").where("x_in <> y_in" + (" AND x < y" if last else "")).select(
-            F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
-            F.when(F.col("x") < F.col("y"), F.col("x_alt")).otherwise(F.col("y_alt")).alias("x_alt"),
-            F.when(F.col("x") < F.col("y"), F.col("y_alt")).otherwise(F.col("x_alt")).alias("y_alt")).distinct()
-        cross = saved(cross.join(done, ["x", "y"], "left_anti"), "jaccard-pairs")
-        more = saved(_linked(docs, cross, width), "jaccard-links").where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            found = components(links)
-        if last:
-            break
-        done = done.unionByName(cross.select("x", "y"))
+    name = lambda n: classes.select(F.col("c").alias(f"{n}_c"), F.col("rep").alias(n))
+
+    bits = saved(base.where("band IS NOT NULL").join(classes, ["n_shingles", "c", "alt"]).groupBy("rep", "n_shingles", "band").agg(
+        F.min("own").alias("own"), F.min("below").alias("below")), "jaccard-bits")
+
+    # every bucket's members against its leader
+    asked = saved(stars.select(F.col("lead").alias("x_c"), F.col("c").alias("y_c")).distinct()
+                  .join(name("x"), "x_c").join(name("y"), "y_c").where("x <> y"), "jaccard-pairs")
+    links = _edges_of(saved(_linked(docs, saved(_near(asked, bits, percent), "jaccard-near"), width, percent), "jaccard-links"))
+    found = components(links)
+
+    # buckets of three and more with a failed comparison: members against members of other components
+    good = asked.join(links.select(F.col("u").alias("x"), F.col("v").alias("y")).distinct(), ["x", "y"], "left_semi").select(
+        F.col("x_c").alias("lead"), F.col("y_c").alias("c")).distinct().withColumn("linked", F.lit(1))
+    failed = stars.join(good, ["lead", "c"], "left").groupBy("key").agg(F.count("*").alias("n"), F.count("linked").alias("good"))
+    rows = stars.join(failed.where("n > 1 AND good < n").select("key"), "key", "left_semi")
+    members = (rows.select("key", F.col("c").alias("m_c")).unionByName(rows.select("key", F.col("lead").alias("m_c"))).distinct()
+               .join(name("m"), "m_c").select("key", "m").distinct())
+    placed = members.join(found.withColumnRenamed("node", "m"), "m", "left").withColumn("component", F.coalesce("component", "m"))
+    placed = saved(placed.join(bits.withColumnRenamed("rep", "m"), "m"), "jaccard-members")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    cross = placed.join(open_, "key", "left_semi").repartition("key").sortWithinPartitions("key", "m").mapInArrow(_across(percent), "x long, y long")
+    cross = saved(cross, "jaccard-cross").distinct()
+    if not cross.isEmpty():
+        links = links.unionByName(_edges_of(saved(_linked(docs, cross, width, percent), "jaccard-links")))
+        found = components(links)
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "c", "alt", F.coalesce("component", "rep").alias("component_id"))
@@ -246,14 +307,18 @@ def similar_documents(docs: DataFrame, width: int = 3) -> DataFrame:
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: the row with the smallest id.
+def _edges_of(told: DataFrame) -> DataFrame:
+    return told.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id.
 
-    Wordless documents and rows with a NULL id stay. Repeated rows of the smallest id are one document and stay as
-    one row each.
+    Wordless documents and rows with a NULL id stay. Repeated rows of the smallest id are one document and all stay.
     """
-    keep = similar_documents(docs, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NULL").unionByName(docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    keep = similar_documents(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
+    rest = docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi")
+    return docs.where("doc_id IS NULL").unionByName(rest.select(*columns(docs)))
 
 
 def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
