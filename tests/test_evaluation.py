@@ -91,7 +91,7 @@ def test_bins_and_nulls(bins):
     assert t[2]["class_counts"] == {"false": 0, "true": 6} and t[2]["gini"] == 0
     q = B.quality(B.bin_counts(bins.dropna(), "x", [0, 5, 9], "y"))
     assert q["impurity_before"] == 0.5 and q["gain_ratio"] == 1.0
-    assert B.rating(q)["label"] == "good"
+    assert B.rated(B.quality_table(bins.sparkSession, {"x": q})).first()["label"] == "good"
     empty = B.bin_stats(bins, "x", [0, 9, 20, 30], "y").where("bin = 2").first()
     assert empty["n"] == 0 and empty["gini"] == 0
 

@@ -107,11 +107,14 @@ def best_numeric_split_bucketed(spark, sf):
     return splits_of(credit(spark, sf), FEATURES, "y", criterion="gini", bucket_values=20, buckets=300)
 
 
-@query("best_numeric_split_embeddings", numeric_union(("d0", "d1"), "(SELECT label, embedding[1]::DOUBLE AS d0, embedding[2]::DOUBLE AS d1 FROM embeddings)",
+DIMS = tuple(f"d{i}" for i in range(64))
+
+
+@query("best_numeric_split_embeddings", numeric_union(DIMS, f"(SELECT label, {', '.join(f'embedding[{i + 1}]::DOUBLE AS {d}' for i, d in enumerate(DIMS))} FROM embeddings)",
                                                       tuple(f"label = {c}" for c in range(10)), gini), "threshold gain", digits=9)
 def best_numeric_split_embeddings(spark, sf):
-    df = table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("d0"), F.col("embedding")[1].cast("double").alias("d1"))
-    return splits_of(df, ("d0", "d1"), "label", criterion="gini")
+    df = table(spark, sf, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(DIMS)])
+    return splits_of(df, DIMS, "label", criterion="gini")
 
 
 BALANCED = f"(SELECT COUNT(*) / (2.0::DOUBLE * COUNT(*) FILTER (toxic = 1)) AS w1, COUNT(*) / (2.0::DOUBLE * COUNT(*) FILTER (toxic = 0)) AS w0 FROM {DOCS})"
