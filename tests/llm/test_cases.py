@@ -68,6 +68,19 @@ def test_repeat_words(words):
     assert quality.repeat_words(words) == len({i + k for at in seen.values() if len(at) > 1 for i in at for k in range(8)})
 
 
+def test_calibration_keeps_the_base_rate():
+    from timberline.llm import textmodel
+    rng = np.random.default_rng(2)
+    hit = rng.random(400) < 0.7
+    z = np.where(hit, 3, -2) + rng.normal(size=400) * 4
+    z[:20] = -60  # saturated from the start
+    hit[:20] = False
+    weight = np.full(400, 1 / 400)
+    slope, shift = textmodel.calibrate(z, hit, weight)
+    p = textmodel.sigmoid(slope * z + shift)
+    assert slope > 0 and abs(p.mean() - hit.mean()) < 0.02
+
+
 def test_grades_cases(docs, none):
     model = grades.train(docs, docs.selectExpr("doc_id", "1 AS g"), F.col("g"))
     assert model.weights is None

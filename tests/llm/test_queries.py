@@ -56,7 +56,7 @@ def test_quality_held_out_accuracy(spark):
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)) == 0
     model = quality.train(docs, labels.where(~fold), per_class=400)
     out = quality.with_quality(docs.join(labels.where(fold), "doc_id"), model).select("quality", "quality_rules.*").toPandas()
-    assert out[out.quality == 1].kept.mean() > 0.98
+    assert out[(out.quality == 1) & ~out.base_failed].kept.mean() > 0.99  # the contract's base rule rejects short good texts
     assert 1 - out[out.quality == 0].kept.mean() > 0.8
 
 

@@ -123,19 +123,30 @@ def fit_cumulative(texts: Sequence[str], grades: np.ndarray, classes: int, epoch
     return full, t0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def calibrate(z: np.ndarray, hit: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Platt scaling: P(hit) = sigmoid(slope z + shift) by Newton steps with a light pull to slope 1."""
-    slope, shift = 1.0, 0.0
+def calibrate(z: np.ndarray, hit: np.ndarray, weight: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Platt scaling: P(hit) = sigmoid(slope z + shift), by Newton steps that are halved until the loss falls.
+
+    The slope is pulled lightly to 1, which keeps separable rows finite.
+    """
     y = np.where(hit, 1 - 1 / (hit.sum() + 2), 1 / ((~hit).sum() + 2))
+
+    def loss(at: np.ndarray) -> float:
+        t = at[0] * z + at[1]
+        return float((weight * (np.logaddexp(0, t) - y * t)).sum() + 5e-5 * (at[0] - 1) ** 2)
+
+    at = np.array([1.0, 0.0])
     for _ in range(steps):
-        p = sigmoid(slope * z + shift)
+        p = sigmoid(at[0] * z + at[1])
         g, h = weight * (p - y), weight * p * (1 - p)
-        grad = np.array([(g * z).sum() + 1e-4 * (slope - 1), g.sum()])
+        grad = np.array([(g * z).sum() + 1e-4 * (at[0] - 1), g.sum()])
         hess = np.array([[(h * z * z).sum() + 1e-4, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
-        move = np.linalg.solve(hess, grad)
-        scale = min(1.0, 2 / max(1e-9, float(np.abs(move).max())))
-        slope, shift = slope - scale * move[0], shift - scale * move[1]
-    return float(slope), float(shift)
+        move, now = np.linalg.solve(hess, grad), loss(at)
+        while loss(at - move) > now and np.abs(move).max() > 1e-9:
+            move = move / 2
+        if np.abs(move).max() <= 1e-9:
+            break
+        at = at - move
+    return float(at[0]), float(at[1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade, per_grade: int, grades: int, max_chars: int, seed: int) -> DataFrame:
