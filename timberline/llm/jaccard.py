@@ -193,12 +193,7 @@ def _near(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 def _across(percent: int):
     """Rows of buckets in order -> near pairs of members that are in different components."""
     def pairs(g: list[dict]) -> Iterator[tuple[int, int]]:
-        low = min(r["band"] for r in g)
-        words = [r["own"] if r["band"] == low else r["below"] for r in g]
-        if any(w is None for w in words):  # a chance meeting of two bands
-            g = [r for r, w in zip(g, words) if w is not None]
-            words = [w for w in words if w is not None]
-        x = np.stack([np.frombuffer(w, np.uint64) for w in words])
+        x = np.stack([np.frombuffer(r["words"], np.uint64) for r in g])
         n, comp = np.array([r["n_shingles"] for r in g]), np.array([r["component"] for r in g])
         name = np.array([r["m"] for r in g])
         # the members of the largest component need not be compared with each other
@@ -293,9 +288,13 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     members = (rows.select("key", F.col("c").alias("m_c")).unionByName(rows.select("key", F.col("lead").alias("m_c"))).distinct()
                .join(name("m"), "m_c").select("key", "m").distinct())
     placed = members.join(found.withColumnRenamed("node", "m"), "m", "left").withColumn("component", F.coalesce("component", "m"))
-    placed = saved(placed.join(bits.withColumnRenamed("rep", "m"), "m"), "jaccard-members")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    cross = placed.join(open_, "key", "left_semi").repartition("key").sortWithinPartitions("key", "m").mapInArrow(_across(percent), "x long, y long")
+    placed = saved(placed.join(bits.select(F.col("rep").alias("m"), "n_shingles", "band"), "m"), "jaccard-members")
+    # all members of a bucket have a sketch of its band; the lowest own band is one that all have
+    open_ = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("band").alias("low")).where("a <> b")
+    words = F.when(F.col("band") == F.col("low"), F.col("own")).when(F.col("band") == F.col("low") + 1, F.col("below"))
+    cross = (placed.join(open_.select("key", "low"), "key").join(bits.select(F.col("rep").alias("m"), "own", "below"), "m")
+             .select("key", "m", "component", "n_shingles", words.alias("words")).where("words IS NOT NULL")
+             .repartition("key").sortWithinPartitions("key", "m").mapInArrow(_across(percent), "x long, y long"))
     cross = saved(cross, "jaccard-cross").distinct()
     if not cross.isEmpty():
         links = links.unionByName(_edges_of(saved(_linked(docs, cross, width, percent), "jaccard-links")))
