@@ -287,6 +287,68 @@ def test_repeats(docs, odd, none):
     assert repeats.repeated_units(none).count() == 0 and repeats.without_repeats(none).count() == 0
 
 
+def brute_runs(data, floor):
+    """Spans of runs of repeated lines in one table of distinct (id, text) rows; quadratic."""
+    order = sorted({d for d in data if d[1]}, key=lambda d: (d[0] is None, d[0] or 0, repeats.text_id(d[1])))
+    seen, out = set(), {}
+    for doc in order:
+        lines, at = [], 0
+        for line in doc[1].split("\n"):
+            lines.append((at, at + len(line), tuple(line.encode().lower().split())))
+            at += len(line) + 1
+        marked, para = [], []
+        for k, x in enumerate(lines + [(0, 0, ())]):
+            if x[2]:
+                para.append(k)
+                continue
+            whole = tuple(w for i in para for w in lines[i][2])
+            again = len(para) > 1 and whole in seen
+            for i in para:
+                marked.append((lines[i], again or lines[i][2] in seen))
+                seen.add(lines[i][2])
+            seen.add(whole)
+            para = []
+        run = []
+        for line, again in [*marked, (None, False)]:
+            if again:
+                run.append(line)
+            else:
+                if sum(len(x[2]) for x in run) >= floor:
+                    out.setdefault(doc, []).append((run[0][0], run[-1][1]))
+                run = []
+    return out
+
+
+SHORT = [" ".join(f"{c}{i}" for i in range(18)) for c in "abcd"]
+
+
+def test_runs_of_short_lines_go(spark):
+    """A passage of short lines, wrapped anew or not, is cut whole; a short repeated line alone stays."""
+    passage = "\n".join(SHORT[:3])
+    wrapped = passage.replace("\n", " ").replace("a9 ", "a9\n").replace("c2 ", "c2\n").upper()
+    data = [(1, "head\n" + passage + "\ntail"), (2, "own\n" + passage + "\n\nmore"), (3, f"x y\n\n{passage}\n\n{SHORT[0]}\nlast é"), (4, "é\n\n" + passage + "\n\nz"),
+            (5, "q\n\n" + wrapped + "\n\nr"), (6, SHORT[0] + "\nnew words"), (None, "one\n" + passage), (None, "a longer one\n" + passage + "\nend"), (7, None), (8, "")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    assert repeats.repeated_units(frame).count() == 0  # no line has 50 words
+    out = {(r["doc_id"], r["text"]) for r in repeats.without_repeats(frame).collect()}
+    assert out == {(1, data[0][1]), (2, "own\n\nmore"), (3, "x y\n\nlast é"), (4, "é\n\n\nz"), (5, "q\n\n\nr"), (6, data[5][1]), (None, "one\n"),
+                   (None, "a longer one\nend"), (7, None), (8, "")}
+    run = next(r for r in repeats.repeated_runs(frame).collect() if r["doc_id"] == 2)
+    assert run["n_words"] == 54 and [(p["kept_doc_id"], p["kept_start"]) for p in run["parts"]] == [(1, 5), (1, 6 + len(SHORT[0])), (1, 7 + 2 * len(SHORT[0]))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_against_brute_force(spark, seed):
+    draw = random.Random(seed)
+    line = lambda: " ".join(draw.choice("abAB") for _ in range(draw.randint(0, 4)))
+    data = list({(draw.choice([None, *range(30)]), "\n".join(line() for _ in range(draw.randint(0, 9)))) for _ in range(60)})
+    got = {}
+    for r in repeats.repeated_runs(spark.createDataFrame(data + data[:5], "doc_id long, text string").repartition(5), 6).collect():
+        got.setdefault((r["doc_id"], r["text_id"]), []).append((r["start"], r["end"]))
+    want = {(d, repeats.text_id(t)): spans for (d, t), spans in brute_runs(data, 6).items()}
+    assert {k: sorted(v) for k, v in got.items()} == want and want
+
+
 # --- 7: packing -----------------------------------------------------------
 
 @settings(max_examples=80, deadline=None)

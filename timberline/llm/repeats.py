@@ -1,9 +1,12 @@
 """Substring dedup by hashing lines: the earliest occurrence stays, later ones go.
 
-A unit is a line of at least ``min_words`` words. Units are compared by the
-digest of their normalised words (ASCII letters lower-cased, white space as
-one blank). Occurrences rank by document, then place; offsets are code points
-of the original text.
+Texts are compared by the digest of their normalised words (ASCII letters
+lower-cased, white space as one blank). Occurrences rank by document, then
+place; offsets are code points of the original text.
+
+``repeated_units`` tells the single lines of at least ``min_words`` words.
+``repeated_runs`` and ``without_repeats`` hash every line and every paragraph
+(lines up to a blank one) and hold the floor against runs of repeated lines.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +62,117 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return again.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 
+LINES = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("line", pa.int64()), ("lines", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
+                   ("n_words", pa.int64()), ("digest", pa.binary())])
+LINES_DDL = "doc_id long, text_id long, line long, lines long, start long, end long, n_words long, digest binary"
+HEAVY_SHARE = 1000  # digests with more than this part of all units number fewer, and are broadcast
+
+
+def text_id(text: str) -> int:
+    """Tells texts of one id, or without an id, apart."""
+    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+
+
+def line_units(text: str) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """Number, count of lines, start, end, words and digest of each line with words and each paragraph of several lines.
+
+    Lines without words end a paragraph and are not numbered.
+    """
+    at = number = 0
+    held: list[tuple[int, int, list[bytes]]] = []
+    for line in [*text.split("\n"), ""]:
+        words = line.encode().lower().split()
+        if words:
+            yield number, 1, at, at + len(line), len(words), hashlib.md5(b" ".join(words)).digest()
+            held.append((at, at + len(line), words))
+            number += 1
+        else:
+            if len(held) > 1:
+                every = [w for _, _, x in held for w in x]
+                yield number - len(held), len(held), held[0][0], held[-1][1], len(every), hashlib.md5(b" ".join(every)).digest()
+            held = []
+        at += len(line) + 1
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs = batch.column(0).to_pylist()
+        rows = [(d, i, *u) for d, t in zip(docs, batch.column(1).to_pylist()) if t for i in [text_id(t)] for u in line_units(t)]
+        cols = list(zip(*rows)) if rows else [[]] * len(LINES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, LINES)], schema=LINES)
+
+
+def _again(units: DataFrame) -> DataFrame:
+    """The units that are not the first of their digest, with the place ``first``; a frequent digest is not gathered."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_id"), F.col("start"))
+    first = saved(units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    heavy = F.col("n") * HEAVY_SHARE > units.count()
+    hot = F.broadcast(first.where(heavy).drop("n"))
+    cold = units.join(F.broadcast(first.where(heavy).select("digest")), "digest", "left_anti").join(first.where(~heavy).drop("n"), "digest")
+    return units.join(hot, "digest").unionByName(cold).where(~place.eqNullSafe(F.col("first")))
+
+
+PART = "start long, end long, n_words long, kept_doc_id long, kept_start long"
+
+
+def _runs_of(found: list[dict], min_words: int) -> list[dict]:
+    """Runs of consecutive repeated lines of ``min_words`` words in all; a line of a repeated paragraph is repeated."""
+    runs, last, words = [], -1, 0
+
+    def end() -> None:
+        if runs and words < min_words:
+            runs.pop()
+
+    for u in sorted(found, key=lambda u: (u["line"], -u["lines"])):
+        if u["line"] + u["lines"] - 1 <= last:  # inside a repeated paragraph
+            continue
+        if not runs or u["line"] > last + 1:
+            end()
+            runs.append({"start": u["start"], "end": u["end"], "parts": []})
+            words = 0
+        words += u["n_words"]
+        last = u["line"] + u["lines"] - 1
+        runs[-1]["end"], runs[-1]["n_words"] = u["end"], words
+        runs[-1]["parts"].append({c: u[c] for c in ("start", "end", "n_words", "kept_doc_id", "kept_start")})
+    end()
+    return runs
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, text_id, start, end, n_words, parts`` of every run of repeated lines with ``min_words`` words or more.
+
+    A line is repeated if it or its paragraph is not the first of its digest; lines without words do not break a run.
+    ``parts`` are the run's lines and paragraphs, each with the occurrence that stays. NULL ids rank last; repeated rows
+    (one id, one text) are one occurrence. What is gathered is a document's repeated lines, by id and text.
+    """
+    units = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_lines, LINES_DDL), "lines")
+    found = F.struct("line", "lines", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    of_doc = _again(units).groupBy("doc_id", "text_id").agg(F.collect_set(found).alias("found"))
+
+    @F.pandas_udf(f"array<struct<start:long,end:long,n_words:long,parts:array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>>>")
+    def runs(found: pd.Series) -> pd.Series:
+        return pd.Series([_runs_of(list(x), min_words) for x in found], dtype=object)
+
+    return of_doc.select("doc_id", "text_id", F.explode(runs("found")).alias("run")).select("doc_id", "text_id", "run.start", "run.end", "run.n_words", "run.parts")
+
+
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut out of ``text`` (with their line break) and ``removed``, their original spans.
+    """``docs`` with repeated runs cut out of ``text`` (with their line break) and ``removed``, their original spans.
 
-    Spans of a document are gathered by its id; documents without repeats keep their text as it is.
+    Spans of a document are gathered by its id and text; documents without repeats keep their text as it is.
     An input column ``removed`` is replaced.
     """
-    cuts, key = unused(docs, "_cut"), unused(docs, "_id")
-    cut = repeated_units(docs, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cuts))
+    cuts, key, of = unused(docs, "_cut"), unused(docs, "_id"), unused(docs, "_text")
+    cut = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias(key), F.col("text_id").alias(of)).agg(
+        F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cuts))
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+
+    @F.pandas_udf("long")
+    def name(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else text_id(t) for t in text], dtype="Int64")
+
+    mine = unused(docs, "_mine")
+    joined = docs.withColumn(mine, name("text")).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(of)), "left")
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, cuts: pd.Series) -> pd.Series:
