@@ -75,6 +75,21 @@ def test_grades_order_the_held_out_rows(spark):
     assert out[out.truth == 2].kept.mean() > 0.95 and out[out.truth == 0].kept.mean() < 0.3
 
 
+def test_grades_leave_out_held_out_toxic_rows(spark):
+    """Kept shares by label, in fixed grades that do not depend on the order of the model's."""
+    from pyspark.sql import functions as F
+    from timberline.llm import grades
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)) == 0
+    model = grades.train(docs, labels.where(~fold), grades.graded(F.col("quality"), F.col("toxic")))
+    out = grades.with_grade(docs.join(labels.where(fold), "doc_id"), model).select("quality", "toxic", "grade.*").toPandas()
+    kept = {"toxic": out[out.toxic == 1].kept.mean(), "low": out[(out.quality == 0) & (out.toxic == 0)].kept.mean(),
+            "good but toxic": out[(out.quality == 1) & (out.toxic == 1)].kept.mean(), "clean": out[(out.quality == 1) & (out.toxic == 0)].kept.mean()}
+    print(kept, model.cut, len(out))
+    assert kept["toxic"] < 0.3 and kept["good but toxic"] < 0.3 and kept["low"] < 0.2 and kept["clean"] > 0.95
+
+
 def encoder(name):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -7,6 +7,7 @@ groups is divided by the square root of its number of n-grams.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Sequence
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 DIM = 1 << 18
 _BITS = 18
 LEAST_CHI_SQUARE = 80.0
+FALSE_SHARE = 0.01
 _A, _B, _C = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 _SHIFT = np.uint32(32 - _BITS)
 
@@ -40,24 +42,24 @@ def char_places(raw: bytes) -> np.ndarray:
     return np.concatenate([((three ^ _C) * _B) >> _SHIFT, (four * _A ^ _B) * _C >> _SHIFT])
 
 
-def score(weights: np.ndarray, raw: bytes, words: Sequence[bytes]) -> float:
+def score(weights: np.ndarray, raw: bytes, words: Sequence[bytes], presence: bool = False) -> float:
     """Decision value without intercept; 0 for a text without n-grams."""
     z = 0.0
     for places in (word_places(words), char_places(raw)):
         if len(places):
-            z += float(weights[places].sum(dtype=np.float64)) / len(places) ** 0.5
+            z += float(weights[np.unique(places) if presence else places].sum(dtype=np.float64)) / len(places) ** 0.5
     return z
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct places and values of one text."""
+def features(text: str, presence: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and values of one text; with ``presence`` an n-gram counts once however often it stands."""
     raw = text.encode()
     at, value = [], []
     for places in (word_places(raw.lower().split()), char_places(raw)):
         if len(places):
             p, n = np.unique(places, return_counts=True)
             at.append(p)
-            value.append(n / len(places) ** 0.5)
+            value.append((np.ones(len(p)) if presence else n) / len(places) ** 0.5)
     return (np.concatenate(at), np.concatenate(value)) if at else (np.zeros(0, np.uint32), np.zeros(0))
 
 
@@ -75,20 +77,40 @@ def _chi_square(at: np.ndarray, grade: np.ndarray, places: int, size: np.ndarray
     return (gap / np.maximum(expected, 1e-9)).sum(axis=0) + (gap / np.maximum(absent, 1e-9)).sum(axis=0)
 
 
+def _tail(x: np.ndarray, freedom: int) -> np.ndarray:
+    """P(chi-square >= x) with that many degrees of freedom."""
+    h = np.asarray(x, np.float64) / 2
+    p, a = (np.array([math.erfc(v) for v in np.sqrt(h)]), 0.5) if freedom % 2 else (np.exp(-h), 1.0)
+    while a < freedom / 2:
+        p = p + h ** a * np.exp(-h) / math.gamma(a + 1)
+        a += 1
+    return p
+
+
+def telling_places(chi_square: np.ndarray, classes: int, false_share: float = FALSE_SHARE) -> np.ndarray:
+    """Places that depend on the grade, with at most that share of false ones expected (Benjamini-Hochberg)."""
+    p = _tail(chi_square, classes - 1)
+    ranked = np.sort(p)
+    passed = np.flatnonzero(ranked <= false_share * np.arange(1, len(p) + 1) / max(1, len(p)))
+    return p <= ranked[passed[-1]] if len(passed) else np.zeros(len(p), bool)
+
+
 def fit_cumulative(texts: Sequence[str], grades: np.ndarray, classes: int, epochs: int = 120, decay: float = 0.02,
-                   rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+                   rate: float = 0.3, presence: bool = False, false_share: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of P(grade >= k) = sigmoid(w x - t_k); two classes are logistic regression.
 
     Full-batch Adam on the log likelihood with classes weighed alike. N-grams whose presence hardly depends
-    on the grade (chi-square below ``LEAST_CHI_SQUARE``) get no weight; ``decay`` shrinks the others.
+    on the grade (chi-square below ``LEAST_CHI_SQUARE``, or not among ``telling_places`` of a given ``false_share``)
+    get no weight; ``decay`` shrinks the others.
     """
-    parts = [features(t) for t in texts]
+    parts = [features(t, presence) for t in texts]
     at = np.concatenate([p for p, _ in parts]).astype(np.int64)
     value = np.concatenate([v for _, v in parts]).astype(np.float64)
     row = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
     n = len(parts)
     used, at = np.unique(at, return_inverse=True)
-    telling = _chi_square(at, grades[row], len(used), np.bincount(grades, minlength=classes)) >= LEAST_CHI_SQUARE
+    chi_square = _chi_square(at, grades[row], len(used), np.bincount(grades, minlength=classes))
+    telling = chi_square >= LEAST_CHI_SQUARE if false_share is None else telling_places(chi_square, classes, false_share)
     keep = telling[at]
     at, value, row = (np.cumsum(telling) - 1)[at[keep]], value[keep], row[keep]
     used = used[telling]
