@@ -232,6 +232,15 @@ def test_jaccard_cases(docs, odd, none):
     assert jaccard.similar_documents(none).count() == 0 and jaccard.one_of_each(none).count() == 0
 
 
+def test_null_id_before_its_named_copy(spark):
+    """A row without an id does not take the sketch from a named row of the same set in its task."""
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words, "more"])
+    frame = spark.createDataFrame([(None, " ".join(words)), (1, " ".join(words)), (2, near)], "doc_id long, text string").coalesce(1)
+    assert rows(jaccard.similar_documents(frame)) == sorted([(None, 198, None), (1, 198, 1), (2, 199, 1)], key=repr)
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in jaccard.one_of_each(frame).collect()) == [(False, 1), (True, None)]
+
+
 def test_components(spark):
     draw = random.Random(4)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 501 + i) for i in range(80)] + [(7, 7)]

@@ -126,23 +126,25 @@ def set_digest(h: np.ndarray) -> tuple[int, int]:
 
 
 def _sketcher(width: int, percent: int):
+    """Sizes, digests and sketches; only rows with an id are sketched, as the others link with nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # classes that this task has sketched already
         for batch in batches:
             n, c, alt, keys, band, own, below = [], [], [], [], [], [], []
-            for text in batch.column(1):
+            for doc, text in zip(batch.column(0), batch.column(1)):
                 h = shingles(text.as_py(), width)
                 digest = set_digest(h) if len(h) else (None, None)
                 n.append(len(h))
                 c.append(digest[0])
                 alt.append(digest[1])
-                new = len(h) and digest not in seen
+                new = doc.is_valid and len(h) and digest not in seen
                 keys.append(keys_of(h, percent) if new else None)
                 bands = bands_of(len(h), percent) if new else []
                 band.append(bands[-1] if new else None)
                 own.append(parity_bits(h, bands[-1]).tobytes() if new else None)
                 below.append(parity_bits(h, bands[0]).tobytes() if len(bands) > 1 else None)
-                seen.add(digest)
+                if new:
+                    seen.add(digest)
             cols = [batch.column(0).cast(pa.int64()), *(pa.array(x, f.type) for x, f in zip((n, c, alt, keys, band, own, below), list(SKETCHES)[1:]))]
             yield pa.RecordBatch.from_arrays(cols, schema=SKETCHES)
     return run
