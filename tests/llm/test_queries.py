@@ -60,6 +60,19 @@ def test_quality_held_out_accuracy(spark):
     assert 1 - out[out.quality == 0].kept.mean() > 0.8
 
 
+def test_quality_model_of_a_small_table(spark):
+    """Fewer than 80 rows to train on: the floor of the features follows the sample, so weights and verdict are there."""
+    import numpy as np
+    from timberline.llm import quality
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model = quality.train(docs, labels)
+    assert labels.count() < 100 and np.count_nonzero(model.weights) > 0
+    out = quality.with_quality(docs.join(labels, "doc_id"), model).select("quality", "quality_rules.*").toPandas()
+    p = out.groupby("quality").p_quality.mean()
+    print(np.count_nonzero(model.weights), p.to_dict(), out.groupby("quality").kept.mean().to_dict())
+    assert p[1] > p[0]
+
+
 def test_grades_order_the_held_out_rows(spark):
     from pyspark.sql import functions as F
     from timberline.llm import grades

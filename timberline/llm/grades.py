@@ -65,7 +65,7 @@ def _fit(shares: list[float], grades: int):
         held = np.arange(len(g)) % 5 == 0
         if any(len(np.unique(grade[m])) < grades for m in (held, ~held)):
             return pd.DataFrame({"weights": [None], "thresholds": [None], "slope": [1.0], "shift": [0.0], "cut": [THRESHOLD]})
-        w, t = textmodel.fit_cumulative([x for x, h in zip(texts, held) if not h], grade[~held], grades, presence=True, false_share=textmodel.FALSE_SHARE)
+        w, t = textmodel.fit_cumulative([x for x, h in zip(texts, held) if not h], grade[~held], grades, presence=True)
         z = np.array([textmodel.score(w, (r := x.encode()), r.lower().split(), presence=True) for x, h in zip(texts, held) if h])
         y = grade[held]
         weight = np.array(shares)[y] / np.bincount(y, minlength=grades)[y]

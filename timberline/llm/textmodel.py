@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 DIM = 1 << 18
 _BITS = 18
-LEAST_CHI_SQUARE = 80.0
 FALSE_SHARE = 0.01
 _A, _B, _C = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 _SHIFT = np.uint32(32 - _BITS)
@@ -96,12 +95,11 @@ def telling_places(chi_square: np.ndarray, classes: int, false_share: float = FA
 
 
 def fit_cumulative(texts: Sequence[str], grades: np.ndarray, classes: int, epochs: int = 120, decay: float = 0.02,
-                   rate: float = 0.3, presence: bool = False, false_share: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+                   rate: float = 0.3, presence: bool = False, false_share: float = FALSE_SHARE) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of P(grade >= k) = sigmoid(w x - t_k); two classes are logistic regression.
 
     Full-batch Adam on the log likelihood with classes weighed alike. N-grams whose presence hardly depends
-    on the grade (chi-square below ``LEAST_CHI_SQUARE``, or not among ``telling_places`` of a given ``false_share``)
-    get no weight; ``decay`` shrinks the others.
+    on the grade (they are not among ``telling_places``) get no weight; ``decay`` shrinks the others.
     """
     parts = [features(t, presence) for t in texts]
     at = np.concatenate([p for p, _ in parts]).astype(np.int64)
@@ -110,7 +108,7 @@ def fit_cumulative(texts: Sequence[str], grades: np.ndarray, classes: int, epoch
     n = len(parts)
     used, at = np.unique(at, return_inverse=True)
     chi_square = _chi_square(at, grades[row], len(used), np.bincount(grades, minlength=classes))
-    telling = chi_square >= LEAST_CHI_SQUARE if false_share is None else telling_places(chi_square, classes, false_share)
+    telling = telling_places(chi_square, classes, false_share)
     keep = telling[at]
     at, value, row = (np.cumsum(telling) - 1)[at[keep]], value[keep], row[keep]
     used = used[telling]
