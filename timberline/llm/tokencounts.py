@@ -116,7 +116,7 @@ class PrefixCounter:
                 count.append(1)
                 continue
             ends, s = [], i - 1
-            while (tail := raw[s:i]) in tails:
+            while s >= 0 and (tail := raw[s:i]) in tails:
                 if (t := ids.get(tail)) is not None:
                     ends.append((s, t))
                 s -= 1
