@@ -459,3 +459,27 @@ def test_mix_cases(odd, none):
     assert sum(len(r["text"].split()) for r in got) == sum(r["mix_taken"] for r in out)
     assert all(r["n_chars"] == len(r["text"]) and r["mix_size"] == "mine" for r in got)
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(size=st.integers(1, 90), percent=st.sampled_from([80, 90]), seed=st.integers(0, 10**6))
+def test_linked_sets_share_a_key(size, percent, seed):
+    """At the very bound, with the differing shingles put where segments would agree."""
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+    gone = int(len(x) * (100 - percent) / 100)
+    segment = (x >> np.uint64(32)) * np.uint64(jaccard.segments_of(jaccard.band_of(len(x) - gone), percent)) >> np.uint64(32)
+    _, first = np.unique(segment, return_index=True)  # one of each segment goes first
+    order = np.concatenate([first, np.setdiff1d(rng.permutation(len(x)), first)])
+    y = np.sort(np.delete(x, order[:gone]))
+    assert 100 * len(y) >= percent * len(x)
+    assert len(np.intersect1d(jaccard.keys_of(x, percent), jaccard.keys_of(y, percent)))
+
+
+def test_rows_of_ids(spark):
+    from timberline.llm.bloom import rows_of
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    ids = docs.where("doc_id % 10 = 3").select("doc_id")
+    assert rows_of(docs, ids).count() == 2000
+    some = {r["doc_id"] for r in rows_of(docs, ids, few=5).collect()}
+    assert {r["doc_id"] for r in ids.collect()} <= some and len(some) < 8000

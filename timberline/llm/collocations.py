@@ -11,7 +11,7 @@ with one key cost a count, not the result.
 The support is a number of occurrences, so a shard with less than that part of
 the words would prune nothing: there are few shards, and each is counted by all
 tasks. The union is told to the second pass as a Bloom filter of at most
-``FILTER_WORDS`` words; beyond what it can tell apart, more phrases are counted
+``bloom.FILTER_WORDS`` words; beyond what it can tell apart, more phrases are counted
 that fall short in the end.
 """
 
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.core import BROADCAST_ROWS
+from timberline.llm.bloom import filter_bits, passes
 from timberline.llm.common import empty_if_null, saved, table
 from timberline.operators.ordering import lookup, small
 
@@ -39,8 +40,6 @@ TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
 
 SHARDS = 4
 CHUNK_TOKENS = 1 << 21
-FILTER_WORDS = 1 << 21  # 16 MB
-KEYS_PER_WORD = 4
 SALTS = 64
 
 
@@ -134,21 +133,13 @@ def _mined(longest: int):
 
 def _counted(longest: int, bits: np.ndarray):
     """``lang, k, phrase, n``: the phrases of a chunk that the filter lets pass, told apart by their words."""
-    shift = np.uint64(65 - len(bits).bit_length())
-
-    def passed(key: np.ndarray) -> np.ndarray:
-        mask = np.zeros(len(key), np.uint64)
-        for j in range(4):
-            mask |= np.uint64(1) << ((key >> np.uint64(6 * j)) & np.uint64(63))
-        return bits[(key >> shift).astype(np.int64)] & mask == mask
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             langs = sorted({lang for lang, _ in c.groups})
             lang_of = np.array([langs.index(lang) for lang, _ in c.groups], np.int64)
             for k in range(1, longest + 1):
                 at = c.starts(k)
-                at = at[passed(c.keys(at, k))]
+                at = at[passes(c.keys(at, k), bits)]
                 code = lang_of[c.group[at]]
                 for j in range(k):
                     _, code = np.unique(code << 32 | c.ids[at + j], return_inverse=True)
@@ -163,17 +154,6 @@ def _counted(longest: int, bits: np.ndarray):
 
 # --- the Spark job -------------------------------------------------------
 
-def _filter_bits(keys: DataFrame) -> np.ndarray:
-    """The Bloom filter of a key table: four bits in one word per key; a power of two of words, at most ``FILTER_WORDS``."""
-    words = 1 << max(10, min(FILTER_WORDS.bit_length() - 1, (keys.count() // KEYS_PER_WORD).bit_length()))
-    mask = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(key, {6 * j}) & 63 AS INT))" for j in range(4))
-    found = keys.select(F.expr(f"shiftrightunsigned(key, {65 - words.bit_length()})").alias("at"), F.expr(mask).alias("mask")).groupBy("at").agg(
-        F.bit_or("mask").alias("mask")).toArrow()  # at most ``words`` rows
-    bits = np.zeros(words, np.uint64)
-    bits[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
-    return bits
-
-
 def with_language(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), empty_if_null(F.col(f"`{text}`")).alias("text"))
 
@@ -194,7 +174,7 @@ def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shard
     rows = docs.join(least, ["lang", "shard"]).select("lang", "slot", "text")
     mined = rows.mapInArrow(_mined(longest), "key long, slot long, n long").groupBy("key", "slot").agg(F.sum("n").alias("n"))
     keys = saved(mined.where("n >= slot % 4294967296").select("key").distinct(), "phrase-keys")
-    counted = rows.mapInArrow(_counted(longest, _filter_bits(keys)), "lang string, k int, phrase string, n long")
+    counted = rows.mapInArrow(_counted(longest, filter_bits(keys)), "lang string, k int, phrase string, n long")
     found = saved(counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support), "phrases")
     return found, words
 

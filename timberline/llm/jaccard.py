@@ -3,11 +3,18 @@
 A document's set is its distinct word shingles. Two sets with Jaccard similarity
 of p percent or more differ in at most (100 - p) / p of the smaller one's size,
 so the sizes are cut into bands and each band has a bound D on the symmetric
-difference. The shingles of a document are dealt by hash to D + 1 segments; a
-segment keeps 64 parity bits, the XOR of its shingles' hash bits. A shingle
+difference. The shingles of a document are dealt by hash to G = D + m segments;
+a segment keeps 64 parity bits, the XOR of its shingles' hash bits. A shingle
 changes bits of one segment only, so the number of segments in which two
 sketches differ is at most the symmetric difference, and two linked documents
-agree in at least one whole segment: that is the join key. A second, smaller
+agree in at least m whole segments: such a segment is the join key.
+
+Segments of parity 0 (mostly empty ones) say nothing and are no keys. If one of
+two linked documents has fewer than m of them, one of the m agreeing segments
+is another one and a common key. Documents with m or more also emit their first
+D + 1 shingles by hash: the first common shingle has at most D before it in
+either set, so two such documents share that key. m follows from the band so that this
+is rare. A second, smaller
 sketch turns one parity bit per shingle and has a few times as many bits as the
 set has shingles; its Hamming distance is at most the symmetric difference, too,
 and close to it, which drops most candidates. The rest is verified on the sets of the texts.
@@ -23,6 +30,8 @@ copies costs as many comparisons as it has members.
 from __future__ import annotations
 
 import bisect
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.llm.bloom import rows_of
 from timberline.llm.common import columns, saved, table
 from timberline.llm.components import components
 
@@ -60,9 +70,16 @@ def band_of(size: int) -> int:
     return bisect.bisect_right(EDGES, size) - 1
 
 
+def agreeing(band: int, percent: int) -> tuple[int, int]:
+    """``(D, m)`` for pairs whose smaller set is in the band; its sets seldom leave m of the D + m segments empty."""
+    difference = (EDGES[band + 1] - 1) * (100 - percent) // percent
+    empty = (difference + 1) * math.exp(-EDGES[band] / (difference + 1))
+    return difference, 1 + min(math.ceil(2.5 * empty), -(-difference // 4))
+
+
+@functools.lru_cache(maxsize=None)
 def segments_of(band: int, percent: int) -> int:
-    """D + 1 for pairs whose smaller set is in the band."""
-    return (EDGES[band + 1] - 1) * (100 - percent) // percent + 1
+    return sum(agreeing(band, percent))
 
 
 def bands_of(size: int, percent: int) -> list[int]:
@@ -107,11 +124,15 @@ def parity_bits(hashes: np.ndarray, band: int) -> np.ndarray:
 
 
 def keys_of(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """One key per band and segment: a hash of the parity word and its place."""
+    """One key per band and segment that is not 0, a hash of the parity word and its place; keys of shingles if needed."""
     out = []
     for band in bands_of(len(hashes), percent):
         words = sketch(hashes, band, percent)
-        out.append(_mixed(words * _M1 + np.uint64(band << 40) + np.arange(len(words), dtype=np.uint64)))
+        at, place = np.flatnonzero(words), np.uint64(band << 40)
+        out.append(_mixed(words[at] * _M1 + place + at.astype(np.uint64)))
+        difference, m = agreeing(band, percent)
+        if len(words) - len(at) >= m:
+            out.append(_mixed(hashes[:difference + 1] * _M3 + place))
     return np.concatenate(out).view(np.int64)
 
 
@@ -235,7 +256,7 @@ def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
 def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """``x, y, linked`` for every pair of representatives, from the sets of their texts.
 
-    Texts, not sets, are shuffled: they are shorter once compressed.
+    Texts, not sets, are shuffled, as they are shorter once compressed; only those of the pairs leave the scan.
     """
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
@@ -251,7 +272,10 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
             out.append(len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both))
         return pd.Series(out, dtype=bool)
 
-    side = lambda n: docs.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"))
+    def side(n: str) -> DataFrame:
+        texts = rows_of(docs, pairs.select(F.col(n).alias("doc_id")).distinct())
+        return texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"))
+
     both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
     return both.select("x", "y", enough("x", "x_text", "y_text").alias("linked"))
 
