@@ -483,3 +483,64 @@ def test_rows_of_ids(spark):
     assert rows_of(docs, ids).count() == 2000
     some = {r["doc_id"] for r in rows_of(docs, ids, few=5).collect()}
     assert {r["doc_id"] for r in ids.collect()} <= some and len(some) < 8000
+
+
+def brute_passages(data, floor):
+    """Stretches of words that lie in passages of ``floor`` words of an earlier document; every passage is looked up."""
+    import re
+    order = sorted({d for d in data if d[1]}, key=lambda d: (d[0] is None, d[0] or 0, repeats.text_id(d[1])))
+    first, out = {}, set()
+    for doc in order:
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", doc[1])]
+        words = doc[1].encode().lower().split()
+        open_ = None
+        for i in range(len(words) - floor + 1):
+            kept = first.setdefault(tuple(words[i:i + floor]), doc)
+            if kept == doc:
+                continue
+            if open_ is None or i > open_[1] + floor:
+                if open_:
+                    out.add((doc[0], spans[open_[0]][0], spans[open_[1] + floor - 1][1], open_[1] + floor - open_[0], open_[2][0]))
+                open_ = [i, i, kept]
+            open_[1], open_[2] = i, min(open_[2], kept, key=order.index)
+        if open_:
+            out.add((doc[0], spans[open_[0]][0], spans[open_[1] + floor - 1][1], open_[1] + floor - open_[0], open_[2][0]))
+    return out
+
+
+@pytest.mark.parametrize("seed,floor", [(1, 5), (2, 8), (3, 3)])
+def test_passages_against_brute_force(spark, seed, floor):
+    rng = random.Random(seed)
+    shared = [[rng.choice(["é", "Ab", "c", "d’x", "e", "f"]) for _ in range(rng.randint(floor, 3 * floor))] for _ in range(6)]
+    data = [(0, None), (1, ""), (2, " \n"), (None, "x " * 40), (None, " ".join(shared[0])), (3, "same same " * 30), (4, "same " * floor)]
+    for doc in range(10, 60):
+        words = []
+        for _ in range(4):
+            words += [f"own{doc}{rng.randint(0, 9)}" for _ in range(rng.randint(0, 4))] + rng.choice(shared)
+        data.append((doc, "".join(w + rng.choice([" ", "\n", "  ", "\t"]) for w in words)))
+    data += data[:30] + [(10, data[20][1])]
+    got = repeats.repeated_passages(spark.createDataFrame(data, "doc_id long, text string"), floor).drop("text_id").collect()
+    assert {tuple(r) for r in got} == brute_passages(data, floor) and len(got) > 40
+
+
+def test_passages(spark, docs, odd, none):
+    """A passage inside lines is cut out of them; equal passages are found in any partitions, an empty table has none."""
+    passage = " ".join(f"p{i}" for i in range(55))
+    frame = spark.createDataFrame([(1, f"one two {passage} three"), (2, f"é four {passage.upper()}\nfive"), (3, passage[:-20])], "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["text"] for r in repeats.without_repeats(frame, 51, repeats.repeated_passages).collect()}
+    assert out == {1: f"one two {passage} three", 2: "é four five", 3: passage[:-20]}
+    assert repeats.repeated_passages(none).count() == 0 and repeats.without_repeats(none, 51, repeats.repeated_passages).count() == 0
+    found = {tuple(r) for r in repeats.repeated_passages(odd).drop("text_id").collect()}
+    assert found == brute_passages([r[:2] for r in ROWS], 51) and (9, 0, len(LONG), 60_000, 4) in found
+    assert {r[0] for r in found} == {6, 8, 9, None}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=70), st.integers(1, 33))
+def test_rolled_and_lowest(values, width):
+    h = np.array(values, np.uint64)
+    f = repeats.FACTORS[0]
+    want = [sum(v * pow(f, j, 1 << 64) for j, v in enumerate(values[i:i + width])) % (1 << 64) for i in range(len(values) - width + 1)]
+    assert repeats.rolled(h, width, f).tolist() == want
+    if len(values) >= width:
+        assert repeats.lowest(h, width).tolist() == [min(values[i:i + width]) for i in range(len(values) - width + 1)]

@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines: the earliest occurrence stays, later ones go.
+"""Substring dedup by hashing units of text: the earliest occurrence stays, later ones go.
 
 Texts are compared by the digest of their normalised words (ASCII letters
 lower-cased, white space as one blank). Occurrences rank by document, then
@@ -7,19 +7,25 @@ place; offsets are code points of the original text.
 ``repeated_units`` tells the single lines of at least ``min_words`` words.
 ``repeated_runs`` and ``without_repeats`` hash every line and every paragraph
 (lines up to a blank one) and hold the floor against runs of repeated lines.
+
+A passage pasted into the middle of a line has no line or paragraph of its
+own. ``repeated_passages`` therefore takes every run of ``min_words`` words as
+a unit: it finds each passage of that length that an earlier document has.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timberline.llm.bloom import filter_bits, passes
 from timberline.llm.common import columns, saved, table, unused
 
 MIN_WORDS = 50
@@ -102,16 +108,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, LINES)], schema=LINES)
 
 
-def _again(units: DataFrame) -> DataFrame:
-    """The units that are not the first of their digest, with the place ``first``; a frequent digest is not gathered."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_id"), F.col("start"))
-    first = saved(units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+def _later(units: DataFrame, place: Column, several: Column) -> DataFrame:
+    """The units that are not at the first ``place`` of their digest, with that place as ``first``.
+
+    ``several``, an aggregate, picks the digests worth joining. A frequent digest is not gathered.
+    """
+    first = saved(units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), several.alias("several")).where("several"), "firsts")
     heavy = F.col("n") * HEAVY_SHARE > units.count()
-    hot = F.broadcast(first.where(heavy).drop("n"))
-    cold = units.join(F.broadcast(first.where(heavy).select("digest")), "digest", "left_anti").join(first.where(~heavy).drop("n"), "digest")
+    hot = F.broadcast(first.where(heavy).select("digest", "first"))
+    cold = units.join(F.broadcast(first.where(heavy).select("digest")), "digest", "left_anti").join(first.where(~heavy).select("digest", "first"), "digest")
     return units.join(hot, "digest").unionByName(cold).where(~place.eqNullSafe(F.col("first")))
 
 
+def _again(units: DataFrame) -> DataFrame:
+    """The units that are not the first of their digest, with the place ``first``."""
+    return _later(units, F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_id"), F.col("start")), F.count("*") > 1)
+
+
 PART = "start long, end long, n_words long, kept_doc_id long, kept_start long"
 
 
@@ -156,14 +169,126 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return of_doc.select("doc_id", "text_id", F.explode(runs("found")).alias("run")).select("doc_id", "text_id", "run.start", "run.end", "run.n_words", "run.parts")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+# --- passages: every run of words is a unit --------------------------------
+
+PASSAGE_WORDS = 51  # over 50 words
+# Two odd factors of the rolling hashes; any would do.
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("at", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())])
+WINDOWS_DDL = "doc_id long, text_id long, at int, start long, end long, digest binary"
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, data.lower().split()), np.uint64)
+
+
+def rolled(h: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """Hash of every run of ``width`` entries, from runs of one, two, four …; empty if there are fewer."""
+    if len(h) < width:
+        return h[:0]
+    out, done, step, runs = None, 0, 1, h
+    while done < width:
+        if width & step:
+            if out is None:
+                out = runs
+            else:
+                n = min(len(out), len(runs) - done)
+                out = out[:n] + runs[done:done + n] * np.uint64(pow(factor, done, 1 << 64))
+            done += step
+        if done < width:
+            n = len(runs) - step
+            runs = runs[:n] + runs[step:] * np.uint64(pow(factor, step, 1 << 64))
+            step *= 2
+    return out
+
+
+def lowest(h: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every ``width`` neighbours, by runs of one, two, four …"""
+    step = 1
+    while 2 * step <= width:
+        h = np.minimum(h[:-step], h[step:])
+        step *= 2
+    return np.minimum(h[:len(h) - (width - step)], h[width - step:]) if width > step else h
+
+
+def anchors(h: np.ndarray, min_words: int) -> np.ndarray:
+    """For every passage of ``min_words`` words, the lowest hash of the half passages in it; equal passages have equal ones."""
+    half = (min_words + 1) // 2
+    return lowest(rolled(h, half, FACTORS[0]), min_words - half + 1) if len(h) >= min_words else h[:0]
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-plus-one code point of every word."""
+    raw = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], IS_SPACE[raw], [True]])
+    point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
+    return point[np.flatnonzero(space[:-1] & ~space[1:])], point[np.flatnonzero(~space[:-1] & space[1:])]
+
+
+def _anchors(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(anchors(word_hashes(t.encode()), min_words)) for t in batch.column(0).to_pylist() if t]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["key"])
+    return run
+
+
+def _windows(min_words: int, bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = (text or "").encode()
+                h = word_hashes(data)
+                at = np.flatnonzero(passes(anchors(h, min_words), bits))
+                if not len(at):
+                    continue
+                start, end = word_spans(data)
+                digest = np.stack([rolled(h, min_words, f)[at] for f in FACTORS], 1).astype("<u8").tobytes()
+                ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * 16)
+                n, name = len(at), text_id(text)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([doc] * n, pa.int64()), pa.array(np.full(n, name, np.int64)), pa.array(at.astype(np.int32)), pa.array(start[at]),
+                    pa.array(end[at + min_words - 1]), pa.Array.from_buffers(pa.binary(), n, [None, ends.buffers()[1], pa.py_buffer(digest)])], schema=WINDOWS)
+    return run
+
+
+def repeated_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``doc_id, text_id, start, end, n_words, kept_doc_id``: longest stretches of ``docs`` in which every word lies in a
+    passage of ``min_words`` words that an earlier document has, too; ``kept_doc_id`` is the earliest such document.
+
+    Two passages are equal if their words are. Each passage has an anchor, the lowest of the hashes of its half passages,
+    so that equal passages have equal anchors and about one anchor comes per quarter passage. Anchors are counted over all
+    texts; those found twice go into a filter of bounded size, and only passages that pass it are digested (128 bits) and
+    grouped: a full filter costs rows, never a passage. Rank: NULL ids last, then ``doc_id``, then the text's hash. NULL
+    and empty texts have no passages; repeated rows (one id, one text) are one document, and what a document repeats
+    within itself stays.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = saved(texts.select("text").mapInArrow(_anchors(min_words), "key long").groupBy("key").count().where("count > 1").select("key"), "anchors")
+    units = saved(texts.mapInArrow(_windows(min_words, filter_bits(keys)), WINDOWS_DDL), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_id"))
+    later = _later(units, place, F.min(place) != F.max(place)).groupBy("doc_id", "text_id", "at").agg(
+        F.first("start").alias("start"), F.first("end").alias("end"), F.min(F.struct(F.col("first.last"), F.col("first.doc_id"))).alias("first"))
+    of_doc = Window.partitionBy("doc_id", "text_id").orderBy("at")
+    opens = F.coalesce(F.col("at") - F.lag("at").over(of_doc) > min_words, F.lit(True))
+    runs = later.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(of_doc))
+    return runs.groupBy("doc_id", "text_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words"),
+        F.min("first").alias("first")).select("doc_id", "text_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"))
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, find: Callable[[DataFrame, int], DataFrame] = repeated_runs) -> DataFrame:
     """``docs`` with repeated runs cut out of ``text`` (with their line break) and ``removed``, their original spans.
 
+    ``find`` tells the spans: ``repeated_runs`` those of lines and paragraphs, ``repeated_passages`` those of passages.
+
     Spans of a document are gathered by its id and text; documents without repeats keep their text as it is.
     An input column ``removed`` is replaced.
     """
     cuts, key, of = unused(docs, "_cut"), unused(docs, "_id"), unused(docs, "_text")
-    cut = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias(key), F.col("text_id").alias(of)).agg(
+    cut = find(docs, min_words).groupBy(F.col("doc_id").alias(key), F.col("text_id").alias(of)).agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cuts))
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
 
@@ -192,21 +317,23 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op6_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Every repeated line of 50 words or more in ``documents``, with the occurrence that stays."""
-    return repeated_units(table(spark, sf, "documents"))
+    """Every passage of over 50 words in ``documents`` that an earlier document has, within lines or across them."""
+    return repeated_passages(table(spark, sf, "documents")).drop("text_id")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP6_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-l AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
-p AS (SELECT doc_id, line, (sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY i) - length(line) - 1)::BIGINT AS "start" FROM l),
-u AS (SELECT doc_id, "start", "start" + length(line) AS "end", len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n_words,
-      array_to_string(regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), ' ') AS norm FROM p),
-b AS (SELECT * FROM u WHERE n_words >= {MIN_WORDS}),
-r AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value("start") OVER w AS kept_start FROM b
-      WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, "start"))
-SELECT doc_id, "start", "end", n_words::BIGINT AS n_words, kept_doc_id, kept_start FROM r
-WHERE doc_id IS DISTINCT FROM kept_doc_id OR "start" <> kept_start
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS spaced,
+           regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(spaced) AS spaced, unnest(words) AS word FROM d),
+o AS (SELECT doc_id, i, (sum(length(spaced)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS "end", length(word) AS size FROM u),
+p AS (SELECT doc_id, unnest(range(1, len(words) - {PASSAGE_WORDS} + 2)) AS i, words FROM d),
+w AS (SELECT doc_id, i, md5(array_to_string(words[i:i + {PASSAGE_WORDS} - 1], ' ')) AS digest FROM p),
+r AS (SELECT *, min(doc_id) OVER (PARTITION BY digest) AS kept FROM w),
+n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {PASSAGE_WORDS} THEN 0 ELSE 1 END AS opens FROM r WHERE kept < doc_id),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+e AS (SELECT doc_id, run, min(i) AS a, max(i) + {PASSAGE_WORDS} - 1 AS z, min(kept) AS kept_doc_id FROM g GROUP BY doc_id, run)
+SELECT e.doc_id, x."end" - x.size AS "start", y."end" AS "end", z - a + 1 AS n_words, kept_doc_id
+FROM e JOIN o x ON x.doc_id = e.doc_id AND x.i = a JOIN o y ON y.doc_id = e.doc_id AND y.i = z
 """
