@@ -541,6 +541,7 @@ def test_rolled_and_lowest(values, width):
     h = np.array(values, np.uint64)
     f = repeats.FACTORS[0]
     want = [sum(v * pow(f, j, 1 << 64) for j, v in enumerate(values[i:i + width])) % (1 << 64) for i in range(len(values) - width + 1)]
-    assert repeats.rolled(h, width, f).tolist() == want
+    at = np.arange(max(0, len(values) - width + 1))
+    assert repeats.Rolling(h, f).of(at, at + width).tolist() == want
     if len(values) >= width:
         assert repeats.lowest(h, width).tolist() == [min(values[i:i + width]) for i in range(len(values) - width + 1)]

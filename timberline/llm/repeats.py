@@ -108,16 +108,21 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, LINES)], schema=LINES)
 
 
+def _joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key`` with a table of distinct keys and ``n``, their numbers of rows; a frequent key is not gathered."""
+    heavy = F.col("n") * HEAVY_SHARE > rows.count()
+    hot = table.where(heavy).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~heavy).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def _later(units: DataFrame, place: Column, several: Column) -> DataFrame:
     """The units that are not at the first ``place`` of their digest, with that place as ``first``.
 
-    ``several``, an aggregate, picks the digests worth joining. A frequent digest is not gathered.
+    ``several``, an aggregate, picks the digests worth joining.
     """
-    first = saved(units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), several.alias("several")).where("several"), "firsts")
-    heavy = F.col("n") * HEAVY_SHARE > units.count()
-    hot = F.broadcast(first.where(heavy).select("digest", "first"))
-    cold = units.join(F.broadcast(first.where(heavy).select("digest")), "digest", "left_anti").join(first.where(~heavy).select("digest", "first"), "digest")
-    return units.join(hot, "digest").unionByName(cold).where(~place.eqNullSafe(F.col("first")))
+    first = saved(units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), several.alias("several")).where("several").drop("several"), "firsts")
+    return _joined(units, first, "digest").where(~place.eqNullSafe(F.col("first")))
 
 
 def _again(units: DataFrame) -> DataFrame:
@@ -175,8 +180,9 @@ PASSAGE_WORDS = 51  # over 50 words
 # Two odd factors of the rolling hashes; any would do.
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("at", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())])
-WINDOWS_DDL = "doc_id long, text_id long, at int, start long, end long, digest binary"
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("own", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("start", pa.int64()),
+                     ("end", pa.int64()), ("key", pa.int64()), ("digest", pa.binary())])
+WINDOWS_DDL = "doc_id long, text_id long, own long, at int, n int, start long, end long, key long, digest binary"
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -184,24 +190,17 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, data.lower().split()), np.uint64)
 
 
-def rolled(h: np.ndarray, width: int, factor: int) -> np.ndarray:
-    """Hash of every run of ``width`` entries, from runs of one, two, four …; empty if there are fewer."""
-    if len(h) < width:
-        return h[:0]
-    out, done, step, runs = None, 0, 1, h
-    while done < width:
-        if width & step:
-            if out is None:
-                out = runs
-            else:
-                n = min(len(out), len(runs) - done)
-                out = out[:n] + runs[done:done + n] * np.uint64(pow(factor, done, 1 << 64))
-            done += step
-        if done < width:
-            n = len(runs) - step
-            runs = runs[:n] + runs[step:] * np.uint64(pow(factor, step, 1 << 64))
-            step *= 2
-    return out
+class Rolling:
+    """Polynomial hashes modulo 2^64 of any runs ``first`` to ``last`` (exclusive) of ``h``; odd factors have inverses."""
+
+    def __init__(self, h: np.ndarray, factor: int):
+        def powers(f: int) -> np.ndarray:
+            return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), f, np.uint64)]))
+        self.inverse = powers(pow(factor, -1, 1 << 64))
+        self.before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(factor)[:-1])])
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (self.before[last] - self.before[first]) * self.inverse[first]
 
 
 def lowest(h: np.ndarray, width: int) -> np.ndarray:
@@ -213,10 +212,13 @@ def lowest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:len(h) - (width - step)], h[width - step:]) if width > step else h
 
 
-def anchors(h: np.ndarray, min_words: int) -> np.ndarray:
-    """For every passage of ``min_words`` words, the lowest hash of the half passages in it; equal passages have equal ones."""
+def anchors(roll: Rolling, n: int, min_words: int) -> np.ndarray:
+    """For each passage of ``min_words`` of ``n`` words, the lowest hash of the half passages in it; equal passages have equal ones."""
     half = (min_words + 1) // 2
-    return lowest(rolled(h, half, FACTORS[0]), min_words - half + 1) if len(h) >= min_words else h[:0]
+    if n < min_words:
+        return np.zeros(0, np.uint64)
+    at = np.arange(n - half + 1)
+    return lowest(roll.of(at, at + half), min_words - half + 1)
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -230,27 +232,50 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(word_hashes(t.encode()), min_words)) for t in batch.column(0).to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["key"])
+            found = [np.zeros(0, np.uint64)]
+            for text in batch.column(0).to_pylist():
+                h = word_hashes((text or "").encode())
+                found.append(np.unique(anchors(Rolling(h, FACTORS[0]), len(h), min_words)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
     return run
 
 
-def _windows(min_words: int, bits: np.ndarray):
+def _spans(min_words: int, bits: np.ndarray, singly: bool):
+    """Runs of passages with one anchor whose key is in the filter; ``singly``: the passages of the runs whose ``own`` is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode()
                 h = word_hashes(data)
-                at = np.flatnonzero(passes(anchors(h, min_words), bits))
+                rolls = [Rolling(h, f) for f in FACTORS]
+                key = anchors(rolls[0], len(h), min_words)
+                at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])[:len(key)].astype(np.int64)
+                last = np.concatenate([at[1:], [len(key)]])[:len(at)]  # exclusive
+                if not singly:
+                    some = passes(key[at], bits)
+                    at, last = at[some], last[some]
                 if not len(at):
                     continue
+                name = text_id(text)
+                place = ((doc or 0) * FACTORS[1] + name) % (1 << 64)
+                own = (rolls[1].of(at, last + min_words - 1) ^ np.uint64(place)) * np.uint64(FACTORS[0])
+                if singly:
+                    some = passes(own, bits)
+                    n = (last - at)[some]
+                    own = np.repeat(own[some], n)
+                    at = np.repeat(at[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    last = at + 1
+                    if not len(at):
+                        continue
                 start, end = word_spans(data)
-                digest = np.stack([rolled(h, min_words, f)[at] for f in FACTORS], 1).astype("<u8").tobytes()
-                ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * 16)
-                n, name = len(at), text_id(text)
+                stop = last + min_words - 1
+                digest = np.stack([r.of(at, stop) for r in rolls], 1).astype("<u8").tobytes()
+                ends = np.arange(len(at) + 1, dtype=np.int32) * 16
+                n = len(at)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([doc] * n, pa.int64()), pa.array(np.full(n, name, np.int64)), pa.array(at.astype(np.int32)), pa.array(start[at]),
-                    pa.array(end[at + min_words - 1]), pa.Array.from_buffers(pa.binary(), n, [None, ends.buffers()[1], pa.py_buffer(digest)])], schema=WINDOWS)
+                    pa.array([doc] * n, pa.int64()), pa.array(np.full(n, name, np.int64)), pa.array(own.view(np.int64)), pa.array(at.astype(np.int32)),
+                    pa.array((last - at).astype(np.int32)), pa.array(start[at]), pa.array(end[stop - 1]), pa.array(key[at].view(np.int64)),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(digest)])], schema=WINDOWS)
     return run
 
 
@@ -259,23 +284,40 @@ def repeated_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFr
     passage of ``min_words`` words that an earlier document has, too; ``kept_doc_id`` is the earliest such document.
 
     Two passages are equal if their words are. Each passage has an anchor, the lowest of the hashes of its half passages,
-    so that equal passages have equal anchors and about one anchor comes per quarter passage. Anchors are counted over all
-    texts; those found twice go into a filter of bounded size, and only passages that pass it are digested (128 bits) and
-    grouped: a full filter costs rows, never a passage. Rank: NULL ids last, then ``doc_id``, then the text's hash. NULL
-    and empty texts have no passages; repeated rows (one id, one text) are one document, and what a document repeats
-    within itself stays.
+    so that equal passages have equal anchors; neighbouring passages with one anchor are a run, about four in the length
+    of a passage. Anchors are counted over all texts. Runs of anchors found twice are digested whole (128 bits): later
+    occurrences of a run are repeated whole. Only where an anchor has different runs, their first occurrences are taken
+    apart into passages, which are digested and grouped. Anchors and runs are picked in the scan by filters of bounded
+    size: a full filter costs rows, never a passage.
+
+    Rank: NULL ids last, then ``doc_id``, then the text's hash. NULL and empty texts have no passages; repeated rows (one
+    id, one text) are one document, and what a document repeats within itself stays.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = saved(texts.select("text").mapInArrow(_anchors(min_words), "key long").groupBy("key").count().where("count > 1").select("key"), "anchors")
-    units = saved(texts.mapInArrow(_windows(min_words, filter_bits(keys)), WINDOWS_DDL), "windows")
+    runs = saved(texts.mapInArrow(_spans(min_words, filter_bits(keys), False), WINDOWS_DDL), "runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_id"))
-    later = _later(units, place, F.min(place) != F.max(place)).groupBy("doc_id", "text_id", "at").agg(
-        F.first("start").alias("start"), F.first("end").alias("end"), F.min(F.struct(F.col("first.last"), F.col("first.doc_id"))).alias("first"))
-    of_doc = Window.partitionBy("doc_id", "text_id").orderBy("at")
-    opens = F.coalesce(F.col("at") - F.lag("at").over(of_doc) > min_words, F.lit(True))
-    runs = later.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(of_doc))
-    return runs.groupBy("doc_id", "text_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words"),
+    rep = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_id"), F.col("own"))
+    kinds = saved(runs.groupBy("digest").agg(F.min(rep).alias("rep"), F.first("key").alias("key"), F.count("*").alias("n"),
+                                             (F.min(place) != F.max(place)).alias("several")), "kinds")
+    mixed = saved(kinds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
+    apart = saved(_joined(kinds.select("key", F.col("rep.own").alias("own")), mixed, "key").select(F.col("own").alias("key")), "apart")
+    single = saved(texts.mapInArrow(_spans(min_words, filter_bits(apart), True), WINDOWS_DDL), "windows")
+
+    columns_ = ["doc_id", "text_id", "at", "n", "start", "end", F.struct("first.last", "first.doc_id").alias("first")]
+    windows = saved(_later(single, place, F.min(place) != F.max(place)).select("own", *columns_), "later")
+    earlier = windows.groupBy(rep.alias("rep")).agg(F.min("first").alias("earlier"))
+    several = kinds.where("several").select("digest", "rep", "n").join(earlier, "rep", "left").select(
+        "digest", "n", F.struct("rep.last", "rep.doc_id", "rep.text_id").alias("holder"), F.coalesce("earlier", F.struct("rep.last", "rep.doc_id")).alias("first"))
+    whole = _joined(runs.withColumnRenamed("n", "size"), saved(several, "several"), "digest").where(~place.eqNullSafe(F.col("holder"))).withColumnRenamed("size", "n")
+    later = whole.select(*columns_).unionByName(windows.drop("own")).groupBy("doc_id", "text_id", "at", "n").agg(
+        F.first("start").alias("start"), F.first("end").alias("end"), F.min("first").alias("first")).withColumn("to", F.col("at") + F.col("n"))
+
+    of_doc = Window.partitionBy("doc_id", "text_id").orderBy("at", "n")
+    opens = F.coalesce(F.col("at") - F.max("to").over(of_doc.rowsBetween(Window.unboundedPreceding, -1)) >= min_words, F.lit(True))
+    found = later.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(of_doc))
+    return found.groupBy("doc_id", "text_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to") - F.min("at") + (min_words - 1)).cast("long").alias("n_words"),
         F.min("first").alias("first")).select("doc_id", "text_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"))
 
 
