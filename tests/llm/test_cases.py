@@ -181,6 +181,21 @@ def test_units_equal_whole_text(name, text):
     assert np.frombuffer(raw, "<u4").tolist() == e.lib.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(PIECE, max_size=6).map("".join), max_size=12), st.integers(1, 9))
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_full_cache_begins_anew(name, texts, room):
+    """A cache that is full after a few words gives the ids of the whole texts."""
+    import public_tokenizers
+    e = tokens.encoder(public_tokenizers.path(name))
+    e.cache = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "CACHE_UNITS", room)
+        m.setattr(tokens, "CHUNK_CHARS", 8)
+        got = list(e.encode(texts))
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == [e.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # --- 4: Jaccard join ------------------------------------------------------
 
 def brute_jaccard(data, width, percent):

@@ -31,8 +31,9 @@ class Encoder:
     """Encodes whole texts; equal to the library's encoding of each text.
 
     Where the tokenizer always breaks before a word's white space, a text is
-    encoded as the sequence of its words, and each distinct word once per
-    process while the cache has room. Other tokenizers get the whole text.
+    encoded as the sequence of its words, and each distinct word once while the
+    cache holds it; a full cache begins anew with the words of the last texts.
+    Other tokenizers get the whole text.
     Strings of special tokens inside a text are ordinary text.
     """
 
@@ -83,8 +84,9 @@ class Encoder:
                 if None in ids:
                     ids = [fresh[u] if b is None else b for u, b in zip(units, ids)]
                 yield b"".join(ids)
-            if len(known) + len(fresh) <= CACHE_UNITS:
-                known.update((u, b) for u, b in fresh.items() if len(u) <= CACHE_LENGTH)
+            if len(known) + len(fresh) > CACHE_UNITS:
+                self.cache = {u: b for units, ids in zip(lists, found) for u, b in zip(units, ids) if b is not None}
+            self.cache.update((u, b) for u, b in fresh.items() if len(u) <= CACHE_LENGTH)
 
 
 @functools.lru_cache(maxsize=2)
