@@ -103,6 +103,12 @@ def test_grades_leave_out_held_out_toxic_rows(spark):
     assert kept["toxic"] < 0.3 and kept["good but toxic"] < 0.3 and kept["low"] < 0.2 and kept["clean"] > 0.95
 
 
+def test_grades_of_a_small_table(spark):
+    """67, 11 and 9 rows of the grades: rows are held out of each grade, so there is a model and not all texts stay."""
+    rows = queries.QUERIES["op9_quality_grades"](spark, SMALL).collect()
+    assert len({r["expected_grade"] for r in rows}) > 10 and 0 < sum(r["kept"] for r in rows) < len(rows)
+
+
 def encoder(name):
     import public_tokenizers
     from tokenizers import Tokenizer

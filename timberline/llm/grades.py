@@ -62,7 +62,7 @@ def best_cut(p: np.ndarray, grade: np.ndarray, grades: int, least: float = LEAST
 def _fit(shares: list[float], grades: int):
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         grade, texts = g["grade"].to_numpy(np.int64), g["text"].tolist()
-        held = np.arange(len(g)) % 5 == 0
+        held = g.groupby("grade").cumcount().to_numpy() % 5 == 0  # of each grade, however small the sample
         if any(len(np.unique(grade[m])) < grades for m in (held, ~held)):
             return pd.DataFrame({"weights": [None], "thresholds": [None], "slope": [1.0], "shift": [0.0], "cut": [THRESHOLD]})
         w, t = textmodel.fit_cumulative([x for x, h in zip(texts, held) if not h], grade[~held], grades, presence=True)
