@@ -190,3 +190,18 @@ def test_phrases_against_plain_counting(spark, shards):
     got = collocations.collocations(docs, support=5, top=12, share=50, shards=shards)
     assert sorted(tuple(r) for r in got.collect()) == brute_phrases([r[1:] for r in rows], 5, 12, 50)
     assert collocations.collocations(docs.where("false")).count() == 0
+
+
+def test_mined_phrases_travel_by_range_with_capped_repeats():
+    import pyarrow as pa
+    texts = ["the same words " * 500 + ". " + " ".join(f"w{i}" for i in range(500))] * 2
+    batch = pa.RecordBatch.from_pydict({"lang": ["de", "en"], "slot": [3, (1 << 32) + 2], "text": texts})
+    out = pa.Table.from_batches(collocations._mined(3, 4)(iter([batch]))).to_pylist()
+    assert len(out) <= 2 * 16 and len({(r["part"], r["slot"]) for r in out}) == len(out)
+    for slot, least in ((3, 3), ((1 << 32) + 2, 2)):  # 503 words, 500 + 2 pairs, 500 + 2 triples; 9 of them 500 times
+        keys = [np.frombuffer(r["keys"], "<u4") for r in out if r["slot"] == slot]
+        assert sum(map(len, keys)) == 500 + 499 + 498 + 9 * least
+        assert max(collocations.counts(np.sort(k))[1].max() for k in keys) == least
+    found = [collocations._frequent(4)(pa.Table.from_pylist([r for r in out if r["part"] == p], pa.schema(
+        [("part", pa.int32()), ("slot", pa.int64()), ("keys", pa.binary())]))).num_rows for p in {r["part"] for r in out}]
+    assert sum(found) == 2 * 9

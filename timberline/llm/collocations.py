@@ -1,13 +1,18 @@
 """Phrase collocations by SON partitioning.
 
 Rows are dealt by the hash of their id to a few shards. A shard is mined
-completely: all its phrases are counted under 64-bit keys, and those that reach
+completely: all its phrases are counted under hashed keys, and those that reach
 the support lowered by the shard's share of the language's words stay. A phrase
 that is frequent in all reaches that support in at least one shard, whatever
 the shares are, so the union of the shards' keys holds every frequent phrase. A
 second pass counts the phrases behind these keys exactly, as text; two phrases
 with one key cost a count, not the result.
 
+Keys travel by range: a chunk of texts sorts its keys and sends each range's
+part as four bytes a key, where a key comes as often as it was found, but not
+more often than the lowered support asks for. Ranges are so many that a range's
+keys are few, so each is counted by sorting.
+
 The support is a number of occurrences, so a shard with less than that part of
 the words would prune nothing: there are few shards, and each is counted by all
 tasks. The union is told to the second pass as a Bloom filter of at most
@@ -39,8 +44,9 @@ JAVA_WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
 
 SHARDS = 4
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 SALTS = 64
+RANGE_KEYS = 1 << 22  # keys of a range, about
 
 
 # --- one chunk of texts ---------------------------------------------------
@@ -118,36 +124,79 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield flush()
 
 
-def _mined(longest: int):
-    """``key, slot, n``: every phrase of a chunk, counted by shard."""
+def counts(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a sorted array, and how often each comes."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(sorted_)), bool), sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first], np.diff(np.append(first, len(sorted_)))
+
+
+def short(key: np.ndarray, range_bits: int) -> np.ndarray:
+    """The bits of a key that travel: its range, then 32 more."""
+    return key >> np.uint64(32 - range_bits)
+
+
+def _mined(longest: int, range_bits: int):
+    """``part, slot, keys``: the phrases of a chunk by key range and shard; a key is repeated up to the support asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(32)
         for c in chunks(batches):
-            slots = np.array([s for _, s in c.groups], np.int64)
+            slots, slot_of = np.unique([s for _, s in c.groups], return_inverse=True)
+            found = []
             for k in range(1, longest + 1):
                 at = c.starts(k)
-                key, slot = c.keys(at, k), slots[c.group[at]]
-                _, first, n = np.unique(mixed(key + slot.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(slot[first]), pa.array(n)], ["key", "slot", "n"])
+                found.append((short(c.keys(at, k), range_bits), slot_of[c.group[at]]))
+            key, of = (np.concatenate(x) for x in zip(*found))
+            del found
+            for i, slot in enumerate(slots.tolist()):
+                some, n = counts(np.sort(key[of == i]))
+                some = np.repeat(some, np.minimum(n, slot % (1 << 32)))
+                ends = np.concatenate([[0], np.searchsorted(some, borders), [len(some)]]).astype(np.int32)
+                parts = np.flatnonzero(np.diff(ends))
+                keys = pa.Array.from_buffers(pa.binary(), 1 << range_bits, [None, pa.py_buffer(ends * 4), pa.py_buffer(some.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), slot)), keys.take(pa.array(parts))], ["part", "slot", "keys"])
+    return run
+
+
+def _frequent(range_bits: int):
+    def run(group: pa.Table) -> pa.Table:
+        """``key`` of every phrase of a key range that reaches a shard's lowered support."""
+        part, slots = group.column("part")[0].as_py(), group.column("slot").to_numpy()
+        blocks = [np.frombuffer(b.as_buffer(), "<u4") for chunk in group.column("keys").chunks for b in chunk]
+        found = [np.zeros(0, np.uint32)]
+        for slot in np.unique(slots).tolist():
+            some, n = counts(np.sort(np.concatenate([blocks[i] for i in np.flatnonzero(slots == slot)])))
+            found.append(some[n >= slot % (1 << 32)])
+        keys = np.unique(np.concatenate(found)).astype(np.uint64) | np.uint64(part) << np.uint64(32)
+        return pa.table({"key": mixed(keys).view(np.int64)})
     return run
 
 
-def _counted(longest: int, bits: np.ndarray):
+def _counted(longest: int, bits: np.ndarray, range_bits: int):
     """``lang, k, phrase, n``: the phrases of a chunk that the filter lets pass, told apart by their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             langs = sorted({lang for lang, _ in c.groups})
             lang_of = np.array([langs.index(lang) for lang, _ in c.groups], np.int64)
+            wide = max(1, (len(c.words) - 1).bit_length())
             for k in range(1, longest + 1):
                 at = c.starts(k)
-                at = at[passes(c.keys(at, k), bits)]
-                code = lang_of[c.group[at]]
-                for j in range(k):
-                    _, code = np.unique(code << 32 | c.ids[at + j], return_inverse=True)
-                _, first, n = np.unique(code, return_index=True, return_counts=True)
-                at = at[first]
-                lists = [[c.words[i] for i in c.ids[at + j]] for j in range(k)]
+                at = at[passes(mixed(short(c.keys(at, k), range_bits)), bits)]
+                code, ids = lang_of[c.group[at]], [c.ids[at + j] for j in range(k)]
+                if len(langs).bit_length() + k * wide < 64:  # language and words in one number
+                    for x in ids:
+                        code = code << wide | x
+                    code, n = counts(np.sort(code))
+                    ids = [code >> wide * (k - 1 - j) & ((1 << wide) - 1) for j in range(k)]
+                    lang = code >> wide * k
+                else:
+                    lang = code
+                    for x in ids:
+                        _, code = np.unique(code << 32 | x, return_inverse=True)
+                    _, first, n = np.unique(code, return_index=True, return_counts=True)
+                    ids, lang = [x[first] for x in ids], lang[first]
+                lists = [[c.words[i] for i in x] for x in ids]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([langs[i] for i in lang_of[c.group[at]]], pa.string()), pa.array(np.full(len(at), k, np.int32)),
+                    pa.array([langs[i] for i in lang], pa.string()), pa.array(np.full(len(n), k, np.int32)),
                     pa.array(list(map(b" ".join, zip(*lists))), pa.binary()).cast(pa.string()), pa.array(n)], ["lang", "k", "phrase", "n"])
     return run
 
@@ -172,9 +221,11 @@ def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shard
         "lang", "shard", F.expr(f"shard * 4294967296 + ({support}L * w + n - 1) div n").alias("slot"))
     least = F.broadcast(least) if small(least, BROADCAST_ROWS // 10) else least
     rows = docs.join(least, ["lang", "shard"]).select("lang", "slot", "text")
-    mined = rows.mapInArrow(_mined(longest), "key long, slot long, n long").groupBy("key", "slot").agg(F.sum("n").alias("n"))
-    keys = saved(mined.where("n >= slot % 4294967296").select("key").distinct(), "phrase-keys")
-    counted = rows.mapInArrow(_counted(longest, filter_bits(keys)), "lang string, k int, phrase string, n long")
+    total = sizes.agg(F.sum("w")).first()[0] or 0
+    range_bits = min(16, max(4, (longest * total // RANGE_KEYS).bit_length()))
+    mined = rows.mapInArrow(_mined(longest, range_bits), "part int, slot long, keys binary")
+    keys = saved(mined.groupBy("part").applyInArrow(_frequent(range_bits), "key long"), "phrase-keys")
+    counted = rows.mapInArrow(_counted(longest, filter_bits(keys), range_bits), "lang string, k int, phrase string, n long")
     found = saved(counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support), "phrases")
     return found, words
 
