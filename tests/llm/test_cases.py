@@ -560,3 +560,23 @@ def test_rolled_and_lowest(values, width):
     assert repeats.Rolling(h, f).of(at, at + width).tolist() == want
     if len(values) >= width:
         assert repeats.lowest(h, width).tolist() == [min(values[i:i + width]) for i in range(len(values) - width + 1)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_words_are_split_without_the_pretokenizer(name, monkeypatch):
+    import public_tokenizers
+    e = tokens.Encoder(public_tokenizers.path(name))
+
+    def whole(text):
+        return np.array(e.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    letters = [chr(i) for i in range(0x260)] + list("漢😀́　sdtrevml") * 8 + ["'", " ", "\n"] * 30
+    texts = ["".join(random.Random(i).choices(letters, k=i % 40)) for i in range(3000)]
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 50)
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 50)
+    assert list(e.encode(texts)) == list(map(whole, texts))
+    assert len(e.cache) <= 50 < len(e.older) <= 50 + 40 and len(e.parts) <= 50
+    plain = "Fürschpfung's 42,5### \x01ok\n\nétréè don't"
+    want = whole(plain)
+    monkeypatch.setattr(e, "_encode", lambda units: pytest.fail("a word of known letters went through the whole library"))
+    assert list(e.encode([plain])) == [want]

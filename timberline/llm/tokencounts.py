@@ -33,14 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import boxed, table, unboxed
-from timberline.llm.tokens import SPACE
+from timberline.llm.tokens import KNOWN_LETTERS, SPACE, byte_letters
 
 # The byte-level pattern behind white space, and its contractions of more than one letter.
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 UNIT = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 SPACES = "".join(c for c in map(chr, range(0x3001)) if regex.match(f"[{SPACE}]", c))
-KNOWN_LETTERS = "ɏ"  # up to here classes of code points do not depend on the Unicode version
 
 CACHE_UNITS = 500_000
 CACHE_PARTS = 300_000
@@ -49,13 +48,6 @@ SEEN_PAIRS = 500_000
 CHUNK_CHARS = 1_000_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next free one from 256."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class PrefixCounter:
     """Counts for a byte-level BPE file of the tokenizers library, with its default treatment of special strings."""
 

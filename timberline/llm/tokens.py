@@ -7,6 +7,7 @@ import json
 import os
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Iterator, Sequence
 
@@ -14,13 +15,34 @@ from collections.abc import Iterator, Sequence
 SPACE = "\t-\r \x85\xa0  -     　"
 # A run of white space gives its last character to the word that follows it.
 SPACED_UNIT = re.compile(f"[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])")
+# The split of the word-level vocabularies.
+BARE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BARE_UNIT = re.compile(f"[^{SPACE}]+")
 
-CACHE_UNITS = 1_000_000
+# Classes of code points up to here do not depend on the Unicode version, and each is its own composed form.
+KNOWN_LETTERS = "\u024f"
+_LETTERS, _DIGITS = ("".join(re.escape(chr(i)) for i in range(ord(KNOWN_LETTERS) + 1) if unicodedata.category(chr(i))[0] == kind) for kind in "LN")
+_CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
+# The parts that the two known pre-tokenizers make of a unit.
+SPACED_PARTS = re.compile(f"{_CONTRACTED}| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{SPACE}{_LETTERS}{_DIGITS}]+|[{SPACE}]+")
+BARE_PARTS = re.compile(f"{_CONTRACTED}|[{_LETTERS}]+|[{_DIGITS}]|[^{SPACE}{_LETTERS}{_DIGITS}]+")
+
+CACHE_UNITS = 500_000
+CACHE_PARTS = 300_000
 CACHE_LENGTH = 32
 CHUNK_CHARS = 1_000_000
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next free one from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = {b: c for c, b in byte_letters().items()}
+
+
 def _little(ids: array) -> bytes:
     if sys.byteorder != "little":
         ids.byteswap()
@@ -32,7 +54,9 @@ class Encoder:
 
     Where the tokenizer always breaks before a word's white space, a text is
     encoded as the sequence of its words, and each distinct word once while the
-    cache holds it; a full cache begins anew with the words of the last texts.
+    cache holds it: two generations of words are remembered. A new word of known
+    letters is split into the pre-tokenizer's parts here and the library's model
+    encodes those; any other word goes through the whole library.
     Other tokenizers get the whole text.
     Strings of special tokens inside a text are ordinary text.
     """
@@ -42,11 +66,16 @@ class Encoder:
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.model = self.lib.model
         self.vocabulary = self.lib.get_vocab_size()
         with open(path) as f:
             spec = json.load(f)
         self.unit = self._unit(spec.get("normalizer"), spec.get("pre_tokenizer") or {})
+        self.lower = self.unit is BARE_UNIT
+        self.split = BARE_PARTS if self.lower else SPACED_PARTS
+        self.parts: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _unit(normalizer: dict | None, pre: dict) -> re.Pattern | None:
@@ -55,38 +84,66 @@ class Encoder:
         steps = pre.get("pretokenizers") or []
         kinds = [n["type"] for n in (normalizer or {}).get("normalizers", [])]
         split = steps[0] if steps and steps[0]["type"] == "Split" else None
-        if (split and split["behavior"] == "Removed" and split["invert"] and r"[^\s\p{L}\p{N}]+" in split["pattern"].get("Regex", "")
-                and kinds == ["NFC", "Replace", "Lowercase"] and not any(s.get("use_regex") or s.get("add_prefix_space") for s in steps[1:])):
+        if (split and split["behavior"] == "Removed" and split["invert"] and split["pattern"].get("Regex") == BARE_PATTERN
+                and kinds == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps[1:]] == ["ByteLevel"]
+                and not any(s.get("use_regex") or s.get("add_prefix_space") for s in steps[1:])):
             return BARE_UNIT
         return None
 
     def _encode(self, units: list[str]) -> list[bytes]:
         return [_little(array("I", e.ids)) for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _part_ids(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            letters = part.replace(" ", BYTE_LETTERS[32])
+        else:
+            letters = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = _little(array("I", [t.id for t in self.model.tokenize(letters)]))
+        if len(part) <= CACHE_LENGTH:
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
+    def _unit_ids(self, unit: str) -> bytes:
+        word = unit.lower() if self.lower else unit
+        if not word.isascii() and max(word) > KNOWN_LETTERS:
+            return self._encode([unit])[0]
+        known = self.parts
+        return b"".join([known.get(p) or self._part_ids(p) for p in self.split.findall(word)])
+
+    def _missing(self, unit: str) -> bytes:
+        """Ids of a unit that the cache did not have when its text was looked up."""
+        ids = self.cache.get(unit)
+        if ids is None:
+            ids = self.older.get(unit)
+            if ids is None:
+                ids = self._unit_ids(unit)
+            if len(unit) <= CACHE_LENGTH:
+                self.cache[unit] = ids
+        return ids
+
     def encode(self, texts: Sequence[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers; NULL is empty."""
-        i = 0
-        while i < len(texts):
-            part, chars = [], 0
-            while i < len(texts) and (not part or chars < CHUNK_CHARS):
-                part.append(texts[i] or "")
-                chars += len(part[-1])
-                i += 1
-            if self.unit is None:
+        if self.unit is None:
+            i = 0
+            while i < len(texts):
+                part, chars = [], 0
+                while i < len(texts) and (not part or chars < CHUNK_CHARS):
+                    part.append(texts[i] or "")
+                    chars += len(part[-1])
+                    i += 1
                 yield from self._encode(part)
-                continue
-            known = self.cache
-            lists = [self.unit.findall(t) for t in part]
-            found = [list(map(known.get, units)) for units in lists]
-            new = list({u for units, ids in zip(lists, found) if None in ids for u, b in zip(units, ids) if b is None})
-            fresh = dict(zip(new, self._encode(new)))
-            for units, ids in zip(lists, found):
-                if None in ids:
-                    ids = [fresh[u] if b is None else b for u, b in zip(units, ids)]
-                yield b"".join(ids)
-            if len(known) + len(fresh) > CACHE_UNITS:
-                self.cache = {u: b for units, ids in zip(lists, found) for u, b in zip(units, ids) if b is not None}
-            self.cache.update((u, b) for u, b in fresh.items() if len(u) <= CACHE_LENGTH)
+            return
+        for text in texts:
+            units = self.unit.findall(text or "")
+            found = list(map(self.cache.get, units))
+            if None in found:
+                missing = self._missing
+                found = [missing(u) if b is None else b for u, b in zip(units, found)]
+                if len(self.cache) > CACHE_UNITS:
+                    self.cache, self.older = {}, self.cache
+            yield b"".join(found)
 
 
 @functools.lru_cache(maxsize=2)
