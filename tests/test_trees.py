@@ -317,3 +317,23 @@ def test_cross_validation_equals_separate_fits(random_200):
         assert scored.where(F.col("prediction") == F.col("y").cast("string")).count() == got[f]
     sizes = [r["n"] for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()]
     assert max(sizes) - min(sizes) <= 2
+
+
+def test_a_large_wide_table_is_neither_dealt_nor_kept(spark, monkeypatch):
+    """Split search over many features of a table that is not small: the same rows, no exchange of them, none persisted."""
+    from timberline import core
+    df = spark.range(4000).selectExpr("CAST(id % 3 = 0 AS int) AS y", *[f"CAST((id + {i}) % ({i} + 2) != 0 AS int) AS f{i}" for i in range(20)],
+                                      "IF(id % 7 = 0, NULL, id * 37 % 1009) AS many")
+    features = [*[f"f{i}" for i in range(20)], "many"]
+    kw = {"criterion": "gini", "bucket_values": 100, "buckets": 16}
+    want = sorted(map(str, G.best_numeric_split(df, features, "y", **kw).collect()))
+    assert core.SPREAD_BYTES <= 1 << 26
+    dealt, kept = [], []
+    frame = type(df)
+    monkeypatch.setattr(G, "is_small", lambda d: False)
+    monkeypatch.setattr(core, "is_small", lambda *a: False)
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(self) or self)
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a: kept.append(self.columns) or persist(self, *a))
+    assert sorted(map(str, G.best_numeric_split(df, features, "y", **kw).collect())) == want
+    assert not dealt and not [c for c in kept if "f0" in c]

@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 AGG_WIDTH = 300
 
 # From this many aggregates on, a small table is spread over all cores first.
+# The planner's estimate of files is compressed, their rows may be many times
+# larger; tables beyond it are read in enough splits anyway.
 HEAVY_AGG = 24
-SPREAD_BYTES = 1 << 30
+SPREAD_BYTES = 1 << 26
 
 # Lookup tables up to this many rows may be broadcast; the count is always
 # taken before the hint is given.

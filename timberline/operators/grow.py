@@ -358,16 +358,22 @@ def grow(data: DataFrame, features: Sequence[tuple[str, str]], classes: Sequence
 
 @contextmanager
 def laid_out(df: DataFrame, features: Sequence[tuple[str, str]], target: str, p: TreeParams,
-             weight_col: str | None = None, positive: object = None, keep: Sequence[str] = ()):
-    """Prepared, bucketed and persisted rows with all that a search needs; released at the end.
+             weight_col: str | None = None, positive: object = None, keep: Sequence[str] = (), once: bool = False):
+    """Prepared and bucketed rows with all that a search needs; persisted, and released at the end.
 
-    A small table is spread over the cores and kept while its layout is found.
+    A small table is spread over the cores and kept while its layout is found. A larger one that is searched only
+    ``once`` is not kept: a search reads the columns of one batch of features at a time, a kept partition all of them.
     """
     data, classes, pos, at_root = prepare(df, features, target, p, weight_col, positive, keep)
-    first = spread(data).persist() if is_small(data) else data
+    small = is_small(data)
+    first = spread(data).persist() if small else data
     kept = first
     try:
         ready, layout = lay_out(first, features, p)
+        if once and not small:
+            # never 1, but no constant either (see below)
+            yield ready.withColumn(ROOT_GROUP, F.when(F.col(CLASS) < 0, 1).otherwise(0)), layout, classes, pos, at_root
+            return
         # the group of the root is a stored column: as a constant it would turn
         # the equi-joins of the search into nested loops
         kept = ready.withColumn(ROOT_GROUP, F.lit(0)).persist()
@@ -421,7 +427,7 @@ def best_splits(df: DataFrame, features: Sequence[str], target: str, categorical
     """The classes and the best split of every feature over the rows given, best first."""
     p = TreeParams(**params)
     kinds = feature_kinds(df, features, categorical)
-    with laid_out(df, kinds, target, p, weight_col, positive) as (data, layout, classes, pos, counts):
+    with laid_out(df, kinds, target, p, weight_col, positive, once=True) as (data, layout, classes, pos, counts):
         exact = not isinstance(data.schema[WEIGHT].dataType, T.DoubleType)
         found = search(data.withColumn(GROUP, F.col(ROOT_GROUP)), kinds, len(classes), classes.index(pos),
                        group_totals(data, [counts], exact), p, layout, 1, per_feature=True)
