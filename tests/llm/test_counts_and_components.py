@@ -205,3 +205,12 @@ def test_mined_phrases_travel_by_range_with_capped_repeats():
     found = [collocations._frequent(4)(pa.Table.from_pylist([r for r in out if r["part"] == p], pa.schema(
         [("part", pa.int32()), ("slot", pa.int64()), ("keys", pa.binary())]))).num_rows for p in {r["part"] for r in out}]
     assert sum(found) == 2 * 9
+
+
+def test_ends_of_tokens_tell_their_ids(library):
+    of = tokencounts.counter(path())
+    assert all(of.tails[t] == i for t, i in of.ids.items())  # one look-up tells a token, an end of one, or neither
+    assert {t for t, i in of.tails.items() if i < 0}.isdisjoint(of.ids) and all(t[k:] in of.tails for t in of.ids for k in range(len(t)))
+    for text in ["a\x1c\x1db don't re-ally's ½x²", "Fürs\x85chpf 42,5### ok\n\n don't ", "\xa0x  y"]:
+        counts = np.cumsum(np.frombuffer(next(iter(of.steps([text]))), "<i2"), dtype=np.int64)
+        assert counts.tolist() == [library(text[:i + 1]) for i in range(len(text))]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
@@ -33,12 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import boxed, table, unboxed
-from timberline.llm.tokens import KNOWN_LETTERS, SPACE, byte_letters
+from timberline.llm.tokens import KNOWN_LETTERS, SPACE, SPACED_PARTS, byte_letters
 
-# The byte-level pattern behind white space, and its contractions of more than one letter.
-RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+# The contractions of more than one letter.
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
-UNIT = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 SPACES = "".join(c for c in map(chr, range(0x3001)) if regex.match(f"[{SPACE}]", c))
 
 CACHE_UNITS = 500_000
@@ -75,7 +75,7 @@ class PrefixCounter:
             self.halves[whole] = number[a], number[b]
             if a in self.ids and b in self.ids and self.apart(number[a], number[b], rank):  # its bytes do become this token
                 self.ids[a + b] = whole
-        self.tails = {t[k:] for t in self.ids for k in range(len(t))}
+        self.tails = {t[k:]: -1 for t in self.ids for k in range(len(t))} | self.ids  # ends of tokens; the id of one that is a token
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
         self.seen: dict[int, bool] = {}
         self.parts: dict[str, list[int]] = {}
@@ -108,8 +108,8 @@ class PrefixCounter:
                 count.append(1)
                 continue
             ends, s = [], i - 1
-            while s >= 0 and (tail := raw[s:i]) in tails:
-                if (t := ids.get(tail)) is not None:
+            while s >= 0 and (t := tails.get(raw[s:i])) is not None:
+                if t >= 0:
                     ends.append((s, t))
                 s -= 1
             for s, t in reversed(ends):
@@ -145,7 +145,7 @@ class PrefixCounter:
     def _runs(self, unit: str, lead: int) -> list[str]:
         """The tokenizer's parts of the word of a unit, with the blank before it."""
         if max(unit) <= KNOWN_LETTERS:
-            return RUNS.findall(unit[lead:])
+            return SPACED_PARTS.findall(unit, lead)
         return [unit[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(unit) if b > lead]
 
     def unit(self, unit: str) -> bytes:
