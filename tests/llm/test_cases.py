@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -580,3 +581,42 @@ def test_new_words_are_split_without_the_pretokenizer(name, monkeypatch):
     want = whole(plain)
     monkeypatch.setattr(e, "_encode", lambda units: pytest.fail("a word of known letters went through the whole library"))
     assert list(e.encode([plain])) == [want]
+
+
+def across(words, comps, forests, least=None):
+    """Pairs and cut buckets that the cross comparison writes for one bucket, key 7."""
+    rows_ = [{"key": 7, "m": 100 + i, "component": c, "n_shingles": 64, "words": w.tobytes(), "least": (least or {}).get(i, [7])}
+             for i, (w, c) in enumerate(zip(words, comps))]
+    schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("component", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary()), ("least", pa.list_(pa.int64()))])
+    out = [r for b in jaccard._across(80, forests)(iter([pa.RecordBatch.from_pylist(rows_, schema=schema)])) for r in b.to_pylist()]
+    return sorted((r["x"], r["y"]) for r in out if r["cut"] is None), [r["cut"] for r in out if r["cut"] is not None]
+
+
+def test_a_bucket_writes_no_more_pairs_than_members():
+    """Near copies that no link joins yet: one forest, not every pair, and word that pairs were left out."""
+    same = np.zeros((300, 4), np.uint64)
+    pairs, cut = across(same, range(300), 1)
+    assert len(pairs) == 299 and cut == [7]
+    assert len(across(same, range(300), 8)[0]) == 8 * 300 - 36
+    assert len(across(same[:9], range(9), 8)[0]) == 36 and across(same[:9], range(9), 8)[1] == []
+    assert across(same, [1] * 299 + [2], 1) == ([(100, 399)], [7])
+    far = np.concatenate([same[:3], ~same[:1]])  # the last is far from all; the first two share a lower key
+    assert across(far, range(4), 8, {0: [3, 7], 1: [3, 7]}) == ([(100, 102), (101, 102)], [])
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_pairs_left_out_are_asked_again(spark, seed, monkeypatch):
+    """Many copies of one text around the threshold: forests that fail are followed by others until all links are found."""
+    draw, base = random.Random(seed), [f"w{i}" for i in range(90)]
+    data = []
+    for d in range(260):
+        words = base[:] if d % 3 else data[draw.randrange(d)][1].split() if d else base[:]
+        for _ in range(draw.randint(1, 4)):
+            words[draw.randrange(len(words))] = f"v{draw.randrange(9)}"
+        data.append((d, " ".join(words)))
+    rounds = []
+    step = jaccard._crossing
+    monkeypatch.setattr(jaccard, "_crossing", lambda *args: rounds.append(args[-1]) or step(*args))
+    got = jaccard.similar_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(4), 5, 80)
+    assert rows(got) == brute_jaccard(data, 5, 80)
+    assert rounds[:2] == [1, 8]

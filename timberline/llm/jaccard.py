@@ -22,9 +22,13 @@ and close to it, which drops most candidates. The rest is verified on the sets o
 Equal sets are one class from the start. In a bucket (documents with one key)
 all members are first compared with one leader. That settles the bucket unless
 a comparison fails. The members of such buckets are then compared across the
-components found so far, on their bit sketches inside the task; only pairs that
-pass are written. No link between components is missed, and a bucket of near
-copies costs as many comparisons as it has members.
+components found so far, on their bit sketches inside the task. Of the pairs that
+pass a bucket writes a forest over the components, so no more pairs than it has
+members: if these are links, the pairs left out join nothing new. Buckets that
+left pairs out are looked at again with the components that were found, with
+eight times the forests each time, until none is left out. Near copies meet in
+many buckets; a member carries its lowest keys, and a pair that shares a lower one
+is left to that bucket. No link between components is missed.
 """
 
 from __future__ import annotations
@@ -51,6 +55,8 @@ BITS_PER_SHINGLE = 4
 KEPT_SETS = 64
 TOLD_PAIRS = 500_000
 WORDS_AT_ONCE = 1 << 21  # sketch words compared at once in a bucket
+LEAST_KEYS = 8
+MORE_FORESTS = 8
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S = [np.uint64(x) for x in (29, 32, 33)]
@@ -213,28 +219,81 @@ def _near(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.where(close(*args)).select("x", "y").distinct()
 
 
-def _across(percent: int):
-    """Rows of buckets in order -> near pairs of members that are in different components."""
-    def pairs(g: list[dict]) -> Iterator[tuple[int, int]]:
+class Forests:
+    """Edge-disjoint forests over ``n`` nodes; an edge goes to the first of them that does not connect its ends."""
+
+    def __init__(self, n: int, most: int):
+        self.n, self.most, self.parents = n, most, []
+
+    def root(self, j: int, a: int) -> int:
+        up = self.parents[j]
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        return a
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether there was room; ends connected in one forest are connected in all before it."""
+        low, high = 0, len(self.parents)
+        while low < high:
+            mid = (low + high) // 2
+            if self.root(mid, a) == self.root(mid, b):
+                low = mid + 1
+            else:
+                high = mid
+        if low == self.most:
+            return False
+        if low == len(self.parents):
+            self.parents.append(list(range(self.n)))
+        self.parents[low][self.root(low, a)] = self.root(low, b)
+        return True
+
+    def full(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The edges that have no room."""
+        if len(self.parents) < self.most:
+            return np.zeros(len(a), bool)
+        root = np.array([self.root(self.most - 1, i) for i in range(self.n)])
+        return root[a] == root[b]
+
+
+def _across(percent: int, forests: int):
+    """Rows of buckets in order -> ``x, y`` of near pairs of members in different components, in up to ``forests``
+    forests over the components of a bucket; ``cut`` is the key of a bucket that left pairs out."""
+    def pairs(g: list[dict]) -> Iterator[tuple[int | None, int | None, int | None]]:
         x = np.stack([np.frombuffer(r["words"], np.uint64) for r in g])
-        n, comp = np.array([r["n_shingles"] for r in g]), np.array([r["component"] for r in g])
-        name = np.array([r["m"] for r in g])
+        n, name, key = np.array([r["n_shingles"] for r in g]), [r["m"] for r in g], g[0]["key"]
+        values, comp, count = np.unique([r["component"] for r in g], return_inverse=True, return_counts=True)
+        least = np.array([r["least"] + [key] * (LEAST_KEYS - len(r["least"])) for r in g], np.int64)
         # the members of the largest component need not be compared with each other
-        values, count = np.unique(comp, return_counts=True)
-        rest = np.flatnonzero(comp != values[count.argmax()])
+        inside = comp == count.argmax()
+        rest = np.flatnonzero(~inside)
+        kept, cut = Forests(len(values), forests), False
         step = max(1, WORDS_AT_ONCE // x.size)
         for at in range(0, len(rest), step):
             i = rest[at:at + step]
             apart = np.bitwise_count(x[i][:, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.int64)
-            near = ((100 + percent) * apart <= (100 - percent) * (n[i][:, None] + n[None, :])) & (comp[i][:, None] != comp[None, :])
-            for a, b in zip(*np.nonzero(near)):
-                yield tuple(sorted((int(name[i[a]]), int(name[b]))))
+            both = n[i][:, None] + n[None, :]
+            near = ((100 + percent) * apart <= (100 - percent) * both) & (comp[i][:, None] != comp[None, :])
+            near &= inside[None, :] | (i[:, None] < np.arange(len(g))[None, :])
+            row, b = np.nonzero(near)
+            order = np.argsort(apart[row, b] / both[row, b], kind="stable")  # the nearest first
+            a, b = i[row][order], b[order]
+            lower = ((least[a][:, :, None] == least[b][:, None, :]) & (least[a] < key)[:, :, None]).any(axis=(1, 2))
+            a, b = a[~lower], b[~lower]
+            full = kept.full(comp[a], comp[b])
+            cut |= bool(full.any())
+            for p, q in zip(a[~full].tolist(), b[~full].tolist()):
+                if kept.add(int(comp[p]), int(comp[q])):
+                    yield min(name[p], name[q]), max(name[p], name[q]), None
+                else:
+                    cut = True
+        if cut:
+            yield None, None, key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        told: set[tuple[int, int]] = set()  # pairs meet in many buckets; a task writes each once while there is room
+        told: set[tuple] = set()  # pairs meet in several buckets; a task writes each once while there is room
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: set[tuple] = set()
             for r in batch.to_pylist():
                 if held and held[0]["key"] != r["key"]:
                     found.update(pairs(held))
@@ -248,9 +307,22 @@ def _across(percent: int):
     return run
 
 
-def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    x, y = zip(*sorted(found)) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+def _pair_batch(found: set[tuple]) -> pa.RecordBatch:
+    cols = zip(*found) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["x", "y", "cut"])
+
+
+def _crossing(placed: DataFrame, bits: DataFrame, found: DataFrame, percent: int, forests: int) -> DataFrame:
+    """``x, y, cut`` of the buckets ``placed``, rows ``key, m, n_shingles, band, lower``, that hold several components."""
+    now = placed.join(found.withColumnRenamed("node", "m"), "m", "left").withColumn("component", F.coalesce("component", "m"))
+    # all members of a bucket have a sketch of its band; the lowest own band is one that all have
+    open_ = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("band").alias("low")).where("a <> b")
+    some = now.join(open_.select("key", "low"), "key").where("band = low OR band = low + 1 AND lower")
+    least = some.groupBy("m").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
+    words = F.when(F.col("band") == F.col("low"), F.col("own")).otherwise(F.col("below"))
+    return (some.join(bits.select(F.col("rep").alias("m"), "own", "below").join(least, "m"), "m")
+            .select("key", "m", "component", "n_shingles", words.alias("words"), "least")
+            .repartition("key").sortWithinPartitions("key", "m").mapInArrow(_across(percent, forests), "x long, y long, cut long"))
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -303,7 +375,8 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     # every bucket's members against its leader
     asked = saved(stars.select(F.col("lead").alias("x_c"), F.col("c").alias("y_c")).distinct()
                   .join(name("x"), "x_c").join(name("y"), "y_c").where("x <> y"), "jaccard-pairs")
-    links = _edges_of(saved(_linked(docs, saved(_near(asked, bits, percent), "jaccard-near"), width, percent), "jaccard-links"))
+    told = saved(_linked(docs, saved(_near(asked, bits, percent), "jaccard-near"), width, percent), "jaccard-links")
+    links = _edges_of(told)
     found = components(links)
 
     # buckets of three and more with a failed comparison: members against members of other components
@@ -313,18 +386,19 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     rows = stars.join(failed.where("n > 1 AND good < n").select("key"), "key", "left_semi")
     members = (rows.select("key", F.col("c").alias("m_c")).unionByName(rows.select("key", F.col("lead").alias("m_c"))).distinct()
                .join(name("m"), "m_c").select("key", "m").distinct())
-    placed = members.join(found.withColumnRenamed("node", "m"), "m", "left").withColumn("component", F.coalesce("component", "m"))
-    placed = saved(placed.join(bits.select(F.col("rep").alias("m"), "n_shingles", "band"), "m"), "jaccard-members")
-    # all members of a bucket have a sketch of its band; the lowest own band is one that all have
-    open_ = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("band").alias("low")).where("a <> b")
-    words = F.when(F.col("band") == F.col("low"), F.col("own")).when(F.col("band") == F.col("low") + 1, F.col("below"))
-    cross = (placed.join(open_.select("key", "low"), "key").join(bits.select(F.col("rep").alias("m"), "own", "below"), "m")
-             .select("key", "m", "component", "n_shingles", words.alias("words")).where("words IS NOT NULL")
-             .repartition("key").sortWithinPartitions("key", "m").mapInArrow(_across(percent), "x long, y long"))
-    cross = saved(cross, "jaccard-cross").distinct()
-    if not cross.isEmpty():
-        links = links.unionByName(_edges_of(saved(_linked(docs, cross, width, percent), "jaccard-links")))
-        found = components(links)
+    placed = saved(members.join(bits.select(F.col("rep").alias("m"), "n_shingles", "band", F.col("below").isNotNull().alias("lower")), "m"), "jaccard-members")
+    tried = told.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    forests = 1
+    while True:
+        cross = saved(_crossing(placed, bits, found, percent, forests), "jaccard-cross")
+        new = saved(cross.where("x IS NOT NULL").select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "jaccard-pairs")
+        if not new.isEmpty():
+            links = links.unionByName(_edges_of(saved(_linked(docs, new, width, percent), "jaccard-links")))
+            found = components(links)
+        cut = cross.where("cut IS NOT NULL").select(F.col("cut").alias("key")).distinct()
+        if cut.isEmpty():
+            break
+        tried, placed, forests = tried.unionByName(new), placed.join(cut, "key", "left_semi"), forests * MORE_FORESTS
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "c", "alt", F.coalesce("component", "rep").alias("component_id"))
