@@ -620,3 +620,12 @@ def test_pairs_left_out_are_asked_again(spark, seed, monkeypatch):
     got = jaccard.similar_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(4), 5, 80)
     assert rows(got) == brute_jaccard(data, 5, 80)
     assert rounds[:2] == [1, 8]
+
+
+def test_words_are_cut_before_blanks_and_line_breaks():
+    import public_tokenizers
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a bc\nd", "a  b", "a \n b", "a \t b\t\tc \n", "\n\n a", "  ", "a\n", "\t \t", "bc \x85 bc", " bc\nd\n\nbc", "   ", "a    b", " "]
+    want = [np.array(e.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(e.encode(texts[:1])) == want[:1] and set(e.cache) == {" a", "bc", "\nd"}
+    assert list(e.encode(texts)) == want and list(e.encode(texts)) == want
