@@ -629,3 +629,14 @@ def test_words_are_cut_before_blanks_and_line_breaks():
     want = [np.array(e.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert list(e.encode(texts[:1])) == want[:1] and set(e.cache) == {" a", "bc", "\nd"}
     assert list(e.encode(texts)) == want and list(e.encode(texts)) == want
+
+
+def test_powers_are_kept():
+    f = repeats.FACTORS[0]
+    assert repeats.powers(f, 3).tolist() == [pow(f, i, 1 << 64) for i in range(4)]
+    assert np.shares_memory(repeats.powers(f, 3), repeats.powers(f, 9))
+    n = repeats.KEPT_POWERS + 2
+    assert int(repeats.powers(f, n)[n]) == pow(f, n, 1 << 64) and len(repeats.powers(f, n)) == n + 1
+    for text in ("", " a", "é bü\nc ", "ab c"):
+        first, last = repeats.word_spans(text.encode())
+        assert [text[a:b] for a, b in zip(first, last)] == text.split()

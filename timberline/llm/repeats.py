@@ -15,6 +15,7 @@ a unit: it finds each passage of that length that an earlier document has.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -183,6 +184,7 @@ FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WINDOWS = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("own", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("start", pa.int64()),
                      ("end", pa.int64()), ("key", pa.int64()), ("digest", pa.binary())])
 WINDOWS_DDL = "doc_id long, text_id long, own long, at int, n int, start long, end long, key long, digest binary"
+KEPT_POWERS = 1 << 16
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -190,14 +192,31 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, data.lower().split()), np.uint64)
 
 
+@functools.lru_cache(maxsize=None)
+def _kept_powers(factor: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(KEPT_POWERS, factor, np.uint64)]))
+
+
+def powers(factor: int, n: int) -> np.ndarray:
+    """``factor`` to the powers 0 to ``n``, modulo 2^64; those of texts of usual length are kept."""
+    if n <= KEPT_POWERS:
+        return _kept_powers(factor)[:n + 1]
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, factor, np.uint64)]))
+
+
 class Rolling:
     """Polynomial hashes modulo 2^64 of any runs ``first`` to ``last`` (exclusive) of ``h``; odd factors have inverses."""
 
     def __init__(self, h: np.ndarray, factor: int):
-        def powers(f: int) -> np.ndarray:
-            return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), f, np.uint64)]))
-        self.inverse = powers(pow(factor, -1, 1 << 64))
-        self.before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(factor)[:-1])])
+        n = len(h)
+        self.inverse = powers(pow(factor, -1, 1 << 64), n)
+        self.before = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * powers(factor, n)[:n], out=self.before[1:])
+
+    def every(self, width: int) -> np.ndarray:
+        """Of all runs of ``width``, in order."""
+        n = len(self.before) - width
+        return (self.before[width:] - self.before[:n]) * self.inverse[:n]
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return (self.before[last] - self.before[first]) * self.inverse[first]
@@ -217,16 +236,18 @@ def anchors(roll: Rolling, n: int, min_words: int) -> np.ndarray:
     half = (min_words + 1) // 2
     if n < min_words:
         return np.zeros(0, np.uint64)
-    at = np.arange(n - half + 1)
-    return lowest(roll.of(at, at + half), min_words - half + 1)
+    return lowest(roll.every(half), min_words - half + 1)
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First and last-plus-one code point of every word."""
     raw = np.frombuffer(data, np.uint8)
-    space = np.concatenate([[True], IS_SPACE[raw], [True]])
-    point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
-    return point[np.flatnonzero(space[:-1] & ~space[1:])], point[np.flatnonzero(~space[:-1] & space[1:])]
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = IS_SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1])  # of words, first and last in turn
+    if not data.isascii():
+        edges = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[edges]  # code points before each byte
+    return edges[::2], edges[1::2]
 
 
 def _anchors(min_words: int):
@@ -247,7 +268,9 @@ def _spans(min_words: int, bits: np.ndarray, singly: bool):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode()
                 h = word_hashes(data)
-                rolls = [Rolling(h, f) for f in FACTORS]
+                if len(h) < min_words:
+                    continue
+                rolls = [Rolling(h, FACTORS[0])]
                 key = anchors(rolls[0], len(h), min_words)
                 at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])[:len(key)].astype(np.int64)
                 last = np.concatenate([at[1:], [len(key)]])[:len(at)]  # exclusive
@@ -256,6 +279,7 @@ def _spans(min_words: int, bits: np.ndarray, singly: bool):
                     at, last = at[some], last[some]
                 if not len(at):
                     continue
+                rolls.append(Rolling(h, FACTORS[1]))
                 name = text_id(text)
                 place = ((doc or 0) * FACTORS[1] + name) % (1 << 64)
                 own = (rolls[1].of(at, last + min_words - 1) ^ np.uint64(place)) * np.uint64(FACTORS[0])
