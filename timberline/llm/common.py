@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.core import checkpoint_dir
+from timberline.llm.tokens import encoder
 
 # Java and Python spelling of one word: anything but the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Rows of a file of a narrow table. An executor starts processes for each file that it creates (the local file system sets
+# its mode that way), so tables of a few numbers a row are not written as one file per shuffle partition.
+FILE_ROWS = 32_768
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -30,6 +38,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, rows: int, per_file: int = FILE_ROWS, dealt: bool = False) -> DataFrame:
+    """``df`` in no more partitions than files of ``per_file`` rows need; ``rows`` is a bound on its rows.
+
+    What comes after the last exchange runs in that many tasks; with ``dealt`` it keeps its own, and its rows are dealt anew.
+    """
+    files = max(1, -(-rows // per_file))
+    return df.repartition(files) if dealt else df.coalesce(files)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system. Workers are used again; what they keep counts beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library only
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator], words: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, which leaves no freed memory behind; without ``words`` also no encoder of an earlier step."""
+    def batches_of(batches: Iterator) -> Iterator:
+        if not words:
+            encoder.cache_clear()
+        yield from run(batches)
+        give_back()
+    return batches_of
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

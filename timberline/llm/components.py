@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import saved
+from timberline.llm.common import in_files, saved
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -26,17 +26,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``u, v`` edges -> ``node, component`` for every node of an edge; the component is its smallest node.
 
-    Edges may repeat, loops and NULLs are left out. Each round writes its edges to the shared folder. Rounds grow
+    Edges may repeat, loops and NULLs are left out; ``rows`` is a bound on their number where one is known. Each round writes its edges to the shared folder. Rounds grow
     with the logarithm of the longest path; every exchange is a partial aggregate or a join that can be split.
     """
     pair = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = saved(pair, "components")
+    now = saved(pair if rows is None else in_files(pair, rows), "components")
     mark = _signature(now)
     while mark[0]:
-        after = saved(_small_star(_large_star(now)), "components")
+        after = saved(in_files(_small_star(_large_star(now)), mark[0]), "components")  # neither star makes more edges
         new = _signature(after)
         done, now, mark = new == mark, after, new
         if done:

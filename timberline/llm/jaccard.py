@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.bloom import rows_of
-from timberline.llm.common import columns, saved, table
+from timberline.llm.common import columns, in_files, saved, table, tidied
 from timberline.llm.components import components
 
 GROWTH = 1.5
@@ -57,6 +57,8 @@ TOLD_PAIRS = 500_000
 WORDS_AT_ONCE = 1 << 21  # sketch words compared at once in a bucket
 LEAST_KEYS = 8
 MORE_FORESTS = 8
+TEXTS_AT_ONCE = 256
+SKETCHES_IN_FILE = 4096
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S = [np.uint64(x) for x in (29, 32, 33)]
@@ -156,7 +158,7 @@ def _sketcher(width: int, percent: int):
     """Sizes, digests and sketches; only rows with an id are sketched, as the others link with nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # classes that this task has sketched already
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS_AT_ONCE) for b in batches for i in range(0, b.num_rows, TEXTS_AT_ONCE)):
             n, c, alt, keys, band, own, below = [], [], [], [], [], [], []
             for doc, text in zip(batch.column(0), batch.column(1)):
                 h = shingles(text.as_py(), width)
@@ -322,7 +324,7 @@ def _crossing(placed: DataFrame, bits: DataFrame, found: DataFrame, percent: int
     words = F.when(F.col("band") == F.col("low"), F.col("own")).otherwise(F.col("below"))
     return (some.join(bits.select(F.col("rep").alias("m"), "own", "below").join(least, "m"), "m")
             .select("key", "m", "component", "n_shingles", words.alias("words"), "least")
-            .repartition("key").sortWithinPartitions("key", "m").mapInArrow(_across(percent, forests), "x long, y long, cut long"))
+            .repartition("key").sortWithinPartitions("key", "m").mapInArrow(tidied(_across(percent, forests)), "x long, y long, cut long"))
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -330,26 +332,28 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
 
     Texts, not sets, are shuffled, as they are shorter once compressed; only those of the pairs leave the scan.
     """
-    @F.pandas_udf("boolean")
-    def enough(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        sets, out = {}, []
-        for name, p, q in zip(x, a, b):
-            if name not in sets:  # leaders come again and again
-                if len(sets) >= KEPT_SETS:
-                    sets.clear()
-                sets[name] = (p, shingles(p, width))
-            s = sets[name][1] if sets[name][0] == p else shingles(p, width)
-            t = shingles(q, width)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-        return pd.Series(out, dtype=bool)
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = {}
+        for batch in batches:
+            out = []
+            for name, p, q in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                p, q = p.as_py(), q.as_py()  # one pair of texts at a time
+                if name not in sets:  # leaders come again and again
+                    if len(sets) >= KEPT_SETS:
+                        sets.clear()
+                    sets[name] = (p, shingles(p, width))
+                s = sets[name][1] if sets[name][0] == p else shingles(p, width)
+                t = shingles(q, width)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                out.append(len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["x", "y", "linked"])
 
     def side(n: str) -> DataFrame:
         texts = rows_of(docs, pairs.select(F.col(n).alias("doc_id")).distinct())
         return texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"))
 
     both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
-    return both.select("x", "y", enough("x", "x_text", "y_text").alias("linked"))
+    return both.select("x", "y", "x_text", "y_text").mapInArrow(tidied(enough), "x long, y long, linked boolean")
 
 
 def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -362,22 +366,26 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = saved(docs.mapInArrow(_sketcher(width, percent), SKETCHES_DDL), "sketches")
-    classes = saved(base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "c", "alt").agg(
-        F.min("doc_id").alias("rep")), "jaccard-classes")
+    base = saved(docs.mapInArrow(tidied(_sketcher(width, percent)), SKETCHES_DDL), "sketches")
+    size = base.count()
+    classes = saved(in_files(base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "c", "alt").agg(
+        F.min("doc_id").alias("rep")), size), "jaccard-classes")
     keys = base.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "c")
-    stars = saved(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_leaders, "key long, lead long, c long"), "jaccard-stars")
+    stars = saved(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(tidied(_leaders), "key long, lead long, c long"), "jaccard-stars")
     name = lambda n: classes.select(F.col("c").alias(f"{n}_c"), F.col("rep").alias(n))
 
-    bits = saved(base.where("band IS NOT NULL").join(classes, ["n_shingles", "c", "alt"]).groupBy("rep", "n_shingles", "band").agg(
-        F.min("own").alias("own"), F.min("below").alias("below")), "jaccard-bits")
+    bits = saved(in_files(base.where("band IS NOT NULL").join(classes, ["n_shingles", "c", "alt"]).groupBy("rep", "n_shingles", "band").agg(
+        F.min("own").alias("own"), F.min("below").alias("below")), size, SKETCHES_IN_FILE), "jaccard-bits")
 
     # every bucket's members against its leader
-    asked = saved(stars.select(F.col("lead").alias("x_c"), F.col("c").alias("y_c")).distinct()
-                  .join(name("x"), "x_c").join(name("y"), "y_c").where("x <> y"), "jaccard-pairs")
-    told = saved(_linked(docs, saved(_near(asked, bits, percent), "jaccard-near"), width, percent), "jaccard-links")
+    n_stars = stars.count()
+    asked = saved(in_files(stars.select(F.col("lead").alias("x_c"), F.col("c").alias("y_c")).distinct()
+                           .join(name("x"), "x_c").join(name("y"), "y_c").where("x <> y"), n_stars), "jaccard-pairs")
+    near = saved(in_files(_near(asked, bits, percent), asked.count()), "jaccard-near")
+    n_told = near.count()
+    told = saved(in_files(_linked(docs, near, width, percent), n_told, dealt=True), "jaccard-links")
     links = _edges_of(told)
-    found = components(links)
+    found = components(links, n_told)
 
     # buckets of three and more with a failed comparison: members against members of other components
     good = asked.join(links.select(F.col("u").alias("x"), F.col("v").alias("y")).distinct(), ["x", "y"], "left_semi").select(
@@ -386,15 +394,19 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
     rows = stars.join(failed.where("n > 1 AND good < n").select("key"), "key", "left_semi")
     members = (rows.select("key", F.col("c").alias("m_c")).unionByName(rows.select("key", F.col("lead").alias("m_c"))).distinct()
                .join(name("m"), "m_c").select("key", "m").distinct())
-    placed = saved(members.join(bits.select(F.col("rep").alias("m"), "n_shingles", "band", F.col("below").isNotNull().alias("lower")), "m"), "jaccard-members")
+    placed = saved(in_files(members.join(bits.select(F.col("rep").alias("m"), "n_shingles", "band", F.col("below").isNotNull().alias("lower")), "m"),
+                            2 * n_stars), "jaccard-members")
+    n_placed = placed.count()
     tried = told.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     forests = 1
     while True:
-        cross = saved(_crossing(placed, bits, found, percent, forests), "jaccard-cross")
-        new = saved(cross.where("x IS NOT NULL").select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), "jaccard-pairs")
-        if not new.isEmpty():
-            links = links.unionByName(_edges_of(saved(_linked(docs, new, width, percent), "jaccard-links")))
-            found = components(links)
+        cross = saved(in_files(_crossing(placed, bits, found, percent, forests), n_placed, dealt=True), "jaccard-cross")
+        new = saved(in_files(cross.where("x IS NOT NULL").select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"), cross.count()), "jaccard-pairs")
+        n_new = new.count()
+        if n_new:
+            links = links.unionByName(_edges_of(saved(in_files(_linked(docs, new, width, percent), n_new, dealt=True), "jaccard-links")))
+            n_told += n_new
+            found = components(links, n_told)
         cut = cross.where("cut IS NOT NULL").select(F.col("cut").alias("key")).distinct()
         if cut.isEmpty():
             break

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.core import local_table
-from timberline.llm.common import WORD, boxed, columns, empty_if_null, saved, unboxed, unused, word_count
+from timberline.llm.common import WORD, boxed, columns, empty_if_null, in_files, saved, unboxed, unused, word_count
 
 # Rows of a shard: small sources get shards of 64 rows up to 256 shards, large
 # ones shards of 65,536 rows. Both only set how far the work spreads.
@@ -110,8 +110,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, blo
     dealt = (sized.join(sources, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
              .withColumn("shard", F.pmod("_key", "shards")))
     # words and blocks of each shard
-    shard = saved(dealt.groupBy("sid", "shard").agg(F.sum("mix_size").alias("words"))
-                  .withColumn("blocks", F.ceil(F.col("words") / block).cast("long")), "mix-shards")
+    shard = saved(in_files(dealt.groupBy("sid", "shard").agg(F.sum("mix_size").alias("words"))
+                           .withColumn("blocks", F.ceil(F.col("words") / block).cast("long")), sum(r["shards"] for r in rows)), "mix-shards")
     blocks = {r["sid"]: r["n"] for r in shard.groupBy("sid").agg(F.sum("blocks").alias("n")).collect()}
     n = np.array([blocks.get(i, 0) for i in range(len(per))], np.int64)
     votes = np.array([goal[i] * n[i] / r["w"] if r["w"] else 0.0 for i, r in enumerate(per)])

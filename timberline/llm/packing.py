@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.core import local_table
-from timberline.llm.common import boxed, saved, table, unboxed
+from timberline.llm.common import boxed, saved, table, tidied, unboxed
 from timberline.llm.tokens import encoder
 
 TEXTS_AT_ONCE = 256
@@ -195,7 +195,7 @@ def _cutter(path: str, end_id: int, capacity: int):
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Encode ``doc_id, text`` (NULL: empty) with the end id and cut longer ones: ``doc_id, piece, start, length, ids``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _cutter(tokenizer, end_id, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+        tidied(_cutter(tokenizer, end_id, capacity), words=True), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:

@@ -8,6 +8,7 @@ batches; a text is kept when P(quality) reaches ``THRESHOLD``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import textmodel
-from timberline.llm.common import columns, table, unused
+from timberline.llm.common import columns, table, tidied, unused
 
 PER_CLASS = 1000
 MAX_TRAIN_CHARS = 50_000
@@ -120,9 +121,13 @@ def with_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESH
     """
     fields = [f.split()[0] for f in RESULT.split(", ")]
 
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([measure(t or "", model, threshold) for t in texts], columns=fields)
+
     @F.pandas_udf(RESULT)
-    def rules(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t or "", model, threshold) for t in texts], columns=fields)
+    def rules(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidied(measured)(batches)
 
     return docs.withColumn(name, rules(F.col(f"`{text}`")))
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.common import give_back
+
 DIM = 1 << 18
 _BITS = 18
 FALSE_SHARE = 0.01
@@ -186,4 +188,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade, per_grade: int, g
 
 def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> list:
     """Fit on a bounded sample in one task; the rows of ``fit`` come back."""
-    return sample.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda g: fit(g.sort_values(["doc_id", "grade"])), schema).collect()
+    def fitted(g: pd.DataFrame) -> pd.DataFrame:
+        out = fit(g.sort_values(["doc_id", "grade"]))
+        give_back()
+        return out
+    return sample.groupBy(F.lit(0).alias("_all")).applyInPandas(fitted, schema).collect()
