@@ -214,3 +214,34 @@ def test_ends_of_tokens_tell_their_ids(library):
     for text in ["a\x1c\x1db don't re-ally's ½x²", "Fürs\x85chpf 42,5### ok\n\n don't ", "\xa0x  y"]:
         counts = np.cumsum(np.frombuffer(next(iter(of.steps([text]))), "<i2"), dtype=np.int64)
         assert counts.tolist() == [library(text[:i + 1]) for i in range(len(text))]
+
+
+def prefixes(text, library):
+    return [library(text[:i + 1]) for i in range(len(text))]
+
+
+def test_words_share_the_walk_of_their_beginnings(library, monkeypatch):
+    of, walked = tokencounts.PrefixCounter(path()), []
+    move = of._move
+
+    def every_byte(state, byte):  # forgets it, so that the next one is seen here, too
+        to = move(state, byte)
+        state[1].clear()
+        walked.append(byte)
+        return to
+    monkeypatch.setattr(of, "_move", every_byte)
+    words = [" handles", " hand", " wordless", " handle", " words", " handling", " word", " hand"]
+    text = "".join(words)
+    counts = np.cumsum(np.frombuffer(next(iter(of.steps([text]))), "<i2"))
+    assert counts.tolist() == prefixes(text, library)
+    assert len(walked) == len({w[:k] for w in words for k in range(1, len(w) + 1)})
+
+
+def test_token_counts_while_everything_is_forgotten(library, monkeypatch):
+    for name, value in {"SEEN_PAIRS": 5, "CACHE_PARTS": 2, "CACHE_UNITS": 3, "CACHE_LENGTH": 6, "CHUNK_CHARS": 30}.items():
+        monkeypatch.setattr(tokencounts, name, value)
+    of = tokencounts.PrefixCounter(path())
+    texts = ["handled handles, handling.", None, "  \n handled\t\tHANDLED  ", "they'll they're 'll", " ", "", "x" * 70 + " unbreakableword unbreakablewords</s> ok",
+             "naïve naïveté 漢字　漢字 é", "handled  handles", "\r\n\x85\xa0 a"]
+    for text, steps in zip(texts, of.steps(texts)):
+        assert np.cumsum(np.frombuffer(steps, "<i2")).tolist() == prefixes(text or "", library)

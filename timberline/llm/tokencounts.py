@@ -48,6 +48,14 @@ SEEN_PAIRS = 500_000
 CHUNK_CHARS = 1_000_000
 
 
+def _packed(steps: Iterable[int]) -> bytes:
+    """As little-endian 16-bit integers; an OverflowError beyond."""
+    steps = array("h", steps)
+    if sys.byteorder != "little":
+        steps.byteswap()
+    return steps.tobytes()
+
+
 class PrefixCounter:
     """Counts for a byte-level BPE file of the tokenizers library, with its default treatment of special strings."""
 
@@ -64,121 +72,158 @@ class PrefixCounter:
             raise ValueError(f"{path} is not a plain byte-level BPE")
         letters = byte_letters()
         number = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
-        self.rank, self.halves, self.pairs = {}, {}, {}
+        size = max(number.values()) + 1
+        self.rank, self.left, self.right, self.pairs = [-1] * size, [-1] * size, [-1] * size, {}
         self.ids = {t: i for t, i in number.items() if len(t) == 1}
         for rank, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in half) for half in (pair.split(" ") if isinstance(pair, str) else pair))
             whole = number[a + b]
-            if whole in self.halves:
+            if self.rank[whole] >= 0:
                 raise ValueError(f"{path}: two merges make one token")
-            self.pairs[number[a], number[b]] = self.rank[whole] = rank
-            self.halves[whole] = number[a], number[b]
+            self.left[whole], self.right[whole] = number[a], number[b]
+            self.pairs[number[a] << 32 | number[b]] = self.rank[whole] = rank
             if a in self.ids and b in self.ids and self.apart(number[a], number[b], rank):  # its bytes do become this token
                 self.ids[a + b] = whole
         self.tails = {t[k:]: -1 for t in self.ids for k in range(len(t))} | self.ids  # ends of tokens; the id of one that is a token
+        # A walk along a string is in a state: the longest of its ends that begins a token. Each has the tokens that end there, longest
+        # first (length, id, and whether it stays apart from the tokens met before it), the states after one more byte, and the end itself.
+        self.states: dict[bytes, tuple | None] = {t[:k]: None for t in self.ids for k in range(1, len(t) + 1)}
+        self.states[b""] = [], {}, b""
+        self.seen: dict[int, dict[int, bool]] = {}
+        self.moves = self.met = 0
+        self.path: tuple = b"", [self.states[b""]], [0], [0]
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
-        self.seen: dict[int, bool] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def apart(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Tokens ``a`` and ``b`` side by side stay two tokens (up to the merge ``limit``)."""
-        rank, halves, pairs = self.rank, self.halves, self.pairs
+        rank, left, right, pairs = self.rank, self.left, self.right, self.pairs
         while True:
-            met = pairs.get((a, b))
+            met = pairs.get(a << 32 | b)
             if met is not None and met < limit:
                 return False
-            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            ra, rb = rank[a], rank[b]
             if ra > rb:
-                limit, a = ra, halves[a][1]
+                limit, a = ra, right[a]
             elif rb >= 0:
-                limit, b = rb + 1, halves[b][0]  # on equal ranks the left pair merges first
+                limit, b = rb + 1, left[b]  # on equal ranks the left pair merges first
             else:
                 return True
 
-    def word(self, raw: bytes) -> list[int]:
-        """Counts of the prefixes of 0, 1, ... bytes of a string that the tokenizer does not break."""
-        ids, tails, seen = self.ids, self.tails, self.seen
-        last, count = [0], [0]
-        for i in range(1, len(raw) + 1):
-            t = ids.get(raw[:i])
-            if t is not None:
-                last.append(t)
-                count.append(1)
-                continue
-            ends, s = [], i - 1
-            while s >= 0 and (t := tails.get(raw[s:i])) is not None:
+    def _move(self, state: tuple, byte: int) -> tuple:
+        """The state after one more byte."""
+        end = state[2] + bytes([byte])
+        while end not in self.states:
+            end = end[1:]
+        if not end:
+            raise ValueError(f"no token for byte {byte}")
+        to = self.states[end]
+        if to is None:
+            found, s = [], len(end) - 1
+            while s >= 0 and (t := self.tails.get(end[s:])) is not None:
                 if t >= 0:
-                    ends.append((s, t))
+                    found.append((len(end) - s, t, self.seen.setdefault(t, {})))
                 s -= 1
-            for s, t in reversed(ends):
-                pair = last[s] << 20 | t
-                fits = seen.get(pair)
+            to = self.states[end] = found[::-1], {}, end
+        self.moves += 1
+        if self.moves > SEEN_PAIRS:
+            self.moves = 1
+            for known in filter(None, self.states.values()):
+                known[1].clear()
+        state[1][byte] = to
+        return to
+
+    def _meet(self, a: int, b: int) -> bool:
+        """Whether two tokens stay apart, to be remembered."""
+        self.met += 1
+        if self.met > SEEN_PAIRS:
+            self.met = 1
+            for known in self.seen.values():
+                known.clear()
+        fits = self.seen[b][a] = self.apart(a, b)
+        return fits
+
+    def word(self, raw: bytes) -> list[int]:
+        """Counts of the prefixes of 0, 1, ... bytes of a string that the tokenizer does not break.
+
+        What it shares with the beginning of the string before it is not walked again.
+        """
+        before, at, last, count = self.path
+        k = 0
+        for a, b in zip(raw, before):
+            if a != b:
+                break
+            k += 1
+        del at[k + 1:], last[k + 1:], count[k + 1:]
+        self.path = raw[:k], at, last, count
+        state, i = at[k], k
+        for byte in raw[k:]:
+            i += 1
+            state = state[1].get(byte) or self._move(state, byte)
+            for n, t, apart in state[0]:
+                if n == i:  # all of it is a token
+                    break
+                fits = apart.get(last[i - n])
                 if fits is None:
-                    fits = seen[pair] = self.apart(last[s], t)
+                    fits = self._meet(last[i - n], t)
                 if fits:
                     break
+            at.append(state)
             last.append(t)
-            count.append(count[s] + 1)
-        if len(seen) > SEEN_PAIRS:
-            seen.clear()
-        return count
-
-    def _word(self, part: str) -> list[int]:
-        """Counts of the prefixes of 0, 1, ... code points."""
-        count = self.parts.get(part)
-        if count is not None:
-            return count
+            count.append(count[i - n] + 1)
+        self.path = (raw, at, last, count) if i <= CACHE_LENGTH else (b"", [self.states[b""]], [0], [0])
+        return count[:]
+
+    def _word(self, part: str) -> bytes:
+        """Steps of one of the tokenizer's parts."""
+        steps = self.parts.get(part)
+        if steps is not None:
+            return steps
         raw = part.encode()
         count = self.word(raw)
         if len(raw) > len(part):
             count = [c for c, b in zip(count, raw + b"a") if b & 0xC0 != 0x80]
         if part in LONG_CONTRACTIONS:  # a contraction cut short is a mark and a letter
             count[2] = count[1] + self.word(raw[1:2])[-1]
+        steps = _packed(map(sub, count[1:], count))
         if len(part) <= CACHE_LENGTH:
             if len(self.parts) > CACHE_PARTS:
                 self.parts.clear()
-            self.parts[part] = count
-        return count
+            self.parts[part] = steps
+        return steps
 
     def _runs(self, unit: str, lead: int) -> list[str]:
-        """The tokenizer's parts of the word of a unit, with the blank before it."""
-        if max(unit) <= KNOWN_LETTERS:
+        """The tokenizer's parts of the word of a unit, with the last white space before it."""
+        if unit.isascii() or max(unit) <= KNOWN_LETTERS:
             return SPACED_PARTS.findall(unit, lead)
         return [unit[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(unit) if b > lead]
 
     def unit(self, unit: str) -> bytes:
         """Steps of a unit from one code point to the next, little-endian 16-bit."""
-        word = unit.lstrip(SPACES)
-        m = len(unit) - len(word)
-        count = self._word(unit[:m])
-        if word:
-            blank = m > 0 and unit[m - 1] == " "  # goes to the word; any other white space stays a part of its own
-            base = (count[m - 1] if m else 0) + (self._word(unit[m - 1])[-1] if m and not blank else 0)
-            skip, count = int(blank), list(count)
-            for part in self._runs(unit, m - skip):
-                inside = self._word(part)
-                count += [base + c for c in inside[1 + skip:]]
-                base, skip = base + inside[-1], 0
-        steps = array("h", map(sub, count[1:], count))  # an OverflowError beyond 16 bits
-        if sys.byteorder != "little":
-            steps.byteswap()
-        return steps.tobytes()
+        if unit[0] not in SPACES or unit[1:2] not in SPACES:
+            return b"".join(map(self._word, self._runs(unit, 0)))
+        m = len(unit) - len(unit.lstrip(SPACES))
+        lead = self._word(unit[:m])
+        if m == len(unit):
+            return lead
+        # the white space is one part until the word begins; then its last character goes to the word, or stays a part of its own
+        before, own = (np.frombuffer(x, "<i2").tolist() for x in (lead, b"".join(map(self._word, self._runs(unit, m - 1)))))
+        return _packed([*before, own[0] + own[1] - before[-1], *own[2:]])
 
     def _known(self, units: Iterable[str]) -> dict[str, bytes]:
-        """Steps of all distinct units; two generations of them are remembered."""
-        known, young, old = {}, self.young, self.old
-        for u in set(units):
-            steps = young.get(u)
-            if steps is None:
-                steps = old.get(u) or self.unit(u)
-                if len(u) <= CACHE_LENGTH:
-                    young[u] = steps
-            known[u] = steps
-        if len(young) > CACHE_UNITS:
-            self.young, self.old = {}, young
-        return known
+        """Steps of all units, other ones may be among them; two generations of units are remembered.
+
+        New ones are taken in their order, so that each shares as much as it can with the one before it.
+        """
+        if len(self.young) > CACHE_UNITS:
+            self.young, self.old = {}, self.young
+        young, long = self.young, {}
+        units = set(units)
+        for u in sorted(units.difference(young)):
+            (young if len(u) <= CACHE_LENGTH else long)[u] = self.old.get(u) or self.unit(u)
+        return {u: young[u] for u in units.difference(long)} | long if long else young
 
     def _special_steps(self, text: str) -> bytes:
         """Steps of a text with special strings: each is one token once it is complete, and ordinary text before."""
