@@ -1,5 +1,6 @@
 """Operators 11 to 13: against the tokenizer library, numpy's eigenvalues and plain counting."""
 
+import gc
 import random
 import re
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from timberline.llm import collocations, queries, tokencounts, whitening
-from timberline.llm.common import table
+from timberline.llm.common import give_back, table
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -220,8 +221,18 @@ def prefixes(text, library):
     return [library(text[:i + 1]) for i in range(len(text))]
 
 
-def test_words_share_the_walk_of_their_beginnings(library, monkeypatch):
-    of, walked = tokencounts.PrefixCounter(path()), []
+@pytest.fixture
+def new_counter():
+    """A list of one; its memory is given back after, as other tests measure this process."""
+    own = [tokencounts.PrefixCounter(path())]
+    yield own
+    own.clear()
+    gc.collect()
+    give_back()
+
+
+def test_words_share_the_walk_of_their_beginnings(library, new_counter, monkeypatch):
+    of, walked = new_counter[0], []
     move = of._move
 
     def every_byte(state, byte):  # forgets it, so that the next one is seen here, too
@@ -237,10 +248,10 @@ def test_words_share_the_walk_of_their_beginnings(library, monkeypatch):
     assert len(walked) == len({w[:k] for w in words for k in range(1, len(w) + 1)})
 
 
-def test_token_counts_while_everything_is_forgotten(library, monkeypatch):
+def test_token_counts_while_everything_is_forgotten(library, new_counter, monkeypatch):
     for name, value in {"SEEN_PAIRS": 5, "CACHE_PARTS": 2, "CACHE_UNITS": 3, "CACHE_LENGTH": 6, "CHUNK_CHARS": 30}.items():
         monkeypatch.setattr(tokencounts, name, value)
-    of = tokencounts.PrefixCounter(path())
+    of = new_counter[0]
     texts = ["handled handles, handling.", None, "  \n handled\t\tHANDLED  ", "they'll they're 'll", " ", "", "x" * 70 + " unbreakableword unbreakablewords</s> ok",
              "naïve naïveté 漢字　漢字 é", "handled  handles", "\r\n\x85\xa0 a"]
     for text, steps in zip(texts, of.steps(texts)):
